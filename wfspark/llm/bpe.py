@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wfspark.llm.columns import CHUNK, Texts, runs, span_hashes, texts
+from wfspark.llm.codepoints import BLANK, LETTER, classes, points
+from wfspark.llm.columns import CHUNK, Texts, ranges, runs, span_hashes, texts
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -143,35 +143,20 @@ class PrefixEncoder:
         return out
 
 
-# Pieces: the classes of code points that the public pattern tells apart.
-_OTHER, _LETTER, _NUMBER, _BLANK = 0, 1, 2, 3
-#: Code points with the property White_Space.
-_BLANKS = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-
-
-@lru_cache(1)
-def _classes() -> np.ndarray:
-    kind = {"L": _LETTER, "N": _NUMBER}
-    table = np.fromiter((kind.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(0x110000)), np.uint8, 0x110000)
-    table[_BLANKS] = _BLANK
-    return table
-
-
 def piece_starts(t: Texts) -> np.ndarray:
     """Byte positions where the pattern's matches begin; a match never crosses documents."""
     if not len(t.data):
         return np.empty(0, np.int64)
-    points = np.frombuffer(t.data.tobytes().decode().encode("utf-32-le"), np.uint32)
-    at = np.flatnonzero((t.data & 0xC0) != 0x80)
-    n = len(points)
-    kind = _classes()[points]
+    chars, at = points(t)
+    n = len(chars)
+    kind = classes()[chars]
     opens = np.zeros(n + 1, bool)  # a document begins
     opens[np.searchsorted(at, t.offsets)] = True
     opens[n] = True
     run = opens.copy()
     run[1:n] |= kind[1:] != kind[:-1]
-    space = points == 0x20
-    blank = kind == _BLANK
+    space = chars == 0x20
+    blank = kind == BLANK
     starts = run[:n].copy()
     # a blank run before something else gives up its last code point: as the other's prefix if it is a space, else by itself
     before = np.flatnonzero(run[1:] & ~opens[1:] & blank)
@@ -179,12 +164,12 @@ def piece_starts(t: Texts) -> np.ndarray:
     joined = before[space[before]]
     starts[joined + 1] = False
     # contractions: an apostrophe alone in its run, without a space before, and the letters that follow
-    quote = np.flatnonzero((points == 0x27) & run[:n] & run[1:] & ~opens[1:])
+    quote = np.flatnonzero((chars == 0x27) & run[:n] & run[1:] & ~opens[1:])
     quote = quote[starts[quote] & (quote + 1 < n)]
-    quote = quote[kind[quote + 1] == _LETTER]
+    quote = quote[kind[quote + 1] == LETTER]
     if len(quote):
-        one = points[quote + 1]
-        two = points[np.minimum(quote + 2, n - 1)]
+        one = chars[quote + 1]
+        two = chars[np.minimum(quote + 2, n - 1)]
         has_two = (quote + 2 < n) & ~opens[np.minimum(quote + 2, n)]
         short = np.isin(one, [ord(c) for c in "stmd"])
         long = has_two & np.logical_or.reduce([(one == ord(a)) & (two == ord(b)) for a, b in ("re", "ve", "ll")])
@@ -229,7 +214,7 @@ class Codec:
         flat = np.frombuffer(b"".join(found), np.uint32)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         first = np.cumsum(sizes) - sizes
-        ids = flat[_ranges(first[which], sizes[which])] if len(starts) else flat
+        ids = flat[ranges(first[which], sizes[which])] if len(starts) else flat
         total = np.concatenate([[0], np.cumsum(sizes[which])]) if len(starts) else np.zeros(1, np.int64)
         return ids, total[t.per_document(starts)]
 
@@ -247,15 +232,7 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of all ids, one after another."""
-        return self.bytes[_ranges(self.begins[ids], self.lengths[ids])]
-
-
-def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """first[0], first[0]+1, ... for sizes[0] values, then first[1] and so on."""
-    total = np.cumsum(sizes)
-    if not len(total):
-        return np.empty(0, np.int64)
-    return np.arange(total[-1]) + np.repeat(first - (total - sizes), sizes)
+        return self.bytes[ranges(self.begins[ids], self.lengths[ids])]
 
 
 @lru_cache(2)

@@ -213,3 +213,11 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=total[1:])
     return total[first[1:]] - total[first[:-1]]
+
+
+def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[0], first[0]+1, ... for sizes[0] values, then first[1] and so on."""
+    total = np.cumsum(sizes)
+    if not len(total):
+        return np.empty(0, np.int64)
+    return np.arange(total[-1]) + np.repeat(first - (total - sizes), sizes)

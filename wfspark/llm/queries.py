@@ -9,23 +9,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wfspark.llm import sql
 from wfspark.llm.bpe import bpe_encode
+from wfspark.llm.language_id import fold, language_id, train
 from wfspark.llm.quality_rules import quality_rules
 from wfspark.llm.sources import table
+from wfspark.llm.substring_dedup import substring_dedup
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), digest=True)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(fold(3) != 1))
+    return language_id(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), digest=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_language_id": op9_language_id,
     "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_substring_dedup": sql.substring_dedup(),
     "op8_quality_rules": sql.quality_rules(),
 }

@@ -65,3 +65,22 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        {", ".join(f"dup{n}_chars::BIGINT AS dup{n}_chars" for n in rules.coverage)}, base_failed, NOT ({bad}) AS kept
 FROM base
 """
+
+
+def substring_dedup(n: int = 13) -> str:
+    return f"""
+WITH {_WORDS.strip()},
+grams AS (
+  SELECT doc_id, i, word, string_agg(word, ' ') OVER ahead AS gram, count(*) OVER ahead AS size
+  FROM words WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)
+),
+again AS (SELECT doc_id, i, word, size = {n} AND min(doc_id) OVER (PARTITION BY size, gram) < doc_id AS gone FROM grams),
+marked AS (
+  SELECT doc_id, i, word, bool_or(gone) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS removed FROM again
+),
+by_doc AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (removed) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT removed) AS kept FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN by_doc USING (doc_id)
+"""
