@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wfspark.llm import sql
 from wfspark.llm.bpe import bpe_encode
+from wfspark.llm.html_extract import html_extract
 from wfspark.llm.language_id import fold, language_id, train
 from wfspark.llm.quality_rules import quality_rules
 from wfspark.llm.sources import table
 from wfspark.llm.substring_dedup import substring_dedup
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract(table(spark, sf_dir, "pages"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), digest=True)
 
@@ -34,6 +39,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_html_extract": op2_html_extract,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
