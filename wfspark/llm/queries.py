@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wfspark.llm import sql
+from wfspark.llm import sql, toxicity
 from wfspark.llm.bpe import bpe_encode
 from wfspark.llm.html_extract import html_extract
 from wfspark.llm.language_id import fold, language_id, train
@@ -16,6 +16,13 @@ from wfspark.llm.sources import table
 from wfspark.llm.substring_dedup import substring_dedup
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.where(fold(5) != 0).select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    scored = toxicity.toxicity(docs, toxicity.train(labelled))
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract(table(spark, sf_dir, "pages"))
 
@@ -39,6 +46,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_html_extract": op2_html_extract,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
