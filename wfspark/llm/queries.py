@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wfspark.llm import sql, toxicity
 from wfspark.llm.bpe import bpe_encode
 from wfspark.llm.html_extract import html_extract
+from wfspark.llm.jaccard_join import jaccard_join
 from wfspark.llm.language_id import fold, language_id, train
 from wfspark.llm.quality_rules import quality_rules
 from wfspark.llm.sources import table
@@ -27,6 +28,10 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract(table(spark, sf_dir, "pages"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), digest=True)
 
@@ -48,6 +53,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_html_extract": op2_html_extract,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
