@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wfspark.llm import sql, toxicity
 from wfspark.llm.bpe import bpe_encode
+from wfspark.llm.decontamination import decontamination
 from wfspark.llm.html_extract import html_extract
 from wfspark.llm.jaccard_join import jaccard_join
 from wfspark.llm.language_id import fold, language_id, train
+from wfspark.llm.license_scan import license_scan
 from wfspark.llm.quality_rules import quality_rules
 from wfspark.llm.sources import table
 from wfspark.llm.substring_dedup import substring_dedup
@@ -28,10 +30,18 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract(table(spark, sf_dir, "pages"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), digest=True)
 
@@ -53,7 +63,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_html_extract": op2_html_extract,
+    "op4_decontamination": op4_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_license_scan": op6_license_scan,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
@@ -61,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_license_scan": sql.license_scan(),
     "op7_substring_dedup": sql.substring_dedup(),
     "op8_quality_rules": sql.quality_rules(),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from wfspark.llm.license_scan import K, LEAST_COVER, NEAR, template_rows
 from wfspark.llm.quality_rules import QualityRules
 
 _WORDS = r"""
@@ -84,3 +85,51 @@ by_doc AS (
 SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN by_doc USING (doc_id)
 """
+
+
+def license_scan() -> str:
+    values = ", ".join(f"({k}, '{text}', '{label}', {is_base})" for k, text, label, is_base in template_rows())
+    return rf"""
+WITH templates AS (SELECT *, string_split(phrase, ' ') AS ws FROM (VALUES {values}) v(template, phrase, label, is_base)),
+parts AS (SELECT template, label, is_base, len(ws) - {K - 1} AS n_grams, ws FROM templates),
+places AS (SELECT template, unnest(range(0, n_grams)) AS tpos, ws FROM parts),
+place_grams AS (SELECT template, tpos, array_to_string(ws[tpos + 1 : tpos + {K}], ' ') AS gram FROM places),
+split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+),
+counts AS (SELECT doc_id, max(len(ws)) AS n_words FROM split GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS pos FROM split),
+doc_grams AS (
+  SELECT doc_id, pos, string_agg(word, ' ') OVER ahead AS gram, count(*) OVER ahead AS size
+  FROM words WINDOW ahead AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {K - 1} FOLLOWING)
+),
+votes AS (
+  SELECT doc_id, template, pos - tpos AS diagonal, count(DISTINCT tpos) AS votes, min(pos) AS low, max(pos) AS high
+  FROM doc_grams JOIN place_grams USING (gram) WHERE size = {K} GROUP BY ALL
+),
+apart AS (
+  SELECT v.*, label, is_base, n_grams,
+         coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {NEAR}, true)::INT AS apart
+  FROM votes v JOIN parts USING (template)
+),
+numbered AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM apart),
+spans AS (
+  SELECT doc_id, template, span, any_value(label) AS label, least(sum(votes)::DOUBLE / any_value(n_grams), 1.0) AS cover,
+         max(high) - min(low) + {K} <= 1.5 * (any_value(n_grams) + {K - 1}) + {NEAR} AS is_close,
+         count(*) FILTER (is_base AND votes = n_grams) AS n_base,
+         min(diagonal) FILTER (is_base AND votes = n_grams) AS first_word, max(diagonal) FILTER (is_base AND votes = n_grams) AS last_word
+  FROM numbered GROUP BY ALL
+),
+by_doc AS (
+  SELECT doc_id, sum(n_base) AS n_base, min(first_word) AS first_word, max(last_word) AS last_word,
+         array_to_string(list_sort(list(DISTINCT label) FILTER (n_base > 0)), ',') AS base_labels,
+         array_to_string(list_sort(list(DISTINCT label) FILTER (n_base > 0 OR (is_close AND cover >= {LEAST_COVER}))), ',') AS labels,
+         max(CASE WHEN n_base > 0 THEN 1.0 WHEN is_close THEN cover END) AS score,
+         count(*) FILTER (n_base > 0 OR (is_close AND cover >= {LEAST_COVER})) AS n_spans
+  FROM spans GROUP BY doc_id
+)
+SELECT doc_id, n_words::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score, coalesce(n_spans, 0)::BIGINT AS n_spans
+FROM counts LEFT JOIN by_doc USING (doc_id)
+"""
