@@ -21,8 +21,8 @@ from wfspark.llm.substring_dedup import substring_dedup
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    labelled = docs.where(fold(5) != 0).select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
-    scored = toxicity.toxicity(docs, toxicity.train(labelled))
+    labels = table(spark, sf_dir, "labels").where(fold(5) != 0)
+    scored = toxicity.toxicity(docs, toxicity.train(docs, labels))
     return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
 
 

@@ -219,17 +219,22 @@ def _cell_weights(cells: np.ndarray, label: np.ndarray) -> dict[int, float]:
     return dict(zip(ids[good].tolist(), w[good].tolist()))
 
 
-def train(labelled: DataFrame, fit: Fit | None = None) -> ToxicityModel:
-    """``labelled``: doc_id, text and toxic (0 or 1)."""
+def train(docs: DataFrame, labels: DataFrame, fit: Fit | None = None) -> ToxicityModel:
+    """``docs``: doc_id and text; ``labels``: doc_id and toxic (0 or 1) of the rows that may be learned from.
+    The sample is chosen from the labels, so its ids, ``docs_per_class`` of each class at most, go to the texts and no text is shuffled."""
     fit = fit or Fit()
-    rows = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).where("text is not null and toxic in (0, 1)")
+    rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
     if len(counts) < 2:
         return ToxicityModel((b"", b""), {}, np.empty(0), prior)
-    small = rows.where(F.octet_length("text") <= fit.most_bytes)
-    parts = [small.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(fit.docs_per_class).toArrow() for k in (0, 1)]
+    picked = [rows.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit.docs_per_class) for k in (0, 1)]
+    small = docs.select("doc_id", "text").where((F.octet_length("text") <= fit.most_bytes) & F.col("text").isNotNull())
+    order = [F.col("toxic"), F.xxhash64("doc_id"), F.col("text")]
+    parts = [small.join(F.broadcast(p), "doc_id").select("doc_id", "text", "toxic").orderBy(*order).toArrow() for p in picked]
+    if not all(p.num_rows for p in parts):
+        return ToxicityModel((b"", b""), {}, np.empty(0), prior)
     sample = pa.concat_tables(parts)
     toxic = sample["toxic"].to_numpy()
     s = Sample(texts(sample["text"]), toxic)
