@@ -3,8 +3,9 @@
 A document is a row of the incidence matrix of documents by n-grams. Documents with one set are one class, stood for by the
 smallest doc_id. Two sets of sizes m <= n can only be as similar as m / n, and sets as similar as the
 threshold must share one of their first few n-grams in any fixed order; the order here is rarest first, by a fixed-size sketch of
-document frequencies (whatever the sketch's error, no pair is lost). Classes that share such an n-gram meet in blocks of at
-most ``BLOCK`` rows: of each pair of blocks one task multiplies the two parts of the matrix, a slice of columns at a time, adds up the overlap
+document frequencies (whatever the sketch's error, no pair is lost). Classes that may be alike by these two bounds are gathered
+into candidate components, so that each set travels once. A component is cut into blocks of about ``BLOCK`` rows: of each
+pair of its blocks one task multiplies the two parts of the matrix, a slice of columns at a time, adds up the overlap
 counts, and drops pairs below the bound for their sizes. A task gives the links that span what it found, not all
 pairs; connected components of the links give the groups.
 
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wfspark.llm.columns import Texts, mix, runs, span_hashes, spans, texts, window_hashes
@@ -161,26 +162,40 @@ def _spanning(ids: np.ndarray, left: np.ndarray, right: np.ndarray, similar: np.
     return ids[own], ids[label[own]]
 
 
+def _candidates(entries: DataFrame, like: Similarity) -> DataFrame:
+    """Links (a, b) after which any two classes that share a head n-gram and are of similar enough sizes lie in one component.
+
+    At one n-gram, classes in one narrow band of sizes are linked with the smallest id of the band, and neighbouring bands with one another
+    where the largest size below and the smallest above are close enough: if two classes are, so are all steps between them."""
+    meeting = entries.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1").select(F.col("gram").alias("at"))
+    band = F.floor(F.log("n") / F.lit(-np.log1p(min(like.percent - 100, -1) / 1000)))
+    met = written(entries.join(meeting, F.col("gram") == F.col("at")).select("gram", "rep", "n", band.alias("band")), "met")
+    bands = met.groupBy("gram", "band").agg(F.min("rep").alias("least"), F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("size"))
+    inside = met.join(bands.where("size > 1").select("gram", "band", "least"), ["gram", "band"]).select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    below = Window.partitionBy("gram").orderBy("band")
+    across = bands.select("gram", "low", F.col("least").alias("a"), F.lag("least").over(below).alias("b"), F.lag("high").over(below).alias("under"))
+    across = across.where(100 * F.col("under") >= like.percent * F.col("low")).select("a", "b")
+    return inside.union(across).where("a <> b").distinct()
+
+
 def jaccard_join(docs: DataFrame, like: Similarity | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) of every row."""
     like = like or Similarity()
     digests = written(_digests(docs, like), "digests")
-    classes = digests.where("n_shingles > 0").groupBy("name_a", "name_b").agg(F.min("doc_id").alias("rep"), F.first("head").alias("head"))
-    entries = written(classes.select("rep", F.explode("head").alias("gram")), "entries")
-    place = F.xxhash64("rep").cast("decimal(38,0)")
-    meeting = entries.groupBy("gram").agg(F.count("*").alias("size"), F.sum(place).alias("who"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(38,0)")).alias("who_else")).where("size > 1")
-    # n-grams at which the very same classes meet: one of them is enough
-    meeting = meeting.groupBy("size", "who", "who_else").agg(F.min("gram").alias("at")).select("at", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    met = written(entries.join(meeting, F.col("gram") == F.col("at")).select("rep", "gram", "blocks"), "met")
-    wanted = docs.select("doc_id", "text").join(met.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    classes = digests.where("n_shingles > 0").groupBy("name_a", "name_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("head").alias("head"))
+    entries = written(classes.select("rep", "n", F.explode("head").alias("gram")), "entries")
+    together = written(components(_candidates(entries, like)), "together")
+    sizes = together.groupBy("component").agg((F.count("*") + 1).alias("size")).select("component", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    members = together.select("id", "component").union(together.select("component", "component").distinct())
+    members = written(members.join(sizes, "component").select(F.col("id").alias("rep"), "component", "blocks"), "members")
+    wanted = docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = written(_sets(wanted.dropDuplicates(["doc_id"]), like), "sets")
-    own = F.pmod(F.xxhash64("rep", "gram"), F.col("blocks")).cast("int")
     dealt = (
-        met.withColumn("own", own)
+        members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("gram", "rep", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("is_high"))
+        .select("component", "rep", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("is_high"))
         .join(sets, F.col("rep") == F.col("of"))
-        .select("gram", "low", "high", "is_high", "rep", "grams")
+        .select("component", "low", "high", "is_high", "rep", "grams")
     )
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +212,7 @@ def jaccard_join(docs: DataFrame, like: Similarity | None = None) -> DataFrame:
             a, b = _spanning(ids, left, right, linked(sets, left, right, like.percent))
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    links = dealt.groupBy("gram", "low", "high").applyInArrow(multiply, "a long, b long")
+    links = dealt.groupBy("component", "low", "high").applyInArrow(multiply, "a long, b long")
     groups = components(links)
     named = digests.where("n_shingles > 0").groupBy("name_a", "name_b").agg(F.min("doc_id").alias("rep"))
     named = named.join(groups, F.col("rep") == F.col("id"), "left").select("name_a", "name_b", F.coalesce("component", "rep").alias("component"))
