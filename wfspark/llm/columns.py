@@ -136,6 +136,14 @@ def spans(t: Texts, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndar
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def byte_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums and scales: (sums[e] - sums[s]) * scales[s] is the polynomial hash of the bytes from s to e."""
+    up, down = powers(_BASE, len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * up[: len(data)], out=total[1:])
+    return total, down
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit polynomial hash of each byte span, for sorted spans that do not overlap."""
     out = np.empty(len(starts), np.uint64)
@@ -144,9 +152,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         low = starts[i]
         j = max(i + 1, int(np.searchsorted(ends, low + BLOCK, side="right")))
         part = data[low : ends[j - 1]]
-        up, down = powers(_BASE, len(part))
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTES[part] * up[: len(part)], out=total[1:])
+        total, down = byte_hashes(part)
         s, e = starts[i:j] - low, ends[i:j] - low
         out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
         i = j
