@@ -1,10 +1,6 @@
 """Named queries over the driver's tables, and their SQL."""
 
-from __future__ import annotations
+from wfspark.plans import temporal  # noqa: F401
+from wfspark.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
