@@ -21,7 +21,7 @@ SELECT grp, month, price, n,
   max(price) OVER (PARTITION BY grp ORDER BY month ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS price_roll_max_6,
   lag(price, 1) OVER w AS price_lag_1, lag(price, 12) OVER w AS price_lag_12, lag(n, 1) OVER w AS n_lag_1,
   price - lag(price, 1) OVER w AS price_diff_1, 100 * (price - lag(price, 1) OVER w) / nullif(lag(price, 1) OVER w, 0) AS price_diff_1_pct
-FROM panel {_W}""", "price price_roll_mean_3 price_roll_sum_12_lag1 price_roll_var_6 price_roll_max_6 price_lag_1 price_lag_12 price_diff_1 price_diff_1_pct")
+FROM panel {_W}""", "price price_roll_mean_3 price_roll_sum_12_lag1 price_roll_var_6 price_roll_max_6 price_lag_1 price_lag_12 price_diff_1 price_diff_1_pct", 9)
 def rolling_features(spark: SparkSession, d: str) -> DataFrame:
     steps = T.TemporalPipeline(["grp"], "month")
     steps.add_metric(T.RollingMetric("price", 3), T.RollingMetric("price", 12, "sum", lag=1), T.RollingMetric("price", 6, "var"), T.RollingMetric("price", 6, "max", closed="left"))
@@ -105,8 +105,8 @@ def _tenure(spark: SparkSession, d: str) -> DataFrame:
 _TENURE = """span AS (SELECT o_custkey, min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders GROUP BY 1),
 tenure AS (SELECT o_custkey, ((year(b) - year(a)) * 12 + month(b) - month(a))::DOUBLE AS tenure, (b::DATE < DATE '2000-08-01')::INT::DOUBLE AS event FROM span)"""
 _CURVE = f"""{_TENURE},
-at AS (SELECT tenure AS t, sum(event) AS d, count(*)::DOUBLE AS n FROM tenure GROUP BY 1),
-risk AS (SELECT *, sum(n) OVER (ORDER BY t DESC) AS r FROM at),
+pts AS (SELECT tenure AS t, sum(event) AS d, count(*)::DOUBLE AS n FROM tenure GROUP BY 1),
+risk AS (SELECT *, sum(n) OVER (ORDER BY t DESC) AS r FROM pts),
 steps AS (SELECT t, CASE WHEN max((d >= r)::INT) OVER o = 1 THEN 0.0 ELSE exp(sum(CASE WHEN d < r THEN ln(1 - d / r) ELSE 0 END) OVER o) END AS survival, sum(d / r) OVER o AS hazard FROM risk WINDOW o AS (ORDER BY t)),
 grid AS (SELECT unnest(range(1, (SELECT max(tenure)::BIGINT FROM tenure) + 1)) AS tenure),
 curve AS (SELECT tenure, coalesce((SELECT survival FROM steps WHERE t <= tenure ORDER BY t DESC LIMIT 1), 1.0) AS survival, coalesce((SELECT hazard FROM steps WHERE t <= tenure ORDER BY t DESC LIMIT 1), 0.0) AS hazard FROM grid)"""
