@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wfspark.llm.sources import written
+from wfspark.llm.sources import discard, written
 
 
 def _toward_least(edges: DataFrame, larger: bool) -> DataFrame:
@@ -33,8 +33,11 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
     state = None
     while True:
-        edges = written(_toward_least(_toward_least(edges, True), False), "stars")
+        before, edges = edges, written(_toward_least(_toward_least(edges, True), False), "stars")
+        discard(before)
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            out = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            out._shared_path = edges._shared_path
+            return out
         state = new

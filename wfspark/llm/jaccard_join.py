@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from wfspark.llm.columns import Texts, mix, runs, span_hashes, spans, texts, window_hashes
 from wfspark.llm.components import components
-from wfspark.llm.sources import written
+from wfspark.llm.sources import discard, shuffles_end_with_jobs, written
 
 CELLS = 1 << 21
 _SLICES = 64
@@ -81,7 +81,8 @@ def _sketch(docs: DataFrame, like: Similarity) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "cells": pa.array([np.minimum(total, 0xFFFF).astype(np.uint16).tobytes()])})
 
     kind = "part int, cells binary"
-    sums = docs.select("text").where("text is not null").mapInArrow(count, kind).groupBy("part").applyInArrow(add, kind).toArrow()
+    with shuffles_end_with_jobs(docs.sparkSession):
+        sums = docs.select("text").where("text is not null").mapInArrow(count, kind).groupBy("part").applyInArrow(add, kind).toArrow()
     out = np.zeros(CELLS, np.uint16)
     for part, cells in zip(sums["part"].to_pylist(), sums["cells"].to_pylist()):
         out[part * width : (part + 1) * width] = np.frombuffer(cells, np.uint16)
@@ -162,8 +163,8 @@ def _spanning(ids: np.ndarray, left: np.ndarray, right: np.ndarray, similar: np.
     return ids[own], ids[label[own]]
 
 
-def _candidates(entries: DataFrame, like: Similarity) -> DataFrame:
-    """Links (a, b) after which any two classes that share a head n-gram and are of similar enough sizes lie in one component.
+def _candidates(entries: DataFrame, like: Similarity) -> tuple[DataFrame, DataFrame]:
+    """The entries whose n-gram several classes have, and links (a, b) after which any two classes that share a head n-gram and are of similar enough sizes lie in one component.
 
     At one n-gram, classes in one narrow band of sizes are linked with the smallest id of the band, and neighbouring bands with one another
     where the largest size below and the smallest above are close enough: if two classes are, so are all steps between them."""
@@ -175,7 +176,18 @@ def _candidates(entries: DataFrame, like: Similarity) -> DataFrame:
     below = Window.partitionBy("gram").orderBy("band")
     across = bands.select("gram", "low", F.col("least").alias("a"), F.lag("least").over(below).alias("b"), F.lag("high").over(below).alias("under"))
     across = across.where(100 * F.col("under") >= like.percent * F.col("low")).select("a", "b")
-    return inside.union(across).where("a <> b").distinct()
+    return met, inside.union(across).where("a <> b").distinct()
+
+
+def _blocks(members: DataFrame, like: Similarity) -> DataFrame:
+    """Classes with the block group they are compared in. A component of more than ``BLOCK`` classes is cut by size: a class goes with the
+    band of its size and with the band below, and sizes two bands apart are too far from one another."""
+    whole = members.groupBy("component").agg(F.count("*").alias("__size"))
+    band = F.floor(F.log("n") / F.lit(-np.log(min(like.percent, 99) / 100))).cast("int")
+    sizes = F.when(F.col("__size") > BLOCK, F.array(band, band - 1)).otherwise(F.array(F.lit(0)))
+    cut = members.join(whole, "component").select("rep", "component", F.explode(sizes).alias("sizes"))
+    counts = cut.groupBy("component", "sizes").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return cut.join(counts, ["component", "sizes"])
 
 
 def jaccard_join(docs: DataFrame, like: Similarity | None = None) -> DataFrame:
@@ -184,27 +196,28 @@ def jaccard_join(docs: DataFrame, like: Similarity | None = None) -> DataFrame:
     digests = written(_digests(docs, like), "digests")
     classes = digests.where("n_shingles > 0").groupBy("name_a", "name_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("head").alias("head"))
     entries = written(classes.select("rep", "n", F.explode("head").alias("gram")), "entries")
-    together = written(components(_candidates(entries, like)), "together")
-    sizes = together.groupBy("component").agg((F.count("*") + 1).alias("size")).select("component", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    members = together.select("id", "component").union(together.select("component", "component").distinct())
-    members = written(members.join(sizes, "component").select(F.col("id").alias("rep"), "component", "blocks"), "members")
-    wanted = docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    met, edges = _candidates(entries, like)
+    found = components(edges)
+    together = written(found.select("id", "component").union(found.select("component", "component").distinct()), "together")
+    discard(met, found)
+    members = written(_blocks(together.select(F.col("id").alias("rep"), "component").join(classes.select("rep", "n"), "rep"), like), "members")
+    wanted = docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = written(_sets(wanted.dropDuplicates(["doc_id"]), like), "sets")
     dealt = (
         members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("component", "rep", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("is_high"))
+        .select("component", "sizes", "rep", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("is_high"))
         .join(sets, F.col("rep") == F.col("of"))
-        .select("component", "low", "high", "is_high", "rep", "grams")
+        .select("component", "sizes", "low", "high", "is_high", "rep", "grams")
     )
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sets, high, same = [], [], [], True
         for batch in batches:
-            same = batch.column(1)[0].as_py() == batch.column(2)[0].as_py()
-            ids += batch.column(4).to_pylist()
-            high += batch.column(3).to_pylist()
-            sets += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(5)]
+            same = batch.column(2)[0].as_py() == batch.column(3)[0].as_py()
+            ids += batch.column(5).to_pylist()
+            high += batch.column(4).to_pylist()
+            sets += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(6)]
         order = np.argsort(ids)
         ids, sets, high = np.array(ids)[order], [sets[k] for k in order], np.array(high)[order]
         left, right = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(~high), np.flatnonzero(high))
@@ -212,8 +225,9 @@ def jaccard_join(docs: DataFrame, like: Similarity | None = None) -> DataFrame:
             a, b = _spanning(ids, left, right, linked(sets, left, right, like.percent))
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    links = dealt.groupBy("component", "low", "high").applyInArrow(multiply, "a long, b long")
+    links = dealt.groupBy("component", "sizes", "low", "high").applyInArrow(multiply, "a long, b long")
     groups = components(links)
+    discard(entries, together, members, sets)
     named = digests.where("n_shingles > 0").groupBy("name_a", "name_b").agg(F.min("doc_id").alias("rep"))
     named = named.join(groups, F.col("rep") == F.col("id"), "left").select("name_a", "name_b", F.coalesce("component", "rep").alias("component"))
     return (

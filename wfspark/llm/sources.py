@@ -31,7 +31,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/wfspark-{name}-{uuid.uuid4().hex}"
     with shuffles_end_with_jobs(spark):
         df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._shared_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove tables that ``written`` made, once nothing reads them any more."""
+    for df in frames:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df._shared_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 class shuffles_end_with_jobs:
