@@ -144,8 +144,8 @@ def smoothing_kernel(x: np.ndarray, alpha: float | None = None, beta: float | No
     x = np.where(np.isnan(x), np.nanmean(x), x)
     m = period if period and len(x) >= 2 * period else 0
     season0 = (x[:m] - x[:m].mean()) if m else np.zeros(0)
-    level0 = x[:m].mean() if m else x[0]
     trend0 = (x[m : 2 * m].mean() - x[:m].mean()) / m if m else (x[1] - x[0] if len(x) > 1 else 0.0)
+    level0 = x[:m].mean() if m else x[0] - trend0  # the level before the first value
 
     def go(p: np.ndarray) -> tuple[np.ndarray, float, float, np.ndarray]:
         a, b, g, phi = p
