@@ -47,8 +47,8 @@ def merge(shards: list[np.ndarray], ends: list[int], depth: int) -> tuple[np.nda
     symbol more; a common prefix is as long as the rounds that two neighbours stayed in one block."""
     each = [len(s) for s in shards]
     symbols = np.concatenate(shards)
-    source = np.repeat(np.arange(len(shards), dtype=np.uint16), each)
-    closing = np.repeat(np.arange(len(shards), dtype=np.uint16), ends)
+    names = np.arange(len(shards), dtype=np.min_scalar_type(len(shards)))  # 8 bits where they do: the sort goes by digits
+    source, closing = np.repeat(names, each), np.repeat(names, ends)
     n_ends = len(closing)
     block = np.zeros(len(symbols), np.int64)
     current = np.empty(len(symbols), np.uint8)

@@ -7,7 +7,8 @@ machine can hold one transform of the corpus, so suffixes are gathered where the
    anchors. Neighbouring windows with one anchor form a context (their bytes together). Equal contexts of one run of
    documents collapse at once to the earliest, so a passage that a third of all documents share counts once a run; the rest are dealt by anchor.
 2. Contexts that are alone with their anchor repeat nothing. Equal ones collapse to the earliest; the others go whole. Where an anchor
-   has different contexts, one of each is cut once more, by the gram of the greatest hash, and dealt by both grams.
+   has different contexts, one of each is cut once more, by the gram of the greatest hash, dealt by both grams and settled likewise.
+   What is left are different strings that share both grams.
 3. A task makes a shard of its strings: their Burrows-Wheeler transform and where they come from. For each key range the shards' transforms are
    merged by interleave refinement for ``LENGTH`` rounds, without sorting suffixes again. Suffixes that are still
    in one block share ``LENGTH`` bytes: all but the earliest are repeats.
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wfspark.llm import bwt
-from wfspark.llm.columns import BLOCK, CHUNK, Texts, byte_hashes, mix, runs, texts
+from wfspark.llm.columns import BLOCK, CHUNK, Texts, byte_hashes, mix, ranges, runs, texts
 from wfspark.llm.sources import written
 from wfspark.llm.substring_dedup import n_buckets
 
@@ -113,34 +114,31 @@ _DEALT = pa.schema([("bucket", pa.int32()), ("settled", pa.binary()), ("doc", pa
 _DEALT_SQL = "bucket int, settled binary, doc binary, start binary, count binary, anchor binary, whole binary"
 
 
-def _deal(ids: np.ndarray, t: Texts, bits: int) -> list[tuple]:
-    """Packed contexts of one run of documents in order of their ids."""
-    start, count, anchor, whole = contexts(t)
+def _deal(doc: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray, whole: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Packed contexts of one run, dealt by key, without those that equal an earlier one of the run; rows must be in order of document and start."""
     if not len(start):
-        return []
-    index = t.document_of(start)
-    doc, start = ids[index], start - t.offsets[index]
+        return
     order = np.argsort(whole, kind="stable")
     new = np.concatenate([[True], whole[order[1:]] != whole[order[:-1]]])
     first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     later = (doc[order] != doc[first]) | (start[order] != start[first])
     gone = order[~new & later]
-    rows = []
+    rows: list[tuple] = []
     if len(gone):
         d, s, e = _merged(doc[gone], start[gone], start[gone] + count[gone] + LENGTH - 1)
         rows.append((int(d[0] + s[0]) & ((1 << bits) - 1), np.stack([d, s, e]).astype(np.int64).tobytes(), *[b""] * 5))
     keep = order[new]
-    keep = keep[np.argsort(anchor[keep], kind="stable")]
-    cuts = np.searchsorted(anchor[keep], np.arange(1, 1 << bits, dtype=np.uint64) << _U(64 - bits))
+    keep = keep[np.argsort(key[keep], kind="stable")]
+    cuts = np.searchsorted(key[keep], np.arange(1, 1 << bits, dtype=np.uint64) << _U(64 - bits))
     for bucket, own in enumerate(np.split(keep, cuts)):
         if len(own):
-            cells = (doc[own].astype(np.int64), start[own].astype(np.uint32), count[own].astype(np.uint8), anchor[own], whole[own])
+            cells = (doc[own].astype(np.int64), start[own].astype(np.uint32), count[own].astype(np.uint8), key[own], whole[own])
             rows.append((bucket, None, *(c.tobytes() for c in cells)))
-    return rows
+    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _DEALT)], schema=_DEALT)
 
 
 def _settle(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one range of anchors: intervals of contexts that equal an earlier one, and what must be compared in parts."""
+    """Of one range of keys: intervals of contexts that equal an earlier one, and the different ones that share a key."""
     parts: list[list[np.ndarray]] = [[], [], [], [], []]
     for batch in batches:
         columns = [batch.column(k).to_pylist() for k in range(1, 7)]
@@ -173,22 +171,18 @@ _SHARDS_SQL = "bucket int, before binary, sizes binary, doc binary, start binary
 
 
 def _shards(doc: np.ndarray, start: np.ndarray, strings: Texts, key: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """Transforms of the given contexts, cut by their greatest grams, one for each range of keys."""
-    first, count, greatest, _ = contexts(strings, greatest=True)
-    if not len(first):
+    """Transforms of the given strings, one for each range of keys."""
+    if not len(doc):
         return
-    of = strings.document_of(first)
-    bucket = (mix(key[of] ^ greatest) >> _U(64 - bits)).astype(np.int64)
+    bucket = (key >> _U(64 - bits)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    raw = strings.data.tobytes()
+    raw, at = strings.data.tobytes(), strings.offsets
     rows = []
     for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
         for k in range(0, len(own), _MOST_STRINGS):
             some = own[k : k + _MOST_STRINGS]
-            a, b = first[some], first[some] + count[some] + LENGTH - 1
-            before = bwt.transform([raw[x:y] for x, y in zip(a.tolist(), b.tolist())])
-            place = start[of[some]] + a - strings.offsets[of[some]]
-            rows.append((int(bucket[some[0]]), before.tobytes(), (b - a).astype(np.int64).tobytes(), doc[of[some]].astype(np.int64).tobytes(), place.astype(np.int64).tobytes()))
+            before = bwt.transform([raw[x:y] for x, y in zip(at[some].tolist(), at[some + 1].tolist())])
+            rows.append((int(bucket[some[0]]), before.tobytes(), (at[some + 1] - at[some]).astype(np.int64).tobytes(), doc[some].astype(np.int64).tobytes(), start[some].astype(np.int64).tobytes()))
     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SHARDS)], schema=_SHARDS)
 
 
@@ -229,40 +223,53 @@ def suffix_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
             batch = batch.take(pc.sort_indices(batch.column(0)))
             ids = batch.column(0).to_numpy()
             for i, j, t in runs(texts(batch.column(1)), 4 * CHUNK):
-                if rows := _deal(ids[i:j], t, bits):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _DEALT)], schema=_DEALT)
+                start, count, anchor, whole = contexts(t)
+                index = t.document_of(start)
+                yield from _deal(ids[i:j][index], start - t.offsets[index], count, anchor, whole, bits)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _settle(list(batches))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, Texts, np.ndarray]]:
+        """Document, start, bytes and key of the contexts asked for, in order of document and start, by runs of documents."""
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            batch = batch.take(pc.sort_indices(batch.column(0)))
+            ids = batch.column(0).to_numpy()
             for i, j, t in runs(texts(batch.column(1)), 4 * CHUNK):
                 part = batch.slice(i, j - i)
-                docs_, starts, sizes, keys, pieces = [], [], [], [], []
-                for k, (found, anchors) in enumerate(zip(_lists(part.column(2)), _lists(part.column(3)))):
-                    packed = np.frombuffer(b"".join(found), np.uint64)
-                    start, size = (packed >> _U(8)).astype(np.int64), (packed & _U(0xFF)).astype(np.int64) + LENGTH - 1
-                    raw = t.bytes_of(k)
-                    docs_.append(np.full(len(start), ids[i + k], np.int64))
-                    starts.append(start)
-                    sizes.append(size)
-                    keys.append(np.frombuffer(b"".join(anchors), np.uint64))
-                    pieces += [raw[a : a + n] for a, n in zip(start.tolist(), size.tolist())]
-                size = np.concatenate(sizes)
-                strings = Texts(np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], np.cumsum(size)]))
-                yield from _shards(np.concatenate(docs_), np.concatenate(starts), strings, np.concatenate(keys), bits)
+                packed = [np.frombuffer(b"".join(x), np.uint64) for x in _lists(part.column(2))]
+                keys = np.concatenate([np.frombuffer(b"".join(x), np.uint64) for x in _lists(part.column(3))])
+                of, every = np.repeat(np.arange(len(t)), [len(p) for p in packed]), np.concatenate(packed)
+                order = np.lexsort((every, of))
+                of, every, keys = of[order], every[order], keys[order]
+                start, size = (every >> _U(8)).astype(np.int64), (every & _U(0xFF)).astype(np.int64) + LENGTH - 1
+                yield ids[i:j][of], start, Texts(t.data[ranges(t.offsets[of] + start, size)], np.concatenate([[0], np.cumsum(size)])), keys
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, start, strings, key in wanted(batches):
+            first, count, greatest, whole = contexts(strings, greatest=True)
+            of = strings.document_of(first)
+            yield from _deal(doc[of], start[of] + first - strings.offsets[of], count, mix(key[of] ^ greatest), whole, bits)
+
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in wanted(batches):
+            yield from _shards(*part, bits)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _merge(list(batches))
 
+    def with_text(found: DataFrame) -> DataFrame:
+        asked = found.where("wanted").groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("found", "keys")).alias("asked"))
+        asked = asked.select("of", F.col("asked.found").alias("found"), F.col("asked.keys").alias("keys"))
+        return read.dropDuplicates(["doc_id"]).join(asked, F.col("doc_id") == F.col("of")).select("doc_id", "text", "found", "keys")
+
     dealt = read.where("doc_id is not null and text is not null").mapInArrow(deal, _DEALT_SQL)
-    settled = written(dealt.groupBy("bucket").applyInArrow(settle, _FOUND_SQL), "settled")
-    asked = settled.where("wanted").groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("found", "keys")).alias("asked"))
-    asked = asked.select("of", F.col("asked.found").alias("found"), F.col("asked.keys").alias("keys"))
-    shards = read.dropDuplicates(["doc_id"]).join(asked, F.col("doc_id") == F.col("of")).select("doc_id", "text", "found", "keys").mapInArrow(cut, _SHARDS_SQL)
+    alike = written(dealt.groupBy("bucket").applyInArrow(settle, _FOUND_SQL), "alike")
+    parts = with_text(alike).mapInArrow(cut, _DEALT_SQL)
+    closer = written(parts.groupBy("bucket").applyInArrow(settle, _FOUND_SQL), "closer")
+    shards = with_text(closer).mapInArrow(shard, _SHARDS_SQL)
     compared = written(shards.groupBy("bucket").applyInArrow(merge, _FOUND_SQL), "compared")
+    settled = alike.union(closer)
     gone = settled.where("not wanted").union(compared).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("found").alias("found"))
     joined = read.join(gone, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "found")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary, spans array<struct<start:bigint,end:bigint>>")
