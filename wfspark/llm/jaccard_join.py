@@ -3,7 +3,8 @@
 A document is a row of the incidence matrix of documents by n-grams. Documents with one set are one class, stood for by the
 smallest doc_id. Two sets of sizes m <= n can only be as similar as m / n, and sets as similar as the
 threshold must share one of their first few n-grams in any fixed order; the order here is rarest first, by a fixed-size sketch of
-document frequencies (whatever the sketch's error, no pair is lost). Classes that may be alike by these two bounds are gathered
+document frequencies (whatever the sketch's error, no pair is lost). A class that has as many n-grams to itself as its head is
+long is done before: no other can be similar enough. Classes that may be alike by these two bounds are gathered
 into candidate components, so that each set travels once. A component is cut into blocks of about ``BLOCK`` rows: of each
 pair of its blocks one task multiplies the two parts of the matrix, a slice of columns at a time, adds up the overlap
 counts, and drops pairs below the bound for their sizes. A task gives the links that span what it found, not all
@@ -23,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wfspark.llm.columns import Texts, mix, runs, span_hashes, spans, texts, window_hashes
+from wfspark.llm.columns import CHUNK, Texts, mix, runs, span_hashes, spans, texts, window_hashes
 from wfspark.llm.components import components
 from wfspark.llm.sources import discard, shuffles_end_with_jobs, written
+from wfspark.llm.substring_dedup import n_buckets
 
 CELLS = 1 << 21
 _SLICES = 64
 BLOCK = 512
 _COLUMNS = 4096
+_SEEDS = (0x1234567, 0x89ABCDEF)
 
 
 @dataclass(frozen=True)
@@ -100,8 +103,8 @@ def _digests(docs: DataFrame, like: Similarity) -> DataFrame:
                 names, heads = [[], []], []
                 sets = shingle_sets(t, like.n)
                 for s in sets:
-                    for k, seed in enumerate((0x1234567, 0x89ABCDEF)):
-                        names[k].append(int(mix(s ^ mix(s + np.uint64(seed))).sum()))
+                    for k, seed in enumerate(_SEEDS):
+                        names[k].append(int(_name(s, seed)))
                     size = len(s) - -(-like.percent * len(s) // 100) + 1 if len(s) else 0
                     order = np.lexsort((s, counts[(s & np.uint64(CELLS - 1)).astype(np.int64)]))
                     heads.append(s[order[:size]].view(np.int64))
@@ -119,6 +122,60 @@ def _digests(docs: DataFrame, like: Similarity) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(digest, "doc_id long, n_shingles long, name_a long, name_b long, head array<long>")
 
 
+_PACKED = "bucket int, names binary, counts binary, grams binary"
+
+
+def _name(s: np.ndarray, seed: int) -> np.ndarray:
+    return mix(s ^ mix(s + np.uint64(seed))).sum()
+
+
+def _own_grams(docs: DataFrame, like: Similarity) -> DataFrame:
+    """name_a and own: how many n-grams of each distinct set no other set has.
+
+    A set that keeps as many to itself as its head is long can't be similar enough to any other. Each run of documents gives an n-gram once, with
+    the name of its set or 0 for several; entries are dealt by n-gram as packed arrays, and only counts come back."""
+    bits = n_buckets(docs).bit_length() - 1
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, t in runs(texts(batch.column(0)), 4 * CHUNK):
+                sets = {int(_name(s, _SEEDS[0])): s for s in shingle_sets(t, like.n) if len(s)}
+                if not sets:
+                    continue
+                name = np.repeat(np.array(list(sets), np.uint64), [len(s) for s in sets.values()])
+                gram = np.concatenate(list(sets.values()))
+                order = np.argsort(gram, kind="stable")
+                gram, name = gram[order], name[order]
+                first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+                once = np.diff(np.append(first, len(gram))) == 1
+                gram, name = gram[first], np.where(once, name[first], np.uint64(0))
+                cuts = np.searchsorted(gram, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+                rows = []
+                for bucket, (g, n) in enumerate(zip(np.split(gram, cuts), np.split(name, cuts))):
+                    if len(g):
+                        by = np.argsort(n, kind="stable")
+                        names, counts = np.unique(n, return_counts=True)
+                        rows.append((bucket, names.tobytes(), counts.astype(np.int32).tobytes(), g[by].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "names", "counts", "grams"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, grams = [], []
+        for batch in batches:
+            for n, c, g in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                names.append(np.repeat(np.frombuffer(n, np.uint64), np.frombuffer(c, np.int32)))
+                grams.append(np.frombuffer(g, np.uint64))
+        name, gram = np.concatenate(names), np.concatenate(grams)
+        order = np.argsort(gram)
+        gram, name = gram[order], name[order]
+        first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        low, high = np.minimum.reduceat(name, first), np.maximum.reduceat(name, first)
+        ids, counts = np.unique(low[(low == high) & (low != 0)], return_counts=True)
+        yield pa.RecordBatch.from_pydict({"name_a": pa.array(ids.view(np.int64), pa.int64()), "own": pa.array(counts, pa.int64())})
+
+    packed = docs.select("text").where("text is not null").mapInArrow(deal, _PACKED)
+    return packed.groupBy("bucket").applyInArrow(count, "name_a long, own long").groupBy("name_a").agg(F.sum("own").alias("own"))
+
+
 def _sets(docs: DataFrame, like: Similarity) -> DataFrame:
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,6 +252,8 @@ def jaccard_join(docs: DataFrame, like: Similarity | None = None) -> DataFrame:
     like = like or Similarity()
     digests = written(_digests(docs, like), "digests")
     classes = digests.where("n_shingles > 0").groupBy("name_a", "name_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("head").alias("head"))
+    own_grams = written(_own_grams(docs, like), "own")
+    classes = classes.join(own_grams, "name_a", "left").where(F.coalesce("own", F.lit(0)) < F.size("head"))
     entries = written(classes.select("rep", "n", F.explode("head").alias("gram")), "entries")
     met, edges = _candidates(entries, like)
     found = components(edges)
@@ -227,7 +286,7 @@ def jaccard_join(docs: DataFrame, like: Similarity | None = None) -> DataFrame:
 
     links = dealt.groupBy("component", "sizes", "low", "high").applyInArrow(multiply, "a long, b long")
     groups = components(links)
-    discard(entries, together, members, sets)
+    discard(own_grams, entries, together, members, sets)
     named = digests.where("n_shingles > 0").groupBy("name_a", "name_b").agg(F.min("doc_id").alias("rep"))
     named = named.join(groups, F.col("rep") == F.col("id"), "left").select("name_a", "name_b", F.coalesce("component", "rep").alias("component"))
     return (
