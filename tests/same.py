@@ -2,6 +2,8 @@
 
 import math
 
+import pandas as pd
+
 
 def rows(df):
     def cell(v):
@@ -12,7 +14,7 @@ def rows(df):
         try:
             return f"{float(v):.5f}".replace("-0.00000", "0.00000")
         except (TypeError, ValueError):
-            return str(v)[:19] if hasattr(v, "year") else str(v)
+            return pd.Timestamp(v).isoformat() if hasattr(v, "year") else str(v)
 
     names = sorted(df.columns)
     return sorted(tuple(cell(v) for v in r) for r in df[names].astype(object).where(df[names].notna(), None).itertuples(index=False))

@@ -101,10 +101,14 @@ def _wide(df: DataFrame, unit: str, time: str, outcome: str) -> pd.DataFrame:
 
 
 def sdid(df: DataFrame, unit: str, time: str, outcome: str, treated: list, post: object, l2: float = 1e-4) -> DataFrame:
-    """Synthetic difference in differences: unit and time weights, the effect on the treated and its jackknife error."""
+    """Synthetic difference in differences: unit and time weights, the effect on the treated and its jackknife error. No rows without complete treated
+    and control units on both sides."""
     w = _wide(df, unit, time, outcome)
     is_post = np.array([t >= post for t in w.columns])
     tr, co = w[w.index.isin(treated)].to_numpy(), w[~w.index.isin(treated)].to_numpy()
+    schema = "att double, se double, n_controls int, n_treated int"
+    if not len(tr) or not len(co) or is_post.all() or not is_post.any():
+        return df.sparkSession.createDataFrame([], schema)
     omega, _ = simplex_weights(co[:, ~is_post].T, tr[:, ~is_post].mean(axis=0), l2)
     lam, _ = simplex_weights(co[:, ~is_post], co[:, is_post].mean(axis=1), l2)
 
@@ -119,7 +123,7 @@ def sdid(df: DataFrame, unit: str, time: str, outcome: str, treated: list, post:
         left.append(att(o / o.sum() if o.sum() > 0 else np.full(len(o), 1 / len(o)), np.delete(co, k, axis=0)))
     n = len(left)
     se = math.sqrt((n - 1) / n * np.sum((np.array(left) - np.mean(left)) ** 2)) if n >= 3 else 0.0
-    return df.sparkSession.createDataFrame([(effect, se or 0.01, n, len(tr))], "att double, se double, n_controls int, n_treated int")
+    return df.sparkSession.createDataFrame([(effect, se or 0.01, n, len(tr))], schema)
 
 
 def synthetic_controls(df: DataFrame, unit: str, time: str, outcome: str, pilots: list, post: object, l2: float = 1e-4) -> DataFrame:
@@ -129,7 +133,7 @@ def synthetic_controls(df: DataFrame, unit: str, time: str, outcome: str, pilots
     donors = w[~w.index.isin(pilots)]
     rows = []
     for p in pilots:
-        if p not in w.index:
+        if p not in w.index or donors.empty or not pre.any():
             continue
         y = w.loc[p].to_numpy()
         weights, level = simplex_weights(donors.to_numpy()[:, pre].T, y[pre], l2)

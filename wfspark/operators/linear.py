@@ -221,23 +221,33 @@ def notears(df: DataFrame, names: list[str], penalty: float = 0.05, threshold: f
     free = ~np.eye(d, dtype=bool)
     # a start off the symmetric saddle, where an edge and its reverse would shrink together
     w, dual, rho, before = np.where(free, np.random.default_rng(0).normal(0, 0.05, (d, d)), 0.0), 0.0, 1.0, np.inf
+    scale = 1 / max(np.diag(c).max(), 1e-12)
     for _ in range(rounds):
-        rate, velocity, second = 0.05, np.zeros((d, d)), np.zeros((d, d))
-        scale = 1 / max(np.diag(c).max(), 1e-12)
-        for k in range(1, 400):
+        # steps are tried and halved until the penalised loss falls
+        def loss(v: np.ndarray) -> float:
+            h = np.trace(_expm(v * v)) - d
+            left = np.eye(d) - v
+            return float(scale * np.sum((c @ left) * left) / 2 + dual * h + rho / 2 * h * h + penalty * scale * np.abs(v).sum())  # noqa: B023
+
+        size, now = 1.0, loss(w)
+        for _ in range(300):
             e = _expm(w * w)
-            h = np.trace(e) - d
-            grad = (c @ (w - np.eye(d))) * scale + (dual + rho * h) * 2 * w * e.T + penalty * scale * np.sign(w)
-            velocity, second = 0.9 * velocity + 0.1 * grad, 0.999 * second + 0.001 * grad**2
-            w = np.where(free, w - rate * (velocity / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8), 0.0)
-            rate *= 0.99
+            grad = (c @ (w - np.eye(d))) * scale + (dual + rho * (np.trace(e) - d)) * 2 * w * e.T
+            while size > 1e-12:
+                v = w - size * grad
+                v = np.where(free, np.sign(v) * np.maximum(np.abs(v) - size * penalty * scale, 0), 0.0)
+                then = loss(v)
+                if then <= now:
+                    break
+                size /= 2
+            if size <= 1e-12 or now - then < 1e-10:
+                break
+            w, now, size = v, then, size * 1.5
         h = np.trace(_expm(w * w)) - d
         dual += rho * h
-        if h < 1e-8:
-            break
-        rho, before = (rho * 10 if h > 0.25 * before else rho), h
-        if rho > 1e16:
+        if h < 1e-6:
             break
+        rho, before = (rho * 4 if h > 0.5 * before else rho), h
     w = np.where(np.abs(w) < threshold, 0.0, w)
     while np.trace(np.linalg.matrix_power((w != 0).astype(float) + np.eye(d), d)) - d > 0.5 and _has_cycle(w):
         edges = np.argwhere(w != 0)
