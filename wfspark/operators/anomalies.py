@@ -96,28 +96,42 @@ def standardized(df: DataFrame, features: list[str], population: bool = True) ->
 
 
 def neighbours(df: DataFrame, row: str, features: list[str], k: int, by: list[str] | None = None, most: int = 50_000) -> DataFrame:
-    """row, other, distance, rank of each row's k nearest others (standardised, to 9 digits; ties by id). Exact: blocks of rows meet the whole
-    table, or their group's part of it, which is checked to have no more than ``most`` rows; larger tables need ``by``."""
+    """row, other, distance, rank of each row's k nearest others (standardised, to 9 digits; ties by id). Exact: rows meet the whole table, or their
+    group's part of it. Tables of more than ``most`` rows are cut into blocks; every pair of blocks meets, and the nearest of all blocks are kept."""
     z = standardized(df, features).select(row, *(by or []), F.array(*[f"z_{i}" for i in range(len(features))]).alias("z"))
     kind = df.schema[row].dataType.simpleString()
 
     def near(ids: np.ndarray, x: np.ndarray, own: np.ndarray, y: np.ndarray) -> pd.DataFrame:
         parts = []
-        for a in range(0, len(own), 512):
-            q = y[a : a + 512]
+        for a in range(0, len(own), 64):
+            q, mine = y[a : a + 64], own[a : a + 64]
             d = np.round(np.sqrt(((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)), 9)
-            d[own[a : a + 512][:, None] == ids[None, :]] = np.inf
-            take = min(k, len(ids) - 1)
-            for r in range(len(q)):
-                best = np.lexsort((ids, d[r]))[:take]
-                parts.append(pd.DataFrame({row: own[a + r], "other": ids[best], "distance": d[r][best], "rank": np.arange(1, take + 1)}))
-        return pd.concat(parts) if parts else pd.DataFrame(columns=[row, "other", "distance", "rank"])
+            d[mine[:, None] == ids[None, :]] = np.inf
+            take = min(k, len(ids))
+            bound = np.partition(d, take - 1, axis=1)[:, take - 1] if take else np.empty(0)
+            for r in range(len(q) if take else 0):
+                close = np.flatnonzero((d[r] <= bound[r]) & (d[r] < np.inf))
+                best = close[np.lexsort((ids[close], d[r][close]))[:take]]
+                parts.append((np.full(len(best), mine[r]), ids[best], d[r][best], np.arange(1, len(best) + 1)))
+        names = [row, "other", "distance", "rank"]
+        return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*parts))))) if parts else pd.DataFrame(columns=names)
 
     schema = f"{row} {kind}, other {kind}, distance double, rank int"
     if by:
         return z.groupBy(*by).applyInPandas(lambda g: near(g[row].to_numpy(), np.stack(g["z"]), g[row].to_numpy(), np.stack(g["z"])), schema)
     if z.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows: give groups")
+        n = -(-2 * z.count() // most)
+        block, any_ = F.pmod(F.xxhash64(row), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        sides = z.select(row, "z", block.alias("__b"), any_.alias("__c"), F.lit(True).alias("__asks"))
+        sides = sides.union(z.select(row, "z", any_.alias("__b"), block.alias("__c"), F.lit(False).alias("__asks")))
+
+        def meet(g: pd.DataFrame) -> pd.DataFrame:
+            p, q = g[g["__asks"]], g[~g["__asks"]]
+            return near(q[row].to_numpy(), np.stack(q["z"]), p[row].to_numpy(), np.stack(p["z"])) if len(p) and len(q) else near(*[np.empty(0)] * 4)
+
+        found = sides.groupBy("__b", "__c").applyInPandas(meet, schema)
+        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(row).orderBy("distance", "other")))
+        return ranked.where(F.col("rank") <= k)
     every = z.toPandas()
     shared = df.sparkSession.sparkContext.broadcast((every[row].to_numpy(), np.stack(every["z"])))
 
@@ -127,7 +141,7 @@ def neighbours(df: DataFrame, row: str, features: list[str], k: int, by: list[st
             if len(b):
                 yield near(ids, x, b[row].to_numpy(), np.stack(b["z"]))
 
-    return z.mapInPandas(run, schema)
+    return z.repartition(df.sparkSession.sparkContext.defaultParallelism * 2).mapInPandas(run, schema)
 
 
 def local_outlier_factor(df: DataFrame, row: str, features: list[str], k: int = 20, contamination: float = 0.05, by: list[str] | None = None) -> DataFrame:

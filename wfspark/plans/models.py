@@ -80,7 +80,7 @@ k AS (SELECT x.id, z.id AS other, round(sqrt(pow(x.a - z.a, 2) + pow(x.b - z.b,
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").where("p_partkey <= 1000").select("p_partkey", "p_retailprice", "p_size", (F.col("p_retailprice") > 1300).cast("int").alias("y"))
+    return table(spark, d, "part").select("p_partkey", "p_retailprice", "p_size", (F.col("p_retailprice") > 1300).cast("int").alias("y"))
 
 
 @query(f"""WITH {_NEAR}, kd AS (SELECT id AS other, max(d) AS kd FROM k GROUP BY 1), l AS (SELECT id, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM k JOIN kd USING (other) GROUP BY 1),
