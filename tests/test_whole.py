@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 
 from wfspark import catalogue
-from wfspark.operators import anomalies
+from wfspark.functions.scores import fractional_weights
+from wfspark.operators import anomalies, temporal
 
 
 def parts(tmp_path, n=1300):
@@ -37,3 +38,23 @@ def test_neighbours_in_blocks_equal_brute_force(spark, tmp_path, most):
     df, d, best = parts(tmp_path)
     got = anomalies.neighbours(spark.createDataFrame(df), "p_partkey", ["p_retailprice", "p_size"], 5, most=most).toPandas().sort_values(["p_partkey", "rank"])
     assert (got.other.to_numpy().reshape(-1, 5) == best + 1).all() and np.allclose(got.distance.to_numpy().reshape(-1, 5), np.take_along_axis(d, best, axis=1))
+
+
+@pytest.mark.parametrize("threshold", [1e-3, 1e-4])
+def test_fractional_difference_keeps_every_weight_from_the_threshold_up(spark, threshold):
+    r = np.random.default_rng(6)
+    df = pd.DataFrame([(g, k, float(r.normal())) for g, n in (("long", 150), ("short", 40)) for k in range(n)], columns=["g", "k", "v"])
+    df.loc[(df.g == "long") & (df.k == 20), "v"] = None
+    rows = spark.createDataFrame(df.astype(object).where(df.notna(), None), "g string, k long, v double")
+    got = temporal.fractional_difference(rows, "v", 0.4, ["g"], "k", threshold).toPandas().sort_values(["g", "k"])
+    for g, part in got.groupby("g"):
+        x = part.v.to_numpy()
+        w = np.array(fractional_weights(0.4, len(x), threshold))
+        want = [x[i - len(w) + 1 : i + 1] @ w[::-1] if i >= len(w) - 1 else np.nan for i in range(len(x))]
+        assert np.allclose(part.v_fracdiff, want, equal_nan=True)
+
+
+def test_frac_diff_of_the_panel_has_55_terms(spark):
+    assert len(fractional_weights(0.4, 1000, 1e-3)) == 55
+    got = catalogue.QUERIES["frac_diff"](spark, "/root/testdata/sf0.001").toPandas()
+    assert (got.groupby("grp").n_fracdiff.count() == got.groupby("grp").size() - 54).all()

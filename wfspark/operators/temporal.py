@@ -177,11 +177,20 @@ class TemporalPipeline:
         return [c for c in self.transform(df.limit(0)).columns if c not in df.columns]
 
 
-def fractional_difference(df: DataFrame, target: str, d: float, partition: Names, time: str, threshold: float = 1e-4, longest: int = 64, output: str | None = None) -> DataFrame:
-    """(1 - L)**d as a weighted sum of lags. Null until the filter is full, and where any value in it is missing."""
-    base = _order(partition, time, True)
-    terms = [F.lit(w) * F.lag(col(target), k).over(base) for k, w in enumerate(fractional_weights(d, longest, threshold))]
-    return df.withColumn(output or f"{target}_fracdiff", _known(partition, reduce(lambda a, b: a + b, terms)))
+def fractional_difference(df: DataFrame, target: str, d: float, partition: Names, time: str, threshold: float = 1e-4, output: str | None = None) -> DataFrame:
+    """(1 - L)**d as a weighted sum of lags: all weights from the threshold up, at most as many as the series has rows. Null until the filter is
+    full, and where any value in it is missing."""
+    series = Window.partitionBy(*partition)
+    weights = fractional_weights(d, 65, threshold)
+    if len(weights) > 64:  # bounded by the longest series, which takes a job to find
+        longest = df.groupBy(*partition).count().agg(F.max("count")).first()[0] or 1
+        weights = fractional_weights(d, longest, threshold)
+    frame = _order(partition, time, True).rowsBetween(1 - len(weights), 0)
+    work = df.withColumn("__seen", F.collect_list(F.struct(col(target).cast("double").alias("v"))).over(frame)).withColumn("__rows", F.count(F.lit(1)).over(series))
+    kept = F.slice(F.array(*[F.lit(w) for w in weights]), F.lit(1), F.size("__seen"))
+    terms = F.zip_with(F.reverse("__seen"), kept, lambda x, w: x["v"] * w)
+    total = F.when(F.size("__seen") == F.least(F.lit(len(weights)), F.col("__rows")), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))
+    return work.withColumn(output or f"{target}_fracdiff", _known(partition, total)).drop("__seen", "__rows")
 
 
 def weighted_weeks_since(events: DataFrame, current: float, half_life: float = 8.0, entity: str = "employee_id", week: str = "week", tier: str = "tier", weights: dict[str, float] | None = None) -> DataFrame:
