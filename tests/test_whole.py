@@ -3,10 +3,11 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from wfspark import catalogue
 from wfspark.functions.scores import fractional_weights
-from wfspark.operators import anomalies, temporal
+from wfspark.operators import anomalies, causal, temporal
 
 
 def parts(tmp_path, n=1300):
@@ -58,3 +59,45 @@ def test_frac_diff_of_the_panel_has_55_terms(spark):
     assert len(fractional_weights(0.4, 1000, 1e-3)) == 55
     got = catalogue.QUERIES["frac_diff"](spark, "/root/testdata/sf0.001").toPandas()
     assert (got.groupby("grp").n_fracdiff.count() == got.groupby("grp").size() - 54).all()
+
+
+def test_causal_forest_learns_from_every_row(spark):
+    """The effect is in rows whose hashes are not among the smallest 20,000; it does not depend on the partitions."""
+    ids = spark.range(26_000)
+    last = ids.orderBy(F.xxhash64("id").desc()).limit(6000).withColumn("x", F.lit(1.0))
+    rows = ids.join(last, "id", "left").select("id", F.coalesce("x", F.lit(0.0)).alias("x"), (F.pmod(F.hash("id", F.lit(1)), F.lit(2))).alias("t"), (F.rand(7) - 0.5).alias("noise"))
+    rows = spark.createDataFrame(rows.select("id", "x", "t", (F.col("t") * F.col("x") * 2 + F.col("noise")).alias("y")).toPandas())
+    got = [causal.causal_forest(rows.repartition(n, "id"), "id", "y", "t", ["x"], trees=4).toPandas().merge(rows.select("id", "x").toPandas()).sort_values("id") for n in (1, 5)]
+    for g in got:
+        assert abs(g[g.x == 1].effect.mean() - 2) < 0.3 and abs(g[g.x == 0].effect.mean()) < 0.3
+    assert np.allclose(got[0].effect, got[1].effect)
+
+
+def test_autoencoder_fits_all_rows(spark):
+    """Errors equal those of one process that trains on all rows, though there are more than 5,000."""
+    r = np.random.default_rng(8)
+    df = pd.DataFrame({"id": np.arange(5600), "a": r.normal(size=5600), "b": r.normal(size=5600)})
+    df["b"] += df.a**2
+    x = ((df[["a", "b"]] - df[["a", "b"]].mean()) / df[["a", "b"]].std(ddof=0)).to_numpy()
+    r, sizes = np.random.default_rng(42), [2, 12, 1, 12, 2]
+    w = [r.normal(0, np.sqrt(2 / m), (m, n)) for m, n in zip(sizes, sizes[1:])] + [np.zeros(n) for n in sizes[1:]]
+    m, v = [0 * p for p in w], [0 * p for p in w]
+
+    def forward():
+        out = [x]
+        for k in range(4):
+            a = out[-1] @ w[k] + w[4 + k]
+            out.append(np.where(a > 0, a, 0.1 * a) if k < 3 else a)
+        return out
+
+    for step in range(1, 16):
+        out, grads = forward(), [None] * 8
+        d = 2 * (out[-1] - x) / x.size
+        for k in (3, 2, 1, 0):
+            grads[k], grads[4 + k] = out[k].T @ d, d.sum(axis=0)
+            d = (d @ w[k].T) * np.where(out[k] > 0, 1, 0.1)
+        for k, g in enumerate(grads):
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
+            w[k] = w[k] - 5e-3 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+    got = anomalies.autoencoder(spark.createDataFrame(df).repartition(5), "id", ["a", "b"], latent=1, epochs=15).toPandas().sort_values("id")
+    assert np.allclose(got.error, ((forward()[-1] - x) ** 2).mean(axis=1), rtol=1e-6)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,16 +185,20 @@ def pca_reconstruction(df: DataFrame, row: str, vector: str, latent: int = 4, co
     return out.crossJoin(F.broadcast(cut)).select(row, "error", (F.col("error") > F.col("__cut")).alias("is_anomalous"))
 
 
-def autoencoder(df: DataFrame, row: str, features: list[str], hidden: int = 12, latent: int = 4, epochs: int = 150, rate: float = 5e-3, most_rows: int = 5000, contamination: float = 0.05, seed: int = 42) -> DataFrame:
-    """Error of each row after a small network with a narrow middle, fitted on at most ``most_rows`` rows (the smallest hashes of their ids)."""
+def autoencoder(df: DataFrame, row: str, features: list[str], hidden: int = 12, latent: int = 4, epochs: int = 150, rate: float = 5e-3, contamination: float = 0.05, seed: int = 42) -> DataFrame:
+    """Error of each row after a small network with a narrow middle, fitted on all complete rows: each epoch sums the gradients of all partitions."""
     z = standardized(df, features).select(row, F.array(*[f"z_{i}" for i in range(len(features))]).alias("z"))
-    x = np.stack(z.orderBy(F.xxhash64(row)).limit(most_rows).toPandas()["z"])
     r = np.random.default_rng(seed)
     sizes = [len(features), hidden, latent, hidden, len(features)]
     w = [r.normal(0, np.sqrt(2 / a), (a, b)) for a, b in zip(sizes, sizes[1:])]
     b = [np.zeros(n) for n in sizes[1:]]
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (*w, *b)]
 
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = np.stack(batch["z"]).astype(float) if len(batch) else np.empty((0, len(features)))
+            yield pd.DataFrame({"x": [x[~np.isnan(x).any(axis=1)].tobytes()]})
+
     def forward(v: np.ndarray) -> list[np.ndarray]:
         out = [v]
         for k, (p, q) in enumerate(zip(w, b)):
@@ -201,18 +206,30 @@ def autoencoder(df: DataFrame, row: str, features: list[str], hidden: int = 12,
             out.append(np.where(a > 0, a, 0.1 * a) if k < len(w) - 1 else a)
         return out
 
+    def gradient(blocks: Iterator) -> Iterator[list]:
+        """Number of values and the sums of the gradients of a partition."""
+        total: list = [0, *[np.zeros_like(p) for p in (*w, *b)]]
+        for block in blocks:
+            x = np.frombuffer(block[0]).reshape(-1, len(features))
+            layers = forward(x)
+            d = 2 * (layers[-1] - x)
+            total[0] += x.size
+            for k in range(len(w) - 1, -1, -1):
+                total[1 + k] += layers[k].T @ d
+                total[1 + len(w) + k] += d.sum(axis=0)
+                if k:
+                    d = (d @ w[k].T) * np.where(layers[k] > 0, 1, 0.1)
+        yield total
+
+    packed = z.select("z").mapInPandas(pack, "x binary").rdd.persist(StorageLevel.MEMORY_AND_DISK)
     for step in range(1, epochs + 1):
-        layers = forward(x)
-        d = 2 * (layers[-1] - x) / x.size
-        grads: list[np.ndarray] = [np.empty(0)] * (2 * len(w))
-        for k in range(len(w) - 1, -1, -1):
-            grads[k], grads[len(w) + k] = layers[k].T @ d, d.sum(axis=0)
-            if k:
-                d = (d @ w[k].T) * np.where(layers[k] > 0, 1, 0.1)
+        n, *grads = (sum(parts) for parts in zip(*packed.mapPartitions(gradient).collect()))
         for p, g, (m, v) in zip((*w, *b), grads, state):
+            g = g / max(1, n)
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    packed.unpersist()
 
     @F.pandas_udf("double")
     def error(v: pd.Series) -> pd.Series:

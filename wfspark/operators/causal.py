@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,57 +147,91 @@ def synthetic_controls(df: DataFrame, unit: str, time: str, outcome: str, pilots
     return df.sparkSession.createDataFrame(rows, f"unit {kinds[0].dataType.simpleString()}, time {kinds[1].dataType.simpleString()}, is_post boolean, actual double, synthetic double, lift double, rmspe double, donors string")
 
 
-def _grow(x: np.ndarray, t: np.ndarray, y: np.ndarray, xe: np.ndarray, te: np.ndarray, ye: np.ndarray, depth: int, leaf: int, r: np.random.Generator) -> list[tuple]:
-    """One honest tree as flat rows (feature, threshold, left, right, effect): splits from one half, effects from the other."""
-    out: list[tuple] = []
-    effect = lambda a, b: float(a @ b / (a @ a + 1e-6))
-
-    def node(i: np.ndarray, e: np.ndarray, level: int) -> int:
-        at = len(out)
-        out.append((-1, 0.0, -1, -1, effect(te[e], ye[e])))
-        if level >= depth or len(i) < 2 * leaf:
-            return at
-        best = (0.0, -1, 0.0)
-        for f in r.choice(x.shape[1], max(1, int(math.sqrt(x.shape[1]))), replace=False):
-            for c in np.unique(np.quantile(x[i, f], np.arange(0.1, 0.91, 0.1))):
-                go = x[i, f] <= c
-                nl, nr = go.sum(), (~go).sum()
-                if nl >= leaf and nr >= leaf:
-                    gain = nl * nr / (nl + nr) * (effect(t[i[go]], y[i[go]]) - effect(t[i[~go]], y[i[~go]])) ** 2
-                    best = max(best, (gain, int(f), float(c)))
+def _drawn(h: np.ndarray, k: int) -> np.ndarray:
+    """Uniform numbers in [0, 1) from hashes of row ids, others for each k."""
+    v = h.view(np.uint64) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        v = (v ^ (v >> np.uint64(shift))) * np.uint64(factor)
+    return ((v ^ (v >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+
+
+def _splits(h: np.ndarray, k: int, edges: list[np.ndarray], leaf: int, seed: int) -> list[tuple]:
+    """Splits of the nodes of one level of tree k, (node, feature, threshold, effect left, effect right), and (0, -1, 0, effect, 0) for the root.
+    h: node, feature, bin, half, (rows, sum of t * t, sum of t * y); splits from half 0 at its deciles, effects from half 1."""
+    effect = lambda s: s[..., 2] / (s[..., 1] + 1e-6)
+    first = len(h) - 1
+    out: list[tuple] = [(0, -1, 0.0, float(effect(h[0, 0, :, 1].sum(axis=0))), 0.0)] if first == 0 else []
+    for node in range(len(h)):
+        if h[node, 0, :, 0, 0].sum() < 2 * leaf:
+            continue
+        r = np.random.default_rng([seed, k, first + node])
+        best = (0.0, -1, -1)
+        for f in r.choice(len(edges), max(1, int(math.sqrt(len(edges)))), replace=False):
+            below = h[node, f, :, 0].cumsum(axis=0)
+            at = np.unique(np.searchsorted(below[:, 0], np.arange(0.1, 0.91, 0.1) * below[-1, 0]))
+            for c in at[at < len(edges[f])]:
+                lo, hi = below[c], below[-1] - below[c]
+                if min(lo[0], hi[0]) >= leaf:
+                    best = max(best, (float(lo[0] * hi[0] / (lo[0] + hi[0]) * (effect(lo) - effect(hi)) ** 2), int(f), int(c)))
         _, f, c = best
-        if f < 0 or not (xe[e, f] <= c).any() or not (xe[e, f] > c).any():
-            return at
-        left = node(i[x[i, f] <= c], e[xe[e, f] <= c], level + 1)
-        right = node(i[x[i, f] > c], e[xe[e, f] > c], level + 1)
-        out[at] = (f, c, left, right, out[at][4])
-        return at
-
-    node(np.arange(len(x)), np.arange(len(xe)), 0)
+        if f >= 0:
+            lo, hi = h[node, f, : c + 1, 1].sum(axis=0), h[node, f, c + 1 :, 1].sum(axis=0)
+            if lo[0] and hi[0]:
+                out.append((first + node, f, float(edges[f][c]), float(effect(lo)), float(effect(hi))))
     return out
 
 
-def causal_forest(df: DataFrame, row: str, outcome: str, treatment: str, features: list[str], trees: int = 50, depth: int = 4, leaf: int = 10, share: float = 0.7, most_rows: int = 20_000, seed: int = 42) -> DataFrame:
-    """Effect of each row with its interval. Trees are fitted each in a task of its own on a sample of at most ``most_rows`` rows (smallest
-    hashes of their ids), with outcome and treatment less what all rows' linear models say; every row is scored."""
+def causal_forest(df: DataFrame, row: str, outcome: str, treatment: str, features: list[str], trees: int = 50, depth: int = 4, leaf: int = 10, share: float = 0.7, bins: int = 512, seed: int = 42) -> DataFrame:
+    """Effect of each row with its interval. Each tree is fitted on the ``share`` of all complete rows that hashes of their ids choose, half for the
+    splits and half for the effects. A level of all trees is one pass: tasks sum histograms of at most ``bins`` quantile bins of each feature."""
     spark = df.sparkSession
     b = moments(df, [outcome, *features])[None]
     left = df.withColumn("__y", col(outcome) - linear(*ridge(b, outcome, features, 1.0), features)).withColumn("__t", col(treatment) - _sigmoid(linear(*logit(df, treatment, features), features)))
-    sample = left.orderBy(F.xxhash64(row), row).limit(most_rows).select("__y", "__t", *[col(f).alias(f) for f in features]).na.drop().toPandas()
-    data = spark.sparkContext.broadcast(sample.to_numpy(float))
-
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in batch["id"]:
-                r = np.random.default_rng(seed + int(k))
-                d = data.value[r.permutation(len(data.value))[: max(2, int(share * len(data.value)))]]
-                a, e = d[: len(d) // 2], d[len(d) // 2 :]
-                tree = _grow(a[:, 2:], a[:, 1], a[:, 0], e[:, 2:], e[:, 1], e[:, 0], depth, leaf, r)
-                yield pd.DataFrame([(k, n, *v) for n, v in enumerate(tree)], columns=["tree", "node", "feature", "threshold", "lo", "hi", "effect"])
-
-    schema = "tree long, node int, feature int, threshold double, lo int, hi int, effect double"
-    forest = spark.range(0, trees, 1, min(trees, spark.sparkContext.defaultParallelism * 2)).mapInPandas(fit, schema).toPandas()
-    shared = spark.sparkContext.broadcast([g.sort_values("node")[["feature", "threshold", "lo", "hi", "effect"]].to_numpy(float) for _, g in forest.groupby("tree")])
+    rows = left.select(F.xxhash64(row).alias("__h"), "__y", "__t", *[col(f).cast("double").alias(f) for f in features]).na.drop()
+    cuts = rows.agg(*[F.percentile_approx(f, [k / (bins - 1) for k in range(bins)], 100 * bins).alias(f) for f in features]).first()
+    edges = [np.unique(np.array(c or [], float)) for c in cuts]
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield pd.DataFrame({"h": [x["__h"].to_numpy(np.int64).tobytes()], "x": [x.drop(columns="__h").to_numpy(float).tobytes()]})
+
+    packed = rows.mapInPandas(pack, "h binary, x binary").rdd.persist(StorageLevel.MEMORY_AND_DISK)
+    forest = np.zeros((trees, 2 ** (depth + 1) - 1, 5))  # feature, threshold, left, right, effect
+    forest[:, :, 0] = -1
+
+    def count(blocks: Iterator, level: int) -> Iterator[tuple[int, np.ndarray]]:
+        p, first = len(features), 2**level - 1
+        shape = (2**level, p, bins + 1, 2)
+        total: dict[int, np.ndarray] = {}
+        for block in blocks:
+            h, x = np.frombuffer(block[0], np.int64), np.frombuffer(block[1]).reshape(-1, p + 2)
+            where = np.column_stack([np.searchsorted(e, x[:, 2 + f]) for f, e in enumerate(edges)])
+            for k, tree in enumerate(forest):
+                u = _drawn(h, seed * 1_000_003 + k)
+                i = np.flatnonzero(u < share)
+                at = np.zeros(len(i), np.int64)
+                for _ in range(level):
+                    f = tree[at, 0].astype(int)
+                    at = np.where(f < 0, at, np.where(x[i, 2 + np.maximum(f, 0)] <= tree[at, 1], tree[at, 2], tree[at, 3]).astype(np.int64))
+                i, at = i[at >= first], at[at >= first] - first
+                half, t, y = (u[i] >= share / 2).astype(int), x[i, 1], x[i, 0]
+                to = (((at[:, None] * p + np.arange(p)) * (bins + 1) + where[i]) * 2 + half[:, None]).ravel()
+                sums = [np.bincount(to, np.repeat(s, p), math.prod(shape)).reshape(shape) for s in (np.ones(len(i)), t * t, t * y)]
+                total[k] = total.get(k, 0) + np.stack(sums, axis=-1)
+        yield from total.items()
+
+    for level in range(depth):
+        sums = packed.mapPartitions(lambda blocks, level=level: count(blocks, level)).reduceByKey(np.add, min(trees, spark.sparkContext.defaultParallelism * 2))
+        found = sums.map(lambda kh: (kh[0], _splits(kh[1], kh[0], edges, leaf, seed))).collect()
+        for k, splits in found:
+            for node, f, c, lo, hi in splits:
+                if f < 0:
+                    forest[k, 0, 4] = lo
+                else:
+                    forest[k, node, :4] = f, c, 2 * node + 1, 2 * node + 2
+                    forest[k, [2 * node + 1, 2 * node + 2], 4] = lo, hi
+    packed.unpersist()
+    shared = spark.sparkContext.broadcast(list(forest))
 
     @F.pandas_udf("effect double, spread double")
     def predict(x: pd.Series) -> pd.DataFrame:
