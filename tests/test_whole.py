@@ -101,3 +101,22 @@ def test_autoencoder_fits_all_rows(spark):
             w[k] = w[k] - 5e-3 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
     got = anomalies.autoencoder(spark.createDataFrame(df).repartition(5), "id", ["a", "b"], latent=1, epochs=15).toPandas().sort_values("id")
     assert np.allclose(got.error, ((forward()[-1] - x) ** 2).mean(axis=1), rtol=1e-6)
+
+
+def test_alignment_compares_whole_series(spark, duck):
+    got = {r.grp: r.dtw for r in catalogue.QUERIES["alignment"](spark, "/root/testdata/sf0.001").collect()}
+    panel = duck.execute("SELECT o_orderpriority AS g, date_trunc('month', o_orderdate) AS m, count(*)::DOUBLE AS n FROM orders GROUP BY ALL ORDER BY m").df()
+    curves = {g: p.n.to_numpy() for g, p in panel.groupby("g")}
+    assert min(map(len, curves.values())) > 70
+    assert got == {g: anomalies.dtw_table(c, curves["3-MEDIUM"])[-1, -1] for g, c in curves.items()}
+
+
+def test_synthetic_controls_and_sdid_read_every_quarter(spark, tmp_path):
+    days = pd.date_range("1995-01-15", "2002-12-15", freq="MS") + pd.Timedelta(days=14)
+    rows = [(c * 1000 + k, c, day, 1e5 * (c + k / 10 + (5 if c == 1 and day.year == 2002 else 0))) for c in range(1, 9) for k, day in enumerate(days)]
+    pd.DataFrame(rows, columns=["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"]).astype({"o_orderdate": "datetime64[us]"}).to_parquet(tmp_path / "orders.parquet")
+    pd.DataFrame({"c_custkey": range(1, 9), "c_nationkey": range(1, 9)}).to_parquet(tmp_path / "customer.parquet")
+    got = catalogue.QUERIES["synthetic_control"](spark, str(tmp_path)).toPandas()
+    assert sorted(got.time.unique()) == list(range(1, 33))
+    effect = catalogue.QUERIES["sdid"](spark, str(tmp_path)).first()
+    assert abs(effect.att - 5 * 4 / 16 / 2) < 0.05  # a lift of 5 in 4 of 16 later quarters of one of two nations

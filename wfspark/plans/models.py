@@ -64,8 +64,8 @@ def mahalanobis_grouped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _curves(spark: SparkSession, d: str) -> DataFrame:
-    """Two years of each priority's monthly counts, beside the third priority's."""
-    rows = panel(spark, d).where("month < '1997-01-01'").groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("month", "n"))).alias("m")).select("grp", F.col("m.n").alias("v"))
+    """Each priority's monthly counts, beside the third priority's."""
+    rows = panel(spark, d).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("month", "n"))).alias("m")).select("grp", F.col("m.n").alias("v"))
     return rows.crossJoin(F.broadcast(rows.where("grp = '3-MEDIUM'").select(F.col("v").alias("ref"))))
 
 
