@@ -120,3 +120,14 @@ def test_synthetic_controls_and_sdid_read_every_quarter(spark, tmp_path):
     assert sorted(got.time.unique()) == list(range(1, 33))
     effect = catalogue.QUERIES["sdid"](spark, str(tmp_path)).first()
     assert abs(effect.att - 5 * 4 / 16 / 2) < 0.05  # a lift of 5 in 4 of 16 later quarters of one of two nations
+
+
+def test_outofsample_cohorts_are_those_of_all_customers(spark, tmp_path):
+    bal = {3: [1.0, 2.0, 6.0], 22: [10.0, 12.0, 17.0]}
+    customers = pd.DataFrame([(n, x) for n, values in bal.items() for x in values], columns=["c_nationkey", "c_acctbal"])
+    customers.to_parquet(tmp_path / "customer.parquet")
+    pd.DataFrame({"s_suppkey": [1, 2, 3], "s_nationkey": [3, 22, 24], "s_acctbal": [4.0, 14.0, 9.0]}).to_parquet(tmp_path / "supplier.parquet")
+    got = {r.s_suppkey: (r.cohort_size, r.z_score) for r in catalogue.QUERIES["loo_zscore_outofsample"](spark, str(tmp_path)).collect()}
+    every = customers.c_acctbal  # nation 24 has no customers: the mean and spread of all
+    want = {1: (3, 1 / np.std(bal[3], ddof=1)), 2: (3, 1 / np.std(bal[22], ddof=1)), 3: (0, (9 - every.mean()) / every.std())}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-5 for k in want)
