@@ -23,7 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from wfspark.llm.codepoints import BLANK, LETTER, classes, points
-from wfspark.llm.columns import CHUNK, Texts, ranges, runs, span_hashes, texts
+from wfspark.llm.columns import Texts, ranges, runs, span_hashes, texts
+
+
+#: Bounds of what one worker remembers: pairs of tokens, pieces, and the bytes of the pieces' ids (about 60 MB together).
+MOST_PAIRS, MOST_PIECES, MOST_BYTES = 200_000, 200_000, 8 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,7 +44,7 @@ class Vocabulary:
         self.longest = max(map(len, ranks), default=1)
         self.tokens = {r: t for t, r in ranks.items()}
         self.parts: dict[int, tuple[int, int]] = {}
-        self._beside: dict[tuple[int, int], bool] = {}
+        self._beside: dict[int, bool] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             self.parts[rank] = self._last_merge(token, rank)
 
@@ -71,10 +75,10 @@ class Vocabulary:
 
     def beside(self, left: int, right: int) -> bool:
         """May ``right`` follow ``left`` in an encoding?"""
-        key = (left, right)
+        key = left << 32 | right
         found = self._beside.get(key)
         if found is None:
-            if len(self._beside) > 2_000_000:
+            if len(self._beside) >= MOST_PAIRS:  # memory, not results: they are found again
                 self._beside.clear()
             found = self._beside[key] = self._apart(left, right, 1 << 62)
         return found
@@ -103,7 +107,7 @@ class PrefixEncoder:
                 if start + floor == 0:
                     break
                 before = last[start + floor]
-                fits = known.get((before, token))
+                fits = known.get(before << 32 | token)
                 if fits or fits is None and beside(before, token):
                     break
             else:
@@ -185,8 +189,6 @@ def piece_starts(t: Texts) -> np.ndarray:
 class Codec:
     """Encodes and decodes runs of documents; one for each Python worker."""
 
-    MOST = 600_000
-
     def __init__(self, ranks: dict[bytes, int]):
         self.vocabulary = Vocabulary(ranks)
         size = max(self.vocabulary.tokens, default=-1) + 1
@@ -198,14 +200,20 @@ class Codec:
         for r, token in self.vocabulary.tokens.items():
             self.bytes[self.begins[r] : self.begins[r + 1]] = np.frombuffer(token, np.uint8)
         self.known: dict[int, bytes] = {}
+        self.known_bytes = 0
+
+    def forget(self) -> None:
+        """Let go of all but the vocabulary."""
+        self.known, self.known_bytes = {}, 0
+        self.vocabulary._beside.clear()
 
     def encode(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the index of each document's first id (one more at the end)."""
         starts = piece_starts(t)
         ends = np.append(starts[1:], len(t.data)) if len(starts) else starts
         keys, where, which = np.unique(span_hashes(t.data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > self.MOST:  # memory, not results: they are found again
-            self.known.clear()
+        if len(self.known) > MOST_PIECES or self.known_bytes > MOST_BYTES:  # memory, not results
+            self.known, self.known_bytes = {}, 0
         keys = keys.tolist()
         new = [i for i, key in enumerate(keys) if key not in self.known]
         data = t.data.tobytes()
@@ -227,7 +235,8 @@ class Codec:
                 shared += 1
             encoder.keep(shared)
             encoder.append(piece[shared:])
-            self.known[key] = np.array(encoder.ids(), np.uint32).tobytes()
+            found = self.known[key] = np.array(encoder.ids(), np.uint32).tobytes()
+            self.known_bytes += len(found)
             before = piece
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
@@ -235,7 +244,7 @@ class Codec:
         return self.bytes[ranges(self.begins[ids], self.lengths[ids])]
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _codec(path: str) -> Codec:
     return Codec(load_ranks(path))
 
@@ -268,24 +277,21 @@ def bpe_encode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
     encoded each; extra columns are ignored; an empty table gives no rows. Texts of any length are encoded whole.
     """
 
+    def cells(ids: np.ndarray, first: np.ndarray, out: np.ndarray, ends: np.ndarray) -> dict[str, pa.Array]:
+        if not digest:
+            lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids.astype(np.int32)))
+            return {"ids": lists, "decoded": pa.array([out[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())}
+        sha = lambda x, at: pa.array([hashlib.sha256(x[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:])], pa.string())
+        return {"n_tokens": pa.array(np.diff(first), pa.int64()), "ids_sha256": sha(ids.astype("<u4"), first), "decoded_sha256": sha(out, ends)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
-        for batch in batches:
-            names = batch.column(0)
-            for i, j, t in runs(texts(batch.column(1)), 2 * CHUNK):
-                ids, first, out, ends = _encoded(t, codec)
-                if digest:
-                    raw = ids.astype("<u4")
-                    cells = {
-                        "n_tokens": pa.array(np.diff(first), pa.int64()),
-                        "ids_sha256": pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(first[:-1], first[1:])], pa.string()),
-                        "decoded_sha256": pa.array([hashlib.sha256(out[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:])], pa.string()),
-                    }
-                else:
-                    cells = {
-                        "ids": pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids.astype(np.int32))),
-                        "decoded": pa.array([out[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
-                    }
-                yield pa.RecordBatch.from_pydict({"doc_id": names.slice(i, j - i)} | cells)
+        try:
+            for batch in batches:
+                for i, j, t in runs(texts(batch.column(1))):
+                    yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(i, j - i)} | cells(*_encoded(t, codec)))
+        finally:  # workers are used again by other tasks
+            codec.forget()
+            pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, DIGEST if digest else SCHEMA)

@@ -13,24 +13,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where that is unset (tests, one machine), a folder of this session's own."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a folder of this session's own on a local master; a cluster must set it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = known.get() if known.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wfspark-"))
         folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return folder
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: lineage ends there, lost executors cost no recomputation,
-    and the shuffles behind it may go (see ``shuffles_end_with_jobs``)."""
+    and the shuffles behind it may go (see ``shuffles_end_with_jobs``). The table goes with ``discard``, or else when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/wfspark-{name}-{uuid.uuid4().hex}"
+    where, files = _file_system(spark, path)
     with shuffles_end_with_jobs(spark):
         df.write.parquet(path)
+    files.deleteOnExit(where)
     out = spark.read.parquet(path)
     out._shared_path = path
     return out
@@ -39,9 +48,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(*frames: DataFrame) -> None:
     """Remove tables that ``written`` made, once nothing reads them any more."""
     for df in frames:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(df._shared_path)
-        path.getFileSystem(conf).delete(path, True)
+        where, files = _file_system(df.sparkSession, df._shared_path)
+        files.delete(where, True)
 
 
 class shuffles_end_with_jobs:

@@ -199,7 +199,7 @@ class ToxicityModel:
         starts, ends, first = windows(t)
         keys, at, which = np.unique(span_hashes(t.data, starts, ends), return_index=True, return_inverse=True)
         keys = keys.tolist()
-        if len(self.known) > 1_000_000:  # memory, not results
+        if len(self.known) > 250_000:  # memory, not results
             self.known.clear()
         new = [k for k, key in enumerate(keys) if key not in self.known]
         cells = _window_cells(t.data.tobytes(), starts[at[new]], ends[at[new]], self.pair)
