@@ -5,8 +5,9 @@ A page is a sequence of leaf blocks (``html_blocks``). Each block is a vector of
 sequence and labels every block with the page in view. Its weights are fitted here, on pages that a seeded
 generator lays out, so that the labels are known; training is the same in every session and takes seconds.
 
-Null, empty and text-free pages give an empty text. Repeated rows are labelled each; extra columns are ignored;
-an empty table gives no rows.
+Null, empty and text-free pages give an empty text. Repeated rows are labelled each; extra columns are ignored, whatever their names;
+an empty table gives no rows. Pages of any length and depth are scanned once and read whole; memory follows the longest
+page's blocks. A probability of just the threshold counts as main text.
 """
 
 from __future__ import annotations
@@ -20,78 +21,97 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wfspark.llm.columns import span_hashes, spans, texts
-from wfspark.llm.html_blocks import Block, blocks
+from wfspark.llm.columns import runs, span_hashes, spans, texts
+from wfspark.llm.html_blocks import Blocks, blocks
 
 PATH_BUCKETS, PATH_DIM = 1024, 24
 WORD_BUCKETS, WORD_DIM = 512, 8
 MEASURES = 9
 INPUT, HIDDEN = 32, 24
+#: Blocks whose vectors and gates are worked out at once.
+SOME = 1 << 14
+
+
+@lru_cache(1 << 16)
+def _bucket(name: str) -> int:
+    return crc32(name.encode()) % PATH_BUCKETS
 
 
 class Pages:
     """Features of the blocks of several pages, in page order."""
 
-    def __init__(self, pages: list[list[Block]]):
-        flat = [b for page in pages for b in page]
+    def __init__(self, pages: list[Blocks]):
+        flat = [x for page in pages for x in page.texts]
         self.sizes = np.array([len(page) for page in pages], np.int64)
-        known: dict[tuple[str, ...], int] = {}
-        self.path_of = np.array([known.setdefault(b.path, len(known)) for b in flat], np.int64)
-        tokens = [[crc32(x.encode()) % PATH_BUCKETS for x in path] or [0] for path in known]
-        self.path_tokens = np.array([x for path in tokens for x in path], np.int64)
-        self.path_first = np.cumsum([0, *map(len, tokens)])[:-1].astype(np.int64)
-        self.path_sizes = np.array([len(x) for x in tokens], np.int64)
-        t = texts(pa.array([b.text.lower() for b in flat], pa.large_string()))
+        # the sum over a block's path is a running sum over events, where an element's end takes back what its start added
+        self.tokens = np.array([_bucket(x) for page in pages for x in page.names], np.int64)
+        self.signs = np.array([x for page in pages for x in page.signs], np.int64)
+        begin = np.cumsum([0, *(len(page.names) for page in pages)])[:-1]
+        self.at = np.array([x for page in pages for x in page.at], np.int64) + np.repeat(begin, self.sizes)
+        self.depth = np.maximum(np.concatenate([[0], np.cumsum(self.signs)])[self.at], 1)
+        t = texts(pa.array([x.lower() for x in flat], pa.large_string()))
         starts, ends = spans(t)
         self.word_tokens = (span_hashes(t.data, starts, ends) % np.uint64(WORD_BUCKETS)).astype(np.int64)
-        first = t.per_document(starts)
-        self.word_first, self.word_sizes = first[:-1], np.diff(first)
-        chars = np.array([len(b.text) for b in flat], float)
-        count = lambda marks: np.array([sum(b.text.count(c) for c in marks) for b in flat], float)
+        self.word_first = t.per_document(starts)
+        self.word_sizes = np.diff(self.word_first)
+        chars = np.array([len(x) for x in flat], np.float32)
+        count = lambda marks: np.array([sum(map(x.count, marks)) for x in flat], np.float32)
         place = np.concatenate([np.arange(n) / max(n - 1, 1) for n in self.sizes]) if flat else np.empty(0)
         self.measures = np.stack(
             [
                 np.log1p(chars) / 4,
                 np.log1p(self.word_sizes) / 3,
-                np.array([b.linked for b in flat], float) / np.maximum(chars, 1),
+                np.array([x for page in pages for x in page.linked], np.float32) / np.maximum(chars, 1),
                 20 * count(".,;:!?") / np.maximum(chars, 1),
-                np.array([b.text[-1] in ".!?\"”»" for b in flat], float) if flat else np.empty(0),
-                np.array([b.text[0].isupper() for b in flat], float) if flat else np.empty(0),
+                np.array([x[-1] in ".!?\"”»" for x in flat], np.float32),
+                np.array([x[0].isupper() for x in flat], np.float32),
                 10 * count("|©•»›·") / np.maximum(chars, 1),
                 place,
                 np.repeat(np.log1p(self.sizes), self.sizes) / 4,
             ],
             axis=1,
-        ) if flat else np.empty((0, MEASURES))
-
-    def vectors(self, w: dict[str, np.ndarray]) -> np.ndarray:
-        path = np.add.reduceat(w["path"][self.path_tokens], self.path_first, axis=0) / np.sqrt(self.path_sizes)[:, None]
-        words = np.add.reduceat(w["word"][self.word_tokens], self.word_first, axis=0) / np.maximum(self.word_sizes, 1)[:, None]
-        return np.concatenate([path[self.path_of], words, self.measures], axis=1)
+        ).astype(np.float32)
+
+    def vectors(self, w: dict[str, np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """The raw vectors of all blocks, some at a time: first, end, vectors."""
+        done, total = 0, np.zeros(PATH_DIM)
+        for a in range(0, len(self.at), SOME):
+            b = min(a + SOME, len(self.at))
+            new = slice(done, self.at[b - 1])
+            run = np.concatenate([total[None], total + np.cumsum(w["path"][self.tokens[new]] * self.signs[new, None], axis=0, dtype=np.float64)])
+            path = run[self.at[a:b] - done] / np.sqrt(self.depth[a:b])[:, None]
+            done, total = int(self.at[b - 1]), run[-1]
+            first = self.word_first[a:b]
+            words = np.add.reduceat(w["word"][self.word_tokens[first[0] : self.word_first[b]]], first - first[0], axis=0) / np.maximum(self.word_sizes[a:b], 1)[:, None]
+            yield a, b, np.concatenate([path, words, self.measures[a:b]], axis=1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _read(x: np.ndarray, mask: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list]:
-    """One direction of the LSTM over (time, page, input); masked steps keep the state. Returns the states and what the gradient needs."""
+def _read(x: np.ndarray, mask: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, tape: list | None = None) -> np.ndarray:
+    """States of one direction of the LSTM over (time, page, input); masked steps keep the state. ``tape`` gets what the gradient needs."""
     steps, n, _ = x.shape
-    h, c = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
-    out, tape = np.zeros((steps, n, HIDDEN)), []
-    gates = x @ wx + b
+    h, c = np.zeros((n, HIDDEN), x.dtype), np.zeros((n, HIDDEN), x.dtype)
+    out = np.empty((steps, n, HIDDEN), x.dtype)
+    every = max(1, SOME // n)
     for k in range(steps):
-        z = gates[k] + h @ wh
-        i, f, o = _sigmoid(z[:, :HIDDEN]), _sigmoid(z[:, HIDDEN : 2 * HIDDEN]), _sigmoid(z[:, 2 * HIDDEN : 3 * HIDDEN])
+        if k % every == 0:
+            gates = x[k : k + every] @ wx + b
+        z = gates[k % every] + h @ wh
+        ifo = _sigmoid(z[:, : 3 * HIDDEN])
+        i, f, o = ifo[:, :HIDDEN], ifo[:, HIDDEN : 2 * HIDDEN], ifo[:, 2 * HIDDEN :]
         g = np.tanh(z[:, 3 * HIDDEN :])
         m = mask[k][:, None]
         new_c = m * (f * c + i * g) + (1 - m) * c
         tc = np.tanh(new_c)
         new_h = m * o * tc + (1 - m) * h
-        tape.append((h, c, i, f, o, g, tc))
+        if tape is not None:
+            tape.append((h, c, i, f, o, g, tc))
         h, c = new_h, new_c
         out[k] = h
-    return out, tape
+    return out
 
 
 def _unread(x: np.ndarray, mask: np.ndarray, wx: np.ndarray, wh: np.ndarray, tape: list, dout: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -128,30 +148,35 @@ class Labeller:
             w |= {f"{side}x": scale(INPUT, 4 * HIDDEN), f"{side}h": scale(HIDDEN, 4 * HIDDEN), f"{side}_b": np.repeat([0.0, 1.0, 0.0, 0.0], HIDDEN)}
         return cls(w | {"out": scale(2 * HIDDEN, 1), "out_b": np.zeros(1)})
 
-    def _pad(self, pages: Pages) -> tuple[np.ndarray, np.ndarray]:
+    def _pad(self, pages: Pages, kind: type) -> tuple[np.ndarray, np.ndarray]:
         """Cell of every block in (time, page), and the mask."""
         steps, n = int(pages.sizes.max()), len(pages.sizes)
         time = np.concatenate([np.arange(k) for k in pages.sizes])
         cell = time * n + np.repeat(np.arange(n), pages.sizes)
-        mask = np.zeros(steps * n)
+        mask = np.zeros(steps * n, kind)
         mask[cell] = 1
         return cell, mask.reshape(steps, n)
 
-    def forward(self, pages: Pages) -> tuple[np.ndarray, tuple]:
-        w = self.w
-        raw = pages.vectors(w)
-        cell, mask = self._pad(pages)
-        x = np.zeros((mask.size, INPUT))
-        x[cell] = np.tanh(raw @ w["in"] + w["in_b"])
+    def forward(self, pages: Pages, keep: bool = False) -> tuple[np.ndarray, tuple]:
+        """Probabilities, and with ``keep`` what the gradient needs; without it memory follows the padded cells."""
+        w, kind = self.w, self.w["in"].dtype
+        cell, mask = self._pad(pages, kind)
+        x = np.zeros((mask.size, INPUT), kind)
+        raws = []
+        for a, b, raw in pages.vectors(w):
+            x[cell[a:b]] = np.tanh(raw.astype(kind) @ w["in"] + w["in_b"])
+            raws += [raw] if keep else []
         x = x.reshape(*mask.shape, INPUT)
-        ahead, tape_f = _read(x, mask, w["fx"], w["fh"], w["f_b"])
-        back, tape_b = _read(x[::-1], mask[::-1], w["bx"], w["bh"], w["b_b"])
-        both = np.concatenate([ahead, back[::-1]], axis=2).reshape(-1, 2 * HIDDEN)[cell]
-        return _sigmoid(both @ w["out"] + w["out_b"])[:, 0], (raw, cell, mask, x, tape_f, tape_b, both)
+        tapes = ([], []) if keep else (None, None)
+        ahead = _read(x, mask, w["fx"], w["fh"], w["f_b"], tapes[0])
+        back = _read(x[::-1], mask[::-1], w["bx"], w["bh"], w["b_b"], tapes[1])[::-1]
+        both = [side.reshape(-1, HIDDEN)[cell] for side in (ahead, back)]
+        p = _sigmoid(both[0] @ w["out"][:HIDDEN] + both[1] @ w["out"][HIDDEN:] + w["out_b"])[:, 0]
+        return p, (np.concatenate(raws), cell, mask, x, *tapes, np.concatenate(both, axis=1)) if keep else ()
 
     def gradient(self, pages: Pages, truth: np.ndarray) -> dict[str, np.ndarray]:
         w = self.w
-        p, (raw, cell, mask, x, tape_f, tape_b, both) = self.forward(pages)
+        p, (raw, cell, mask, x, tape_f, tape_b, both) = self.forward(pages, keep=True)
         d = ((p - truth) / len(truth))[:, None]
         out = {"out": both.T @ d, "out_b": d.sum(axis=0)}
         dboth = np.zeros((mask.size, 2 * HIDDEN))
@@ -163,20 +188,25 @@ class Labeller:
         dpre = (dx + dxb[::-1]).reshape(-1, INPUT)[cell] * (1 - flat * flat)
         out["in"], out["in_b"] = raw.T @ dpre, dpre.sum(axis=0)
         draw = dpre @ w["in"].T
-        dpath = np.zeros((len(pages.path_sizes), PATH_DIM))
-        np.add.at(dpath, pages.path_of, draw[:, :PATH_DIM])
+        by_event = np.zeros((len(pages.tokens) + 1, PATH_DIM))
+        np.add.at(by_event, pages.at, draw[:, :PATH_DIM] / np.sqrt(pages.depth)[:, None])
+        after = np.cumsum(by_event[::-1], axis=0)[::-1][1:]  # of all blocks that come after an event
         out["path"] = np.zeros_like(w["path"])
-        np.add.at(out["path"], pages.path_tokens, np.repeat(dpath / np.sqrt(pages.path_sizes)[:, None], pages.path_sizes, axis=0))
+        np.add.at(out["path"], pages.tokens, after * pages.signs[:, None])
         out["word"] = np.zeros_like(w["word"])
         np.add.at(out["word"], pages.word_tokens, np.repeat(draw[:, PATH_DIM : PATH_DIM + WORD_DIM] / np.maximum(pages.word_sizes, 1)[:, None], pages.word_sizes, axis=0))
         return out
 
-    def label(self, pages: list[list[Block]], batch: int = 128) -> list[np.ndarray]:
-        """Probability of main text of every block of each page. Pages of like length are read together."""
+    def label(self, pages: list[Blocks], cells: int = 1 << 16) -> list[np.ndarray]:
+        """Probability of main text of every block of each page. Pages of like length are read together, as many as fill ``cells`` padded
+        places; one longer page goes by itself."""
         out: list[np.ndarray] = [np.empty(0)] * len(pages)
-        full = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
-        for a in range(0, len(full), batch):
-            part = full[a : a + batch]
+        full = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
+        while full:
+            n = 1
+            while n < len(full) and (n + 1) * len(pages[full[n]]) <= cells:
+                n += 1
+            part, full = full[:n], full[n:]
             p, _ = self.forward(Pages([pages[k] for k in part]))
             cuts = np.cumsum([len(pages[k]) for k in part])[:-1]
             for k, own in zip(part, np.split(p, cuts)):
@@ -335,7 +365,7 @@ class _Layout:
         return "".join(self.out), self.labels
 
 
-def generated(n: int, seed: int) -> tuple[list[list[Block]], list[np.ndarray]]:
+def generated(n: int, seed: int) -> tuple[list[Blocks], list[np.ndarray]]:
     """Blocks and labels of n laid-out pages; pages whose blocks don't match their leaves one to one are laid out anew."""
     r, pages, labels = random.Random(seed), [], []
     while len(pages) < n:
@@ -384,11 +414,10 @@ def html_extract(pages: DataFrame, threshold: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Labeller(weights.value)
         for batch in batches:
-            size = 512
-            for a in range(0, batch.num_rows, size):
-                part = batch.slice(a, size)
+            for i, j, t in runs(texts(batch.column(2))):
+                part = batch.slice(i, j - i)
                 found = [blocks(page) for page in part.column(2).to_pylist()]
-                main = [[b.text for b, own in zip(page, p) if own >= threshold] for page, p in zip(found, model.label(found))]
+                main = [[text for text, own in zip(page.texts, p) if own >= threshold] for page, p in zip(found, model.label(found))]
                 text = ["\n\n".join(x) for x in main]
                 cells = {"text": pa.array(text, pa.string()), "n_chars": pa.array(map(len, text), pa.int64()), "n_blocks": pa.array(map(len, found), pa.int64()), "n_main": pa.array(map(len, main), pa.int64())}
                 yield pa.RecordBatch.from_pydict({"page_id": part.column(0), "url": part.column(1)} | cells)
