@@ -1,15 +1,18 @@
 """Benchmark decontamination by SimHash over item-sized windows, in DataFrame operations only.
 
-Texts become word 5-gram shingles, each weighing as much as its words have letters. A document's window for an item is as long as
-the item; windows are laid wherever document and item share a shingle, on the diagonal of that shingle
-(a window without a shared shingle has similarity 0). Each distinct window and each item gets a 64-bit weighted SimHash. The
-fingerprint is cut into 4 blocks of 16 bits; items are listed under every value within 3 bits of each of their
-blocks. By the pigeonhole principle the join of windows with that index finds every pair within Hamming distance 15. The
-pairs that are that close are compared exactly: shared shingle weight by the weight of the union.
-
-A window of similarity 0.8 is 10 bits away on average, with a deviation of 3; those beyond 15 bits (about 2 in 100 at just 0.8, fewer
-above) are not found. An item or text with fewer than five words is one shingle. Null and empty texts match nothing. Repeated
-rows give one result, extra columns are ignored, an empty table on either side gives no rows.
+Texts become word 5-gram shingles, each weighing as much as its words have letters; an item of m < 5 words is one m-gram, and its windows are
+m-grams. A document's window for an item is as long as the item. Windows are laid wherever document and item share a shingle (a window without
+one has similarity 0): on the diagonals of shared shingles, on every start between two diagonals no further apart than a quarter of the
+item, and on ``ASIDE`` starts beside them. Each distinct window and each item gets a 64-bit weighted SimHash. The
+fingerprint is cut into 4 blocks of 16 bits; items are listed under every value within ``FLIPS`` bits of each of their blocks, and
+windows ask with every value within ``ASKED`` bits of theirs. By the pigeonhole principle that join finds every pair within Hamming
+distance ``RADIUS``. The pairs that are that close are compared exactly: shared shingle weight by the weight of the union.
+
+A window of similarity 0.8 is 10 bits away on average, with a deviation of 3, so ``RADIUS`` = 19 leaves out about one in a thousand at
+just 0.8, fewer above; a start further aside can be better by what the words outside the passage weigh, at most a hundredth in the tests. Texts of any length are read whole, once for the shared shingles; only texts that have one are read again. Null and empty
+texts match nothing. Rows that share a doc_id (or item_id) are taken each, and the best match stands for the id, so repeated rows
+give one result. Of equally similar windows the one with the least distance, then the first, is given. Extra columns are ignored,
+whatever their names; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -17,35 +20,40 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wfspark.llm.native_words import grams, joined, shifted, words
+from wfspark.llm.native_words import grams, joined, shifted, small_enough, words
+from wfspark.llm.sources import written
 
 N = 5
-BITS, BLOCK_BITS, FLIPS = 64, 16, 3
-#: Every pair of fingerprints this close shares a block up to FLIPS bits.
-RADIUS = BITS // BLOCK_BITS * (FLIPS + 1) - 1
+BITS, BLOCK_BITS, FLIPS, ASKED = 64, 16, 3, 1
+#: Every pair of fingerprints this close shares a block up to FLIPS + ASKED bits.
+RADIUS = BITS // BLOCK_BITS * (FLIPS + ASKED + 1) - 1
 LEAST = 0.8
+ASIDE = 3
+#: Rows of documents' ids that may go to every task.
+MOST_IDS = 2_000_000
 
 
-def _masks() -> list[int]:
-    """Block values with at most FLIPS bits set."""
-    return [sum(1 << b for b in bits) for k in range(FLIPS + 1) for bits in combinations(range(BLOCK_BITS), k)]
+def _masks(most: int) -> list[int]:
+    """Block values with at most ``most`` bits set."""
+    return [sum(1 << b for b in bits) for k in range(most + 1) for bits in combinations(range(BLOCK_BITS), k)]
 
 
-def shingles(words_: Column) -> Column:
-    """Hash of every five words, of all words where there are fewer; none without words."""
-    return F.when(F.size(words_) >= N, grams(words_, N)).when(F.size(words_) > 0, F.array(F.xxhash64(words_, F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
+def weighted(words_: Column, n: int) -> Column:
+    """Every n consecutive words: their hash and how many letters they have. ``words_``: a column."""
+    letters = F.transform(words_, lambda w: F.length(w))
+    weights = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), shifted(letters, n))
+    return F.zip_with(grams(words_, n), weights, lambda h, w: F.struct(h.alias("h"), w.alias("w")))
 
 
-def weighted(words_: Column) -> Column:
-    """Shingles with their weights: the letters of their words. ``words_``: a column."""
-    letters = F.transform(words_, lambda w: F.length(w))
-    few = F.array(F.aggregate(letters, F.lit(0), lambda a, x: a + x))
-    sums = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), shifted(letters, N))
-    weights = F.when(F.size(words_) >= N, sums).when(F.size(words_) > 0, few).otherwise(F.array().cast("array<int>"))
-    return F.zip_with(shingles(words_), weights, lambda h, w: F.struct(h.alias("h"), w.alias("w")))
+def _by_size(words_: Column, sizes: Column, make) -> Column:
+    """``make(words_, n)`` for the n named by ``sizes`` (1 to N)."""
+    out = make(words_, N)
+    for n in range(1, N):
+        out = F.when(sizes == n, make(words_, n)).otherwise(out)
+    return out
 
 
 def fingerprint(window: Column) -> Column:
@@ -66,45 +74,82 @@ def _weight(window: Column) -> Column:
     return F.aggregate(window, F.lit(0).cast("bigint"), lambda a, x: a + x["w"])
 
 
-def decontamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, item_id, similarity, start_word, n_words (of the window) and distance for each document and item that match."""
-    items = benchmark.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0).dropDuplicates(["item_id"])
-    items = items.select("item_id", F.size("words").alias("item_words"), weighted(F.col("words")).alias("item")).withColumn("item_size", F.size("item"))
-    places = items.select("item_size", F.posexplode("item.h").alias("at", "h")).distinct()
+def _seeds(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, n, item_size and start: where the windows of items lie on the diagonals of shared shingles, and beside them."""
+    places = items.select("n", "item_size", F.posexplode("item.h").alias("at", "h")).distinct()
+    lengths = [r["n"] for r in items.select("n").distinct().orderBy("n").collect()]  # at most five
     read = docs.select("doc_id", words(F.col("text")).alias("words"))
-    rows = read.select("doc_id", F.posexplode(shingles(F.col("words"))).alias("pos", "h"))
-    seeds = joined(rows, places, ["h"], "inner").select("doc_id", (F.col("pos") - F.col("at")).alias("start"), "item_size").distinct()
-    laid = seeds.groupBy("doc_id").agg(F.collect_set(F.struct("start", "item_size")).alias("laid"))
-    full = docs.select("doc_id", "text").join(laid, "doc_id").dropDuplicates(["doc_id"])
-    full = full.select("doc_id", words(F.col("text")).alias("words"), "laid")
-    cut = full.select("doc_id", weighted(F.col("words")).alias("all"), "laid").select("doc_id", "all", F.explode("laid").alias("place"))
+    each = [read.select("doc_id", F.lit(n).alias("n"), F.posexplode(grams(F.col("words"), n)).alias("pos", "h")) for n in lengths]
+    if not each:
+        return docs.select("doc_id").where("false").selectExpr("doc_id", "0 as n", "0 as item_size", "0 as start")
+    met = joined(reduce(DataFrame.union, each), places, ["n", "h"], "inner")
+    diagonals = met.select("doc_id", "n", "item_size", (F.col("pos") - F.col("at")).alias("on")).distinct()
+    after = F.lead("on").over(Window.partitionBy("doc_id", "n", "item_size").orderBy("on"))
+    paired = diagonals.withColumn("after", after)
+    near = F.col("after") - F.col("on") <= F.greatest(F.lit(1), F.floor(F.col("item_size") / 4))
+    aside = F.when(F.col("item_size") > 1, ASIDE).otherwise(0)
+    starts = F.sequence(F.col("on") - aside, F.when(near, F.col("after")).otherwise(F.col("on")) + aside)
+    return paired.select("doc_id", "n", "item_size", F.explode(starts).alias("start"))
+
+
+def _windows(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """doc_id, start, n, window (shingles and weights) and a 128-bit name of it."""
+    laid = seeds.groupBy("doc_id", "n").agg(F.collect_set(F.struct("start", "item_size")).alias("laid"))
+    ids = seeds.select("doc_id").distinct()
+    wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if small_enough(ids, MOST_IDS) else ids, "doc_id", "left_semi")
+    full = wanted.select("doc_id", words(F.col("text")).alias("words")).join(laid, "doc_id")
+    cut = full.select("doc_id", "n", _by_size(F.col("words"), F.col("n"), weighted).alias("all"), F.col("laid")).where(F.size("all") > 0)
+    cut = cut.select("doc_id", "n", "all", F.explode("laid").alias("place"))
     size = F.least(F.col("place.item_size"), F.size("all"))
     start = F.greatest(F.lit(0), F.least(F.col("place.start"), F.size("all") - size))
-    windows = cut.select("doc_id", start.alias("start"), F.slice("all", start + 1, size).alias("window")).distinct()
-    windows = windows.select("doc_id", "start", F.xxhash64("window.h").alias("name_a"), F.xxhash64("window.h", F.lit(1)).alias("name_b"), "window")
+    windows = cut.select("doc_id", "n", start.alias("start"), F.slice("all", start + 1, size).alias("window"))
+    named = windows.select("doc_id", "n", "start", F.xxhash64("n", "window.h").alias("name_a"), F.xxhash64("window.h", F.lit(1)).alias("name_b"), "window")
+    return named.dropDuplicates(["doc_id", "start", "name_a", "name_b"])
+
+
+def decontamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id, item_id, similarity, start_word, n_words (of the window) and distance for each document and item that match."""
+    items = benchmark.select("item_id", words(F.col("text")).alias("words")).where((F.size("words") > 0) & F.col("item_id").isNotNull()).distinct()
+    items = items.select("item_id", F.xxhash64("item_id", "words").alias("item_key"), F.least(F.size("words"), F.lit(N)).alias("n"), "words")
+    items = items.select("item_id", "item_key", "n", _by_size(F.col("words"), F.col("n"), weighted).alias("item")).withColumn("item_size", F.size("item"))
+    known = docs.where("doc_id is not null")
+    windows = written(_windows(known, written(_seeds(known, items), "seeds")), "windows")
     prints = windows.groupBy("name_a", "name_b").agg(F.first("window").alias("window")).withColumn("print", fingerprint(F.col("window")))
+    prints = written(prints, "prints")
     item_prints = items.withColumn("item_print", fingerprint(F.col("item")))
     blocks = range(BITS // BLOCK_BITS)
-    each = lambda value: F.explode(F.array(*[F.struct(F.lit(k).alias("block"), _block(value, k).alias("value")) for k in blocks])).alias("b")
-    index = item_prints.select("item_id", "item_print", each(F.col("item_print"))).withColumn("mask", F.explode(F.lit(_masks())))
-    index = index.select("item_id", "item_print", "b.block", F.col("b.value").bitwiseXOR(F.col("mask")).alias("value"))
-    distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
+
+    def listed(df: DataFrame, value: str, most: int) -> DataFrame:
+        """Each row under the values within ``most`` bits of each of its blocks."""
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("block"), _block(F.col(value), k).alias("value")) for k in blocks])).alias("b")
+        rows = df.select("*", each).withColumn("mask", F.explode(F.lit(_masks(most))))
+        return rows.select(*df.columns, "b.block", F.col("b.value").bitwiseXOR(F.col("mask")).alias("value"))
+
+    index = listed(item_prints.select("item_id", "item_key", "item_print"), "item_print", FLIPS)
+    asked = listed(prints.select("name_a", "name_b", "print"), "print", ASKED)
     near = (
-        joined(prints.select("name_a", "name_b", "print", each(F.col("print"))).select("name_a", "name_b", "print", "b.block", "b.value"), index, ["block", "value"], "inner")
-        .withColumn("distance", distance)
+        joined(asked, index, ["block", "value"], "inner")
+        .withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))
         .where(F.col("distance") <= RADIUS)
-        .select("name_a", "name_b", "item_id", "distance")
+        .select("name_a", "name_b", "item_key", "distance")
         .distinct()
     )
     both = near.join(prints.select("name_a", "name_b", "window"), ["name_a", "name_b"])
-    both = joined(both, items.select("item_id", "item"), ["item_id"], "inner")
+    both = joined(both, items.select("item_id", "item_key", "n", "item"), ["item_key"], "inner")
     own, other = F.array_distinct("window"), F.array_distinct("item")
     shared = _weight(F.array_intersect("window", "item"))
     alike = both.withColumn("similarity", shared / (_weight(own) + _weight(other) - shared)).where(F.col("similarity") >= least)
-    found = windows.select("doc_id", "start", "name_a", "name_b", F.size("window").alias("size")).join(alike.select("name_a", "name_b", "item_id", "similarity", "distance"), ["name_a", "name_b"])
-    best = F.max_by(F.struct("start", "size", "distance"), F.struct("similarity", -F.col("distance"), -F.col("start")))
+    alike = written(alike.select("name_a", "name_b", "item_id", F.col("n").alias("item_n"), "similarity", "distance"), "alike")
+    found = joined(windows.select("doc_id", "n", "start", "name_a", "name_b", F.size("window").alias("size")), alike, ["name_a", "name_b"], "inner")
+    found = found.where("n = item_n")
+    best = F.max_by(F.struct("start", "size", "n", "distance"), F.struct("similarity", -F.col("distance"), -F.col("start")))
     return (
         found.groupBy("doc_id", "item_id")
         .agg(F.max("similarity").alias("similarity"), best.alias("best"))
-        .select("doc_id", "item_id", "similarity", F.col("best.start").cast("bigint").alias("start_word"), (F.col("best.size") + N - 1).cast("bigint").alias("n_words"), F.col("best.distance").cast("int").alias("distance"))
-    )
+        .select(
+            "doc_id", "item_id", "similarity",
+            F.col("best.start").cast("bigint").alias("start_word"),
+            (F.col("best.size") + F.col("best.n") - 1).cast("bigint").alias("n_words"),
+            F.col("best.distance").cast("int").alias("distance"),
+        )
+    )

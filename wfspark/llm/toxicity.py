@@ -2,15 +2,16 @@
 
 Two zstandard dictionaries are built from labelled text: one of windows that toxic documents use in many different
 contexts and ordinary ones hardly do, one of the commonest windows of ordinary documents. Every window of a text (a lower-cased word in its
-boundaries, long ones cut) is compressed with both. How far the two lengths lie apart for a window of its size is
-weighed by how often labelled toxic and ordinary text shows the same lengths; a logistic curve
+boundaries; of a run of letters longer than that, the bytes from each of its code points on) is compressed with both. How far the two lengths lie
+apart for a window of its size is weighed by how often labelled toxic and ordinary text shows the same lengths; a logistic curve
 over a document's weights gives the score. The lengths that set those weights come from
 dictionaries that the document had no part in.
 
-Fitting reads at most ``Fit.docs_per_class`` labelled rows of each class (the smallest hashes of doc_id, texts up to
-``Fit.most_bytes``); class frequencies are counted over all labelled rows. Scoring covers every byte of every text.
-Null and empty texts score as a text without a window; without labels of both classes every score is
-the share of toxic labels (0 without labels). Repeated rows are scored each.
+Fitting reads whole texts of at most ``Fit.docs_per_class`` labelled rows of each class, chosen by the hash of doc_id among the rows that have a text, as
+long as they come to no more than ``Fit.most_bytes`` together (the first one whatever its size); class frequencies are counted over
+all labelled rows. Scoring covers every byte of every text, however long. Null and empty texts score as a text without a window;
+without labels of both classes every score is the share of toxic labels (0 without labels). Repeated rows are scored each, equal texts equally;
+a score of just 0.5 predicts 1. Extra columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wfspark.llm.columns import Texts, byte_class, member, mix, runs, span_hashes, spans, texts
+from wfspark.llm.columns import Texts, byte_class, member, mix, ranges, runs, span_hashes, spans, texts
 
 _OUTSIDE = ~byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 #: Stands behind each window and at the end of both dictionaries: the compressor does not look for matches in the last bytes of its input.
@@ -37,7 +38,8 @@ _PREFIXES = range(4, 13)
 @dataclass(frozen=True)
 class Fit:
     docs_per_class: int = 1500
-    most_bytes: int = 1 << 16
+    #: Text of one class that comes to the driver.
+    most_bytes: int = 1 << 26
     #: Entries of each dictionary.
     entries: int = 12_000
     #: A toxic prefix: least contexts, least ratio of its rates, least log-likelihood ratio statistic.
@@ -48,22 +50,33 @@ class Fit:
 
 
 def lowered(t: Texts) -> Texts:
+    """A copy with A-Z lowered and spaces for the punctuation of U+00A0 to U+00BF, U+2000 to U+207F and U+3000 to U+303F."""
     data = t.data.copy()
     upper = (data >= 0x41) & (data <= 0x5A)
     data[upper] += 32
+    for lead, seconds, length in ((0xC2, (0xA0, 0xBF), 2), (0xE2, (0x80, 0x81), 3), (0xE3, (0x80, 0x80), 3)):
+        at = np.flatnonzero(t.data[:-1] == lead)
+        at = at[(t.data[at + 1] >= seconds[0]) & (t.data[at + 1] <= seconds[1])]
+        for k in range(length):
+            data[at + k] = 0x20
     return Texts(data, t.offsets)
 
 
 def windows(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the windows of a lowered run, and each document's first window."""
     starts, ends = spans(t, _OUTSIDE)
-    pieces = np.maximum(1, -(-(ends - starts) // _LONGEST))
-    if (pieces > 1).any():
-        order = np.repeat(np.arange(len(starts)), pieces)
-        k = np.arange(len(order)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        new = starts[order] + k * _LONGEST
-        ends = np.minimum(new + _LONGEST, ends[order])
-        starts = new
+    long = ends - starts > _LONGEST
+    if long.any():
+        opens = np.concatenate([(t.data & 0xC0) != 0x80, [True]])  # a code point begins
+        at = ranges(starts[long], (ends - starts)[long])
+        stop = np.repeat(ends[long], (ends - starts)[long])
+        ok = opens[at]
+        at, stop = at[ok], np.minimum(at[ok] + _LONGEST, stop[ok])
+        for _ in range(3):
+            stop -= ~opens[stop]
+        starts, ends = np.concatenate([starts[~long], at]), np.concatenate([ends[~long], stop])
+        order = np.argsort(starts, kind="stable")
+        starts, ends = starts[order], ends[order]
     return starts, ends, t.per_document(starts)
 
 
@@ -219,23 +232,31 @@ def _cell_weights(cells: np.ndarray, label: np.ndarray) -> dict[int, float]:
     return dict(zip(ids[good].tolist(), w[good].tolist()))
 
 
+def _within(rows: list, most: int) -> list[tuple[int, int]]:
+    """doc_id and class of the first rows whose sizes come to ``most`` together; the first row in any case."""
+    total = np.cumsum([r["size"] for r in rows])
+    return sorted({(r["doc_id"], r["toxic"]) for k, r in enumerate(rows) if not k or total[k] <= most})
+
+
 def train(docs: DataFrame, labels: DataFrame, fit: Fit | None = None) -> ToxicityModel:
     """``docs``: doc_id and text; ``labels``: doc_id and toxic (0 or 1) of the rows that may be learned from.
-    The sample is chosen from the labels, so its ids, ``docs_per_class`` of each class at most, go to the texts and no text is shuffled."""
+    The sample is chosen by ids and sizes; ``docs_per_class`` ids of each class at most go to the texts, and no text is shuffled."""
     fit = fit or Fit()
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
+    unfitted = ToxicityModel((b"", b""), {}, np.empty(0), prior)
     if len(counts) < 2:
-        return ToxicityModel((b"", b""), {}, np.empty(0), prior)
-    picked = [rows.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit.docs_per_class) for k in (0, 1)]
-    small = docs.select("doc_id", "text").where((F.octet_length("text") <= fit.most_bytes) & F.col("text").isNotNull())
-    order = [F.col("toxic"), F.xxhash64("doc_id"), F.col("text")]
-    parts = [small.join(F.broadcast(p), "doc_id").select("doc_id", "text", "toxic").orderBy(*order).toArrow() for p in picked]
-    if not all(p.num_rows for p in parts):
-        return ToxicityModel((b"", b""), {}, np.empty(0), prior)
-    sample = pa.concat_tables(parts)
+        return unfitted
+    usable = docs.select("doc_id", F.octet_length("text").alias("size")).where("size > 0").join(rows, "doc_id")
+    first = [usable.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id", "size").limit(fit.docs_per_class) for k in (0, 1)]
+    chosen = [_within(part.collect(), fit.most_bytes) for part in first]
+    if not all(chosen):
+        return unfitted
+    picked = docs.sparkSession.createDataFrame([r for part in chosen for r in part], "doc_id long, toxic int")
+    texts_ = docs.select("doc_id", "text").where(F.octet_length("text") > 0).join(F.broadcast(picked), "doc_id")
+    sample = texts_.orderBy("toxic", F.xxhash64("doc_id"), "text").select("text", "toxic").toArrow()
     toxic = sample["toxic"].to_numpy()
     s = Sample(texts(sample["text"]), toxic)
     half = np.arange(len(toxic)) % 2 == 0
