@@ -1,8 +1,8 @@
-"""Queries of network measures on the trade graph of nations: each customer nation's top supplier nations."""
+"""Queries of network measures on the trade graph of nations: pieces traded between customers and suppliers of each two."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wfspark.operators import graph as G
@@ -10,20 +10,18 @@ from wfspark.plans.registry import query, table
 
 
 def trade(spark: SparkSession, d: str) -> DataFrame:
-    """Nations joined by their four largest partners in pieces traded."""
+    """Nations joined by the pieces that they trade with one another."""
     lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     customers = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("a"))
     suppliers = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("b"))
     pairs = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
     pairs = pairs.groupBy("a", "b").agg(F.sum("q").alias("q")).where("a <> b")
-    top = pairs.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("q"), "b"))).where("r <= 4")
-    return G.edges_from(top, "a", "b", "q")
+    return G.edges_from(pairs, "a", "b", "q")
 
 
 TRADE = """pairs AS (SELECT c_nationkey AS a, s_nationkey AS b, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL),
-top4 AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY a ORDER BY q DESC, b) <= 4),
-edges AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, sum(q) AS weight FROM top4 GROUP BY ALL),
+edges AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, sum(q)::DOUBLE AS weight FROM pairs GROUP BY ALL),
 sides AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges),
 nodes AS (SELECT DISTINCT src AS node FROM sides)"""
 
@@ -59,32 +57,62 @@ def contagion(spark: SparkSession, d: str) -> DataFrame:
     return G.attrition_contagion(trade(spark, d), 3)
 
 
-@query(f"""WITH RECURSIVE {TRADE}, len AS (SELECT src, dst, (SELECT max(weight) FROM edges) / weight AS l FROM sides),
-w(src, node, d, hops) AS (SELECT node, node, 0.0::DOUBLE, 0 FROM nodes UNION ALL SELECT src, node, min(d) AS d, any_value(hops) FROM (SELECT w.src, l.dst AS node, w.d + l.l AS d, w.hops + 1 AS hops FROM w JOIN len l ON w.node = l.src WHERE w.hops < 12) GROUP BY src, node),
-best AS (SELECT src, node, min(d) AS d FROM w GROUP BY ALL)
-SELECT src AS node, (count(*) - 1) / sum(d) * (count(*) - 1) / ((SELECT count(*) FROM nodes) - 1) AS closeness FROM best GROUP BY 1""", "closeness")
+def _distances(name: str, length: str) -> str:
+    """CTEs for the shortest distances of all pairs: every round goes one edge further and keeps the least."""
+    return f"""{name}_len AS (SELECT src, dst, {length} AS l FROM sides),
+{name}_walk(src, node, d, hops) AS (SELECT node, node, 0.0::DOUBLE, 0 FROM nodes UNION ALL SELECT src, node, min(d) AS d, any_value(hops) FROM (SELECT w.src, l.dst AS node, w.d + l.l AS d, w.hops + 1 AS hops FROM {name}_walk w JOIN {name}_len l ON w.node = l.src WHERE w.hops < 24) GROUP BY src, node),
+{name} AS (SELECT src, node, min(d) AS d FROM {name}_walk GROUP BY ALL)"""
+
+
+_N = "(SELECT count(*) FROM nodes)"
+_CLOSE = f"{_distances('near', '(SELECT max(weight) FROM edges) / weight')}, close AS (SELECT src AS node, (count(*) - 1) / sum(d) * (count(*) - 1) / ({_N} - 1) AS closeness FROM near GROUP BY 1)"
+_BETWEEN = f"""{_distances('far', '1 / weight')}, through AS (SELECT v.node, count(*) AS c FROM far v JOIN far st ON st.src < st.node AND st.src = v.src AND v.node NOT IN (st.src, st.node) JOIN far vt ON vt.src = v.node AND vt.node = st.node WHERE abs(v.d + vt.d - st.d) <= 1e-12 GROUP BY 1),
+between_ AS (SELECT node, coalesce(c, 0) * 2.0 / (({_N} - 1) * ({_N} - 2)) AS betweenness FROM nodes LEFT JOIN through USING (node))"""
+_EIGEN = f"""pull AS (SELECT src, dst, weight FROM sides UNION ALL SELECT node, node, 1.0 FROM nodes),
+power(i, node, x) AS (SELECT 0, node, 1.0::DOUBLE / {_N} FROM nodes UNION ALL SELECT i, node, y / sqrt(sum(y * y) OVER ()) FROM (SELECT p.i + 1 AS i, m.src AS node, sum(m.weight * p.x) AS y FROM power p JOIN pull m ON m.dst = p.node WHERE p.i < 100 GROUP BY 1, 2)),
+eigen AS (SELECT node, x AS eigenvector FROM power WHERE i = 100)"""
+_EULER = f"""hop_walk(src, node, h) AS (SELECT node, node, 0 FROM nodes UNION SELECT w.src, s.dst, w.h + 1 FROM hop_walk w JOIN sides s ON s.src = w.node WHERE w.h < 24),
+hops AS (SELECT a.node AS src, b.node AS dst, min(h) AS h FROM nodes a CROSS JOIN nodes b LEFT JOIN hop_walk w ON w.src = a.node AND w.node = b.node GROUP BY ALL),
+apart AS (SELECT src, dst, coalesce(h, 2 * (SELECT max(h) FROM hops))::DOUBLE AS h FROM hops),
+kernel AS (SELECT src, dst, exp(-h / greatest((SELECT avg(h) FROM apart), 0.5)) + CASE WHEN src = dst THEN 1e-4 ELSE 0 END AS z FROM apart),
+solve(i, node, w) AS (SELECT 0, node, 1.0::DOUBLE / {_N} FROM nodes UNION ALL SELECT s.i + 1, k.dst, any_value(CASE WHEN k.src = k.dst THEN s.w END) + (1 - sum(k.z * s.w)) / {_N} FROM solve s JOIN kernel k ON k.src = s.node WHERE s.i < 600 GROUP BY s.i + 1, k.dst),
+magnitudes AS (SELECT node, w AS magnitude FROM solve WHERE i = 600)"""
+
+
+@query(f"WITH RECURSIVE {TRADE}, {_CLOSE} SELECT * FROM close", "closeness")
 def closeness(spark: SparkSession, d: str) -> DataFrame:
     return G.closeness(trade(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {TRADE}, {_BETWEEN} SELECT * FROM between_", "betweenness")
 def betweenness(spark: SparkSession, d: str) -> DataFrame:
     return G.betweenness(trade(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {TRADE}, {_EIGEN} SELECT * FROM eigen", "eigenvector", 5)
 def eigenvector(spark: SparkSession, d: str) -> DataFrame:
     return G.eigenvector(trade(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {TRADE}, {_EULER} SELECT * FROM magnitudes", "magnitude", 5)
 def euler(spark: SparkSession, d: str) -> DataFrame:
     return G.euler(trade(spark, d))
 
 
-@query()
+_PROFILE = f"""{_CLOSE}, {_BETWEEN}, {_EIGEN}, {_EULER}, shares AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM sides),
+via AS (SELECT a.src, b.dst, sum(a.p * b.p) AS q FROM shares a JOIN shares b ON a.dst = b.src GROUP BY ALL),
+burt AS (SELECT s.src AS node, sum(pow(s.p + coalesce(q, 0), 2)) AS "constraint" FROM shares s LEFT JOIN via v ON v.src = s.src AND v.dst = s.dst GROUP BY 1),
+sums AS (SELECT src AS node, count(*) / ({_N} - 1) AS degree, sum(weight) AS volume FROM sides GROUP BY 1), loads AS (SELECT *, (volume - avg(volume) OVER ()) / stddev_samp(volume) OVER () AS z FROM sums),
+every AS (SELECT * FROM loads JOIN close USING (node) JOIN between_ USING (node) JOIN eigen USING (node) JOIN burt USING (node) JOIN magnitudes USING (node)),
+cuts AS (SELECT quantile_cont(betweenness, 0.75) AS cb, quantile_cont(eigenvector, 0.75) AS ce, quantile_cont("constraint", 0.5) AS cc FROM every)
+SELECT node, round(degree, 9) AS degree, closeness, betweenness, eigenvector, round("constraint", 9) AS "constraint", magnitude, volume, z, z > 2 AS is_overloaded,
+  CASE WHEN betweenness >= cb AND "constraint" < cc THEN 'Broker / Bridge' WHEN eigenvector >= ce THEN 'Informal Hub' WHEN "constraint" >= cc AND z >= 0 THEN 'Cohesive Core' WHEN "constraint" < cc THEN 'Autonomous Specialist' ELSE 'Peripheral' END AS archetype
+FROM every, cuts"""
+
+
+@query(f"WITH RECURSIVE {TRADE}, {_PROFILE}", "closeness betweenness eigenvector magnitude volume z", 5)
 def ona_profile(spark: SparkSession, d: str) -> DataFrame:
-    return G.ona_profile(trade(spark, d))
+    return G.ona_profile(trade(spark, d)).withColumn("constraint", F.round("constraint", 9)).withColumn("degree", F.round("degree", 9))
 
 
 def _typed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -101,7 +129,16 @@ def metapath_walks(spark: SparkSession, d: str) -> DataFrame:
     return G.metapath_walks(*_typed(spark, d), ["s", "n", "s"], length=6, walks=3)
 
 
+def _embedded(spark: SparkSession, d: str) -> G.NodeEmbeddings:
+    types, edges = _typed(spark, d)
+    return G.NodeEmbeddings.fit(types, G.metapath_walks(types, edges, ["s", "n", "s"], length=6, walks=3), dim=32)
+
+
 @query()
 def metapath2vec(spark: SparkSession, d: str) -> DataFrame:
-    names, vectors = G.sppmi_embeddings(G.metapath_walks(*_typed(spark, d), ["s", "n", "s"], length=6, walks=3), dim=8)
-    return spark.createDataFrame([(n, [float(x) for x in v]) for n, v in zip(names, vectors)], "node string, vector array<double>")
+    return _embedded(spark, d).frame(spark)
+
+
+@query()
+def similar_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _embedded(spark, d).similar(spark, "s1", 5, "s")

@@ -75,7 +75,7 @@ def alignment(spark: SparkSession, d: str) -> DataFrame:
     return _curves(spark, d).select("grp", A.dtw()(v, r).alias("dtw"), A.dtw(3)(v, r).alias("dtw_band"), A.lcss()(v, r).alias("lcss"), A.edr()(v, r).alias("edr"))
 
 
-_NEAR = """s AS (SELECT p_partkey AS id, (p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER () AS a, (p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER () AS b, (p_retailprice > 1300)::INT AS y FROM part WHERE p_partkey <= 1000),
+_NEAR = """s AS (SELECT p_partkey AS id, (p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER () AS a, (p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER () AS b, (p_retailprice > 1300)::INT AS y FROM part),
 k AS (SELECT x.id, z.id AS other, round(sqrt(pow(x.a - z.a, 2) + pow(x.b - z.b, 2)), 9) AS d, x.y, z.y AS theirs FROM s x JOIN s z ON x.id <> z.id QUALIFY row_number() OVER (PARTITION BY x.id ORDER BY round(sqrt(pow(x.a - z.a, 2) + pow(x.b - z.b, 2)), 9), z.id) <= 5)"""
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,30 @@ def save_state(state: DataFrame, path: str) -> None:
     state.write.mode("overwrite").parquet(path)
 
 
+def load_state(spark: SparkSession, path: str) -> DataFrame:
+    """State that ``save_state`` wrote; the transforms of ``operators.encoding`` take it as they take a fresh fit."""
+    return spark.read.parquet(path)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: spark.checkpoint.dir, or on a local master a folder of this session's own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.wfspark.work", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="wfspark-")
+        spark.conf.set("spark.wfspark.work", folder)
+    return folder
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The frame checkpointed in the work folder: an iteration's lineage ends there."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(work_folder(spark))
+    return df.checkpoint()
+
+
 def labour_panel(spark: SparkSession, stores: int = 10, departments: int = 4, weeks: int = 104, seed: int = 42) -> DataFrame:
     """Store x department x week: headcount, hours, turnover."""
     rows = spark.range(stores * departments * weeks)
