@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wfspark.operators.linear import _expm
@@ -64,7 +64,7 @@ class CareerEmbeddings:
             at = {r: n for n, r in enumerate(roles)}
             out = []
             for r, h in zip(own, past):
-                steps = [at[x] for x in (h if h is not None else []) if x in at]
+                steps = [at[x] for x in (h if h is not None else [r]) if x in at]  # without a history: the present role
                 w = decay ** np.arange(len(steps))[::-1]
                 v = w @ vectors[steps] if steps else np.zeros(vectors.shape[1])
                 v = v / max(np.linalg.norm(v), 1e-12)
@@ -125,24 +125,114 @@ class MarkovChain:
         return spark.range(n).mapInPandas(run, "path long, step int, state string, entered double")
 
 
-def attention_pool(df: DataFrame, by: list[str], vector: str, heads: int = 2, seed: int = 42, order: str | None = None) -> DataFrame:
-    """One vector for each entity from its token vectors by multi-head self-attention with seeded weights, averaged over the tokens.
-    Without heads (0) it is the plain mean."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order) if order else rows
-        x = np.stack([np.asarray(v, float) for v in rows[vector]])
-        d = x.shape[1]
-        if heads:
-            r, size = np.random.default_rng(seed), d // heads
-            parts = []
-            for _ in range(heads):
-                wq, wk, wv = (r.normal(0, np.sqrt(2 / (d + size)), (d, size)) for _ in range(3))
-                s = (x @ wq) @ (x @ wk).T / np.sqrt(size)
-                a = np.exp(s - s.max(axis=1, keepdims=True))
-                parts.append(a / a.sum(axis=1, keepdims=True) @ (x @ wv))
-            x = np.concatenate(parts, axis=1)
-        return pd.DataFrame({**{b: [rows[b].iloc[0]] for b in by}, "pooled": [x.mean(axis=0).tolist()], "n_tokens": [len(x)]})
-
-    return df.groupBy(*by).applyInPandas(run, f"{fields}, pooled array<double>, n_tokens long")
+@dataclass
+class AttentionPooling:
+    """Multi-head attention of one query over an entity's token vectors, followed by an output projection.
+
+    The query is the mean token unless one is given. Weights: square matrices for queries, keys, values and output."""
+
+    heads: int
+    query: np.ndarray
+    key: np.ndarray
+    value: np.ndarray
+    output: np.ndarray
+
+    @classmethod
+    def fresh(cls, dim: int, heads: int = 2, seed: int = 42) -> AttentionPooling:
+        """Uniform weights within the root of 3 / dim, drawn in the order query, key, value, output."""
+        if heads < 1 or dim % heads:
+            raise ValueError(f"{dim} dimensions can't be split into {heads} heads")
+        r, bound = np.random.RandomState(seed), np.sqrt(6 / (2 * dim))
+        return cls(heads, *(r.uniform(-bound, bound, (dim, dim)) for _ in range(4)))
+
+    @property
+    def dim(self) -> int:
+        return len(self.query)
+
+    def scores(self, tokens: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Tokens by heads; ``query``: one for all tokens, or one for each."""
+        size = self.dim // self.heads
+        q, k = np.atleast_2d(query) @ self.query, tokens @ self.key
+        return (q * k).reshape(len(tokens), self.heads, size).sum(axis=2) / np.sqrt(size)
+
+    def aggregate(self, tokens: np.ndarray, query: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Context vector, weight of each token (mean of the heads), weights by head and token."""
+        s = self.scores(tokens, tokens.mean(axis=0) if query is None else query)
+        w = np.exp(s - s.max(axis=0))
+        w /= w.sum(axis=0)
+        values = (tokens @ self.value).reshape(len(tokens), self.heads, -1)
+        return np.einsum("th,thd->hd", w, values).ravel() @ self.output, w.mean(axis=1), w.T
+
+    def _asked(self, df: DataFrame, by: list[str], vector: str, query: list[float] | None) -> DataFrame:
+        """Rows with ``__q``: the query given, or the entity's mean token."""
+        if query is not None:
+            if len(query) != self.dim:
+                raise ValueError("query and tokens differ in their dimension")
+            return df.withColumn("__q", F.lit([float(x) for x in query]))
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+        from pyspark.ml.stat import Summarizer
+
+        token = array_to_vector(F.col(vector).cast("array<double>"))
+        means = df.where(F.col(vector).isNotNull()).groupBy(*by).agg(vector_to_array(Summarizer.mean(token)).alias("__q"))
+        return df.join(means, by)
+
+    def transform(self, df: DataFrame, by: list[str], vector: str, query: list[float] | None = None) -> DataFrame:
+        """``by``, pooled and n_tokens of each entity. Every task adds up what it has of an entity (largest score, sum of weights, weighted sum, by
+        head); the parts of an entity are added in Spark, so its tokens never gather in one place."""
+        names = [f"__b{k}" for k in range(len(by))]
+        kinds = ", ".join(f"{n} {df.schema[b].dataType.simpleString()}" for n, b in zip(names, by))
+        model = df.sparkSession.sparkContext.broadcast(self)
+
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            m = model.value
+            for batch in batches:
+                if not len(batch):
+                    continue
+                x, q = np.stack(batch["__x"]).astype(float), np.stack(batch["__q"]).astype(float)
+                s, v = m.scores(x, q), (x @ m.value).reshape(len(x), m.heads, -1)
+                rows = []
+                for key, at in batch.groupby(names, dropna=False, sort=False).indices.items():
+                    top = s[at].max(axis=0)
+                    w = np.exp(s[at] - top)
+                    rows.append((*(key if isinstance(key, tuple) else (key,)), len(at), top.tolist(), w.sum(axis=0).tolist(), np.einsum("th,thd->hd", w, v[at]).ravel().tolist()))
+                yield pd.DataFrame(rows, columns=[*names, "n", "top", "mass", "total"])
+
+        asked = self._asked(df, by, vector, query).where(F.col(vector).isNotNull()).select(*[F.col(b).alias(n) for n, b in zip(names, by)], F.col(vector).cast("array<double>").alias("__x"), "__q")
+        parts = asked.mapInPandas(part, f"{kinds}, n long, top array<double>, mass array<double>, total array<double>")
+        heads, size = self.heads, self.dim // self.heads
+        tops = parts.groupBy(*[F.col(n).alias(f"{n}t") for n in names]).agg(*[F.max(F.col("top")[h]).alias(f"__t{h}") for h in range(heads)])
+        joined = parts.join(tops, [F.col(n).eqNullSafe(F.col(f"{n}t")) for n in names])
+        scale = [F.exp(F.col("top")[h] - F.col(f"__t{h}")) for h in range(heads)]
+        sums = [F.sum(scale[h] * F.col("mass")[h]).alias(f"__m{h}") for h in range(heads)] + [F.sum(scale[k // size] * F.col("total")[k]).alias(f"__v{k}") for k in range(self.dim)]
+        added = joined.groupBy(*names).agg(F.sum("n").alias("n_tokens"), *sums)
+        context = [F.col(f"__v{k}") / F.col(f"__m{k // size}") for k in range(self.dim)]
+        project = F.pandas_udf(lambda x: pd.Series((np.stack(x) @ model.value.output).tolist() if len(x) else []), "array<double>")
+        return added.select(*[F.col(n).alias(b) for n, b in zip(names, by)], project(F.array(*context)).alias("pooled"), "n_tokens")
+
+    def weights(self, df: DataFrame, by: list[str], vector: str, query: list[float] | None = None) -> DataFrame:
+        """The rows with ``attention``: the weight of each token within its entity, mean of the heads."""
+        model = df.sparkSession.sparkContext.broadcast(self)
+        score = F.pandas_udf(lambda x, q: pd.Series(model.value.scores(np.stack(x).astype(float), np.stack(q).astype(float)).tolist() if len(x) else []), "array<double>")
+        scored = self._asked(df, by, vector, query).withColumn("__s", score(F.col(vector).cast("array<double>"), F.col("__q")))
+        whole = Window.partitionBy(*by)
+        heads = range(self.heads)
+        scored = scored.withColumns({f"__e{h}": F.exp(F.col("__s")[h] - F.max(F.col("__s")[h]).over(whole)) for h in heads})
+        share = sum((F.col(f"__e{h}") / F.sum(f"__e{h}").over(whole) for h in heads), F.lit(0.0)) / self.heads
+        return scored.withColumn("attention", share).select(*df.columns, "attention")
+
+    def to_json(self) -> str:
+        return json.dumps({"heads": self.heads, **{k: getattr(self, k).tolist() for k in ("query", "key", "value", "output")}})
+
+    @classmethod
+    def from_json(cls, text: str) -> AttentionPooling:
+        d = json.loads(text)
+        return cls(d["heads"], *(np.array(d[k]) for k in ("query", "key", "value", "output")))
+
+
+def mean_pool(df: DataFrame, by: list[str], vector: str) -> DataFrame:
+    """Plain mean of each entity's token vectors."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    token = array_to_vector(F.col(vector).cast("array<double>"))
+    return df.where(F.col(vector).isNotNull()).groupBy(*by).agg(vector_to_array(Summarizer.mean(token)).alias("pooled"), F.count("*").alias("n_tokens"))

@@ -110,12 +110,13 @@ def ctmc_simulation(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def attention_pool(spark: SparkSession, d: str) -> DataFrame:
-    return K.attention_pool(table(spark, d, "embeddings"), ["label"], "embedding", order="vec_id")
+    tokens = table(spark, d, "embeddings")
+    return K.AttentionPooling.fresh(len(tokens.first()["embedding"]), heads=2).transform(tokens, ["label"], "embedding")
 
 
 @query("""WITH t AS (SELECT label, unnest(embedding) AS v, unnest(range(0, len(embedding))) AS i FROM embeddings), m AS (SELECT label, i, avg(v::DOUBLE) AS v FROM t GROUP BY ALL) SELECT label, i, v FROM m""", "v")
 def mean_pool(spark: SparkSession, d: str) -> DataFrame:
-    pooled = K.attention_pool(table(spark, d, "embeddings"), ["label"], "embedding", heads=0, order="vec_id")
+    pooled = K.mean_pool(table(spark, d, "embeddings"), ["label"], "embedding")
     return pooled.select("label", F.posexplode("pooled").alias("i", "v")).withColumn("i", F.col("i").cast("bigint"))
 
 

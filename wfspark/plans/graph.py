@@ -141,4 +141,4 @@ def metapath2vec(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def similar_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return _embedded(spark, d).similar(spark, "s1", 5, "s")
+    return _embedded(spark, d).similar(spark, "s2", 5, "s")

@@ -52,8 +52,8 @@ def loo_zscore(spark: SparkSession, d: str) -> DataFrame:
     return E.loo_zscore(_customers(spark, d), ["c_nationkey", "c_mktsegment"], "c_acctbal").drop("c_nationkey", "c_mktsegment", "c_acctbal", "y")
 
 
-@query("""WITH s AS (SELECT c_nationkey, count(*) AS n, avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS sd FROM customer WHERE c_nationkey < 20 GROUP BY 1),
-g AS (SELECT avg(c_acctbal) AS gm, stddev_samp(c_acctbal) AS gs FROM customer WHERE c_nationkey < 20)
+@query("""WITH s AS (SELECT c_nationkey, count(*) AS n, avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS sd FROM customer GROUP BY 1),
+g AS (SELECT avg(c_acctbal) AS gm, stddev_samp(c_acctbal) AS gs FROM customer)
 SELECT s_suppkey, coalesce(n, 0) AS cohort_size, CASE WHEN n < 3 THEN 0.0 ELSE (s_acctbal - coalesce(m, gm)) / greatest(CASE WHEN n IS NULL THEN gs ELSE sd END, 1e-6) END AS z_score
 FROM supplier LEFT JOIN s ON c_nationkey = s_nationkey CROSS JOIN g""", "z_score")
 def loo_zscore_outofsample(spark: SparkSession, d: str) -> DataFrame:

@@ -66,7 +66,7 @@ def diff_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH {PANEL}
-SELECT grp, month, {" + ".join(f"{w!r}::DOUBLE * lag(n, {k}) OVER w" for k, w in enumerate(fractional_weights(0.4, 12, 1e-3)))} AS n_fracdiff FROM panel {_W}""", "n_fracdiff")
+SELECT grp, month, {" + ".join(f"{w!r}::DOUBLE * lag(n, {k}) OVER w" for k, w in enumerate(fractional_weights(0.4, 1000, 1e-3)))} AS n_fracdiff FROM panel {_W}""", "n_fracdiff")
 def frac_diff(spark: SparkSession, d: str) -> DataFrame:
     return T.fractional_difference(panel(spark, d), "n", 0.4, ["grp"], "month", threshold=1e-3).drop("price", "n")
 
