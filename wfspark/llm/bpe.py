@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from wfspark.llm.codepoints import BLANK, LETTER, classes, points
-from wfspark.llm.columns import Texts, ranges, runs, span_hashes, texts
+from wfspark.llm.columns import Texts, frugal, ranges, runs, span_hashes, texts
 
 
 #: Bounds of what one worker remembers: pairs of tokens, pieces, and the bytes of the pieces' ids (about 60 MB together).
@@ -284,6 +284,7 @@ def bpe_encode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
         sha = lambda x, at: pa.array([hashlib.sha256(x[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:])], pa.string())
         return {"n_tokens": pa.array(np.diff(first), pa.int64()), "ids_sha256": sha(ids.astype("<u4"), first), "decoded_sha256": sha(out, ends)}
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
         try:
@@ -292,6 +293,5 @@ def bpe_encode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(i, j - i)} | cells(*_encoded(t, codec)))
         finally:  # workers are used again by other tasks
             codec.forget()
-            pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, DIGEST if digest else SCHEMA)

@@ -6,12 +6,14 @@ about ``CHUNK`` bytes, so memory follows the longest single text, not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 BLOCK = 1 << 19
 
 _U = np.uint64
@@ -20,6 +22,24 @@ _BASE = 0x5851F42D4C957F2D
 _GRAM_BASE = 0x2545F4914F6CDD1D
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over batches that hands freed memory back to the system at the end of its partition: Python workers live on and serve other
+    tasks, and several of them share an executor with its JVM."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library than glibc: it keeps what it freed
+                pass
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser: spreads every input bit over the whole word."""
     x = x ^ (x >> _U(31))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wfspark.llm.columns import runs, span_hashes, spans, texts
+from wfspark.llm.columns import frugal, runs, span_hashes, spans, texts
 from wfspark.llm.html_blocks import Blocks, blocks
 
 PATH_BUCKETS, PATH_DIM = 1024, 24
@@ -411,6 +411,7 @@ def html_extract(pages: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Main text of each page: its blocks labelled so, in page order, joined by an empty line."""
     weights = pages.sparkSession.sparkContext.broadcast({k: v.astype(np.float32) for k, v in labeller().w.items()})
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Labeller(weights.value)
         for batch in batches:

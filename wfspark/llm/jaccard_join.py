@@ -5,13 +5,17 @@ smallest doc_id. Two sets of sizes m <= n can only be as similar as m / n, and s
 threshold must share one of their first few n-grams in any fixed order; the order here is rarest first, by a fixed-size sketch of
 document frequencies (whatever the sketch's error, no pair is lost). A class that has as many n-grams to itself as its head is
 long is done before: no other can be similar enough. Classes that may be alike by these two bounds are gathered
-into candidate components, so that each set travels once. A component is cut into blocks of about ``BLOCK`` rows: of each
-pair of its blocks one task multiplies the two parts of the matrix, a slice of columns at a time, adds up the overlap
-counts, and drops pairs below the bound for their sizes. A task gives the links that span what it found, not all
+into candidate components, so that each set travels once. Of a component of more than ``BLOCK`` classes every class is first compared with one
+class that it shares most of its first n-grams with, about ``BLOCK`` rows a task; what these stars link is settled among itself. Then the
+component is cut by sizes and into blocks of about ``BLOCK`` rows that hold one settled group or unsettled classes, and each pair of blocks that are
+not of one settled group is multiplied: a task takes the two parts of the matrix, a slice of columns at a time, adds up the overlap
+counts, and drops pairs below the bound for their sizes. A group of g near copies of one text so costs g / ``BLOCK`` products; classes of one
+component that stay unlinked still meet in pairs of blocks. A task gives the links that span what it found, not all
 pairs; connected components of the links give the groups.
 
-Null texts and texts without a word have empty sets and link with nothing. Repeated rows fall into one class. Texts of
-any length are read whole; extra columns are ignored; an empty table gives no rows.
+Null texts and texts without a word have empty sets and link with nothing. Repeated rows fall into one class; rows that share a doc_id but not
+a set are documents of their own. A similarity of just the threshold links. Texts of any length are read whole; extra columns are
+ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,10 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wfspark.llm.columns import CHUNK, Texts, mix, runs, span_hashes, spans, texts, window_hashes
+from wfspark.llm.columns import CHUNK, Texts, frugal, mix, runs, span_hashes, spans, texts, window_hashes
 from wfspark.llm.components import components
 from wfspark.llm.sources import discard, shuffles_end_with_jobs, written
 from wfspark.llm.substring_dedup import n_buckets
@@ -67,6 +71,7 @@ def _sketch(docs: DataFrame, like: Similarity) -> np.ndarray:
     """Document frequencies of n-grams summed by cell: CELLS numbers whatever the input."""
     width = CELLS // _SLICES
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.uint32)
         for batch in batches:
@@ -96,6 +101,7 @@ def _digests(docs: DataFrame, like: Similarity) -> DataFrame:
     """doc_id, n_shingles, a 128-bit name of the set, and the n-grams of which similar sets share one."""
     shared = docs.sparkSession.sparkContext.broadcast(_sketch(docs, like))
 
+    @frugal
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
@@ -136,6 +142,7 @@ def _own_grams(docs: DataFrame, like: Similarity) -> DataFrame:
     the name of its set or 0 for several; entries are dealt by n-gram as packed arrays, and only counts come back."""
     bits = n_buckets(docs).bit_length() - 1
 
+    @frugal
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, t in runs(texts(batch.column(0)), 4 * CHUNK):
@@ -158,6 +165,7 @@ def _own_grams(docs: DataFrame, like: Similarity) -> DataFrame:
                         rows.append((bucket, names.tobytes(), counts.astype(np.int32).tobytes(), g[by].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "names", "counts", "grams"])
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, grams = [], []
         for batch in batches:
@@ -177,12 +185,18 @@ def _own_grams(docs: DataFrame, like: Similarity) -> DataFrame:
 
 
 def _sets(docs: DataFrame, like: Similarity) -> DataFrame:
+    """of, name_a and grams: doc_id, the name of its set, and the set."""
+
+    @frugal
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, t in runs(texts(batch.column(1))):
-                yield pa.RecordBatch.from_pydict({"of": batch.column(0).slice(i, j - i), "grams": pa.array([s.tobytes() for s in shingle_sets(t, like.n)], pa.binary())})
+                sets = shingle_sets(t, like.n)
+                names = np.array([_name(s, _SEEDS[0]) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"of": batch.column(0).slice(i, j - i), "name": pa.array(names), "grams": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    return docs.select("doc_id", "text").mapInArrow(take, "of long, grams binary")
+    taken = docs.select("doc_id", "text").mapInArrow(take, "of long, name long, grams binary")
+    return taken.groupBy("of", "name").agg(F.first("grams").alias("grams"))
 
 
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
@@ -220,75 +234,120 @@ def _spanning(ids: np.ndarray, left: np.ndarray, right: np.ndarray, similar: np.
     return ids[own], ids[label[own]]
 
 
-def _candidates(entries: DataFrame, like: Similarity) -> tuple[DataFrame, DataFrame]:
-    """The entries whose n-gram several classes have, and links (a, b) after which any two classes that share a head n-gram and are of similar enough sizes lie in one component.
+def _candidates(entries: DataFrame, like: Similarity) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The entries whose n-gram several classes have, the smallest class of each n-gram and band of sizes, and links (a, b) after which any two classes
+    that share a head n-gram and are of similar enough sizes lie in one component.
 
     At one n-gram, classes in one narrow band of sizes are linked with the smallest id of the band, and neighbouring bands with one another
     where the largest size below and the smallest above are close enough: if two classes are, so are all steps between them."""
     meeting = entries.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1").select(F.col("gram").alias("at"))
     band = F.floor(F.log("n") / F.lit(-np.log1p(min(like.percent - 100, -1) / 1000)))
-    met = written(entries.join(meeting, F.col("gram") == F.col("at")).select("gram", "rep", "n", band.alias("band")), "met")
-    bands = met.groupBy("gram", "band").agg(F.min("rep").alias("least"), F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("size"))
-    inside = met.join(bands.where("size > 1").select("gram", "band", "least"), ["gram", "band"]).select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    met = written(entries.join(meeting, F.col("gram") == F.col("at")).select("gram", "node", "n", band.alias("band")), "met")
+    bands = met.groupBy("gram", "band").agg(F.min("node").alias("least"), F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("size"))
+    inside = met.join(bands.where("size > 1").select("gram", "band", "least"), ["gram", "band"]).select(F.col("node").alias("a"), F.col("least").alias("b"))
     below = Window.partitionBy("gram").orderBy("band")
     across = bands.select("gram", "low", F.col("least").alias("a"), F.lag("least").over(below).alias("b"), F.lag("high").over(below).alias("under"))
     across = across.where(100 * F.col("under") >= like.percent * F.col("low")).select("a", "b")
-    return met, inside.union(across).where("a <> b").distinct()
+    pairs = written(inside.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
+    return met, pairs, pairs.select("a", "b").union(across.where("a <> b")).distinct()
+
+
+_LINKS = "a long, b long"
+
+
+def _compared(dealt: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Links within each group of ``dealt`` (keys, node, is_high, grams): between its low and its high rows, or among all where none is high."""
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sets, high = [], [], []
+        for batch in batches:
+            ids += batch.column("node").to_pylist()
+            high += batch.column("is_high").to_pylist()
+            sets += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("grams")]
+        order = np.argsort(ids, kind="stable")
+        ids, sets, high = np.array(ids)[order], [sets[k] for k in order], np.array(high)[order]
+        left, right = (np.flatnonzero(~high), np.flatnonzero(high)) if high.any() else (np.arange(len(ids)),) * 2
+        if len(left) and len(right):
+            a, b = _spanning(ids, left, right, linked(sets, left, right, percent))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.select(*keys, "node", "is_high", "grams").groupBy(*keys).applyInArrow(multiply, _LINKS)
 
 
-def _blocks(members: DataFrame, like: Similarity) -> DataFrame:
-    """Classes with the block group they are compared in. A component of more than ``BLOCK`` classes is cut by size: a class goes with the
-    band of its size and with the band below, and sizes two bands apart are too far from one another."""
-    whole = members.groupBy("component").agg(F.count("*").alias("__size"))
+def _dealt_by(node: str, blocks: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.col(blocks)).cast("int")
+
+
+def _star_links(large: DataFrame, pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
+    """Links between the classes of large components and the class that each shares most of its first n-grams with."""
+    own = pairs.join(large.select(F.col("node").alias("a")), "a", "left_semi")
+    stars = own.groupBy(F.col("a").alias("node")).agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("hub"))
+    parts = stars.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    rays = stars.join(parts, "hub").select("hub", _dealt_by("node", "parts").alias("part"), "node", F.lit(True).alias("is_high"))
+    hubs = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("node"), F.lit(False).alias("is_high"))
+    return _compared(rays.union(hubs).join(sets, "node"), ["hub", "part"], like.percent)
+
+
+def _block_pairs(large: DataFrame, settled: DataFrame, like: Similarity) -> DataFrame:
+    """component, sizes, low, high, node, is_high: large components cut by size and into blocks, each with the blocks that it is to be compared with.
+    A class goes with the band of its size and with the band below; sizes two bands apart are too far from one another."""
     band = F.floor(F.log("n") / F.lit(-np.log(min(like.percent, 99) / 100))).cast("int")
-    sizes = F.when(F.col("__size") > BLOCK, F.array(band, band - 1)).otherwise(F.array(F.lit(0)))
-    cut = members.join(whole, "component").select("rep", "component", F.explode(sizes).alias("sizes"))
-    counts = cut.groupBy("component", "sizes").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    return cut.join(counts, ["component", "sizes"])
+    group = F.coalesce("settled", "node")
+    cut = large.join(settled.select(F.col("id").alias("node"), F.col("component").alias("settled")), "node", "left").select("component", "node", group.alias("group"), F.explode(F.array(band, band - 1)).alias("sizes"))
+    cut = written(cut, "cut")
+    counts = cut.groupBy("component", "sizes", "group").agg(F.count("*").alias("size"))
+    whole = counts.groupBy("component", "sizes").agg(F.count("*").alias("groups"), F.sum(F.when(F.col("size") < BLOCK, F.col("size")).otherwise(0)).alias("rest")).where("groups > 1")
+    parts = counts.join(whole, ["component", "sizes"]).withColumn("own", F.when(F.col("size") >= BLOCK, F.col("group")))
+    parts = parts.withColumn("blocks", F.ceil(F.when(F.col("size") >= BLOCK, F.col("size")).otherwise(F.col("rest")) / BLOCK).cast("int"))
+    placed = cut.join(parts.select("component", "sizes", "group", "own", "blocks"), ["component", "sizes", "group"])
+    placed = placed.select("component", "sizes", "node", "own", _dealt_by("node", "blocks").alias("block"))
+    blocks = parts.select("component", "sizes", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).distinct()
+    blocks = blocks.withColumn("number", F.row_number().over(Window.partitionBy("component", "sizes").orderBy("own", "block")))
+    low = blocks.select("component", "sizes", F.col("own").alias("low_own"), F.col("number").alias("low"))
+    high = blocks.select("component", "sizes", F.col("own").alias("high_own"), F.col("number").alias("high"))
+    tasks = low.join(high, ["component", "sizes"]).where("low <= high and not (low_own is not null and low_own <=> high_own)").select("component", "sizes", "low", "high")
+    numbered = placed.join(blocks.withColumnRenamed("own", "of"), (F.col("own").eqNullSafe(F.col("of"))) & (placed["block"] == blocks["block"]) & (placed["component"] == blocks["component"]) & (placed["sizes"] == blocks["sizes"]))
+    numbered = numbered.select(placed["component"], placed["sizes"], "node", "number")
+    at = lambda side, flag: numbered.withColumnRenamed("number", side).join(tasks, ["component", "sizes", side]).select("component", "sizes", "low", "high", "node", F.lit(flag).alias("is_high"))
+    return at("low", False).union(at("high", True).where("low < high"))
 
 
 def jaccard_join(docs: DataFrame, like: Similarity | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) of every row."""
     like = like or Similarity()
     digests = written(_digests(docs, like), "digests")
-    classes = digests.where("n_shingles > 0").groupBy("name_a", "name_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("head").alias("head"))
+    full = digests.where("n_shingles > 0")
+    narrow = full.groupBy("name_a", "name_b").agg(F.min("doc_id").alias("rep"))
+    # a class is known by its smallest doc_id; only where several classes have the same one, by the hash of its name
+    shared_ids = narrow.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
+    node = F.xxhash64("name_a", "name_b") if shared_ids else F.col("rep")
+    classes = full.groupBy("name_a", "name_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("head").alias("head")).withColumn("node", node)
     own_grams = written(_own_grams(docs, like), "own")
     classes = classes.join(own_grams, "name_a", "left").where(F.coalesce("own", F.lit(0)) < F.size("head"))
-    entries = written(classes.select("rep", "n", F.explode("head").alias("gram")), "entries")
-    met, edges = _candidates(entries, like)
+    entries = written(classes.select("node", "n", F.explode("head").alias("gram")), "entries")
+    met, pairs, edges = _candidates(entries, like)
     found = components(edges)
     together = written(found.select("id", "component").union(found.select("component", "component").distinct()), "together")
     discard(met, found)
-    members = written(_blocks(together.select(F.col("id").alias("rep"), "component").join(classes.select("rep", "n"), "rep"), like), "members")
-    wanted = docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = written(_sets(wanted.dropDuplicates(["doc_id"]), like), "sets")
-    dealt = (
-        members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("component", "sizes", "rep", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("is_high"))
-        .join(sets, F.col("rep") == F.col("of"))
-        .select("component", "sizes", "low", "high", "is_high", "rep", "grams")
-    )
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sets, high, same = [], [], [], True
-        for batch in batches:
-            same = batch.column(2)[0].as_py() == batch.column(3)[0].as_py()
-            ids += batch.column(5).to_pylist()
-            high += batch.column(4).to_pylist()
-            sets += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(6)]
-        order = np.argsort(ids)
-        ids, sets, high = np.array(ids)[order], [sets[k] for k in order], np.array(high)[order]
-        left, right = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(~high), np.flatnonzero(high))
-        if len(left) and len(right):
-            a, b = _spanning(ids, left, right, linked(sets, left, right, like.percent))
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    links = dealt.groupBy("component", "sizes", "low", "high").applyInArrow(multiply, "a long, b long")
+    members = together.select(F.col("id").alias("node"), "component").join(classes.select("node", "rep", "name_a", "n"), "node")
+    sized = members.groupBy("component").agg(F.count("*").alias("members"))
+    members = written(members.join(sized, "component"), "members")
+    wanted = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    taken = _sets(wanted, like)
+    sets = written(taken.join(members.select("node", "rep", "name_a"), (F.col("of") == F.col("rep")) & (F.col("name") == F.col("name_a"))).select("node", "grams"), "sets")
+    small = members.where(F.col("members") <= BLOCK).select("component", "node", F.lit(False).alias("is_high")).join(sets, "node")
+    links = written(_compared(small, ["component"], like.percent), "links")
+    large = members.where(F.col("members") > BLOCK).select("component", "node", "n")
+    if large.limit(1).count():
+        stars = written(_star_links(large, pairs, sets, like), "stars")
+        settled = components(stars)
+        rest = _compared(_block_pairs(large, settled, like).join(sets, "node"), ["component", "sizes", "low", "high"], like.percent)
+        links = links.union(stars).union(written(rest, "rest"))
     groups = components(links)
-    discard(own_grams, entries, together, members, sets)
-    named = digests.where("n_shingles > 0").groupBy("name_a", "name_b").agg(F.min("doc_id").alias("rep"))
-    named = named.join(groups, F.col("rep") == F.col("id"), "left").select("name_a", "name_b", F.coalesce("component", "rep").alias("component"))
+    discard(own_grams, entries, pairs, together, members, sets)
+    named = narrow.withColumn("node", node).join(groups, F.col("node") == F.col("id"), "left").select("name_a", "name_b", "rep", F.coalesce("component", "node").alias("component"))
+    if shared_ids:
+        named = named.join(named.groupBy("component").agg(F.min("rep").alias("least")), "component").select("name_a", "name_b", F.col("least").alias("component"))
     return (
         digests.join(named, ["name_a", "name_b"], "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wfspark.llm.codepoints import lower_letters, points
-from wfspark.llm.columns import Texts, runs, texts
+from wfspark.llm.columns import Texts, frugal, runs, texts
 
 BUCKETS = 1 << 15
 UNKNOWN = "und"
@@ -85,6 +85,7 @@ class LanguageModel:
 def train(docs: DataFrame, buckets: int = BUCKETS, smoothing: float = 0.5) -> LanguageModel:
     """Counts every labelled row. ``docs``: text and lang."""
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[str, int] = {}
         table, rows = np.zeros((0, buckets), np.int64), []
@@ -129,6 +130,7 @@ def language_id(docs: DataFrame, model: LanguageModel, carry: tuple[str, ...] =
     chosen = docs.select("doc_id", "text", *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)])
     extra = "".join(f", carried_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = LanguageModel(*shared.value)
         names = np.array([*model.languages, UNKNOWN], object)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wfspark.llm.columns import SPACE, Texts, byte_class, covered, mix, repeated, runs, span_hashes, spans, sums, texts, whole_windows, window_hashes
+from wfspark.llm.columns import SPACE, Texts, byte_class, covered, frugal, mix, repeated, runs, span_hashes, spans, sums, texts, whole_windows, window_hashes
 
 #: The symbols `[#*$%&|<>]`.
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -100,6 +100,7 @@ def quality_rules(docs: DataFrame, rules: QualityRules | None = None) -> DataFra
     """One row per document with every measure, ``base_failed`` and ``kept``."""
     rules = rules or QualityRules()
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wfspark.llm.columns import CHUNK, Texts, covered, member, mix, ranges, runs, span_hashes, spans, sums, texts, whole_windows, window_hashes
+from wfspark.llm.columns import CHUNK, Texts, covered, frugal, member, mix, ranges, runs, span_hashes, spans, sums, texts, whole_windows, window_hashes
 from wfspark.llm.sources import written
 
 WINDOW = 13
@@ -137,6 +137,7 @@ def repeats(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, settled, found: hashes of repeated windows, or (settled) word intervals as start << 32 | end."""
     bits = n_buckets(docs).bit_length() - 1
 
+    @frugal
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.take(pc.sort_indices(batch.column(0)))
@@ -146,6 +147,7 @@ def repeats(docs: DataFrame, n: int) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _count(list(batches))
 
@@ -218,6 +220,7 @@ def substring_dedup(docs: DataFrame, n: int = WINDOW, digest: bool = False, carr
     extra = "".join(f", carried_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
     name = "kept_sha256" if digest else "text"
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = {x: k for k, x in enumerate(batch.schema.names)}

@@ -14,8 +14,9 @@ machine can hold one transform of the corpus, so suffixes are gathered where the
    in one block share ``LENGTH`` bytes: all but the earliest are repeats.
 4. Repeats go back to their documents by id and merge into maximal intervals.
 
-Null texts are empty. Rows that share a doc_id are copies of one document and don't repeat each other. Texts of any length are
-read in blocks; matches never cross documents. Extra columns are ignored; an empty table gives no rows. Contexts are
+Null texts are empty. Rows that share a doc_id stand for one document, whose text is the least of theirs; each of them gets its result.
+Texts of any length are read in blocks; matches never cross documents. Of equal strings the one that starts first stays, by doc_id and then by
+place. Extra columns are ignored, whatever their names; an empty table gives no rows. Contexts are
 compared by 64-bit hashes, anchors too (an anchor's collision only costs time).
 """
 
@@ -31,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wfspark.llm import bwt
-from wfspark.llm.columns import BLOCK, CHUNK, Texts, byte_hashes, mix, ranges, runs, texts
-from wfspark.llm.sources import written
+from wfspark.llm.columns import BLOCK, CHUNK, Texts, byte_hashes, frugal, mix, ranges, runs, texts
+from wfspark.llm.sources import discard, written
 from wfspark.llm.substring_dedup import n_buckets
 
 LENGTH, GRAM = 100, 50
@@ -216,8 +217,11 @@ def _lists(column: pa.Array) -> list[list[bytes]]:
 def suffix_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and, with ``digest``, kept_sha256, else the bytes that are left and the removed spans (start, end)."""
     bits = n_buckets(docs).bit_length() - 1
-    read = docs.select("doc_id", "text")
+    given = docs.select("doc_id", "text")
+    twice = given.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
+    read = given.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")).union(given.where("doc_id is null")) if twice else given
 
+    @frugal
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.take(pc.sort_indices(batch.column(0)))
@@ -225,8 +229,10 @@ def suffix_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
             for i, j, t in runs(texts(batch.column(1)), 4 * CHUNK):
                 start, count, anchor, whole = contexts(t)
                 index = t.document_of(start)
-                yield from _deal(ids[i:j][index], start - t.offsets[index], count, anchor, whole, bits)
+                # anchors are least hashes, so small numbers: mixed, they spread over all buckets
+                yield from _deal(ids[i:j][index], start - t.offsets[index], count, mix(anchor), whole, bits)
 
+    @frugal
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _settle(list(batches))
 
@@ -245,23 +251,26 @@ def suffix_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
                 start, size = (every >> _U(8)).astype(np.int64), (every & _U(0xFF)).astype(np.int64) + LENGTH - 1
                 yield ids[i:j][of], start, Texts(t.data[ranges(t.offsets[of] + start, size)], np.concatenate([[0], np.cumsum(size)])), keys
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, start, strings, key in wanted(batches):
             first, count, greatest, whole = contexts(strings, greatest=True)
             of = strings.document_of(first)
             yield from _deal(doc[of], start[of] + first - strings.offsets[of], count, mix(key[of] ^ greatest), whole, bits)
 
+    @frugal
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in wanted(batches):
             yield from _shards(*part, bits)
 
+    @frugal
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _merge(list(batches))
 
     def with_text(found: DataFrame) -> DataFrame:
         asked = found.where("wanted").groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("found", "keys")).alias("asked"))
         asked = asked.select("of", F.col("asked.found").alias("found"), F.col("asked.keys").alias("keys"))
-        return read.dropDuplicates(["doc_id"]).join(asked, F.col("doc_id") == F.col("of")).select("doc_id", "text", "found", "keys")
+        return read.join(asked, F.col("doc_id") == F.col("of")).select("doc_id", "text", "found", "keys")
 
     dealt = read.where("doc_id is not null and text is not null").mapInArrow(deal, _DEALT_SQL)
     alike = written(dealt.groupBy("bucket").applyInArrow(settle, _FOUND_SQL), "alike")
@@ -271,9 +280,12 @@ def suffix_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
     compared = written(shards.groupBy("bucket").applyInArrow(merge, _FOUND_SQL), "compared")
     settled = alike.union(closer)
     gone = settled.where("not wanted").union(compared).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("found").alias("found"))
+    gone = written(gone, "gone")
+    discard(alike, closer, compared)
     joined = read.join(gone, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "found")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary, spans array<struct<start:bigint,end:bigint>>")
 
+    @frugal
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, t in runs(texts(batch.column(1)), 2 * CHUNK):
@@ -299,4 +311,8 @@ def suffix_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
                     cells |= {"kept": pa.array(pieces, pa.binary()), "spans": pa.ListArray.from_arrays(pa.array(each, pa.int32()), spans)}
                 yield pa.RecordBatch.from_pydict(cells)
 
-    return joined.mapInArrow(remove, schema)
+    out = joined.mapInArrow(remove, schema)
+    if not twice:
+        return out
+    rows = given.where("doc_id is not null").select(F.col("doc_id").alias("of"))
+    return rows.join(out, F.col("of") == F.col("doc_id")).drop("of").union(out.where("doc_id is null"))

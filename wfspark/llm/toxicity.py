@@ -26,7 +26,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wfspark.llm.columns import Texts, byte_class, member, mix, ranges, runs, span_hashes, spans, texts
+from wfspark.llm.columns import Texts, byte_class, frugal, member, mix, ranges, runs, span_hashes, spans, texts
 
 _OUTSIDE = ~byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 #: Stands behind each window and at the end of both dictionaries: the compressor does not look for matches in the last bytes of its input.
@@ -276,6 +276,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, score and predicted of each document."""
     shared = docs.sparkSession.sparkContext.broadcast((model.contents, model.cell_weights, model.curve, model.prior))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = ToxicityModel(*shared.value).start()
         for batch in batches:
