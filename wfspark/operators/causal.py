@@ -6,7 +6,7 @@ Nuisance models take their moments from Spark; scores are columns. Folds are has
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,54 +15,137 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wfspark.functions.pay import col
-from wfspark.operators.linear import linear, moments, ridge
+from wfspark.operators.linear import joined_moments, linear, moments, ridge
 
 
-def logit(df: DataFrame, target: str, features: list[str], weight: str | None = None, c: float = 1.0, rounds: int = 25) -> tuple[float, np.ndarray]:
-    """Logistic regression with an L2 penalty of 1 / c on the coefficients, by Newton steps; each is one aggregation."""
-    b = np.zeros(len(features) + 1)
-    x = [F.lit(1.0), *[col(f) for f in features]]
-    w = col(weight) if weight else F.lit(1.0)
-    k = len(x)
+#: Units times periods that synthetic controls take.
+MOST_CELLS = 2_000_000
+
+
+def logits(df: DataFrame, targets: dict[object, Column], features: list[str], weights: dict[object, Column] | None = None, c: float = 1.0, rounds: int = 25) -> dict[object, tuple[float, np.ndarray]]:
+    """Several logistic regressions on the same features, each with its own target and row weights, with an L2 penalty of 1 / c on the
+    coefficients. A Newton step of all models is one aggregation over packed blocks of rows, which numpy multiplies."""
+    names = list(targets)
+    p, k = len(features), len(names)
+    values = [*[targets[n] for n in names], *[(weights or {}).get(n, F.lit(1.0)) for n in names]]
+    rows = df.select(*[col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)], *[v.cast("double").alias(f"v{i}") for i, v in enumerate(values)])
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"rows": [batch.to_numpy(float).tobytes()]})
+
+    def sums(blocks: Iterator, b: np.ndarray) -> Iterator[np.ndarray]:
+        """Gradient and second derivative of each model over a partition, side by side."""
+        total = np.zeros((k, p + 1, p + 2))
+        for block in blocks:
+            m = np.frombuffer(block[0]).reshape(-1, p + 2 * k)
+            x = np.column_stack([np.ones(len(m)), m[:, :p]])
+            for j in range(k):
+                y, w = m[:, p + j], m[:, p + k + j]
+                ok = (w != 0) & ~np.isnan(w) & ~np.isnan(y) & ~np.isnan(x).any(axis=1)
+                xj, yj, wj = (x, y, w) if ok.all() else (x[ok], y[ok], w[ok])
+                e = 1 / (1 + np.exp(-np.clip(xj @ b[j], -500, 500)))
+                total[j, :, 0] += xj.T @ (wj * (yj - e))
+                total[j, :, 1:] += xj.T @ (xj * (wj * e * (1 - e))[:, None])
+        yield total
+
+    packed = rows.mapInPandas(pack, "rows binary").rdd.persist(StorageLevel.MEMORY_AND_DISK)
+    b, penalty = np.zeros((k, p + 1)), np.diag([1e-9] + [1 / c] * p)
+    moving = np.ones(k, bool)
     for _ in range(rounds):
-        p = 1 / (1 + F.exp(-sum((F.lit(float(v)) * xi for v, xi in zip(b, x)), F.lit(0.0))))
-        parts = [F.sum(w * (col(target) - p) * xi).alias(f"g{i}") for i, xi in enumerate(x)]
-        parts += [F.sum(w * p * (1 - p) * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
-        r = df.agg(*parts).first()
-        penalty = np.diag([1e-9] + [1 / c] * (k - 1))
-        h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]) + penalty
-        step = np.linalg.solve(h, np.array([r[f"g{i}"] or 0.0 for i in range(k)]) - penalty @ b)
-        b = b + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-7:
+        now = b.copy()
+        total = packed.mapPartitions(lambda blocks, now=now: sums(blocks, now)).treeReduce(np.add, 2) if packed.getNumPartitions() else np.zeros((k, p + 1, p + 2))
+        for j in np.flatnonzero(moving):
+            step = np.linalg.solve(total[j, :, 1:] + penalty, total[j, :, 0] - penalty @ b[j])
+            b[j] += np.clip(step, -5, 5)
+            moving[j] = np.abs(step).max() >= 1e-7
+        if not moving.any():
             break
-    return float(b[0]), b[1:]
+    packed.unpersist()
+    return {n: (float(b[j, 0]), b[j, 1:]) for j, n in enumerate(names)}
+
+
+def logit(df: DataFrame, target: str, features: list[str], weight: str | None = None, c: float = 1.0, rounds: int = 25) -> tuple[float, np.ndarray]:
+    """One logistic regression."""
+    return logits(df, {0: col(target)}, features, {0: col(weight)} if weight else None, c, rounds)[0]
 
 
 def _sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def doubly_robust(df: DataFrame, row: str, outcome: str, treatment: str, features: list[str], clip: tuple[float, float] = (0.01, 0.99), folds: int = 5, alpha: float = 1.0) -> DataFrame:
-    """Rows with ``psi``, the doubly robust score of each, from models fitted on the other folds."""
-    work = df.withColumn("__fold", F.pmod(F.xxhash64(row), F.lit(folds)))
-    psi = None
+#: Fits a model on some rows and gives its prediction as a column: fit(rows, target, features).
+Learner = Callable[[DataFrame, str, list[str]], Column]
+
+
+def ridge_learner(alpha: float = 1.0) -> Learner:
+    return lambda rows, target, features: linear(*ridge(moments(rows, [target, *features])[None], target, features, alpha), features)
+
+
+def logistic_learner(c: float = 1.0) -> Learner:
+    return lambda rows, target, features: _sigmoid(linear(*logit(rows, target, features, c=c), features))
+
+
+def _folded(work: DataFrame, outcome: str, treatment: str, features: list[str], folds: int, alpha: float) -> list[tuple[Column, Column, Column]]:
+    """Propensity and both outcome predictions for each fold, from models of the other folds: sums of products by fold and arm come from one
+    aggregation, and all logistic models take their steps together."""
+    by = moments(work.withColumn("__cell", F.col("__fold") * 2 + col(treatment)), [outcome, *features], "__cell")
+    keep = lambda k: F.when(F.col("__fold") != k, 1.0).otherwise(0.0) if folds > 1 else F.lit(1.0)
+    fitted = logits(work, {k: col(treatment) for k in range(folds)}, features, {k: keep(k) for k in range(folds)})
+    out = []
     for k in range(folds):
-        train = work.where(F.col("__fold") != k) if folds > 1 else work
-        e = F.greatest(F.lit(clip[0]), F.least(F.lit(clip[1]), _sigmoid(linear(*logit(train, treatment, features), features))))
-        by = moments(train, [outcome, *features], treatment)
-        one, zero = (linear(*ridge(by[v], outcome, features, alpha), features) for v in (1, 0))
-        t, y = col(treatment), col(outcome)
-        score = (one - zero) + t * (y - one) / e - (1 - t) * (y - zero) / (1 - e)
-        psi = F.when(F.col("__fold") == k, score) if psi is None else psi.when(F.col("__fold") == k, score)
-    return work.withColumn("psi", psi).drop("__fold")
+        arms = [joined_moments([m for cell, m in by.items() if cell % 2 == arm and (folds == 1 or cell // 2 != k)]) for arm in (0, 1)]
+        if None in arms:
+            raise ValueError("every training fold needs treated and control rows")
+        zero, one = (linear(*ridge(m, outcome, features, alpha), features) for m in arms)
+        out.append((_sigmoid(linear(*fitted[k], features)), zero, one))
+    return out
+
+
+def doubly_robust(
+    df: DataFrame, row: str, outcome: str, treatment: str, features: list[str], clip: tuple[float, float] = (0.01, 0.99), folds: int = 5, alpha: float = 1.0,
+    propensity: Learner | None = None, regression: Learner | None = None,
+) -> DataFrame:
+    """Rows with ``propensity``, ``mu0``, ``mu1`` and ``psi``, the doubly robust score of each, from models fitted on the other folds. The models are
+    logistic and ridge regressions unless learners are given. The treatment must be 0 or 1, with at least two rows of each."""
+    work = df.withColumn("__fold", F.pmod(F.xxhash64(row), F.lit(folds)))
+    arms = {r[0]: r[1] for r in df.groupBy(col(treatment).cast("double")).count().collect()}
+    if set(arms) != {0.0, 1.0}:
+        raise ValueError("the treatment must be 0 or 1, and both must occur")
+    if folds > 1 and min(arms.values()) < 2:
+        raise ValueError("each arm needs at least two rows")
+    if propensity is None and regression is None:
+        models = _folded(work, outcome, treatment, features, folds, alpha)
+    else:
+        models = []
+        for k in range(folds):
+            part = work.where(F.col("__fold") != k) if folds > 1 else work
+            fit = regression or ridge_learner(alpha)
+            models.append(((propensity or logistic_learner())(part, treatment, features), *(fit(part.where(col(treatment) == v), outcome, features) for v in (0, 1))))
+
+    def chosen(which: int) -> Column:
+        out = F.lit(None).cast("double")
+        for k, model in enumerate(models):
+            out = F.when(F.col("__fold") == k, model[which]).otherwise(out)
+        return out
+
+    scored = work.withColumns({"propensity": F.greatest(F.lit(clip[0]), F.least(F.lit(clip[1]), chosen(0))), "mu0": chosen(1), "mu1": chosen(2)})
+    t, y, e = col(treatment), col(outcome), F.col("propensity")
+    psi = F.col("mu1") - F.col("mu0") + t * (y - F.col("mu1")) / e - (1 - t) * (y - F.col("mu0")) / (1 - e)
+    return scored.withColumn("psi", psi).drop("__fold")
+
+
+def _two_sided(z: Column) -> Column:
+    return F.pandas_udf(lambda v: v.abs().map(lambda x: math.erfc(x / math.sqrt(2))), "double")(z)
 
 
 def aipw(df: DataFrame, row: str, outcome: str, treatment: str, features: list[str], **options: object) -> DataFrame:
-    """Average treatment effect with its standard error, interval and p-value."""
+    """Average treatment effect with its standard error, z, interval and p-value, and the plain difference of the arms' means."""
     scored = doubly_robust(df, row, outcome, treatment, features, **options)
-    r = scored.agg(F.avg("psi").alias("ate"), (F.stddev_pop("psi") / F.sqrt(F.count("psi"))).alias("se"), F.count("psi").alias("n"))
-    tail = F.pandas_udf(lambda z: z.abs().map(lambda v: math.erfc(v / math.sqrt(2))), "double")
-    return r.select("n", "ate", "se", (F.col("ate") - 1.96 * F.col("se")).alias("ci_low"), (F.col("ate") + 1.96 * F.col("se")).alias("ci_high"), tail(F.try_divide("ate", "se")).alias("p_value"))
+    mean = lambda v: F.avg(F.when(col(treatment) == v, col(outcome)))
+    r = scored.agg(F.avg("psi").alias("ate"), (F.stddev_pop("psi") / F.sqrt(F.count("psi"))).alias("se"), F.count("psi").alias("n"), (mean(1) - mean(0)).alias("naive_ate"))
+    r = r.withColumn("z", F.coalesce(F.try_divide("ate", "se"), F.lit(0.0)))
+    return r.select("n", "ate", "se", "z", (F.col("ate") - 1.96 * F.col("se")).alias("ci_low"), (F.col("ate") + 1.96 * F.col("se")).alias("ci_high"), _two_sided(F.col("z")).alias("p_value"), "naive_ate")
 
 
 def uplift_mse(df: DataFrame, row: str, outcome: str, treatment: str, features: list[str], score: str) -> DataFrame:
@@ -96,8 +179,11 @@ def simplex_weights(a: np.ndarray, y: np.ndarray, l2: float = 1e-4, intercept: b
 
 
 def _wide(df: DataFrame, unit: str, time: str, outcome: str) -> pd.DataFrame:
-    """Units by periods; units with a missing period go. The panel is aggregated already, one number for each unit and period."""
-    rows = df.groupBy(unit, time).agg(F.avg(col(outcome)).alias("y")).toPandas()
+    """Units by periods; units with a missing period go. One number for each unit and period comes to the driver, at most ``MOST_CELLS`` of them."""
+    cells = df.groupBy(unit, time).agg(F.avg(col(outcome)).alias("y"))
+    if cells.limit(MOST_CELLS + 1).count() > MOST_CELLS:
+        raise ValueError(f"synthetic controls take at most {MOST_CELLS} pairs of unit and period")
+    rows = cells.toPandas()
     return rows.pivot(index=unit, columns=time, values="y").sort_index(axis=1).dropna()
 
 
@@ -107,7 +193,7 @@ def sdid(df: DataFrame, unit: str, time: str, outcome: str, treated: list, post:
     w = _wide(df, unit, time, outcome)
     is_post = np.array([t >= post for t in w.columns])
     tr, co = w[w.index.isin(treated)].to_numpy(), w[~w.index.isin(treated)].to_numpy()
-    schema = "att double, se double, n_controls int, n_treated int"
+    schema = "att double, se double, t_stat double, p_value double, ci_low double, ci_high double, treated_pre double, treated_post double, synthetic_pre double, synthetic_post double, n_controls int, n_treated int"
     if not len(tr) or not len(co) or is_post.all() or not is_post.any():
         return df.sparkSession.createDataFrame([], schema)
     omega, _ = simplex_weights(co[:, ~is_post].T, tr[:, ~is_post].mean(axis=0), l2)
@@ -123,8 +209,11 @@ def sdid(df: DataFrame, unit: str, time: str, outcome: str, treated: list, post:
         o = np.delete(omega, k)
         left.append(att(o / o.sum() if o.sum() > 0 else np.full(len(o), 1 / len(o)), np.delete(co, k, axis=0)))
     n = len(left)
-    se = math.sqrt((n - 1) / n * np.sum((np.array(left) - np.mean(left)) ** 2)) if n >= 3 else 0.0
-    return df.sparkSession.createDataFrame([(effect, se or 0.01, n, len(tr))], schema)
+    se = (math.sqrt((n - 1) / n * np.sum((np.array(left) - np.mean(left)) ** 2)) if n >= 3 else 0.0) or 0.01
+    mean, twin = tr.mean(axis=0), omega @ co
+    sides = [float(x) for x in (mean[~is_post] @ lam, mean[is_post].mean(), twin[~is_post] @ lam, twin[is_post].mean())]
+    z = effect / se
+    return df.sparkSession.createDataFrame([(effect, se, z, math.erfc(abs(z) / math.sqrt(2)), effect - 1.96 * se, effect + 1.96 * se, *sides, n, len(tr))], schema)
 
 
 def synthetic_controls(df: DataFrame, unit: str, time: str, outcome: str, pilots: list, post: object, l2: float = 1e-4) -> DataFrame:
@@ -251,24 +340,35 @@ def causal_forest(df: DataFrame, row: str, outcome: str, treatment: str, feature
     return p.select(row, F.col("__p.effect").alias("effect"), (F.col("__p.effect") - 1.96 * F.col("__p.spread")).alias("ci_low"), (F.col("__p.effect") + 1.96 * F.col("__p.spread")).alias("ci_high"))
 
 
-def fair_classifier(df: DataFrame, row: str, target: str, group: str, features: list[str], eps: float = 0.01, rounds: int = 20, rate: float = 0.5) -> DataFrame:
-    """Logistic classifiers on rows reweighted toward equal positive rates of the groups; the mean of all rounds' probabilities."""
-    groups = sorted(r[0] for r in df.where(F.col(group).isNotNull()).select(group).distinct().collect())
-    size = {r[group]: r["count"] for r in df.groupBy(group).count().collect()}
+def fair_classifier(df: DataFrame, row: str, target: str, group: str, features: list[str], eps: float = 0.01, rounds: int = 20, rate: float = 0.5, constraint: str = "parity", most_groups: int = 1000) -> DataFrame:
+    """Logistic classifiers on rows reweighted toward equal rates of the groups; the mean of all rounds' probabilities. ``parity``: equal shares of positive
+    predictions; ``odds``: equal shares among the positives and among the negatives. Groups, at most ``most_groups``, are pairs of multipliers."""
+    if constraint not in ("parity", "odds"):
+        raise ValueError(f"unknown constraint {constraint}")
+    cell = [F.col(group), *([col(target).cast("int").alias("__y")] if constraint == "odds" else [F.lit(0).alias("__y")])]
+    counted = df.where(F.col(group).isNotNull()).groupBy(*cell).count().limit(2 * most_groups + 1).collect()
+    if len(counted) > 2 * most_groups:
+        raise ValueError(f"fair classifiers take at most {most_groups} groups")
+    size = {(r[group], r["__y"]): r["count"] for r in counted}
     total = sum(size.values())
-    pairs = [(a, b) for k, a in enumerate(groups) for b in groups[k + 1 :]]
+    cells = sorted(size)
+    pairs = [(a, b) for k, a in enumerate(cells) for b in cells[k + 1 :] if a[1] == b[1]]
     lam = {p: [1 / max(1, 2 * len(pairs))] * 2 for p in pairs}
     fitted = []
     for _ in range(rounds):
-        mod = dict.fromkeys(groups, 0.0)
+        mod = dict.fromkeys(cells, 0.0)
         for (a, b), (up, down) in lam.items():
             mod[a] += (up - down) / (size[a] / total)
             mod[b] -= (up - down) / (size[b] / total)
-        m = F.coalesce(F.create_map(*[F.lit(x) for kv in mod.items() for x in kv])[F.col(group)], F.lit(0.0))
+        m = F.lit(0.0)
+        for y in {c[1] for c in cells}:
+            table = F.create_map(*[F.lit(x) for c, v in mod.items() if c[1] == y for x in (c[0], v)])[F.col(group)]
+            m = F.when((col(target).cast("int") == y) if constraint == "odds" else F.lit(True), F.coalesce(table, F.lit(0.0))).otherwise(m)
         w = F.greatest(F.lit(0.01), F.when(col(target) == 1, 1 - 0.5 * m).otherwise(1 + 0.5 * m))
         b0, b = logit(df.withColumn("__w", w), target, features, "__w")
         fitted.append((b0, b))
-        rates = {r[group]: r["r"] for r in df.groupBy(group).agg(F.avg((linear(b0, b, features) > 0).cast("double")).alias("r")).collect()}
+        found = df.where(F.col(group).isNotNull()).groupBy(*cell).agg(F.avg((linear(b0, b, features) > 0).cast("double")).alias("r")).collect()
+        rates = {(r[group], r["__y"]): r["r"] or 0.0 for r in found}
         gaps = {(a, c): rates[a] - rates[c] for a, c in pairs}
         if max(map(abs, gaps.values()), default=0.0) <= eps:
             break

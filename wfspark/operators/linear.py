@@ -29,6 +29,16 @@ class Moments:
         return self.cross / self.n + np.outer(self.mean, self.mean)
 
 
+def joined_moments(parts: list[Moments]) -> Moments | None:
+    """Moments of several sets of rows together."""
+    if not parts:
+        return None
+    n = sum(m.n for m in parts)
+    mean = sum(m.n * m.mean for m in parts) / n
+    cross = sum(m.cross + m.n * np.outer(m.mean - mean, m.mean - mean) for m in parts)
+    return Moments(parts[0].names, n, mean, cross)
+
+
 def moments(df: DataFrame, names: list[str], by: str | None = None) -> dict[object, Moments]:
     """Moments of the rows without a gap, for each value of ``by`` (None: of all). Sums of products are taken around a common
     shift, the first pass's means, so that large values don't cancel."""
@@ -63,8 +73,11 @@ def linear(intercept: float, coefficients: np.ndarray, features: list[str]) -> C
 
 
 def oaxaca(df: DataFrame, outcome: str, group: str, features: list[str], majority: object = 1, minority: object = 0, reference: str = "pooled") -> DataFrame:
-    """Gap of mean outcomes, split into what features explain and what coefficients leave; one row for each part and feature."""
-    by = moments(df, [outcome, *features], group)
+    """Gap of mean outcomes, split into what features explain and what coefficients leave; one row for each part and feature, none where a group has no
+    complete rows."""
+    by = moments(df.where(F.col(group).isin(majority, minority)), [outcome, *features], group)
+    if majority not in by or minority not in by:
+        return df.sparkSession.createDataFrame([], "part string, feature string, value double")
     a, b = by[majority], by[minority]
     fits = {"majority": ridge(a, outcome, features), "minority": ridge(b, outcome, features)}
     if reference == "pooled":

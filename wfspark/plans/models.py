@@ -69,7 +69,27 @@ def _curves(spark: SparkSession, d: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(rows.where("grp = '3-MEDIUM'").select(F.col("v").alias("ref"))))
 
 
-@query()
+def _aligned(name: str, first: str, edge: str, cell: str, n: str = "len(v)") -> str:
+    """CTEs of a dynamic programme over two lists, a row of the table a round: the row before is folded over into the next by ``cell`` (d, u, l: diagonal,
+    up, left; v[i + 1], ref[j]). ``first``: the row 0; ``edge``: column 0 of the next row."""
+    fold = f"list_reduce(list_concat([[{edge}]], list_transform(range(1, len(ref) + 1), lambda j: [j::DOUBLE])), lambda a, q: list_append(a, {cell}))"
+    cell_of = lambda j, d, u, left: fold.replace("{j}", j).replace("{d}", d).replace("{u}", u).replace("{l}", left)
+    return f"""{name}_t(grp, i, v, ref, t) AS (SELECT grp, 0, v, ref, {first} FROM curves UNION ALL SELECT grp, i + 1, v, ref, {cell_of('q[1]::INT', 't[q[1]::INT]', 't[q[1]::INT + 1]', 'a[-1]')} FROM {name}_t WHERE i < {n}),
+{name} AS (SELECT grp, t[-1] AS d FROM {name}_t WHERE i = len(v))"""
+
+
+_NEARER = "abs(v[i + 1] - ref[{j}])"
+_CURVES = f"""{PANEL}, lists AS (SELECT grp, list(n ORDER BY month) AS v FROM panel GROUP BY 1), curves AS (SELECT a.grp, a.v, b.v AS ref FROM lists a, lists b WHERE b.grp = '3-MEDIUM')"""
+_INF = "'infinity'::DOUBLE"
+_WARPED = f"""WITH RECURSIVE {_CURVES},
+{_aligned('dtw_', f"list_transform(range(0, len(ref) + 1), lambda j: CASE WHEN j = 0 THEN 0.0::DOUBLE ELSE {_INF} END)", _INF, f"{_NEARER} + least({{d}}, {{u}}, {{l}})")},
+{_aligned('band_', f"list_transform(range(0, len(ref) + 1), lambda j: CASE WHEN j = 0 THEN 0.0::DOUBLE ELSE {_INF} END)", _INF, f"CASE WHEN abs(i + 1 - {{j}}) <= 3 THEN {_NEARER} + least({{d}}, {{u}}, {{l}}) ELSE {_INF} END")},
+{_aligned('lcss_', "list_transform(range(0, len(ref) + 1), lambda j: 0.0::DOUBLE)", "0.0::DOUBLE", f"CASE WHEN {_NEARER} <= 2.5 AND abs(i + 1 - {{j}}) <= 4 THEN {{d}} + 1 ELSE greatest({{u}}, {{l}}) END")},
+{_aligned('edr_', "list_transform(range(0, len(ref) + 1), lambda j: j::DOUBLE)", "i + 1.0::DOUBLE", f"least({{d}} + ({_NEARER} > 2.5)::INT, {{u}} + 1, {{l}} + 1)")}
+SELECT grp, dtw_.d AS dtw, band_.d AS dtw_band, 1 - lcss_.d / least(len(v), len(ref)) AS lcss, edr_.d / greatest(len(v), len(ref)) AS edr FROM curves JOIN dtw_ USING (grp) JOIN band_ USING (grp) JOIN lcss_ USING (grp) JOIN edr_ USING (grp)"""
+
+
+@query(_WARPED, "dtw dtw_band lcss edr")
 def alignment(spark: SparkSession, d: str) -> DataFrame:
     v, r = F.col("v"), F.col("ref")
     return _curves(spark, d).select("grp", A.dtw()(v, r).alias("dtw"), A.dtw(3)(v, r).alias("dtw_band"), A.lcss()(v, r).alias("lcss"), A.edr()(v, r).alias("edr"))
