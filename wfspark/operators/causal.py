@@ -5,13 +5,16 @@ Nuisance models take their moments from Spark; scores are columns. Folds are has
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wfspark.functions.pay import col
@@ -244,100 +247,196 @@ def _drawn(h: np.ndarray, k: int) -> np.ndarray:
     return ((v ^ (v >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
 
 
+def _effects(sums: np.ndarray) -> np.ndarray:
+    """Effect from sums (rows, t * t, t * y)."""
+    return sums[..., 2] / (sums[..., 1] + 1e-6)
+
+
+def _split(h: np.ndarray, features: np.ndarray, edges: list[np.ndarray], leaf: int) -> tuple[int, int, float] | None:
+    """The best split of one node among some features: feature, bin and gain. h: feature, bin, half, sums. All bins of all features are weighed at
+    once from cumulative sums of half 0; candidates are the bins that hold a decile."""
+    below = h[features, :, 0].cumsum(axis=1)
+    all_ = below[:, -1:, :]
+    n = below[:, :, 0]
+    wanted = np.arange(0.1, 0.91, 0.1) * all_[:, :, 0]
+    at_decile = np.zeros(n.shape, bool)
+    for row, counts in enumerate(n):
+        at_decile[row, np.minimum(np.searchsorted(counts, wanted[row]), len(counts) - 1)] = True
+    last = np.array([len(edges[f]) for f in features])[:, None]
+    ok = at_decile & (np.arange(n.shape[1]) < last) & (np.minimum(n, all_[:, :, 0] - n) >= leaf)
+    rest = all_ - below
+    gain = np.where(ok, n * rest[:, :, 0] / np.maximum(all_[:, :, 0], 1) * (_effects(below) - _effects(rest)) ** 2, 0.0)
+    best = gain.max(initial=0.0)
+    if best <= 0:
+        return None
+    row, c = max(zip(*np.nonzero(gain == best)), key=lambda x: (features[x[0]], x[1]))
+    return int(features[row]), int(c), float(best)
+
+
 def _splits(h: np.ndarray, k: int, edges: list[np.ndarray], leaf: int, seed: int) -> list[tuple]:
-    """Splits of the nodes of one level of tree k, (node, feature, threshold, effect left, effect right), and (0, -1, 0, effect, 0) for the root.
-    h: node, feature, bin, half, (rows, sum of t * t, sum of t * y); splits from half 0 at its deciles, effects from half 1."""
-    effect = lambda s: s[..., 2] / (s[..., 1] + 1e-6)
+    """Splits of the nodes of one level of tree k: node, feature, threshold, effect left, effect right, gain; and (0, -1, 0, effect, 0, 0) for the root.
+    h: node, feature, bin, half, sums; splits come from half 0, effects from half 1."""
     first = len(h) - 1
-    out: list[tuple] = [(0, -1, 0.0, float(effect(h[0, 0, :, 1].sum(axis=0))), 0.0)] if first == 0 else []
+    out: list[tuple] = [(0, -1, 0.0, float(_effects(h[0, 0, :, 1].sum(axis=0))), 0.0, 0.0)] if first == 0 else []
     for node in range(len(h)):
         if h[node, 0, :, 0, 0].sum() < 2 * leaf:
             continue
         r = np.random.default_rng([seed, k, first + node])
-        best = (0.0, -1, -1)
-        for f in r.choice(len(edges), max(1, int(math.sqrt(len(edges)))), replace=False):
-            below = h[node, f, :, 0].cumsum(axis=0)
-            at = np.unique(np.searchsorted(below[:, 0], np.arange(0.1, 0.91, 0.1) * below[-1, 0]))
-            for c in at[at < len(edges[f])]:
-                lo, hi = below[c], below[-1] - below[c]
-                if min(lo[0], hi[0]) >= leaf:
-                    best = max(best, (float(lo[0] * hi[0] / (lo[0] + hi[0]) * (effect(lo) - effect(hi)) ** 2), int(f), int(c)))
-        _, f, c = best
-        if f >= 0:
+        found = _split(h[node], r.choice(len(edges), max(1, int(math.sqrt(len(edges)))), replace=False), edges, leaf)
+        if found:
+            f, c, gain = found
             lo, hi = h[node, f, : c + 1, 1].sum(axis=0), h[node, f, c + 1 :, 1].sum(axis=0)
             if lo[0] and hi[0]:
-                out.append((first + node, f, float(edges[f][c]), float(effect(lo)), float(effect(hi))))
+                out.append((first + node, f, float(edges[f][c]), float(_effects(lo)), float(_effects(hi)), gain))
     return out
 
 
-def causal_forest(df: DataFrame, row: str, outcome: str, treatment: str, features: list[str], trees: int = 50, depth: int = 4, leaf: int = 10, share: float = 0.7, bins: int = 512, seed: int = 42) -> DataFrame:
-    """Effect of each row with its interval. Each tree is fitted on the ``share`` of all complete rows that hashes of their ids choose, half for the
-    splits and half for the effects. A level of all trees is one pass: tasks sum histograms of at most ``bins`` quantile bins of each feature."""
-    spark = df.sparkSession
-    b = moments(df, [outcome, *features])[None]
-    left = df.withColumn("__y", col(outcome) - linear(*ridge(b, outcome, features, 1.0), features)).withColumn("__t", col(treatment) - _sigmoid(linear(*logit(df, treatment, features), features)))
-    rows = left.select(F.xxhash64(row).alias("__h"), "__y", "__t", *[col(f).cast("double").alias(f) for f in features]).na.drop()
-    cuts = rows.agg(*[F.percentile_approx(f, [k / (bins - 1) for k in range(bins)], 100 * bins).alias(f) for f in features]).first()
-    edges = [np.unique(np.array(c or [], float)) for c in cuts]
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            yield pd.DataFrame({"h": [x["__h"].to_numpy(np.int64).tobytes()], "x": [x.drop(columns="__h").to_numpy(float).tobytes()]})
+@dataclass
+class HonestTree:
+    """One tree as arrays over nodes (children of node n: 2n + 1 and 2n + 2): split feature (-1: leaf), threshold, effect, gain."""
+
+    features: list[str]
+    feature: np.ndarray
+    threshold: np.ndarray
+    effect: np.ndarray
+    gain: np.ndarray
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+        while (inner := self.feature[at] >= 0).any():
+            f = self.feature[at]
+            at = np.where(inner, np.where(x[rows, np.maximum(f, 0)] <= self.threshold[at], 2 * at + 1, 2 * at + 2), at)
+        return at
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return self.effect[self.leaves(np.asarray(x, float))]
+
+    def predict_instance(self, x: np.ndarray) -> tuple[float, int]:
+        """Effect of one row, and its leaf."""
+        leaf = int(self.leaves(np.asarray(x, float).reshape(1, -1))[0])
+        return float(self.effect[leaf]), leaf
+
+    def importances(self, kind: str = "gain") -> np.ndarray:
+        """Share of each feature in the gains, or in the number of splits."""
+        if kind not in ("gain", "split"):
+            raise ValueError(f"unknown importance {kind}")
+        inner = self.feature >= 0
+        total = np.bincount(self.feature[inner], self.gain[inner] if kind == "gain" else None, len(self.features)).astype(float)
+        return total / total.sum() if total.sum() > 0 else total
+
+    def flatten(self) -> list[tuple[int, int, int, int, float, float]]:
+        """Reached nodes as (node, left, right, feature, threshold, effect), -1 where there is none; the root first."""
+        out, todo = [], [0]
+        while todo:
+            n = todo.pop(0)
+            inner = self.feature[n] >= 0
+            out.append((n, 2 * n + 1 if inner else -1, 2 * n + 2 if inner else -1, int(self.feature[n]), float(self.threshold[n]), float(self.effect[n])))
+            todo += [2 * n + 1, 2 * n + 2] if inner else []
+        return out
 
-    packed = rows.mapInPandas(pack, "h binary, x binary").rdd.persist(StorageLevel.MEMORY_AND_DISK)
-    forest = np.zeros((trees, 2 ** (depth + 1) - 1, 5))  # feature, threshold, left, right, effect
-    forest[:, :, 0] = -1
 
-    def count(blocks: Iterator, level: int) -> Iterator[tuple[int, np.ndarray]]:
-        p, first = len(features), 2**level - 1
-        shape = (2**level, p, bins + 1, 2)
-        total: dict[int, np.ndarray] = {}
-        for block in blocks:
-            h, x = np.frombuffer(block[0], np.int64), np.frombuffer(block[1]).reshape(-1, p + 2)
-            where = np.column_stack([np.searchsorted(e, x[:, 2 + f]) for f, e in enumerate(edges)])
-            for k, tree in enumerate(forest):
-                u = _drawn(h, seed * 1_000_003 + k)
-                i = np.flatnonzero(u < share)
-                at = np.zeros(len(i), np.int64)
-                for _ in range(level):
-                    f = tree[at, 0].astype(int)
-                    at = np.where(f < 0, at, np.where(x[i, 2 + np.maximum(f, 0)] <= tree[at, 1], tree[at, 2], tree[at, 3]).astype(np.int64))
-                i, at = i[at >= first], at[at >= first] - first
-                half, t, y = (u[i] >= share / 2).astype(int), x[i, 1], x[i, 0]
-                to = (((at[:, None] * p + np.arange(p)) * (bins + 1) + where[i]) * 2 + half[:, None]).ravel()
-                sums = [np.bincount(to, np.repeat(s, p), math.prod(shape)).reshape(shape) for s in (np.ones(len(i)), t * t, t * y)]
-                total[k] = total.get(k, 0) + np.stack(sums, axis=-1)
-        yield from total.items()
-
-    for level in range(depth):
-        sums = packed.mapPartitions(lambda blocks, level=level: count(blocks, level)).reduceByKey(np.add, min(trees, spark.sparkContext.defaultParallelism * 2))
-        found = sums.map(lambda kh: (kh[0], _splits(kh[1], kh[0], edges, leaf, seed))).collect()
-        for k, splits in found:
-            for node, f, c, lo, hi in splits:
-                if f < 0:
-                    forest[k, 0, 4] = lo
-                else:
-                    forest[k, node, :4] = f, c, 2 * node + 1, 2 * node + 2
-                    forest[k, [2 * node + 1, 2 * node + 2], 4] = lo, hi
-    packed.unpersist()
-    shared = spark.sparkContext.broadcast(list(forest))
-
-    @F.pandas_udf("effect double, spread double")
-    def predict(x: pd.Series) -> pd.DataFrame:
-        v = np.stack(x) if len(x) else np.empty((0, len(features)))
-        out = []
-        for tree in shared.value:
-            at = np.zeros(len(v), np.int64)
-            for _ in range(depth):
-                f = tree[at, 0].astype(int)
-                go = v[np.arange(len(v)), np.maximum(f, 0)] <= tree[at, 1]
-                at = np.where(f < 0, at, np.where(go, tree[at, 2], tree[at, 3]).astype(np.int64))
-            out.append(tree[at, 4])
-        e = np.array(out)
-        return pd.DataFrame({"effect": e.mean(axis=0), "spread": e.std(axis=0, ddof=1) / math.sqrt(len(e))})
-
-    p = left.withColumn("__p", predict(F.array(*[F.coalesce(col(f), F.lit(0.0)) for f in features])))
-    return p.select(row, F.col("__p.effect").alias("effect"), (F.col("__p.effect") - 1.96 * F.col("__p.spread")).alias("ci_low"), (F.col("__p.effect") + 1.96 * F.col("__p.spread")).alias("ci_high"))
+@dataclass
+class CausalForest:
+    """Honest trees on residuals of outcome and treatment. ``trees`` predict the effect of any row from its features."""
+
+    features: list[str]
+    trees: list[HonestTree]
+
+    @classmethod
+    def fit(cls, df: DataFrame, row: str, outcome: str, treatment: str, features: list[str], trees: int = 50, depth: int = 4, leaf: int = 10, share: float = 0.7, bins: int = 512, seed: int = 42) -> CausalForest:
+        """Each tree is fitted on the ``share`` of all complete rows that hashes of their ids choose, half for the splits and half for the effects. A level
+        of all trees is one pass: tasks sum histograms of at most ``bins`` quantile bins of each feature."""
+        spark = df.sparkSession
+        b = moments(df, [outcome, *features])[None]
+        left = df.withColumn("__y", col(outcome) - linear(*ridge(b, outcome, features, 1.0), features)).withColumn("__t", col(treatment) - _sigmoid(linear(*logit(df, treatment, features), features)))
+        rows = left.select(F.xxhash64(row).alias("__h"), "__y", "__t", *[col(f).cast("double").alias(f) for f in features]).na.drop()
+        cuts = rows.agg(*[F.percentile_approx(f, [k / (bins - 1) for k in range(bins)], 100 * bins).alias(f) for f in features]).first()
+        edges = [np.unique(np.array(c or [], float)) for c in cuts]
+
+        def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for x in batches:
+                yield pd.DataFrame({"h": [x["__h"].to_numpy(np.int64).tobytes()], "x": [x.drop(columns="__h").to_numpy(float).tobytes()]})
+
+        packed = rows.mapInPandas(pack, "h binary, x binary").rdd.persist(StorageLevel.MEMORY_AND_DISK)
+        nodes = 2 ** (depth + 1) - 1
+        forest = [HonestTree(features, np.full(nodes, -1), np.zeros(nodes), np.zeros(nodes), np.zeros(nodes)) for _ in range(trees)]
+
+        def count(blocks: Iterator, level: int) -> Iterator[tuple[int, np.ndarray]]:
+            p, first = len(features), 2**level - 1
+            shape = (2**level, p, bins + 1, 2)
+            total: dict[int, np.ndarray] = {}
+            for block in blocks:
+                h, x = np.frombuffer(block[0], np.int64), np.frombuffer(block[1]).reshape(-1, p + 2)
+                where = np.column_stack([np.searchsorted(e, x[:, 2 + f]) for f, e in enumerate(edges)])
+                for k, tree in enumerate(forest):
+                    u = _drawn(h, seed * 1_000_003 + k)
+                    i = np.flatnonzero(u < share)
+                    at = tree.leaves(x[i, 2:])
+                    i, at = i[at >= first], at[at >= first] - first
+                    half, t, y = (u[i] >= share / 2).astype(int), x[i, 1], x[i, 0]
+                    to = (((at[:, None] * p + np.arange(p)) * (bins + 1) + where[i]) * 2 + half[:, None]).ravel()
+                    sums = [np.bincount(to, np.repeat(s, p), math.prod(shape)).reshape(shape) for s in (np.ones(len(i)), t * t, t * y)]
+                    total[k] = total.get(k, 0) + np.stack(sums, axis=-1)
+            yield from total.items()
+
+        for level in range(depth):
+            sums = packed.mapPartitions(lambda blocks, level=level: count(blocks, level)).reduceByKey(np.add, min(trees, spark.sparkContext.defaultParallelism * 2))
+            found = sums.map(lambda kh: (kh[0], _splits(kh[1], kh[0], edges, leaf, seed))).collect()
+            for k, splits in found:
+                tree = forest[k]
+                for node, f, c, lo, hi, gain in splits:
+                    if f < 0:
+                        tree.effect[0] = lo
+                    else:
+                        tree.feature[node], tree.threshold[node], tree.gain[node] = f, c, gain
+                        tree.effect[[2 * node + 1, 2 * node + 2]] = lo, hi
+        packed.unpersist()
+        return cls(features, forest)
+
+    def predict(self, df: DataFrame, level: float = 0.05) -> DataFrame:
+        """Rows with ``effect``, ``se``, ``ci_low`` and ``ci_high``: the mean of the trees and a normal interval from their spread. Missing features count
+        as 0."""
+        shared = df.sparkSession.sparkContext.broadcast(self.trees)
+        width = len(self.features)
+
+        @F.pandas_udf("effect double, se double")
+        def effects(x: pd.Series) -> pd.DataFrame:
+            v = np.stack(x) if len(x) else np.empty((0, width))
+            e = np.array([tree.predict(v) for tree in shared.value])
+            spread = e.var(axis=0, ddof=1) if len(e) > 1 else np.zeros(e.shape[1])
+            return pd.DataFrame({"effect": e.mean(axis=0), "se": np.sqrt(spread / len(e) + 1e-8)})
+
+        z = NormalDist().inv_cdf(1 - level / 2)
+        found = df.withColumn("__p", effects(F.array(*[F.coalesce(col(f).cast("double"), F.lit(0.0)) for f in self.features])))
+        e, se = F.col("__p.effect"), F.col("__p.se")
+        return found.withColumns({"effect": e, "se": se, "ci_low": e - z * se, "ci_high": e + z * se}).drop("__p")
+
+    def persuadables(self, df: DataFrame, least: float = 0.0, level: float = 0.05) -> DataFrame:
+        """Predictions with whether the effect is over ``least`` and surely positive, and what that makes of the row."""
+        found = self.predict(df, level)
+        up = (F.col("effect") > least) & (F.col("ci_low") > 0)
+        down = (F.col("effect") < -least) & (F.col("ci_high") < 0)
+        kind = F.when(down, "Do Not Disturb (Adverse Effect)").when(up, "Persuadable (High Priority)").otherwise("Lost Cause / Sure Thing")
+        return found.withColumn("is_persuadable", up).withColumn("archetype", kind)
+
+    def importances(self, spark: SparkSession, kind: str = "gain") -> DataFrame:
+        """Share of each feature, mean of the trees, largest first."""
+        mean = np.mean([tree.importances(kind) for tree in self.trees], axis=0)
+        mean = mean / mean.sum() if mean.sum() > 0 else mean
+        return spark.createDataFrame(sorted(((f, float(v)) for f, v in zip(self.features, mean)), key=lambda r: (-r[1], r[0])), "feature string, importance double")
+
+    def to_json(self) -> str:
+        return json.dumps({"features": self.features, "trees": [[getattr(t, k).tolist() for k in ("feature", "threshold", "effect", "gain")] for t in self.trees]})
+
+    @classmethod
+    def from_json(cls, text: str) -> CausalForest:
+        d = json.loads(text)
+        return cls(d["features"], [HonestTree(d["features"], *map(np.array, t)) for t in d["trees"]])
+
+
+def causal_forest(df: DataFrame, row: str, outcome: str, treatment: str, features: list[str], **options: object) -> DataFrame:
+    """Effect of each row that the forest was fitted on, with its interval."""
+    return CausalForest.fit(df, row, outcome, treatment, features, **options).predict(df).select(row, "effect", "ci_low", "ci_high")
 
 
 def fair_classifier(df: DataFrame, row: str, target: str, group: str, features: list[str], eps: float = 0.01, rounds: int = 20, rate: float = 0.5, constraint: str = "parity", most_groups: int = 1000) -> DataFrame:

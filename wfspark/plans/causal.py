@@ -10,6 +10,7 @@ from wfspark.operators import causal as C
 from wfspark.operators import mobility as M
 from wfspark.operators import temporal as T
 from wfspark.plans.registry import query, table
+from wfspark.plans.temporal import _RATES
 
 
 def _orders(spark: SparkSession, d: str) -> DataFrame:
@@ -34,6 +35,22 @@ def causal_forest(spark: SparkSession, d: str) -> DataFrame:
     return C.causal_forest(_orders(spark, d), "o_orderkey", "y", "t", ["x", "z"], trees=16)
 
 
+@query()
+def forest_importances(spark: SparkSession, d: str) -> DataFrame:
+    return C.CausalForest.fit(_orders(spark, d), "o_orderkey", "y", "t", ["x", "z"], trees=8).importances(spark)
+
+
+@query()
+def persuadables(spark: SparkSession, d: str) -> DataFrame:
+    rows = _orders(spark, d)
+    return C.CausalForest.fit(rows, "o_orderkey", "y", "t", ["x", "z"], trees=8).persuadables(rows).groupBy("archetype").agg(F.count("*").alias("n"), F.avg("effect").alias("effect"))
+
+
+@query()
+def fair_classifier_odds(spark: SparkSession, d: str) -> DataFrame:
+    return C.fair_classifier(_orders(spark, d), "o_orderkey", "f", "o_orderpriority", ["y", "x", "z"], rounds=4, constraint="odds")
+
+
 def _quarters(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     return rows.select("c_nationkey", ((F.year("o_orderdate") - 1995) * 4 + F.quarter("o_orderdate")).alias("q"), (F.col("o_totalprice") / 1e5).alias("y"))
@@ -98,7 +115,14 @@ def _chain(spark: SparkSession, d: str) -> K.MarkovChain:
     return K.MarkovChain.fit(T.ctmc_rates(_states(spark, d), "user_id", "event_type", "s", "e"))
 
 
-@query()
+_SETTLED = f"""WITH RECURSIVE {_RATES}, states AS (SELECT source AS s FROM rates UNION SELECT target FROM rates), q AS (SELECT a.s AS i, b.s AS j, CASE WHEN a.s = b.s THEN -coalesce((SELECT sum(rate) FROM rates WHERE source = a.s), 0) ELSE coalesce(r.rate, 0) END AS v FROM states a CROSS JOIN states b LEFT JOIN rates r ON r.source = a.s AND r.target = b.s),
+terms(k, i, j, v) AS (SELECT 0, a.s, b.s, (a.s = b.s)::INT::DOUBLE FROM states a CROSS JOIN states b UNION ALL SELECT t.k + 1, t.i, q.j, sum(t.v * q.v) * 24.0 / 4096 / (t.k + 1) FROM terms t JOIN q ON q.i = t.j WHERE t.k < 12 GROUP BY t.k + 1, t.i, q.j),
+small AS (SELECT i, j, sum(v) AS v FROM terms GROUP BY ALL),
+squares(k, i, j, v) AS (SELECT 0, i, j, v FROM small UNION ALL SELECT a.k + 1, a.i, b.j, sum(a.v * b.v) FROM squares a JOIN squares b ON a.j = b.i WHERE a.k < 30 GROUP BY a.k + 1, a.i, b.j)
+SELECT p.i AS source, p.j AS target, p.v AS probability, s.v AS stationary FROM squares p JOIN squares s ON s.k = 30 AND s.i = p.i AND s.j = p.j WHERE p.k = 12"""
+
+
+@query(_SETTLED, "probability stationary")
 def ctmc_transition(spark: SparkSession, d: str) -> DataFrame:
     return _chain(spark, d).frame(spark, 24.0)
 
