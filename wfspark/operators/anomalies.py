@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wfspark.functions.pay import col
@@ -96,64 +98,123 @@ def standardized(df: DataFrame, features: list[str], population: bool = True) ->
     return df.crossJoin(F.broadcast(stats)).select(*df.columns, *[z(i, c).alias(f"z_{i}") for i, c in enumerate(features)])
 
 
-def neighbours(df: DataFrame, row: str, features: list[str], k: int, by: list[str] | None = None, most: int = 50_000) -> DataFrame:
-    """row, other, distance, rank of each row's k nearest others (standardised, to 9 digits; ties by id). Exact: rows meet the whole table, or their
-    group's part of it. Tables of more than ``most`` rows are cut into blocks; every pair of blocks meets, and the nearest of all blocks are kept."""
-    z = standardized(df, features).select(row, *(by or []), F.array(*[f"z_{i}" for i in range(len(features))]).alias("z"))
-    kind = df.schema[row].dataType.simpleString()
-
-    def near(ids: np.ndarray, x: np.ndarray, own: np.ndarray, y: np.ndarray) -> pd.DataFrame:
-        parts = []
-        for a in range(0, len(own), 64):
-            q, mine = y[a : a + 64], own[a : a + 64]
-            d = np.round(np.sqrt(((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)), 9)
+def _near(ids: np.ndarray, x: np.ndarray, own: np.ndarray, y: np.ndarray, k: int, row: str, others_only: bool) -> pd.DataFrame:
+    """The k nearest of x (named ids) for each of y (named own): to 9 digits, ties by id, without the row itself if ``others_only``."""
+    parts = []
+    for a in range(0, len(own), 64):
+        q, mine = y[a : a + 64], own[a : a + 64]
+        d = np.round(np.sqrt(((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)), 9)
+        if others_only:
             d[mine[:, None] == ids[None, :]] = np.inf
-            take = min(k, len(ids))
-            bound = np.partition(d, take - 1, axis=1)[:, take - 1] if take else np.empty(0)
-            for r in range(len(q) if take else 0):
-                close = np.flatnonzero((d[r] <= bound[r]) & (d[r] < np.inf))
-                best = close[np.lexsort((ids[close], d[r][close]))[:take]]
-                parts.append((np.full(len(best), mine[r]), ids[best], d[r][best], np.arange(1, len(best) + 1)))
-        names = [row, "other", "distance", "rank"]
-        return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*parts))))) if parts else pd.DataFrame(columns=names)
-
+        take = min(k, len(ids))
+        bound = np.partition(d, take - 1, axis=1)[:, take - 1] if take else np.empty(0)
+        for r in range(len(q) if take else 0):
+            close = np.flatnonzero((d[r] <= bound[r]) & (d[r] < np.inf))
+            best = close[np.lexsort((ids[close], d[r][close]))[:take]]
+            parts.append((np.full(len(best), mine[r]), ids[best], d[r][best], np.arange(1, len(best) + 1)))
+    names = [row, "other", "distance", "rank"]
+    return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*parts))))) if parts else pd.DataFrame(columns=names)
+
+
+def _nearest(asked: DataFrame, known: DataFrame, row: str, kind: str, k: int, others_only: bool, most: int) -> DataFrame:
+    """row, other, distance, rank of the k nearest rows of ``known`` (row, z) for each of ``asked``. Up to ``most`` known rows go to every task; more are
+    cut into blocks, every pair of blocks meets, and the nearest of all blocks are kept."""
+    spark = asked.sparkSession
     schema = f"{row} {kind}, other {kind}, distance double, rank int"
-    if by:
-        return z.groupBy(*by).applyInPandas(lambda g: near(g[row].to_numpy(), np.stack(g["z"]), g[row].to_numpy(), np.stack(g["z"])), schema)
-    if z.limit(most + 1).count() > most:
-        n = -(-2 * z.count() // most)
+    if known.limit(most + 1).count() > most:
+        n = -(-2 * known.count() // most)
         block, any_ = F.pmod(F.xxhash64(row), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        sides = z.select(row, "z", block.alias("__b"), any_.alias("__c"), F.lit(True).alias("__asks"))
-        sides = sides.union(z.select(row, "z", any_.alias("__b"), block.alias("__c"), F.lit(False).alias("__asks")))
+        sides = asked.select(row, "z", block.alias("__b"), any_.alias("__c"), F.lit(True).alias("__asks"))
+        sides = sides.union(known.select(row, "z", any_.alias("__b"), block.alias("__c"), F.lit(False).alias("__asks")))
 
         def meet(g: pd.DataFrame) -> pd.DataFrame:
             p, q = g[g["__asks"]], g[~g["__asks"]]
-            return near(q[row].to_numpy(), np.stack(q["z"]), p[row].to_numpy(), np.stack(p["z"])) if len(p) and len(q) else near(*[np.empty(0)] * 4)
+            z = lambda part: np.stack(part["z"]) if len(part) else np.empty((0, 1))
+            return _near(q[row].to_numpy(), z(q), p[row].to_numpy(), z(p), k, row, others_only) if len(p) and len(q) else pd.DataFrame(columns=[row, "other", "distance", "rank"])
 
         found = sides.groupBy("__b", "__c").applyInPandas(meet, schema)
         ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(row).orderBy("distance", "other")))
         return ranked.where(F.col("rank") <= k)
-    every = z.toPandas()
-    shared = df.sparkSession.sparkContext.broadcast((every[row].to_numpy(), np.stack(every["z"])))
+    every = known.toPandas()
+    shared = spark.sparkContext.broadcast((every[row].to_numpy(), np.stack(every["z"]) if len(every) else np.empty((0, 1))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, x = shared.value
         for b in batches:
             if len(b):
-                yield near(ids, x, b[row].to_numpy(), np.stack(b["z"]))
+                yield _near(ids, x, b[row].to_numpy(), np.stack(b["z"]), k, row, others_only)
 
-    return z.repartition(df.sparkSession.sparkContext.defaultParallelism * 2).mapInPandas(run, schema)
+    return asked.repartition(spark.sparkContext.defaultParallelism * 2).mapInPandas(run, schema)
+
+
+def neighbours(df: DataFrame, row: str, features: list[str], k: int, by: list[str] | None = None, most: int = 50_000) -> DataFrame:
+    """row, other, distance, rank of each row's k nearest others (standardised, to 9 digits; ties by id). Exact: rows meet the whole table, or their
+    group's part of it."""
+    z = standardized(df, features).select(row, *(by or []), F.array(*[f"z_{i}" for i in range(len(features))]).alias("z"))
+    kind = df.schema[row].dataType.simpleString()
+    if by:
+        within = lambda g: _near(g[row].to_numpy(), np.stack(g["z"]), g[row].to_numpy(), np.stack(g["z"]), k, row, True)
+        return z.groupBy(*by).applyInPandas(within, f"{row} {kind}, other {kind}, distance double, rank int")
+    return _nearest(z, z, row, kind, k, True, most)
+
+
+@dataclass
+class LocalOutliers:
+    """Local outlier factors against fitted rows. State: the fitted rows' scaled features, k-distances and densities as a frame, the scaling, and
+    the factor that the highest share of the fitted rows exceeds."""
+
+    row: str
+    features: list[str]
+    k: int
+    state: DataFrame
+    mean: list[float]
+    spread: list[float]
+    threshold: float
+    factors: DataFrame
+
+    @classmethod
+    def fit(cls, df: DataFrame, row: str, features: list[str], k: int = 20, contamination: float = 0.05, by: list[str] | None = None) -> LocalOutliers:
+        stats = df.agg(*[f(col(c)).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        mean = [float(stats[f"m{i}"] or 0.0) for i in range(len(features))]
+        spread = [float(stats[f"s{i}"] or 0.0) or 1.0 for i in range(len(features))]
+        near = neighbours(df, row, features, k, by)
+        reach = near.groupBy(F.col(row).alias("other")).agg(F.max("distance").alias("k_distance"))
+        density = near.join(reach, "other").groupBy(row).agg((1 / (F.avg(F.greatest("distance", "k_distance")) + 1e-10)).alias("lrd"))
+        theirs = density.select(F.col(row).alias("other"), F.col("lrd").alias("theirs"))
+        lof = near.join(theirs, "other").groupBy(row).agg(F.avg("theirs").alias("theirs")).join(density, row).select(row, (F.col("theirs") / F.col("lrd")).alias("lof"))
+        cut = lof.agg(F.percentile("lof", 1 - contamination)).first()[0]
+        z = cls._scaled(df, row, features, mean, spread)
+        state = z.join(reach.withColumnRenamed("other", row), row, "left").join(density, row).select(row, "z", F.coalesce("k_distance", F.lit(0.0)).alias("k_distance"), "lrd")
+        return cls(row, features, k, state, mean, spread, float(cut) if cut is not None else float("inf"), lof)
+
+    @staticmethod
+    def _scaled(df: DataFrame, row: str, features: list[str], mean: list[float], spread: list[float]) -> DataFrame:
+        return df.select(row, F.array(*[(col(f).cast("double") - F.lit(m)) / F.lit(s) for f, m, s in zip(features, mean, spread)]).alias("z"))
+
+    def predict(self, df: DataFrame, most: int = 50_000) -> DataFrame:
+        """row, lof and is_outlier of new rows: their density among the fitted rows against that of their neighbours there."""
+        asked = self._scaled(df, self.row, self.features, self.mean, self.spread)
+        near = _nearest(asked, self.state.select(self.row, "z"), self.row, self.state.schema[self.row].dataType.simpleString(), self.k, False, most)
+        known = self.state.select(F.col(self.row).alias("other"), "k_distance", F.col("lrd").alias("theirs"))
+        mean = near.join(known, "other").groupBy(self.row).agg((F.avg("theirs") * (F.avg(F.greatest("distance", "k_distance")) + 1e-10)).alias("lof"))
+        return mean.select(self.row, "lof", (F.col("lof") > self.threshold).alias("is_outlier"))
+
+    def save(self, path: str) -> None:
+        """State as a table, settings beside it as JSON."""
+        self.state.write.mode("overwrite").parquet(f"{path}/state")
+        settings = json.dumps({k: getattr(self, k) for k in ("row", "features", "k", "mean", "spread", "threshold")})
+        self.state.sparkSession.createDataFrame([(settings,)], "settings string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LocalOutliers:
+        state = spark.read.parquet(f"{path}/state")
+        return cls(state=state, factors=state.select("lrd").limit(0), **json.loads(spark.read.text(f"{path}/settings").first()[0]))
 
 
 def local_outlier_factor(df: DataFrame, row: str, features: list[str], k: int = 20, contamination: float = 0.05, by: list[str] | None = None) -> DataFrame:
     """Local density of each row against its neighbours', and the flag of the highest share."""
-    near = neighbours(df, row, features, k, by)
-    reach = near.groupBy(F.col(row).alias("other")).agg(F.max("distance").alias("k_distance"))
-    lrd = near.join(reach, "other").groupBy(row).agg((1 / (F.avg(F.greatest("distance", "k_distance")) + 1e-10)).alias("lrd"))
-    others = lrd.select(F.col(row).alias("other"), F.col("lrd").alias("theirs"))
-    lof = near.join(others, "other").groupBy(row).agg(F.avg("theirs").alias("theirs")).join(lrd, row).select(row, (F.col("theirs") / F.col("lrd")).alias("lof"))
-    cut = lof.agg(F.percentile("lof", 1 - contamination).alias("__cut"))
-    return lof.crossJoin(F.broadcast(cut)).select(row, "lof", (F.col("lof") > F.col("__cut")).alias("is_outlier"))
+    model = LocalOutliers.fit(df, row, features, k, contamination, by)
+    return model.factors.select(row, "lof", (F.col("lof") > model.threshold).alias("is_outlier"))
 
 
 def individual_fairness(df: DataFrame, row: str, features: list[str], predicted: str, k: int = 5) -> DataFrame:
@@ -185,57 +246,110 @@ def pca_reconstruction(df: DataFrame, row: str, vector: str, latent: int = 4, co
     return out.crossJoin(F.broadcast(cut)).select(row, "error", (F.col("error") > F.col("__cut")).alias("is_anomalous"))
 
 
-def autoencoder(df: DataFrame, row: str, features: list[str], hidden: int = 12, latent: int = 4, epochs: int = 150, rate: float = 5e-3, contamination: float = 0.05, seed: int = 42) -> DataFrame:
-    """Error of each row after a small network with a narrow middle, fitted on all complete rows: each epoch sums the gradients of all partitions."""
-    z = standardized(df, features).select(row, F.array(*[f"z_{i}" for i in range(len(features))]).alias("z"))
-    r = np.random.default_rng(seed)
-    sizes = [len(features), hidden, latent, hidden, len(features)]
-    w = [r.normal(0, np.sqrt(2 / a), (a, b)) for a, b in zip(sizes, sizes[1:])]
-    b = [np.zeros(n) for n in sizes[1:]]
-    state = [(np.zeros_like(p), np.zeros_like(p)) for p in (*w, *b)]
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.stack(batch["z"]).astype(float) if len(batch) else np.empty((0, len(features)))
-            yield pd.DataFrame({"x": [x[~np.isnan(x).any(axis=1)].tobytes()]})
-
-    def forward(v: np.ndarray) -> list[np.ndarray]:
+@dataclass
+class Autoencoder:
+    """A network with a narrow middle on scaled features; rows that it rebuilds badly are unusual."""
+
+    features: list[str]
+    mean: list[float]
+    spread: list[float]
+    weights: list[np.ndarray]
+    biases: list[np.ndarray]
+    threshold: float = float("inf")
+
+    @classmethod
+    def fit(cls, df: DataFrame, features: list[str], hidden: int = 12, latent: int = 4, epochs: int = 150, rate: float = 5e-3, contamination: float = 0.05, seed: int = 42) -> Autoencoder:
+        """Fitted on all complete rows: each epoch sums the gradients of all partitions."""
+        stats = df.agg(*[f(col(c)).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        r = np.random.default_rng(seed)
+        sizes = [len(features), hidden, latent, hidden, len(features)]
+        weights = [r.normal(0, np.sqrt(2 / a), (a, b)) for a, b in zip(sizes, sizes[1:])]
+        model = cls(features, [float(stats[f"m{i}"] or 0.0) for i in range(len(features))], [float(stats[f"s{i}"] or 0.0) or 1.0 for i in range(len(features))], weights, [np.zeros(n) for n in sizes[1:]])
+        parameters = [*model.weights, *model.biases]
+        state = [(np.zeros_like(p), np.zeros_like(p)) for p in parameters]
+
+        def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                x = np.stack(batch["z"]).astype(float) if len(batch) else np.empty((0, len(features)))
+                yield pd.DataFrame({"x": [x[~np.isnan(x).any(axis=1)].tobytes()]})
+
+        def gradient(blocks: Iterator) -> Iterator[list]:
+            """Number of values and the sums of the gradients of a partition."""
+            w, n = model.weights, len(model.weights)
+            total: list = [0, *[np.zeros_like(p) for p in (*w, *model.biases)]]
+            for block in blocks:
+                x = np.frombuffer(block[0]).reshape(-1, len(features))
+                layers = model.layers(x)
+                d = 2 * (layers[-1] - x)
+                total[0] += x.size
+                for k in range(n - 1, -1, -1):
+                    total[1 + k] += layers[k].T @ d
+                    total[1 + n + k] += d.sum(axis=0)
+                    if k:
+                        d = (d @ w[k].T) * np.where(layers[k] > 0, 1, 0.1)
+            yield total
+
+        packed = model.scaled(df).select("z").mapInPandas(pack, "x binary").rdd.persist(StorageLevel.MEMORY_AND_DISK)
+        for step in range(1, epochs + 1):
+            n, *grads = (sum(parts) for parts in zip(*packed.mapPartitions(gradient).collect()))
+            for p, g, (m, v) in zip(parameters, grads, state):
+                g = g / max(1, n)
+                m += 0.1 * (g - m)
+                v += 0.001 * (g * g - v)
+                p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        packed.unpersist()
+        model.select_threshold(df, contamination=contamination)
+        return model
+
+    def layers(self, v: np.ndarray) -> list[np.ndarray]:
         out = [v]
-        for k, (p, q) in enumerate(zip(w, b)):
+        for k, (p, q) in enumerate(zip(self.weights, self.biases)):
             a = out[-1] @ p + q
-            out.append(np.where(a > 0, a, 0.1 * a) if k < len(w) - 1 else a)
+            out.append(np.where(a > 0, a, 0.1 * a) if k < len(self.weights) - 1 else a)
         return out
 
-    def gradient(blocks: Iterator) -> Iterator[list]:
-        """Number of values and the sums of the gradients of a partition."""
-        total: list = [0, *[np.zeros_like(p) for p in (*w, *b)]]
-        for block in blocks:
-            x = np.frombuffer(block[0]).reshape(-1, len(features))
-            layers = forward(x)
-            d = 2 * (layers[-1] - x)
-            total[0] += x.size
-            for k in range(len(w) - 1, -1, -1):
-                total[1 + k] += layers[k].T @ d
-                total[1 + len(w) + k] += d.sum(axis=0)
-                if k:
-                    d = (d @ w[k].T) * np.where(layers[k] > 0, 1, 0.1)
-        yield total
-
-    packed = z.select("z").mapInPandas(pack, "x binary").rdd.persist(StorageLevel.MEMORY_AND_DISK)
-    for step in range(1, epochs + 1):
-        n, *grads = (sum(parts) for parts in zip(*packed.mapPartitions(gradient).collect()))
-        for p, g, (m, v) in zip((*w, *b), grads, state):
-            g = g / max(1, n)
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    packed.unpersist()
-
-    @F.pandas_udf("double")
-    def error(v: pd.Series) -> pd.Series:
-        a = np.stack(v) if len(v) else np.empty((0, len(features)))
-        return pd.Series(((forward(a)[-1] - a) ** 2).mean(axis=1))
-
-    out = z.select(row, error("z").alias("error"))
-    cut = out.agg(F.percentile("error", 1 - contamination).alias("__cut"))
-    return out.crossJoin(F.broadcast(cut)).select(row, "error", (F.col("error") > F.col("__cut")).alias("is_anomalous"))
+    def scaled(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("z", F.array(*[(col(f).cast("double") - F.lit(m)) / F.lit(s) for f, m, s in zip(self.features, self.mean, self.spread)]))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Rows with ``error`` (mean of the features' squared errors) and ``errors`` (of each feature)."""
+        shared = df.sparkSession.sparkContext.broadcast(self)
+
+        @F.pandas_udf("array<double>")
+        def errors(v: pd.Series) -> pd.Series:
+            a = np.stack(v).astype(float) if len(v) else np.empty((0, len(shared.value.features)))
+            return pd.Series(((shared.value.layers(a)[-1] - a) ** 2).tolist())
+
+        found = self.scaled(df).withColumn("errors", errors("z")).drop("z")
+        return found.withColumn("error", F.aggregate("errors", F.lit(0.0), lambda a, x: a + x) / len(self.features))
+
+    def select_threshold(self, df: DataFrame, method: str = "percentile", contamination: float = 0.05, percentile: float | None = None) -> float:
+        """The error from which rows are unusual, from the errors of ``df``: a percentile, the upper quartile and 1.5 times the quartiles' distance, or the mean and
+        three deviations."""
+        e = F.col("error")
+        how = {
+            "percentile": F.percentile(e, percentile / 100 if percentile is not None else 1 - contamination),
+            "iqr": F.percentile(e, 0.75) + 1.5 * (F.percentile(e, 0.75) - F.percentile(e, 0.25)),
+            "gaussian": F.avg(e) + 3 * F.stddev_pop(e),
+        }
+        if method not in how:
+            raise ValueError(f"unknown method {method}")
+        found = self.transform(df).where(~F.isnan("error")).agg(how[method]).first()[0]
+        self.threshold = float(found) if found is not None else float("inf")
+        return self.threshold
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return self.transform(df).withColumn("is_anomalous", F.col("error") >= self.threshold)
+
+    def to_json(self) -> str:
+        return json.dumps({k: [x.tolist() for x in v] if k in ("weights", "biases") else v for k, v in vars(self).items()})
+
+    @classmethod
+    def from_json(cls, text: str) -> Autoencoder:
+        d = json.loads(text)
+        return cls(**d | {k: [np.array(x) for x in d[k]] for k in ("weights", "biases")})
+
+
+def autoencoder(df: DataFrame, row: str, features: list[str], **options: object) -> DataFrame:
+    """Error of each row that the network was fitted on, and the flag of the highest share."""
+    return Autoencoder.fit(df, features, **options).predict(df).select(row, "error", "is_anomalous")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wfspark.functions.pay import col
+from wfspark.sources.files import load_state, save_state
 
 
 def _same(keys: list[str], prefix: str = "__k_") -> Column:
@@ -55,16 +57,78 @@ class TargetEncoder:
         work = work.withColumn("__s", s).withColumn("__n", n).join(F.broadcast(priors), "__fold")
         return work.select(*df.columns, ((F.col("__s") + self.m * F.col("__prior")) / (F.col("__n") + self.m)).alias(output))
 
-    def inverse(self, df: DataFrame, value: str, rows: str, output: str = "decoded") -> DataFrame:
+    def inverse(self, df: DataFrame, value: str, rows: str, output: str = "decoded", strategy: str = "nearest", tolerance: float = 1e-5) -> DataFrame:
         """The first key column whose code is nearest; equal codes: the more frequent, then the first in order; equal distances: the lower code.
-        ``rows`` identifies the rows of ``df``."""
+        ``exact``: null where the nearest code is further than the tolerance. ``rows`` identifies the rows of ``df``."""
+        if strategy not in ("nearest", "exact"):
+            raise ValueError(f"unknown strategy {strategy}")
         codes = self.state.groupBy("code").agg(F.min_by(F.col(self.keys[0]), F.struct(-F.col("n"), F.col(self.keys[0]))).alias("__key"))
         ordered = codes.select("code", "__key", F.lead("code").over(Window.orderBy("code")).alias("__up"), F.lead("__key").over(Window.orderBy("code")).alias("__upkey"), F.row_number().over(Window.orderBy("code")).alias("__i"))
         v = F.col(value)
         meets = ((F.col("code") <= v) | (F.col("__i") == 1)) & (F.col("__up").isNull() | (F.col("__up") > v))
         joined = df.join(F.broadcast(ordered), meets, "left")
         nearer = (F.col("__up").isNotNull()) & (F.abs(F.col("__up") - v) < F.abs(v - F.col("code")))
-        return joined.select(*df.columns, F.when(nearer, F.col("__upkey")).otherwise(F.col("__key")).alias(output))
+        found = F.when(nearer, F.col("__upkey")).otherwise(F.col("__key"))
+        if strategy == "exact":
+            found = F.when(F.abs(F.when(nearer, F.col("__up")).otherwise(F.col("code")) - v) <= tolerance, found)
+        return joined.select(*df.columns, found.alias(output))
+
+    def save(self, path: str) -> None:
+        """Codes as a table; settings and the prior beside it."""
+        save_state(self.state, f"{path}/codes")
+        settings = json.dumps({"keys": self.keys, "target": self.target, "m": self.m})
+        save_state(self.prior.withColumn("settings", F.lit(settings)), f"{path}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TargetEncoder:
+        stored = load_state(spark, f"{path}/settings")
+        out = cls(**json.loads(stored.first()["settings"]), state=load_state(spark, f"{path}/codes"))
+        out.prior = stored.select("prior")
+        return out
+
+
+@dataclass
+class CohortScorer:
+    """Statistics of fitted cohorts and of all rows, to score new rows with; they can be written as tables."""
+
+    cohort: list[str]
+    value: str
+    least: int = 3
+    epsilon: float = 1e-6
+    state: DataFrame | None = None
+    every: DataFrame | None = None
+
+    def fit(self, df: DataFrame) -> CohortScorer:
+        x = col(self.value)
+        self.state = df.groupBy(*self.cohort).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"))
+        self.every = df.agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"))
+        return self
+
+    def fit_transform(self, df: DataFrame) -> DataFrame:
+        """Fit, and the leave-one-out scores of the fitted rows themselves."""
+        self.fit(df)
+        return loo_zscore(df, self.cohort, self.value, self.least, self.epsilon)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Z-score of new rows against fitted cohorts; small cohorts score 0, unknown ones against all rows (size 0)."""
+        x = col(self.value)
+        stats = self.state.select(*[F.col(c).alias(f"__k_{c}") for c in self.cohort], F.col("n").alias("__n"), F.col("mean").alias("__m"), F.col("std").alias("__s"))
+        every = self.every.select(F.col("mean").alias("__gm"), F.col("std").alias("__gs"))
+        joined = df.join(stats, _same(self.cohort), "left").crossJoin(F.broadcast(every))
+        known = F.col("__n").isNotNull()
+        mean, std = F.when(known, F.col("__m")).otherwise(F.col("__gm")), F.greatest(F.when(known, F.col("__s")).otherwise(F.col("__gs")), F.lit(self.epsilon))
+        score = F.when(known & (F.col("__n") < self.least), 0.0).when(F.abs(x - mean) < self.epsilon, 0.0).otherwise((x - mean) / std)
+        return joined.select(*df.columns, F.coalesce("__n", F.lit(0)).alias("cohort_size"), score.alias("z_score"))
+
+    def save(self, path: str) -> None:
+        save_state(self.state, f"{path}/cohorts")
+        settings = json.dumps({"cohort": self.cohort, "value": self.value, "least": self.least, "epsilon": self.epsilon})
+        save_state(self.every.withColumn("settings", F.lit(settings)), f"{path}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> CohortScorer:
+        stored = load_state(spark, f"{path}/settings")
+        return cls(**json.loads(stored.first()["settings"]), state=load_state(spark, f"{path}/cohorts"), every=stored.select("mean", "std"))
 
 
 def loo_zscore(df: DataFrame, cohort: list[str], value: str, least: int = 3, epsilon: float = 1e-6) -> DataFrame:
@@ -93,13 +157,5 @@ def loo_zscore(df: DataFrame, cohort: list[str], value: str, least: int = 3, eps
 
 
 def cohort_zscore(fitted: DataFrame, df: DataFrame, cohort: list[str], value: str, least: int = 3, epsilon: float = 1e-6) -> DataFrame:
-    """Z-score of new rows against fitted cohorts; small cohorts score 0, unknown ones against all rows (size 0)."""
-    x = col(value)
-    stats = fitted.groupBy(*cohort).agg(F.count(x).alias("__n"), F.avg(x).alias("__m"), F.stddev_samp(x).alias("__s"))
-    stats = stats.select(*[F.col(c).alias(f"__k_{c}") for c in cohort], "__n", "__m", "__s")
-    every = fitted.agg(F.avg(x).alias("__gm"), F.stddev_samp(x).alias("__gs"))
-    joined = df.join(stats, _same(cohort), "left").crossJoin(F.broadcast(every))
-    known = F.col("__n").isNotNull()
-    mean, std = F.when(known, F.col("__m")).otherwise(F.col("__gm")), F.greatest(F.when(known, F.col("__s")).otherwise(F.col("__gs")), F.lit(epsilon))
-    score = F.when(known & (F.col("__n") < least), 0.0).when(F.abs(x - mean) < epsilon, 0.0).otherwise((x - mean) / std)
-    return joined.select(*df.columns, F.coalesce("__n", F.lit(0)).alias("cohort_size"), score.alias("z_score"))
+    """Z-score of new rows against the cohorts of other rows."""
+    return CohortScorer(cohort, value, least, epsilon).fit(fitted).transform(df)

@@ -33,9 +33,14 @@ def group_pay(df: DataFrame, salary: str, group: str) -> DataFrame:
     )
 
 
-def pay_gap(df: DataFrame, salary: str, group: str, reference: str, comparison: str) -> DataFrame:
-    """Gaps of the comparison group to the reference in percent of the reference, and the ratios."""
+def pay_gap(df: DataFrame, salary: str, group: str, reference: str | None = None, comparison: str | None = None) -> DataFrame:
+    """Gaps of the comparison group to the reference in percent of the reference, and the ratios. Without names the reference is the group of the highest
+    mean pay and the comparison that of the lowest; equal means: the first in order."""
     stats = group_pay(df, salary, group)
+    if reference is None or comparison is None:
+        found = stats.agg(F.min_by(group, F.struct(-F.col("mean"), F.col(group))).alias("top"), F.min_by(group, F.struct("mean", group)).alias("low")).first()
+        reference = found["top"] if reference is None else reference
+        comparison = found["low"] if comparison is None else comparison
     pick = lambda of, c: F.max(F.when(F.col(group) == of, F.col(c)))
     wide = stats.agg(*[pick(of, c).alias(f"{name}_{c}") for name, of in (("ref", reference), ("cmp", comparison)) for c in ("mean", "median", "n")])
     gap = lambda c: 100 * F.try_divide(F.col(f"ref_{c}") - F.col(f"cmp_{c}"), F.col(f"ref_{c}"))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,10 +93,21 @@ def oaxaca(df: DataFrame, outcome: str, group: str, features: list[str], majorit
     return df.sparkSession.createDataFrame(rows, "part string, feature string, value double")
 
 
-def loo_expected_differential(df: DataFrame, entity: str, target: str, context: list[str], alpha: float = 1.0) -> DataFrame:
-    """Mean and spread of each entity's residuals from a ridge fit on numeric context columns, best first."""
-    b0, b = ridge(moments(df, [target, *context])[None], target, context, alpha)
-    left = df.withColumn("__r", col(target) - linear(b0, b, context))
+def loo_expected_differential(df: DataFrame, entity: str, target: str, context: list[str], alpha: float = 1.0, most_levels: int = 200) -> DataFrame:
+    """Mean and spread of each entity's residuals from a ridge fit on context columns. Text columns are 0/1 columns of their levels but the first, at
+    most ``most_levels``."""
+    work, names = df, []
+    for c in context:
+        if df.schema[c].dataType.simpleString() not in ("string", "boolean"):
+            names.append(c)
+            continue
+        levels = [r[0] for r in df.select(F.col(c).cast("string").alias("v")).where("v is not null").distinct().orderBy("v").limit(most_levels + 1).collect()]
+        if len(levels) > most_levels:
+            raise ValueError(f"{c} has more than {most_levels} levels")
+        work = work.withColumns({f"__{c}_{k}": (F.col(c).cast("string") == F.lit(v)).cast("double") for k, v in enumerate(levels[1:], 1)})
+        names += [f"__{c}_{k}" for k in range(1, len(levels))]
+    b0, b = ridge(moments(work, [target, *names])[None], target, names, alpha)
+    left = work.withColumn("__r", col(target) - linear(b0, b, names))
     return left.groupBy(entity).agg(F.count("__r").alias("n"), F.avg("__r").alias("mean_residual"), F.stddev_samp("__r").alias("std_residual"))
 
 
@@ -164,36 +178,292 @@ def _adjusted(p: np.ndarray, how: str) -> np.ndarray:
     return out
 
 
-def correlation_table(df: DataFrame, target: str, features: list[str], method: str = "pearson", threshold: float = 0.05, adjust: str = "none") -> DataFrame:
-    """Correlation of each feature with the target, its 95 % interval, p-value and flags. spearman: of average ranks."""
-    rows = df.select(*[col(c).alias(c) for c in [target, *features]]).na.drop()
-    if method == "spearman":
-        # ranks through counts of each value, so that the only unpartitioned window is over distinct values
-        for c in [target, *features]:
-            values = rows.groupBy(c).agg(F.count("*").alias("__k"))
-            before = F.coalesce(F.sum("__k").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            ranks = values.select(F.col(c).alias("__v"), (before + (F.col("__k") + 1) / 2).alias("__r"))
-            rows = rows.join(ranks, F.col(c) == F.col("__v")).withColumn(c, F.col("__r")).drop("__v", "__r")
-    elif method != "pearson":
+def t_quantile(p: float, dof: float) -> float:
+    """The value that a t variable stays under with probability p >= 0.5."""
+    low, high = 0.0, 1.0
+    below = lambda t: 1 - betainc(dof / 2, 0.5, dof / (dof + t * t)) / 2
+    while below(high) < p:
+        high *= 2
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if below(mid) < p else (low, mid)
+    return high
+
+
+def correlation_power(r: float, n: int, level: float = 0.05) -> float:
+    """Chance that a correlation of r in n rows is found to differ from 0, by Fisher's transformation with its bias taken out."""
+    if n < 4 or abs(r) >= 1:
+        return float("nan") if n < 4 else 1.0
+    t = t_quantile(1 - level / 2, n - 2)
+    bound = math.atanh(math.sqrt(t * t / (t * t + n - 2)))
+    z = math.atanh(r) + r / (2 * (n - 1))
+    tail = NormalDist().cdf
+    return tail((z - bound) * math.sqrt(n - 3)) + tail((-z - bound) * math.sqrt(n - 3))
+
+
+def average_ranks(rows: DataFrame, columns: list[str], ranges: int = 64) -> DataFrame:
+    """Columns replaced by their average ranks. Values are counted first and cut at quantiles, which one pass finds for all columns; each range adds the
+    totals of the ranges below it, so no task sorts them all."""
+    cuts = rows.agg(*[F.percentile_approx(c, [k / ranges for k in range(1, ranges)]).alias(c) for c in columns]).first()
+    for c in columns:
+        edges = F.array(*[F.lit(float(v)) for v in sorted(set(cuts[c] or []))] or [F.lit(float("inf"))])
+        values = rows.groupBy(c).agg(F.count("*").alias("__k")).withColumn("__p", F.size(F.filter(edges, lambda e: e < F.col(c))))  # noqa: B023
+        totals = values.groupBy("__p").agg(F.sum("__k").alias("__all"))
+        below = totals.select(F.col("__p").alias("__q"), (F.sum("__all").over(Window.orderBy("__p")) - F.col("__all")).alias("__below"))
+        inside = F.sum("__k").over(Window.partitionBy("__p").orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        ranks = values.withColumn("__in", inside).join(F.broadcast(below), F.col("__p") == F.col("__q"))
+        ranks = ranks.select(F.col(c).alias("__v"), (F.col("__below") + F.col("__in") - (F.col("__k") - 1) / 2).alias("__r"))
+        rows = rows.join(ranks, F.col(c) == F.col("__v")).withColumn(c, F.col("__r")).drop("__v", "__r")
+    return rows
+
+
+def _biweight(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Deviations from the median with biweights: rows further than 9 median deviations count for nothing."""
+    medians = rows.agg(*[F.percentile(c, 0.5).alias(c) for c in names]).first()
+    spread = rows.agg(*[F.percentile(F.abs(F.col(c) - F.lit(medians[c])), 0.5).alias(c) for c in names]).first()
+
+    def weighed(c: str) -> Column:
+        u = (F.col(c) - F.lit(medians[c])) / F.lit(9 * spread[c]) if spread[c] else F.lit(0.0)
+        return F.when(F.abs(u) < 1, (F.col(c) - F.lit(medians[c])) * F.pow(1 - u * u, 2)).otherwise(0.0)
+
+    return rows.select(*[weighed(c).alias(c) for c in names])
+
+
+def _bent(rows: DataFrame, names: list[str], beta: float = 0.2) -> DataFrame:
+    """Deviations from the percentage-bend centre in units of the (1 - beta) order statistic of absolute deviations, cut at 1."""
+    n = rows.count()
+    k = math.floor((1 - beta) * n + 0.5)
+    medians = rows.agg(*[F.percentile(c, 0.5).alias(c) for c in names]).first()
+    place = (k - 1) / (n - 1) if n > 1 else 0.0  # the k-th smallest, without interpolation
+    omega = rows.agg(*[F.percentile(F.abs(F.col(c) - F.lit(medians[c])), place).alias(c) for c in names]).first()
+    u = {c: (F.col(c) - F.lit(medians[c])) / F.lit(omega[c] or 1.0) for c in names}
+    parts = [x for c in names for x in (F.sum((u[c] < -1).cast("int")).alias(f"lo_{c}"), F.sum((u[c] > 1).cast("int")).alias(f"hi_{c}"), F.sum(F.when(F.abs(u[c]) <= 1, F.col(c)).otherwise(0.0)).alias(f"in_{c}"))]
+    r = rows.agg(*parts).first()
+    centre = {c: (omega[c] * (r[f"hi_{c}"] - r[f"lo_{c}"]) + r[f"in_{c}"]) / max(1, n - r[f"hi_{c}"] - r[f"lo_{c}"]) for c in names}
+    return rows.select(*[F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col(c) - F.lit(centre[c])) / F.lit(omega[c] or 1.0))).alias(c) for c in names])
+
+
+def _raw_correlation(rows: DataFrame, x: str, y: str) -> float:
+    """Sum of products by the root of the sums of squares, without centring."""
+    r = rows.agg(F.sum(F.col(x) * F.col(y)).alias("xy"), F.sum(F.col(x) * F.col(x)).alias("xx"), F.sum(F.col(y) * F.col(y)).alias("yy")).first()
+    return r["xy"] / math.sqrt(r["xx"] * r["yy"]) if r["xx"] and r["yy"] else float("nan")
+
+
+def _inversions(a: np.ndarray, weight: np.ndarray) -> float:
+    """Sum of weight_i * weight_j over i < j with a_i > a_j, by merging halves."""
+    total, width, n = 0.0, 1, len(a)
+    a, weight = a.copy(), weight.astype(float)
+    while width < n:
+        for low in range(0, n - width, 2 * width):
+            mid, high = low + width, min(low + 2 * width, n)
+            left, wl = a[low:mid], weight[low:mid]
+            after = np.concatenate([np.cumsum(wl[::-1])[::-1], [0.0]])
+            total += float(np.sum(weight[mid:high] * after[np.searchsorted(left, a[mid:high], side="right")]))
+            order = np.argsort(a[low:high], kind="stable")
+            a[low:high], weight[low:high] = a[low:high][order], weight[low:high][order]
+        width *= 2
+    return total
+
+
+def kendall(rows: DataFrame, x: str, y: str, most: int = 2_000_000) -> tuple[float, float]:
+    """Tau-b and its p-value by the normal approximation with ties. Pairs of values are counted in Spark; the counts, at most ``most``, come to the driver."""
+    counts = rows.groupBy(x, y).agg(F.count("*").alias("k"))
+    if counts.limit(most + 1).count() > most:
+        raise ValueError(f"Kendall's tau takes at most {most} distinct pairs; round the columns")
+    c = counts.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), "k").toPandas().sort_values(["x", "y"])
+    k = c["k"].to_numpy(float)
+    n = k.sum()
+    ties = lambda g: g.to_numpy(float)
+    tx, ty = ties(c.groupby("x")["k"].sum()), ties(c.groupby("y")["k"].sum())
+    pairs = lambda t: float(np.sum(t * (t - 1) / 2))
+    discordant = _inversions(c["y"].to_numpy(), k)
+    concordant = n * (n - 1) / 2 - pairs(tx) - pairs(ty) + pairs(k) - discordant
+    spread = math.sqrt((n * (n - 1) / 2 - pairs(tx)) * (n * (n - 1) / 2 - pairs(ty)))
+    if spread <= 0:
+        return float("nan"), float("nan")
+    v = lambda t: float(np.sum(t * (t - 1) * (2 * t + 5)))
+    three = lambda t: float(np.sum(t * (t - 1) * (t - 2)))
+    two = lambda t: float(np.sum(t * (t - 1)))
+    var = (n * (n - 1) * (2 * n + 5) - v(tx) - v(ty)) / 18 + two(tx) * two(ty) / (2 * n * (n - 1)) + (three(tx) * three(ty) / (9 * n * (n - 1) * (n - 2)) if n > 2 else 0.0)
+    z = (concordant - discordant) / math.sqrt(var)
+    return (concordant - discordant) / spread, math.erfc(abs(z) / math.sqrt(2))
+
+
+def shepherd(rows: DataFrame, x: str, y: str, boots: int = 200, seed: int = 42) -> tuple[float, float, int]:
+    """Spearman's correlation of the rows whose mean bootstrap Mahalanobis distance is under 6, its p-value doubled, and how many rows those are.
+
+    Resampling gives every row a Poisson weight in each of the bootstraps; tasks add up weighted moments of all of them. The mean of quadratic forms is
+    one quadratic form, so rows need no second look at the bootstraps."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((boots, 6))
+        for batch in batches:
+            v = batch[["x", "y"]].to_numpy(float)
+            terms = np.column_stack([np.ones(len(v)), v, v[:, 0] ** 2, v[:, 0] * v[:, 1], v[:, 1] ** 2])
+            r = np.random.default_rng(np.concatenate([[seed], np.frombuffer(np.sort(batch["h"].to_numpy(np.int64))[:4].tobytes(), np.uint32)]))
+            total += r.poisson(1.0, (boots, len(v))) @ terms
+        yield pd.DataFrame({"boot": np.arange(boots), **{f"s{k}": total[:, k] for k in range(6)}})
+
+    named = rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    shift = named.agg(F.avg("x").alias("x"), F.avg("y").alias("y")).first()
+    named = named.select((F.col("x") - F.lit(shift["x"])).alias("x"), (F.col("y") - F.lit(shift["y"])).alias("y"))
+    parts = named.withColumn("h", F.xxhash64("x", "y")).mapInPandas(sums, "boot long, " + ", ".join(f"s{k} double" for k in range(6)))
+    found = parts.groupBy("boot").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(6)]).toPandas().to_numpy()[:, 1:]
+    n = found[:, 0]
+    mx, my = found[:, 1] / n, found[:, 2] / n
+    vxx, vxy, vyy = found[:, 3] / n - mx**2, found[:, 4] / n - mx * my, found[:, 5] / n - my**2
+    det = vxx * vyy - vxy**2
+    a, b, c = vyy / det, -vxy / det, vxx / det
+    quadratic = a.mean(), 2 * b.mean(), c.mean()
+    line = -2 * (a * mx + b * my).mean(), -2 * (b * mx + c * my).mean()
+    rest = (a * mx**2 + 2 * b * mx * my + c * my**2).mean()
+    lit = lambda v: F.lit(float(v))
+    X, Y = F.col("x"), F.col("y")
+    far = lit(quadratic[0]) * X * X + lit(quadratic[1]) * X * Y + lit(quadratic[2]) * Y * Y + lit(line[0]) * X + lit(line[1]) * Y + lit(rest)
+    inside = named.where(far < 6)
+    m = moments(average_ranks(inside, ["x", "y"]), ["x", "y"]).get(None)
+    if m is None or m.n < 3:
+        return float("nan"), float("nan"), 0
+    r = m.cross[0, 1] / math.sqrt(m.cross[0, 0] * m.cross[1, 1])
+    t = r * r * (m.n - 2) / max(1 - r * r, 1e-300)
+    return r, min(1.0, 2 * betainc((m.n - 2) / 2, 0.5, (m.n - 2) / (m.n - 2 + t))), int(m.n)
+
+
+METHODS = ("pearson", "spearman", "kendall", "bicor", "percbend", "shepherd")
+
+
+def correlation_table(
+    df: DataFrame, target: str, features: list[str], method: str = "pearson", threshold: float = 0.05, adjust: str = "none",
+    drop_insignificant: bool = False, drop_ci_contain_0: bool = False, power: bool = False,
+) -> DataFrame:
+    """Correlation of each feature with the target by one of ``METHODS``, its 95 % interval, p-value, flags and (on request) power, the largest
+    first. Rows with a gap in any of the columns go."""
+    if method not in METHODS:
         raise ValueError(f"unknown method {method}")
-    m = moments(rows, [target, *features])[None]
-    r = m.cross[0, 1:] / np.sqrt(m.cross[0, 0] * np.diag(m.cross)[1:])
-    n = m.n
-    spread = 1.959963984540054 / math.sqrt(max(n - 3, 1))
+    names = [target, *features]
+    rows = df.select(*[col(c).cast("double").alias(c) for c in names]).na.drop()
+    p = None
+    if method in ("pearson", "spearman"):
+        m = moments(average_ranks(rows, names) if method == "spearman" else rows, names)[None]
+        r, n = m.cross[0, 1:] / np.sqrt(m.cross[0, 0] * np.diag(m.cross)[1:]), np.full(len(features), m.n)
+    elif method in ("bicor", "percbend"):
+        turned = _biweight(rows, names) if method == "bicor" else _bent(rows, names)
+        r, n = np.array([_raw_correlation(turned, target, f) for f in features]), np.full(len(features), rows.count())
+    elif method == "kendall":
+        found = [kendall(rows, target, f) for f in features]
+        r, p, n = np.array([x[0] for x in found]), np.array([x[1] for x in found]), np.full(len(features), rows.count())
+    else:
+        found = [shepherd(rows, target, f) for f in features]
+        r, p, n = (np.array([x[k] for x in found]) for k in range(3))
+    spread = 1.959963984540054 / np.sqrt(np.maximum(n - 3, 1))
     z = np.arctanh(np.clip(r, -1 + 1e-15, 1 - 1e-15))
-    t2 = r**2 * (n - 2) / np.maximum(1 - r**2, 1e-300)
-    p = np.array([betainc((n - 2) / 2, 0.5, (n - 2) / (n - 2 + x)) for x in t2])
+    if p is None:
+        t2 = r**2 * (n - 2) / np.maximum(1 - r**2, 1e-300)
+        p = np.array([betainc((k - 2) / 2, 0.5, (k - 2) / (k - 2 + x)) for k, x in zip(n, t2)])
     p = _adjusted(p, adjust)
-    out = [(f, int(n), float(a), float(np.tanh(b - spread)), float(np.tanh(b + spread)), float(c), bool(round(c, 4) < threshold), bool(np.tanh(b - spread) <= 0 <= np.tanh(b + spread))) for f, a, b, c in zip(features, r, z, p)]
-    return df.sparkSession.createDataFrame(out, "feature string, n bigint, r double, ci_low double, ci_high double, p double, is_significant boolean, contains_0 boolean")
-
-
-def mahalanobis(df: DataFrame, features: list[str], by: str | None = None, regularization: float = 1e-6, level: float = 0.05) -> DataFrame:
-    """Distance of each row from the centre of all rows, or of its group; its chi-square p-value and flag. The quadratic form is a column."""
-    fitted = moments(df, features, by)
+    out = []
+    for f, k, a, low, high, v in zip(features, n, r, np.tanh(z - spread), np.tanh(z + spread), p):
+        if not (drop_insignificant and v >= threshold or drop_ci_contain_0 and low <= 0 <= high):
+            out.append((f, int(k), float(a), float(low), float(high), float(v), bool(round(v, 4) < threshold), bool(low <= 0 <= high), *([correlation_power(float(a), int(k))] if power else [])))
+    out.sort(key=lambda x: -x[2] if x[2] == x[2] else np.inf)
+    return df.sparkSession.createDataFrame(out, "feature string, n bigint, r double, ci_low double, ci_high double, p double, is_significant boolean, contains_0 boolean" + (", power double" if power else ""))
+
+
+def style_bands(table: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """A correlation table with ``style_band``: insignificant, spans zero, or the size of the correlation."""
+    size = F.abs("r")
+    steps = F.when(size < 0.1, "negligible").when(size < 0.25, "weak").when(size < 0.5, "moderate").when(size < 0.75, "strong").otherwise("very strong")
+    return table.withColumn("style_band", F.when(F.col("p").isNull() | F.isnan("p") | (F.col("p") > threshold), "insignificant").when(F.col("contains_0"), "spans zero").otherwise(steps))
+
+
+def robust_moments(df: DataFrame, features: list[str], starts: int = 20, rounds: int = 10, seed: int = 42) -> Moments:
+    """Mean and covariance of the half of the rows that lies closest together (minimum covariance determinant), scaled to all rows.
+
+    Each start takes p + 1 rows by hash order and then, a pass a round, the half of all rows nearest the present centre; all starts go side by side.
+    Cuts are approximate medians of distances, so the half is exact up to their error."""
+    rows = df.select(*[col(f).cast("double").alias(f) for f in features]).na.drop()
+    p, n = len(features), rows.count()
+    if n <= p + 1:
+        raise ValueError("too few complete rows")
+    share = (n + p + 1) / (2 * n)
+    first = rows.orderBy(F.xxhash64(*features, F.lit(seed)), *features).limit(starts * (p + 1)).toPandas().to_numpy(float)
+    states = []
+    for k in range(0, len(first) - p, p + 1):
+        x = first[k : k + p + 1]
+        states.append((x.mean(axis=0), np.cov(x, rowvar=False).reshape(p, p) + 1e-9 * np.eye(p)))
+
+    def square(state: tuple[np.ndarray, np.ndarray]) -> Column:
+        inv = np.linalg.inv(state[1])
+        dev = [F.col(f) - F.lit(float(c)) for f, c in zip(features, state[0])]
+        return sum((dev[i] * dev[j] * F.lit(float(inv[i, j])) for i in range(p) for j in range(p)), F.lit(0.0))
+
+    def step(states: list) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        far = rows.select(*features, *[square(s).alias(f"__d{k}") for k, s in enumerate(states)])
+        cuts = far.agg(*[F.percentile_approx(f"__d{k}", share, 10_000).alias(f"c{k}") for k in range(len(states))]).first()
+        ok = [(F.col(f"__d{k}") <= F.lit(cuts[k])).cast("double") for k in range(len(states))]
+        sums = [x for k, w in enumerate(ok) for x in (F.sum(w).alias(f"n{k}"), *[F.sum(w * F.col(f)).alias(f"s{k}_{i}") for i, f in enumerate(features)], *[F.sum(w * F.col(f) * F.col(g)).alias(f"q{k}_{i}_{j}") for i, f in enumerate(features) for j, g in enumerate(features) if i <= j])]
+        r = far.agg(*sums).first()
+        out = []
+        for k in range(len(states)):
+            mean = np.array([r[f"s{k}_{i}"] for i in range(p)]) / r[f"n{k}"]
+            cov = np.array([[r[f"q{k}_{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]) / r[f"n{k}"] - np.outer(mean, mean)
+            out.append((float(np.linalg.slogdet(cov + 1e-12 * np.eye(p))[1]), mean, cov + 1e-12 * np.eye(p)))
+        return out
+
+    best = [(np.inf, *s) for s in states]
+    for number in range(rounds):
+        new = step([b[1:] for b in best])
+        done = all(abs(a[0] - b[0]) < 1e-9 for a, b in zip(new, best))
+        best = sorted(new, key=lambda x: x[0])[: max(1, len(new) // 2) if number == 1 else len(new)]
+        if done:
+            break
+    _, mean, cov = min(best, key=lambda x: x[0])
+    # consistent for normal rows: the median squared distance should be the chi-square median
+    middle = rows.agg(F.percentile_approx(square((mean, cov)), 0.5, 10_000)).first()[0]
+    return Moments(features, n, mean, cov * (n - 1) * middle / chi_square(0.5, p))
+
+
+def chi_square(p: float, dof: int) -> float:
+    """Quantile of the chi-square distribution."""
+    low, high = 0.0, 1.0
+    while gammainc(dof / 2, high / 2) < p:
+        high *= 2
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if gammainc(dof / 2, mid / 2) < p else (low, mid)
+    return high
+
+
+#: Groups whose means and matrices may go to every task.
+MOST_GROUPS = 100_000
+
+
+def mahalanobis(
+    df: DataFrame, features: list[str], by: str | None = None, regularization: float = 1e-6, level: float = 0.05, reference: DataFrame | None = None,
+    mean: list[float] | None = None, covariance: list[list[float]] | None = None, robust: bool = False,
+) -> DataFrame:
+    """Distance of each row from the centre of all rows, of its group, of ``reference`` rows, or from a given mean and covariance; its chi-square
+    p-value and flag. ``robust``: centre and covariance of the closest half. The quadratic form is a column."""
+    if not 0 < level < 1 or regularization < 0:
+        raise ValueError("the level must lie in (0, 1), the regularization must not be negative")
     k = len(features)
     spark = df.sparkSession
-    rows = [(key, [float(x) for x in m.mean], [float(x) for x in np.linalg.inv(m.covariance() + regularization * np.eye(k)).ravel()]) for key, m in fitted.items() if m.n > 1]
+    if covariance is not None:
+        fitted = {None: Moments(features, 2.0, np.array(mean if mean is not None else [0.0] * k, float), np.array(covariance, float))}
+    elif robust and by is None:
+        fitted = {None: robust_moments(df if reference is None else reference, features)}
+    elif robust:
+        keys = [r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct().limit(1001).collect()]
+        if len(keys) > 1000:
+            raise ValueError("robust distances take at most 1000 groups")
+        fitted = {key: robust_moments(df.where(F.col(by) == F.lit(key)), features) for key in keys}
+    else:
+        fitted = moments(df if reference is None else reference, features, by)
+    if len(fitted) > MOST_GROUPS:
+        raise ValueError(f"distances take at most {MOST_GROUPS} groups")
+    if mean is not None and covariance is None:
+        fitted = {key: Moments(m.names, m.n, np.array(mean, float), m.cross) for key, m in fitted.items()}
+    rows = [(key, [float(x) for x in m.mean], [float(x) for x in np.linalg.pinv(m.covariance() + regularization * np.eye(k)).ravel()]) for key, m in fitted.items() if m.n > 1]
     kind = df.schema[by].dataType.simpleString() if by else "string"
     state = F.broadcast(spark.createDataFrame(rows, f"__key {kind}, __mean array<double>, __inv array<double>"))
     joined = df.join(state, F.col(by) == F.col("__key"), "left") if by else df.crossJoin(state)
@@ -201,17 +471,10 @@ def mahalanobis(df: DataFrame, features: list[str], by: str | None = None, regul
     square = sum((dev[i] * dev[j] * F.col("__inv")[i * k + j] for i in range(k) for j in range(k)), F.lit(0.0))
     work = joined.withColumn("mahalanobis", F.sqrt(F.greatest(square, F.lit(0.0)))).drop("__key", "__mean", "__inv")
     x = F.pow("mahalanobis", 2)
-    p = F.exp(-x / 2) if k == 2 else None
-    if p is None:
-        low, high = 0.0, 1.0
-        while gammainc(k / 2, high / 2) < 1 - level:
-            high *= 2
-        for _ in range(80):
-            mid = (low + high) / 2
-            low, high = (mid, high) if gammainc(k / 2, mid / 2) < 1 - level else (low, mid)
-        tail = F.pandas_udf(lambda s: s.map(lambda v: 1 - gammainc(k / 2, v / 2)), "double")
-        return work.withColumn("p_value", tail(x)).withColumn("is_outlier", x > high)
-    return work.withColumn("p_value", p).withColumn("is_outlier", F.col("p_value") < level)
+    if k == 2:
+        return work.withColumn("p_value", F.exp(-x / 2)).withColumn("is_outlier", F.col("p_value") < level)
+    tail = F.pandas_udf(lambda s: s.map(lambda v: 1 - gammainc(k / 2, v / 2)), "double")
+    return work.withColumn("p_value", tail(x)).withColumn("is_outlier", x > chi_square(1 - level, k))
 
 
 def _expm(a: np.ndarray) -> np.ndarray:
@@ -296,6 +559,18 @@ def total_effects(weights: DataFrame, names: list[str]) -> DataFrame:
     return weights.sparkSession.createDataFrame(rows, "cause string, effect string, direct double, total double")
 
 
+def causal_order(weights: DataFrame, names: list[str]) -> DataFrame:
+    """Each variable's depth in the graph (the longest way from a root), and whether it is a root or a sink."""
+    edges = [(r["cause"], r["effect"]) for r in weights.select("cause", "effect").collect()]
+    depth = dict.fromkeys(names, 0)
+    for _ in names:
+        for a, b in edges:
+            depth[b] = max(depth[b], depth[a] + 1)
+    causes, effects = {a for a, _ in edges}, {b for _, b in edges}
+    rows = [(n, depth[n], n not in effects, n not in causes) for n in names]
+    return weights.sparkSession.createDataFrame(rows, "node string, depth bigint, is_root boolean, is_sink boolean")
+
+
 def diagnose_confounding(effects: DataFrame, cause: str, effect: str, correlation: float) -> DataFrame:
     """What lies behind a correlation of two variables, given the fitted graph's effects."""
     e = {(r["cause"], r["effect"]): (r["direct"], r["total"]) for r in effects.collect()}

@@ -44,6 +44,65 @@ def corr_table_spearman(spark: SparkSession, d: str) -> DataFrame:
     return L.correlation_table(table(spark, d, "lineitem"), "l_extendedprice", _LINE[:1] + _LINE[2:], "spearman").drop("p", "is_significant")
 
 
+_KENDALL = """WITH s AS (SELECT s_acctbal AS y, s_nationkey AS a, s_suppkey % 7 AS b FROM supplier), c AS (SELECT unnest(['a', 'b']) AS feature, unnest([a, b])::DOUBLE AS x, y, row_number() OVER () AS i FROM s),
+p AS (SELECT u.feature, sum(sign(u.x - v.x) * sign(u.y - v.y)) AS s, sum((u.x <> v.x)::INT) AS nx, sum((u.y <> v.y)::INT) AS ny FROM c u JOIN c v ON u.feature = v.feature AND u.i < v.i GROUP BY 1)
+SELECT feature, s / sqrt(nx::DOUBLE * ny) AS r FROM p"""
+
+
+@query(_KENDALL, "r")
+def corr_table_kendall(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "supplier").select(F.col("s_acctbal").alias("y"), F.col("s_nationkey").alias("a"), (F.col("s_suppkey") % 7).alias("b"))
+    return L.correlation_table(rows, "y", ["a", "b"], "kendall").select("feature", "r")
+
+
+def _turned(name: str) -> tuple[str, str]:
+    """SQL of the biweight and percentage-bend columns of ``lineitem``."""
+    if name == "bicor":
+        parts = ", ".join(f"(SELECT median(abs({c} - (SELECT median({c}) FROM lineitem))) FROM lineitem) AS d_{c}, (SELECT median({c}) FROM lineitem) AS m_{c}" for c in _LINE)
+        cell = lambda c: f"CASE WHEN abs(({c} - m_{c}) / (9 * d_{c})) < 1 THEN ({c} - m_{c}) * pow(1 - pow(({c} - m_{c}) / (9 * d_{c}), 2), 2) ELSE 0 END AS {c}"
+        return f"q AS (SELECT {parts})", f"t AS (SELECT {', '.join(map(cell, _LINE))} FROM lineitem, q)"
+    one = "; ".join(_LINE).split("; ")
+    size = "(SELECT count(*) FROM lineitem)"
+    meds = ", ".join(f"(SELECT median({c}) FROM lineitem) AS m_{c}" for c in one)
+    omegas = ", ".join(f"(SELECT list_sort(list(abs({c} - m_{c})))[floor(0.8 * {size} + 0.5)::INT] FROM lineitem) AS o_{c}" for c in one)
+    centres = ", ".join(f"(SELECT (o_{c} * (count(*) FILTER ({c} - m_{c} > o_{c}) - count(*) FILTER ({c} - m_{c} < -o_{c})) + sum({c}) FILTER (abs({c} - m_{c}) <= o_{c})) / count(*) FILTER (abs({c} - m_{c}) <= o_{c}) FROM lineitem) AS c_{c}" for c in one)
+    cells = ", ".join(f"greatest(-1, least(1, ({c} - c_{c}) / o_{c})) AS {c}" for c in one)
+    return f"q0 AS (SELECT {meds}), q1 AS (SELECT *, {omegas} FROM q0), q AS (SELECT *, {centres} FROM q1)", f"t AS (SELECT {cells} FROM lineitem, q)"
+
+
+def _robust(name: str) -> str:
+    parts = " UNION ALL ".join(f"SELECT '{f}' AS feature, sum(l_extendedprice * {f}) / sqrt(sum(l_extendedprice * l_extendedprice) * sum({f} * {f})) AS r FROM t" for f in _LINE if f != "l_extendedprice")
+    return f"WITH {', '.join(_turned(name))} {parts}"
+
+
+@query(_robust("bicor"), "r")
+def corr_table_bicor(spark: SparkSession, d: str) -> DataFrame:
+    return L.correlation_table(table(spark, d, "lineitem"), "l_extendedprice", _LINE[:1] + _LINE[2:], "bicor").select("feature", "r")
+
+
+@query(_robust("percbend"), "r")
+def corr_table_percbend(spark: SparkSession, d: str) -> DataFrame:
+    return L.correlation_table(table(spark, d, "lineitem"), "l_extendedprice", _LINE[:1] + _LINE[2:], "percbend").select("feature", "r")
+
+
+@query()
+def corr_table_shepherd(spark: SparkSession, d: str) -> DataFrame:
+    return L.style_bands(L.correlation_table(table(spark, d, "lineitem"), "l_extendedprice", _LINE[:1] + _LINE[2:], "shepherd", power=True))
+
+
+@query("""WITH b AS (SELECT s_suppkey, s_acctbal / 1000 - 4 AS x, s_nationkey - 12.0 AS y FROM supplier), q AS (SELECT s_suppkey, sqrt((x * x * 50 + y * y * 9) / 450) AS mahalanobis FROM b)
+SELECT *, exp(-pow(mahalanobis, 2) / 2) AS p_value, exp(-pow(mahalanobis, 2) / 2) < 0.05 AS is_outlier FROM q""", "mahalanobis p_value")
+def mahalanobis_given(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+    return L.mahalanobis(rows, ["x", "y"], regularization=0.0, mean=[4.0, 12.0], covariance=[[9.0, 0.0], [0.0, 50.0]]).drop("x", "y")
+
+
+@query()
+def mahalanobis_robust(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+    return L.mahalanobis(rows, ["x", "y"], robust=True).drop("x", "y")
+
+
 _SQUARE = "sqrt((vy * pow(x - mx, 2) - 2 * vxy * (x - mx) * (y - my) + vx * pow(y - my, 2)) / (vx * vy - vxy * vxy))"
 
 
@@ -125,20 +184,33 @@ def autoencoder(spark: SparkSession, d: str) -> DataFrame:
     return A.autoencoder(table(spark, d, "part"), "p_partkey", ["p_retailprice", "p_size"], latent=1)
 
 
-@query()
+_KNOWN = ["a", "b", "c", "d"]
+
+
+def _known_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Four columns that cause one another as laid out here: a makes b, b makes c, and d stands alone."""
+    z = A.standardized(table(spark, d, "lineitem").select(*_LINE), _LINE)
+    b = 0.9 * F.col("z_0") + F.col("z_1")
+    return z.select(F.col("z_0").alias("a"), b.alias("b"), (-0.8 * b + F.col("z_2")).alias("c"), F.col("z_3").alias("d"))
+
+
+@query("SELECT * FROM (VALUES ('a', 'b', 1.0::DOUBLE), ('b', 'c', -1.0::DOUBLE)) t(cause, effect, direction)")
 def notears(spark: SparkSession, d: str) -> DataFrame:
-    return L.notears(A.standardized(table(spark, d, "lineitem").select(*_LINE), _LINE).select("z_0", "z_1", "z_2", "z_3"), ["z_0", "z_1", "z_2", "z_3"])
+    return L.notears(_known_graph(spark, d), _KNOWN).select("cause", "effect", F.signum("weight").alias("direction"))
 
 
 @query()
 def causal_effects(spark: SparkSession, d: str) -> DataFrame:
-    rows = A.standardized(table(spark, d, "lineitem").select(*_LINE), _LINE).select("z_0", "z_1", "z_2", "z_3")
-    names = ["z_0", "z_1", "z_2", "z_3"]
-    return L.total_effects(L.notears(rows, names), names)
+    return L.total_effects(L.notears(_known_graph(spark, d), _KNOWN), _KNOWN)
 
 
-@query()
+@query("SELECT 'a' AS cause, 'c' AS effect, 0.0::DOUBLE AS direct, '' AS confounders, 'cause through mediators' AS verdict")
 def confounding(spark: SparkSession, d: str) -> DataFrame:
-    rows = A.standardized(table(spark, d, "lineitem").select(*_LINE), _LINE).select("z_0", "z_1", "z_2", "z_3")
-    names = ["z_0", "z_1", "z_2", "z_3"]
-    return L.diagnose_confounding(L.total_effects(L.notears(rows, names), names), "z_0", "z_1", rows.stat.corr("z_0", "z_1"))
+    rows = _known_graph(spark, d)
+    found = L.diagnose_confounding(L.total_effects(L.notears(rows, _KNOWN), _KNOWN), "a", "c", rows.stat.corr("a", "c"))
+    return found.select("cause", "effect", "direct", "confounders", "verdict")
+
+
+@query("SELECT * FROM (VALUES ('a', 0::BIGINT, true, false), ('b', 1::BIGINT, false, false), ('c', 2::BIGINT, false, true), ('d', 0::BIGINT, true, true)) t(node, depth, is_root, is_sink)")
+def causal_order(spark: SparkSession, d: str) -> DataFrame:
+    return L.causal_order(L.notears(_known_graph(spark, d), _KNOWN), _KNOWN)
