@@ -16,7 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from wfspark.llm import bpe, html_extract, jaccard_join, sql, toxicity
+from wfspark.llm import bpe, dealing, html_extract, jaccard_join, sql, toxicity
 from wfspark.llm.bwt import merge, ranks, transform
 from wfspark.llm.decontamination import decontamination
 from wfspark.llm.html_blocks import blocks
@@ -82,7 +82,9 @@ def test_quality_rules_equal_sql(docs, duck):
     equal(quality_rules(docs), duck.execute(sql.quality_rules()).df())
 
 
-def test_substring_dedup_equals_sql(docs, duck):
+@pytest.mark.parametrize("level", [10, 3])
+def test_substring_dedup_equals_sql(docs, duck, monkeypatch, level):
+    monkeypatch.setattr(dealing, "LEVEL", level)  # 3: buckets in three steps
     equal(substring_dedup(docs, digest=True), duck.execute(sql.substring_dedup()).df())
 
 
@@ -98,7 +100,18 @@ def test_license_scan_equals_sql(docs, duck):
     equal(license_scan(docs), duck.execute(sql.license_scan()).df())
 
 
-def test_suffix_dedup_equals_brute_force(docs, texts):
+def test_suffix_dedup_of_rows_with_one_id(spark):
+    r = random.Random(4)
+    a, b = ("".join(r.choices("abcdef ", k=300)) for _ in range(2))
+    rows = [(1, a), (1, b), (2, b), (2, b), (3, a), (4, None), (4, None), (None, a), (None, None)]
+    got = sorted((x["doc_id"] or 0, x["n_bytes"], x["n_removed"]) for x in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    first, other = (300, 300) if min(a, b) == b else (0, 0), (0, 0) if min(a, b) == b else (300, 300)
+    assert got == sorted([(1, 300, 0)] * 2 + [(2, 300, first[0])] * 2 + [(3, 300, other[0]), (4, 0, 0), (4, 0, 0), (0, 300, 0), (0, 0, 0)])
+
+
+@pytest.mark.parametrize("level", [10, 3])
+def test_suffix_dedup_equals_brute_force(docs, texts, monkeypatch, level):
+    monkeypatch.setattr(dealing, "LEVEL", level)
     seen, want = set(), {}
     for k, t in sorted(texts.items()):
         b = (t or "").encode()
@@ -117,24 +130,49 @@ def test_suffix_dedup_equals_brute_force(docs, texts):
         assert sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] and len(r["kept"]) == r["n_bytes"] - r["n_removed"]
 
 
-@pytest.mark.parametrize("block", [512, 2])
-def test_jaccard_join_equals_brute_force(docs, texts, monkeypatch, block):
-    monkeypatch.setattr(jaccard_join, "BLOCK", block)
-    sets = {}
-    for k, t in texts.items():
+def jaccard_groups(rows, n=3, percent=90):
+    """Set size and group of each row by comparing all pairs; rows: doc_id and text."""
+    sets = []
+    for _, t in rows:
         w = words((t or "").translate(LOW))
-        sets[k] = {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
-    group = {k: k for k in sets}
-    changed = True
+        sets.append(frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else []))
+    group, changed = list(range(len(rows))), True
+    pairs = []
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            pairs.append((a, b))
     while changed:
         changed = False
-        for a, b in itertools.combinations(sets, 2):
-            both = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both) and group[a] != group[b]:
+        for a, b in pairs:
+            if group[a] != group[b]:
                 group[a] = group[b] = min(group[a], group[b])
                 changed = True
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(docs).collect()}
-    assert got == {k: (len(sets[k]), group[k]) for k in sets}
+    least = {}
+    for g, (k, _) in zip(group, rows):
+        least[g] = min(k, least.get(g, k))
+    return sorted((k, len(s), least[g]) for (k, _), s, g in zip(rows, sets, group))
+
+
+@pytest.mark.parametrize("block", [512, 2, 8])
+def test_jaccard_join_equals_brute_force(spark, docs, texts, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(dealing, "LEVEL", 10 if block == 512 else 5)
+    r = random.Random(9)
+    base = [f"w{r.randrange(500)}" for _ in range(200)]
+    near = []
+    for k in range(45):  # near copies of one text, some of them further from it than from each other
+        w = base[:]
+        for _ in range(r.choice([1, 2, 3, 8])):
+            w[r.randrange(200)] = f"n{r.randrange(30)}"
+        near.append((500 + k, " ".join(w)))
+    near += [(600 + k, " ".join(base[:k])) for k in range(150, 200, 3)]
+    rows = [*texts.items(), *near, *near[:3], (None, None)]
+    if block == 8:  # rows of one id with different texts
+        rows += [(3, near[0][1]), (500, "quite another text of the same id"), (501, "quite another text of the same id"), (502, near[3][1])]
+    table = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, name_a string").repartition(3)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(table).where("doc_id is not null").collect())
+    assert got == jaccard_groups([x for x in rows if x[0] is not None])
 
 
 def test_bpe_equals_tiktoken(docs, texts):

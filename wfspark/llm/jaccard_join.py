@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from wfspark.llm.columns import CHUNK, Texts, frugal, mix, runs, span_hashes, spans, texts, window_hashes
 from wfspark.llm.components import components
+from wfspark.llm.dealing import bucket_bits, cuts, dealt_on, first_bits
 from wfspark.llm.sources import discard, shuffles_end_with_jobs, written
-from wfspark.llm.substring_dedup import n_buckets
 
 CELLS = 1 << 21
 _SLICES = 64
@@ -129,6 +129,18 @@ def _digests(docs: DataFrame, like: Similarity) -> DataFrame:
 
 
 _PACKED = "bucket int, names binary, counts binary, grams binary"
+_GRAMS = pa.schema([("bucket", pa.int32()), ("names", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())])
+
+
+def _grams_packed(bucket: int, grams: np.ndarray, values: list[np.ndarray]) -> tuple:
+    """n-grams by the set that has them: names, how many each has, and those."""
+    names, counts = np.unique(values[0], return_counts=True)
+    return bucket, names.tobytes(), counts.astype(np.int32).tobytes(), grams[np.argsort(values[0], kind="stable")].tobytes()
+
+
+def _grams_unpacked(cells: list[tuple]) -> tuple[np.ndarray, list[np.ndarray]]:
+    names = [np.repeat(np.frombuffer(n, np.uint64), np.frombuffer(c, np.int32)) for _, n, c, _ in cells]
+    return np.concatenate([np.frombuffer(row[3], np.uint64) for row in cells]), [np.concatenate(names)]
 
 
 def _name(s: np.ndarray, seed: int) -> np.ndarray:
@@ -140,12 +152,13 @@ def _own_grams(docs: DataFrame, like: Similarity) -> DataFrame:
 
     A set that keeps as many to itself as its head is long can't be similar enough to any other. Each run of documents gives an n-gram once, with
     the name of its set or 0 for several; entries are dealt by n-gram as packed arrays, and only counts come back."""
-    bits = n_buckets(docs).bit_length() - 1
+    bits = bucket_bits(docs)
+    first_ = first_bits(bits)
 
     @frugal
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, t in runs(texts(batch.column(0)), 4 * CHUNK):
+            for _, _, t in runs(texts(batch.column(0)), 8 * CHUNK):
                 sets = {int(_name(s, _SEEDS[0])): s for s in shingle_sets(t, like.n) if len(s)}
                 if not sets:
                     continue
@@ -156,14 +169,8 @@ def _own_grams(docs: DataFrame, like: Similarity) -> DataFrame:
                 first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
                 once = np.diff(np.append(first, len(gram))) == 1
                 gram, name = gram[first], np.where(once, name[first], np.uint64(0))
-                cuts = np.searchsorted(gram, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-                rows = []
-                for bucket, (g, n) in enumerate(zip(np.split(gram, cuts), np.split(name, cuts))):
-                    if len(g):
-                        by = np.argsort(n, kind="stable")
-                        names, counts = np.unique(n, return_counts=True)
-                        rows.append((bucket, names.tobytes(), counts.astype(np.int32).tobytes(), g[by].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "names", "counts", "grams"])
+                rows = [_grams_packed(bucket, gram[a:b], [name[a:b]]) for bucket, a, b in cuts(gram, first_)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _GRAMS)], schema=_GRAMS)
 
     @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +187,7 @@ def _own_grams(docs: DataFrame, like: Similarity) -> DataFrame:
         ids, counts = np.unique(low[(low == high) & (low != 0)], return_counts=True)
         yield pa.RecordBatch.from_pydict({"name_a": pa.array(ids.view(np.int64), pa.int64()), "own": pa.array(counts, pa.int64())})
 
-    packed = docs.select("text").where("text is not null").mapInArrow(deal, _PACKED)
+    packed = dealt_on(docs.select("text").where("text is not null").mapInArrow(deal, _PACKED), _GRAMS, bits, _grams_unpacked, _grams_packed, lambda row: False)
     return packed.groupBy("bucket").applyInArrow(count, "name_a long, own long").groupBy("name_a").agg(F.sum("own").alias("own"))
 
 

@@ -7,8 +7,9 @@ as packed arrays and counted there: a window is a repeat where its hash also sta
 document with a smaller id. The repeats go back to their documents by id, where adjoining windows merge
 into maximal removal intervals.
 
-Words are `[^\\x20\\x09-\\x0D]+`; null and empty texts have none. Windows never cross documents and are judged on
-the input. Rows with one doc_id don't repeat each other. Two different windows count as one if their 64-bit
+Words are `[^\\x20\\x09-\\x0D]+`; null and empty texts have none, an empty table gives no rows. Texts of any length are read whole. Windows never cross
+documents and are judged on the input. Rows with one doc_id don't repeat each other, so repeated rows stay alike; of equal windows the one of the
+smallest doc_id stays. Extra columns are ignored, whatever their names, but for those to carry. Two different windows count as one if their 64-bit
 hashes agree (expected 0.0005 pairs in 10^8 windows).
 """
 
@@ -24,24 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wfspark.llm.columns import CHUNK, Texts, covered, frugal, member, mix, ranges, runs, span_hashes, spans, sums, texts, whole_windows, window_hashes
+from wfspark.llm.dealing import bucket_bits, cuts, dealt_on, first_bits
 from wfspark.llm.sources import written
 
 WINDOW = 13
 _PACKED = "bucket int, settled boolean, docs binary, counts binary, found binary"
-#: Text that one bucket of hashes stands for; buckets grow with the input, never their size.
-BUCKET_BYTES = 16 << 20
-LEAST_BUCKETS = 256
-
-
-def n_buckets(docs: DataFrame) -> int:
-    """A power of two that follows the input's size as the optimizer knows it."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = LEAST_BUCKETS
-    while n * BUCKET_BYTES < size and n < 1 << 20:
-        n *= 2
-    return n
-
-
 def windows(t: Texts, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word starts, ends, each document's first word, and the hash of every window (with those across documents)."""
     starts, ends = spans(t)
@@ -93,10 +81,7 @@ def _entries(ids: np.ndarray, t: Texts, n: int, bits: int) -> list[dict]:
         which, s, e = intervals(covered(gone, n, len(starts)), first)
         rows.append(_pack(int(which[0] + starts[0]) & ((1 << bits) - 1), True, ids[which], (s << 32 | e).astype(np.uint64)))
     keys, doc = keys[new], doc[new]
-    cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-    for bucket, (a, b) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)])):
-        if b > a:
-            rows.append(_pack(bucket, False, doc[a:b], keys[a:b]))
+    rows += [_pack(bucket, False, doc[a:b], keys[a:b]) for bucket, a, b in cuts(keys, bits)]
     return rows
 
 
@@ -110,6 +95,12 @@ def _split(ids: np.ndarray, counts: np.ndarray, found: np.ndarray, settled: bool
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([settled] * len(ids), pa.bool_()), pa.array(values, pa.binary())], schema=_REPEATS)
 
 
+def _unpacked(cells: list[tuple]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Hashes and documents of packed rows."""
+    docs = [np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.int32)) for _, _, d, c, _ in cells]
+    return np.concatenate([np.frombuffer(row[4], np.uint64) for row in cells]), [np.concatenate(docs)]
+
+
 def _count(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeats of one bucket by document; settled rows pass."""
     docs, found = [], []
@@ -135,15 +126,16 @@ def _count(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeats(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, settled, found: hashes of repeated windows, or (settled) word intervals as start << 32 | end."""
-    bits = n_buckets(docs).bit_length() - 1
+    bits = bucket_bits(docs)
+    first = first_bits(bits)
 
     @frugal
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.take(pc.sort_indices(batch.column(0)))
             ids = batch.column(0).to_numpy()
-            for i, j, t in runs(texts(batch.column(1)), 4 * CHUNK):
-                rows = _entries(ids[i:j], t, n, bits)
+            for i, j, t in runs(texts(batch.column(1)), 8 * CHUNK):
+                rows = _entries(ids[i:j], t, n, first)
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
@@ -152,7 +144,8 @@ def repeats(docs: DataFrame, n: int) -> DataFrame:
         yield from _count(list(batches))
 
     rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    return rows.mapInArrow(deal, _PACKED).groupBy("bucket").applyInArrow(count, "doc_id long, settled boolean, found binary")
+    dealt = dealt_on(rows.mapInArrow(deal, _PACKED), _ARROW, bits, _unpacked, lambda bucket, keys, values: tuple(_pack(bucket, False, values[0], keys).values()), lambda row: row[1])
+    return dealt.groupBy("bucket").applyInArrow(count, "doc_id long, settled boolean, found binary")
 
 
 def _removed(t: Texts, first: np.ndarray, hashes: np.ndarray, n: int, found: pa.Array, settled: pa.Array) -> np.ndarray:

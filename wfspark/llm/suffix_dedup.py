@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from wfspark.llm import bwt
 from wfspark.llm.columns import BLOCK, CHUNK, Texts, byte_hashes, frugal, mix, ranges, runs, texts
+from wfspark.llm.dealing import bucket_bits, cuts, dealt_on, first_bits
 from wfspark.llm.sources import discard, written
-from wfspark.llm.substring_dedup import n_buckets
 
 LENGTH, GRAM = 100, 50
 _MOST_STRINGS = 2000
@@ -115,6 +115,16 @@ _DEALT = pa.schema([("bucket", pa.int32()), ("settled", pa.binary()), ("doc", pa
 _DEALT_SQL = "bucket int, settled binary, doc binary, start binary, count binary, anchor binary, whole binary"
 
 
+def _packed(bucket: int, key: np.ndarray, values: list[np.ndarray]) -> tuple:
+    doc, start, count, whole = values
+    return (bucket, None, *(c.tobytes() for c in (doc.astype(np.int64), start.astype(np.uint32), count.astype(np.uint8), key, whole)))
+
+
+def _unpacked(cells: list[tuple]) -> tuple[np.ndarray, list[np.ndarray]]:
+    doc, start, count, key, whole = (np.concatenate([np.frombuffer(row[2 + k], kind) for row in cells]) for k, kind in enumerate((np.int64, np.uint32, np.uint8, np.uint64, np.uint64)))
+    return key, [doc, start, count, whole]
+
+
 def _deal(doc: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray, whole: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
     """Packed contexts of one run, dealt by key, without those that equal an earlier one of the run; rows must be in order of document and start."""
     if not len(start):
@@ -130,11 +140,9 @@ def _deal(doc: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray
         rows.append((int(d[0] + s[0]) & ((1 << bits) - 1), np.stack([d, s, e]).astype(np.int64).tobytes(), *[b""] * 5))
     keep = order[new]
     keep = keep[np.argsort(key[keep], kind="stable")]
-    cuts = np.searchsorted(key[keep], np.arange(1, 1 << bits, dtype=np.uint64) << _U(64 - bits))
-    for bucket, own in enumerate(np.split(keep, cuts)):
-        if len(own):
-            cells = (doc[own].astype(np.int64), start[own].astype(np.uint32), count[own].astype(np.uint8), key[own], whole[own])
-            rows.append((bucket, None, *(c.tobytes() for c in cells)))
+    for bucket, a, b in cuts(key[keep], bits):
+        own = keep[a:b]
+        rows.append(_packed(bucket, key[own], [doc[own], start[own], count[own], whole[own]]))
     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _DEALT)], schema=_DEALT)
 
 
@@ -216,7 +224,8 @@ def _lists(column: pa.Array) -> list[list[bytes]]:
 
 def suffix_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and, with ``digest``, kept_sha256, else the bytes that are left and the removed spans (start, end)."""
-    bits = n_buckets(docs).bit_length() - 1
+    bits = bucket_bits(docs)
+    coarse = first_bits(bits)
     given = docs.select("doc_id", "text")
     twice = given.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
     read = given.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")).union(given.where("doc_id is null")) if twice else given
@@ -226,11 +235,11 @@ def suffix_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
         for batch in batches:
             batch = batch.take(pc.sort_indices(batch.column(0)))
             ids = batch.column(0).to_numpy()
-            for i, j, t in runs(texts(batch.column(1)), 4 * CHUNK):
+            for i, j, t in runs(texts(batch.column(1)), 8 * CHUNK):
                 start, count, anchor, whole = contexts(t)
                 index = t.document_of(start)
                 # anchors are least hashes, so small numbers: mixed, they spread over all buckets
-                yield from _deal(ids[i:j][index], start - t.offsets[index], count, mix(anchor), whole, bits)
+                yield from _deal(ids[i:j][index], start - t.offsets[index], count, mix(anchor), whole, coarse)
 
     @frugal
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +250,7 @@ def suffix_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
         for batch in batches:
             batch = batch.take(pc.sort_indices(batch.column(0)))
             ids = batch.column(0).to_numpy()
-            for i, j, t in runs(texts(batch.column(1)), 4 * CHUNK):
+            for i, j, t in runs(texts(batch.column(1)), 8 * CHUNK):
                 part = batch.slice(i, j - i)
                 packed = [np.frombuffer(b"".join(x), np.uint64) for x in _lists(part.column(2))]
                 keys = np.concatenate([np.frombuffer(b"".join(x), np.uint64) for x in _lists(part.column(3))])
@@ -256,7 +265,7 @@ def suffix_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
         for doc, start, strings, key in wanted(batches):
             first, count, greatest, whole = contexts(strings, greatest=True)
             of = strings.document_of(first)
-            yield from _deal(doc[of], start[of] + first - strings.offsets[of], count, mix(key[of] ^ greatest), whole, bits)
+            yield from _deal(doc[of], start[of] + first - strings.offsets[of], count, mix(key[of] ^ greatest), whole, coarse)
 
     @frugal
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,9 +282,10 @@ def suffix_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
         return read.join(asked, F.col("doc_id") == F.col("of")).select("doc_id", "text", "found", "keys")
 
     dealt = read.where("doc_id is not null and text is not null").mapInArrow(deal, _DEALT_SQL)
-    alike = written(dealt.groupBy("bucket").applyInArrow(settle, _FOUND_SQL), "alike")
+    on = lambda rows: dealt_on(rows, _DEALT, bits, _unpacked, _packed, lambda row: row[1] is not None)
+    alike = written(on(dealt).groupBy("bucket").applyInArrow(settle, _FOUND_SQL), "alike")
     parts = with_text(alike).mapInArrow(cut, _DEALT_SQL)
-    closer = written(parts.groupBy("bucket").applyInArrow(settle, _FOUND_SQL), "closer")
+    closer = written(on(parts).groupBy("bucket").applyInArrow(settle, _FOUND_SQL), "closer")
     shards = with_text(closer).mapInArrow(shard, _SHARDS_SQL)
     compared = written(shards.groupBy("bucket").applyInArrow(merge, _FOUND_SQL), "compared")
     settled = alike.union(closer)
@@ -288,7 +298,7 @@ def suffix_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
     @frugal
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, t in runs(texts(batch.column(1)), 2 * CHUNK):
+            for i, j, t in runs(texts(batch.column(1)), 4 * CHUNK):
                 lists = _lists(batch.column(2).slice(i, j - i))
                 packed = [np.frombuffer(b"".join(x), np.uint64) for x in lists]
                 doc = np.repeat(np.arange(len(t)), [len(p) for p in packed])
