@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import string
@@ -249,15 +250,57 @@ def test_decontamination_equals_brute_force(spark, docs, texts):
     assert got[2000, 45]["n_words"] == 1 and got[2000, 45]["start_word"] == 1 and (2003, 48) in got and (2001, 46) in got
 
 
-def test_language_id(spark, docs):
+def naive_bayes(labelled, asked, buckets=1 << 15, smoothing=0.5):
+    """Language and posterior of each text by counts in dictionaries; labelled: text and language."""
+
+    def grams(text):
+        chars = [ord(c.lower()) if len(c.lower()) == 1 and c.isalpha() else ord(c) if c.isalpha() else 0x20 for c in text or ""]
+        kept = [c for k, c in enumerate(chars) if c != 0x20 or k == 0 or chars[k - 1] != 0x20]
+        for n in (1, 2, 3):
+            for i in range(len(kept) - n + 1):
+                h = n
+                for c, factor in zip(kept[i : i + n], (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+                    h = ((h ^ c) * factor) & 0xFFFFFFFF
+                    h ^= h >> 15
+                if n > 1 or kept[i] != 0x20:
+                    yield h % buckets
+
+    counts, rows = {}, Counter()
+    for text, lang in labelled:
+        if text is not None and lang is not None:
+            rows[lang] += 1
+            counts.setdefault(lang, Counter()).update(grams(text))
+    out = []
+    for text in asked:
+        if not counts or not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0))
+            continue
+        total = {}
+        for lang in sorted(counts):
+            every = sum(counts[lang].values()) + smoothing * buckets
+            total[lang] = math.log(rows[lang] / sum(rows.values())) + sum(math.log((counts[lang][g] + smoothing) / every) for g in grams(text))
+        best = max(total, key=lambda x: total[x])
+        out.append((best, 1 / sum(math.exp(v - total[best]) for v in total.values())))
+    return out
+
+
+def test_language_id(spark, docs, empty, texts):
     r = random.Random(2)
     say = lambda letters: " ".join("".join(r.choices(letters, k=5)) for _ in range(40))
-    rows = [(k, say("abcdef" if k % 2 else "uvwxyzé"), "aa" if k % 2 else "zz") for k in range(60)] + [(90, None, "aa"), (91, "", None), (92, "12 34 !", "zz")]
-    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rows = [(k, say("abcdef" if k % 2 else "uvwxyzé"), "aa" if k % 2 else "zz") for k in range(60)] + [(90, None, "aa"), (91, "", None), (92, "12 34 !", "zz"), (93, "abxy", None), (94, "a", None), (95, "Ünder  STRAßE 中文", None), (95, "abc", None)]
+    table = spark.createDataFrame([(*x, "clash", 0.0) for x in rows], "doc_id long, text string, lang string, lang_pred string, score double")
     model = train(table.where("doc_id < 40"))
-    got = {x["doc_id"]: x["lang_pred"] for x in language_id(table, model).collect()}
-    assert all(got[k] == ("aa" if k % 2 else "zz") for k in range(60)) and {got[90], got[91], got[92]} == {"und"}
+    got = sorted((x["doc_id"], x["lang_pred"], round(x["score"], 6)) for x in language_id(table, model).collect())
+    want = naive_bayes([x[1:] for x in rows if x[0] < 40], [x[1] for x in rows])
+    assert got == sorted((k, lang, round(p, 6)) for (k, _, _), (lang, p) in zip(rows, want))
+    model = train(docs)
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in language_id(docs, model).collect()}
+    for (k, t), (lang, p) in zip(texts.items(), naive_bayes([(t, "en" if k % 2 else "fr") for k, t in texts.items()], texts.values())):
+        assert got[k][0] == lang and abs(got[k][1] - p) < 1e-6
     assert {x["lang_pred"] for x in language_id(docs, train(docs.where("false"))).collect()} == {"und"}
+    assert language_id(empty, model).count() == 0 and train(empty).languages == []
+    with pytest.raises(ValueError):
+        train(docs.withColumn("lang", F.col("doc_id").cast("string")), most_languages=20)
 
 
 def test_toxicity_finds_held_out_words(spark):

@@ -7,6 +7,7 @@ driver and is broadcast. Scoring adds log probabilities a document at a time ove
 
 Rows with a null language or text teach nothing. A null text, or one without a letter, is `und` with score 0; so is
 every row where nothing was learned. Equal log probabilities: the language first in order. Repeated rows are scored each.
+Texts of any length are read whole; extra columns are ignored, whatever their names, but for those to carry; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -82,8 +83,12 @@ class LanguageModel:
         return np.where(seen > 0, best, -1), np.where(seen > 0, score, 0.0)
 
 
-def train(docs: DataFrame, buckets: int = BUCKETS, smoothing: float = 0.5) -> LanguageModel:
-    """Counts every labelled row. ``docs``: text and lang."""
+def train(docs: DataFrame, buckets: int = BUCKETS, smoothing: float = 0.5, most_languages: int = 1000) -> LanguageModel:
+    """Counts every labelled row. ``docs``: text and lang. The matrix has a row for each distinct value of lang; more than ``most_languages`` of them are an
+    error, as labels that are no languages would fill every worker."""
+    known = docs.select("lang").where("lang is not null").distinct()
+    if known.limit(most_languages + 1).count() > most_languages:
+        raise ValueError(f"lang has more than {most_languages} values")
 
     @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
