@@ -101,6 +101,27 @@ def test_license_scan_equals_sql(docs, duck):
     equal(license_scan(docs), duck.execute(sql.license_scan()).df())
 
 
+def test_license_spans_are_verified_by_their_words(spark):
+    long = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
+    w = long.split()
+    texts_ = {
+        1: f"x {long} y",
+        2: " ".join([*w[:9], "put", "in", *w[9:]]),  # words put in: two diagonals
+        3: " ".join([*w[:6], *w[4:]]),  # words said twice count once
+        4: " ".join([*w[:5]] * 8),  # one part over and over
+        5: " ".join(w[::-1]),
+        6: "Under THE mit-license, under the MIT license!",
+        7: " ".join("a" * 30 for _ in range(3000)) + " " + long,
+    }
+    docs_ = spark.createDataFrame([(k, t, "clash", "clash") for k, t in [*texts_.items(), (8, None), (1, texts_[1])]], "doc_id long, text string, label string, template string")
+    got = {r["doc_id"]: r for r in license_scan(docs_).collect()}
+    assert [got[k]["labels"] for k in range(1, 9)] == ["mit", "mit", "mit", "", "", "mit", "mit", ""] and got[3]["score"] == got[1]["score"] == got[7]["score"] == 1.0
+    assert got[4]["score"] < 0.5 and (got[6]["n_base"], got[6]["first_word"], got[6]["last_word"]) == (2, 0, 4) and got[8]["n_words"] == 0
+    own = spark.createDataFrame([(7, "Words of a license of our own", "own", False), (8, "too short", "none", True)], "template int, phrase string, label string, is_base boolean")
+    found = license_scan(spark.createDataFrame([(1, "see words of a license of our own here")], "doc_id long, text string"), own).first()
+    assert (found["labels"], found["base_labels"], found["score"]) == ("own", "", 1.0)
+
+
 def test_suffix_dedup_of_rows_with_one_id(spark):
     r = random.Random(4)
     a, b = ("".join(r.choices("abcdef ", k=300)) for _ in range(2))

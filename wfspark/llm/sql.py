@@ -104,22 +104,24 @@ doc_grams AS (
   SELECT doc_id, pos, string_agg(word, ' ') OVER ahead AS gram, count(*) OVER ahead AS size
   FROM words WINDOW ahead AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {K - 1} FOLLOWING)
 ),
-votes AS (
-  SELECT doc_id, template, pos - tpos AS diagonal, count(DISTINCT tpos) AS votes, min(pos) AS low, max(pos) AS high
-  FROM doc_grams JOIN place_grams USING (gram) WHERE size = {K} GROUP BY ALL
-),
+met AS (SELECT DISTINCT doc_id, template, pos - tpos AS diagonal, tpos, pos FROM doc_grams JOIN place_grams USING (gram) WHERE size = {K}),
+votes AS (SELECT doc_id, template, diagonal, count(DISTINCT tpos) AS votes, min(pos) AS low, max(pos) AS high FROM met GROUP BY ALL),
 apart AS (
   SELECT v.*, label, is_base, n_grams,
          coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {NEAR}, true)::INT AS apart
   FROM votes v JOIN parts USING (template)
 ),
 numbered AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM apart),
+covered AS (
+  SELECT doc_id, template, span, count(DISTINCT tpos + o) AS n_covered
+  FROM met JOIN numbered USING (doc_id, template, diagonal) CROSS JOIN (SELECT unnest(range(0, {K})) AS o) GROUP BY ALL
+),
 spans AS (
-  SELECT doc_id, template, span, any_value(label) AS label, least(sum(votes)::DOUBLE / any_value(n_grams), 1.0) AS cover,
+  SELECT doc_id, template, span, any_value(label) AS label, any_value(n_covered)::DOUBLE / (any_value(n_grams) + {K - 1}) AS cover,
          max(high) - min(low) + {K} <= 1.5 * (any_value(n_grams) + {K - 1}) + {NEAR} AS is_close,
          count(*) FILTER (is_base AND votes = n_grams) AS n_base,
          min(diagonal) FILTER (is_base AND votes = n_grams) AS first_word, max(diagonal) FILTER (is_base AND votes = n_grams) AS last_word
-  FROM numbered GROUP BY ALL
+  FROM numbered JOIN covered USING (doc_id, template, span) GROUP BY ALL
 ),
 by_doc AS (
   SELECT doc_id, sum(n_base) AS n_base, min(first_word) AS first_word, max(last_word) AS last_word,
