@@ -47,21 +47,27 @@ def merge(shards: list[np.ndarray], ends: list[int], depth: int) -> tuple[np.nda
     symbol more; a common prefix is as long as the rounds that two neighbours stayed in one block."""
     each = [len(s) for s in shards]
     symbols = np.concatenate(shards)
+    n = len(symbols)
     names = np.arange(len(shards), dtype=np.min_scalar_type(len(shards)))  # 8 bits where they do: the sort goes by digits
     source, closing = np.repeat(names, each), np.repeat(names, ends)
-    n_ends = len(closing)
-    block = np.zeros(len(symbols), np.int64)
-    current = np.empty(len(symbols), np.uint8)
+    n_ends, small = len(closing), np.int32 if n < 1 << 31 else np.int64
+    # symbols come in the same numbers every round, so the first place of each is known
+    firsts = np.cumsum(np.bincount(symbols, minlength=256))[:-1]
+    firsts = firsts[firsts < n]
+    block, dealt_block, dealt_source = np.zeros(n, small), np.empty(n, small), np.empty_like(source)
+    current, new = np.empty(n, np.uint8), np.ones(n, bool)
     for _ in range(depth):
         current[np.argsort(source, kind="stable")] = symbols
         dealt = np.argsort(current, kind="stable")
-        source = source[dealt]
+        np.take(source, dealt, out=dealt_source, mode="clip")
+        source, dealt_source = dealt_source, source
         source[:n_ends] = closing
-        c, b = current[dealt], block[dealt]
-        new = np.ones(len(symbols), bool)
-        new[1:] = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
+        np.take(block, dealt, out=dealt_block, mode="clip")
+        np.not_equal(dealt_block[1:], dealt_block[:-1], out=new[1:])
+        new[firsts] = True
         new[: n_ends + 1] = True
-        block = np.cumsum(new) - 1
-        if block[-1] == len(block) - 1:
+        np.cumsum(new, out=block)
+        block -= 1
+        if block[-1] == n - 1:
             break
     return source, block
