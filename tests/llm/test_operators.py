@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 
 import public_tokenizers
@@ -345,6 +346,109 @@ def test_toxicity_finds_held_out_words(spark):
     assert {x["score"] for x in toxicity.toxicity(table, none).collect()} == {0.0}
 
 
+def test_toxicity_window_by_window(spark):
+    """Scores by plain zstandard calls, one window at a time, from the fitted dictionaries, cell weights and curve."""
+    r = random.Random(6)
+    plain, bad = ["".join(r.choices("abdeghilmnorst", k=r.randint(2, 9))) for _ in range(300)], ["gruzzle", "vokkitton", "plixxer"]
+    rows = []
+    for k in range(240):
+        w = r.choices(plain, k=40)
+        if k % 3 == 0:
+            for _ in range(2):
+                w[r.randrange(40)] = r.choice(bad)
+        rows.append((k, " ".join(w), int(k % 3 == 0), "clash"))
+    odd = ["", None, "Gruzzle “vokkitton” —plixxer\u3002", "x" * 60, "中文字" * 20, "ΣΑΣ éÉ " * 5, " ".join(plain) + " " + "gruzzle " * 3, "a\u00a0gruzzle\u00a0b", "é" * 13]
+    rows += [(1000 + k, t, 0, "clash") for k, t in enumerate(odd)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int, score string")
+    model = toxicity.train(table.where("doc_id < 240"), table.where("doc_id < 240").select("doc_id", "toxic"))
+    options = dict(window_log=17, chain_log=16, hash_log=17, search_log=6, min_match=3, target_length=64, strategy=zstandard.STRATEGY_BTOPT, write_checksum=0, write_content_size=0, write_dict_id=0)
+    pair = [zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(**options), dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for c in model.contents]
+    marks = {chr(c): " " for c in [*range(0xA0, 0xC0), *range(0x2000, 0x2080), *range(0x3000, 0x3040)]}
+
+    def score(text):
+        data = (text or "").translate(LOW).translate(str.maketrans(marks)).encode()
+        total, n = 0.0, 0
+        for run in re.findall(rb"[0-9a-z\x80-\xff]+", data):
+            starts = [0] if len(run) <= 24 else [i for i in range(len(run)) if run[i] & 0xC0 != 0x80]
+            for at in starts:
+                end = min(at + 24, len(run))
+                while end < len(run) and run[end] & 0xC0 == 0x80:
+                    end -= 1
+                piece = b" " + run[at:end] + b" "
+                lengths = [min(len(c.compress(piece + toxicity._CARRIER)), 63) for c in pair]
+                total += model.cell_weights.get((min(len(piece), 26) * 64 + lengths[0]) * 64 + lengths[1], 0.0)
+                n += 1
+        x = np.array([1.0, math.log1p(total), total / math.sqrt(n + 1)]) @ model.curve
+        return 1 / (1 + math.exp(-x))
+
+    got = {x["doc_id"]: (x["score"], x["predicted"]) for x in toxicity.toxicity(table, model).collect()}
+    for k, text, *_ in rows:
+        want = score(text)
+        assert abs(got[k][0] - want) < 1e-9 and got[k][1] == int(want >= 0.5)
+    assert all(got[k][1] for k in (1002, 1006, 1007)) and model.cell_weights
+
+
+def test_toxicity_sample_is_whole_rows():
+    rows = [{"doc_id": k, "toxic": 1, "size": s} for k, s in enumerate([50, 30, 30])]
+    assert toxicity._within(rows, 40) == [(0, 1)] and toxicity._within(rows, 80) == [(0, 1), (1, 1)] and toxicity._within([], 9) == []
+
+
+@pytest.fixture(scope="module")
+def long_rows():
+    """Texts beyond every block and run of the operators, that share passages across their block borders."""
+    r = random.Random(12)
+    vocabulary = ["".join(r.choices("abcdefghijklmnop", k=r.randint(1, 9))) for _ in range(5000)]
+    base = r.choices(vocabulary, k=210_000)  # about 1.2 MB
+    other = r.choices(vocabulary, k=60) + base[100_000:100_400] + base[180_000:180_020] + "permission to use under the mit license".split()
+    near = base[:]
+    for _ in range(500):
+        near[r.randrange(len(near))] = "changed"
+    return [(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(near)), (4, " ".join(base[99_000:99_050])), (5, "ab" * 400_000), (6, None)]
+
+
+def test_long_texts(spark, long_rows):
+    table = spark.createDataFrame(long_rows, "doc_id long, text string")
+    frame = pd.DataFrame(long_rows, columns=["doc_id", "text"])
+    con = duckdb.connect()
+    con.register("f", frame)
+    con.execute("CREATE TABLE documents AS SELECT doc_id, text FROM f")
+    equal(substring_dedup(table, digest=True), con.execute(sql.substring_dedup()).df())
+    equal(quality_rules(table), con.execute(sql.quality_rules()).df())
+    equal(license_scan(table), con.execute(sql.license_scan()).df())
+    got = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in jaccard_join.jaccard_join(table).collect())
+    assert got == jaccard_groups(long_rows) and got[2][2] == 1
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    codec = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    for x in bpe.bpe_encode(table.where("doc_id <> 5"), path, digest=True).collect():
+        text = dict(long_rows)[x["doc_id"]] or ""
+        ids = codec.encode_ordinary(text)
+        assert x["n_tokens"] == len(ids) and x["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert x["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    items = [(1, " ".join(long_rows[3][1].split()[:40])), (2, "no such item at all here")]
+    found = decontamination(table, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["item_id"], x["start_word"], round(x["similarity"], 6)) for x in found)[:2] == [(1, 1, 99_000, 1.0), (3, 1, 99_000, round(min(x["similarity"] for x in found), 6))]
+    model = train(table.where("doc_id < 5").withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 2)))
+    assert language_id(table, model).where("lang_pred <> 'und'").count() == 5
+
+
+def test_suffix_dedup_of_long_texts(spark, long_rows):
+    rows = long_rows[:4] + [(5, "ab" * 30_000)]
+    want, seen = [], set()
+    for k, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b) + 1, int)
+        for i in range(len(b) - 99):
+            h = hash(b[i : i + 100])
+            if h in seen:
+                gone[i] += 1
+                gone[i + 100] -= 1
+            seen.add(h)
+        mask = np.cumsum(gone[:-1]) > 0
+        want.append((k, len(b), int(mask.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~mask].tobytes()).hexdigest()))
+    got = sorted((x["doc_id"], x["n_bytes"], x["n_removed"], x["kept_sha256"]) for x in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), digest=True).collect())
+    assert got == want
+
+
 @pytest.mark.parametrize(
     "page, want",
     [

@@ -37,6 +37,7 @@ CELLS = 1 << 21
 _SLICES = 64
 BLOCK = 512
 _COLUMNS = 4096
+HOT = 1000
 _SEEDS = (0x1234567, 0x89ABCDEF)
 
 
@@ -324,7 +325,7 @@ def jaccard_join(docs: DataFrame, like: Similarity | None = None) -> DataFrame:
     like = like or Similarity()
     digests = written(_digests(docs, like), "digests")
     full = digests.where("n_shingles > 0")
-    narrow = full.groupBy("name_a", "name_b").agg(F.min("doc_id").alias("rep"))
+    narrow = full.groupBy("name_a", "name_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     # a class is known by its smallest doc_id; only where several classes have the same one, by the hash of its name
     shared_ids = narrow.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
     node = F.xxhash64("name_a", "name_b") if shared_ids else F.col("rep")
@@ -352,10 +353,21 @@ def jaccard_join(docs: DataFrame, like: Similarity | None = None) -> DataFrame:
         links = links.union(stars).union(written(rest, "rest"))
     groups = components(links)
     discard(own_grams, entries, pairs, together, members, sets)
-    named = narrow.withColumn("node", node).join(groups, F.col("node") == F.col("id"), "left").select("name_a", "name_b", "rep", F.coalesce("component", "node").alias("component"))
+    named = narrow.withColumn("node", node).join(groups, F.col("node") == F.col("id"), "left").select("name_a", "name_b", "rep", "copies", F.coalesce("component", "node").alias("component"))
     if shared_ids:
-        named = named.join(named.groupBy("component").agg(F.min("rep").alias("least")), "component").select("name_a", "name_b", F.col("least").alias("component"))
-    return (
-        digests.join(named, ["name_a", "name_b"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+        named = named.join(named.groupBy("component").agg(F.min("rep").alias("least")), "component").select("name_a", "name_b", "copies", F.col("least").alias("component"))
+    named = written(named.select("name_a", "name_b", "copies", "component"), "named")
+    return _labelled(digests, named)
+
+
+def _labelled(digests: DataFrame, named: DataFrame) -> DataFrame:
+    """Every row with the component of its class. Classes with over a ``HOT``th of all rows are few, so they go to every task, and their copies don't
+    gather in one; the others are joined by name."""
+    many = F.lit(max(HOT, digests.count() // HOT))
+    hot = named.where(F.col("copies") > many).select(F.col("name_a").alias("hot_a"), F.col("name_b").alias("hot_b"), F.col("component").alias("hot"))
+    rows = digests.select("doc_id", "n_shingles", "name_a", "name_b")
+    rows = rows.join(F.broadcast(hot), (F.col("name_a") == F.col("hot_a")) & (F.col("name_b") == F.col("hot_b")), "left").drop("hot_a", "hot_b")
+    known = rows.where(F.col("hot").isNotNull()).select("doc_id", "n_shingles", F.col("hot").alias("component_id"))
+    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    rest = rows.where("hot is null and n_shingles > 0").join(named.where(F.col("copies") <= many), ["name_a", "name_b"], "left")
+    return known.union(alone).union(rest.select("doc_id", "n_shingles", F.col("component").alias("component_id")))

@@ -6,7 +6,7 @@ the share of word characters (code points) that lie inside such windows. Lines t
 earlier line are measured the same way. All of it is numpy on Arrow batches; no shuffle.
 
 Null and empty texts have no words and fail the base rule. Repeated rows and ties are
-judged row by row, extra columns of the input are ignored, an empty table gives no rows.
+judged row by row, texts of any length whole; extra columns of the input are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
