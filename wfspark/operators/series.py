@@ -264,8 +264,8 @@ def smooth(x: np.ndarray, alpha: float | None = None, beta: float | None = None,
     return SmoothingResult(*(float(v) for v in best), m, sse, float(spread + 2 * k), float(spread + k * np.log(n)), fit, levels, trends, seasons, ahead * again if times else ahead + again)
 
 
-def smoothing_kernel(x: np.ndarray, **options: object) -> dict[str, np.ndarray]:
-    r = smooth(x, **options)
+def smoothing_kernel(x: np.ndarray, *given: float | None, **options: object) -> dict[str, np.ndarray]:
+    r = smooth(x, *given, **options)
     return {"fit": r.fitted, "forecast": r.forecast, "parameters": np.array([r.alpha, r.beta, r.gamma, r.phi])}
 
 

@@ -78,7 +78,8 @@ def weighted_weeks(events: DataFrame, entity: str, time: str, weight: str) -> Da
 
 
 def sliding_entropy(events: DataFrame, entity: str, time: str, category: str, window: str = "14 days", slide: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Shannon entropy in bits of the categories in each sliding window of an entity: counts by category, then sums of n log n."""
+    """Shannon entropy in bits of the categories in each sliding window of an entity: counts by category, then sums of n log n.
+    Two aggregations follow one another, so windows come out in append mode, once the watermark has passed them."""
     at = events.withColumn("at", F.col(time).cast("timestamp")).withWatermark("at", late)
     counts = at.groupBy(entity, F.window("at", window, slide), F.col(category).alias("category")).agg(F.count("*").alias("n"))
     sums = counts.groupBy(entity, "window").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log2("n")).alias("nlogn"))
