@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from wfspark.operators import anomalies, careers, causal, encoding, equity, graph, linear, pipeline, series
+from wfspark.sources import synthetic
 from wfspark.streaming import operators as streams
 
 
@@ -444,3 +446,17 @@ def test_role_similarity_by_numpy(spark):
     v = vectors[:, top] * np.sqrt(abs(values[top]))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     assert np.allclose(model.similarity(), v @ v.T, atol=1e-6) and scale > 0
+
+
+@pytest.mark.parametrize("name", sorted(synthetic.TABLES))
+def test_synthetic_tables(spark, name):
+    size, columns, condition = synthetic.TABLES[name]
+    one, other = synthetic.synthetic(spark, name), synthetic.synthetic(spark, name, seed=7)
+    df = one.toPandas()
+    assert list(df.columns) == list(columns) and 0 < len(df) <= size and (condition or len(df) == size)
+    assert df.drop(columns=["manager_id"], errors="ignore").notna().all().all()
+    again = synthetic.synthetic(spark, name).repartition(3).toPandas()
+    key = lambda f: sorted(map(str, f.itertuples(index=False)))
+    assert key(df) == key(again)
+    if any("U" in re.sub(r"[A-Z]{2,}", "", e) or "Z" in re.sub(r"[A-Z]{2,}", "", e) for e in columns.values()):
+        assert key(df) != key(other.toPandas())

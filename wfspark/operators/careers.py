@@ -15,6 +15,16 @@ from wfspark.operators.linear import _expm
 from wfspark.operators.mobility import reachability
 
 
+#: Pairs of roles or states whose square matrix may come to the driver.
+MOST_PAIRS = 4_000_000
+
+
+def _small(pairs: DataFrame) -> DataFrame:
+    if pairs.limit(MOST_PAIRS + 1).count() > MOST_PAIRS:
+        raise ValueError(f"at most {MOST_PAIRS} pairs of roles or states; group them first")
+    return pairs
+
+
 @dataclass
 class CareerEmbeddings:
     """Unit vectors of roles from diffused transitions, and how far roles reach each other."""
@@ -26,7 +36,7 @@ class CareerEmbeddings:
     @classmethod
     def fit(cls, moves: DataFrame, dim: int = 8, steps: int = 3, decay: float = 0.6) -> CareerEmbeddings:
         """``moves``: source, target, p. The roles are few: their square matrix comes to the driver."""
-        rows = reachability(moves, steps, decay).toPandas()
+        rows = _small(reachability(moves, steps, decay)).toPandas()
         roles = sorted({*rows["source"], *rows["target"]})
         if len(roles) < 3:
             raise ValueError("at least three roles are needed")
@@ -47,6 +57,23 @@ class CareerEmbeddings:
         d = json.loads(text)
         return cls(d["roles"], np.array(d["vectors"]), np.array(d["reach"]))
 
+    def associate(self, history: list[str], role: str | None = None, decay: float = 0.7) -> np.ndarray:
+        """Unit vector of a person: decayed sum of the roles held, the last the heaviest; without known roles that of the present one, or zeros."""
+        at = {r: k for k, r in enumerate(self.roles)}
+        steps = [at[x] for x in history or [] if x in at] or ([at[role]] if role in at else [])
+        v = decay ** np.arange(len(steps))[::-1] @ self.vectors[steps] if steps else np.zeros(self.vectors.shape[1])
+        return v / max(np.linalg.norm(v), 1e-12)
+
+    def with_role(self, role: str, like: dict[str, float]) -> CareerEmbeddings:
+        """The embeddings with a new role, a weighted mix of known ones, which it reaches and is reached from as they are."""
+        known = {k: v for k, v in like.items() if k in self.roles}
+        if role in self.roles or not known or sum(known.values()) <= 0:
+            raise ValueError("a new role needs a new name and weights of known roles")
+        w = np.array([known.get(r, 0.0) for r in self.roles]) / sum(known.values())
+        v = w @ self.vectors
+        reach = np.block([[self.reach, (self.reach @ w)[:, None]], [w @ self.reach, np.array([[w @ self.reach @ w]])]])
+        return CareerEmbeddings([*self.roles, role], np.vstack([self.vectors, v / max(np.linalg.norm(v), 1e-12)]), reach)
+
     def similarity_frame(self, spark) -> DataFrame:
         s = self.similarity()
         rows = [(a, b, float(s[i, j])) for i, a in enumerate(self.roles) for j, b in enumerate(self.roles)]
@@ -84,7 +111,7 @@ class MarkovChain:
 
     @classmethod
     def fit(cls, rates: DataFrame) -> MarkovChain:
-        rows = rates.select("source", "target", "rate").toPandas()
+        rows = _small(rates.select("source", "target", "rate")).toPandas()
         states = sorted({*rows["source"], *rows["target"]})
         at, q = {s: k for k, s in enumerate(states)}, np.zeros((len(states),) * 2)
         q[[at[s] for s in rows["source"]], [at[t] for t in rows["target"]]] = rows["rate"]

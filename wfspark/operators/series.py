@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -727,8 +728,27 @@ def adf_statistic(x: np.ndarray, lags: int) -> float:
     return float(b[1] / np.sqrt(cov[1, 1])) if cov[1, 1] > 0 else float("nan")
 
 
+#: MacKinnon's response surfaces for the Dickey-Fuller statistic with a constant, one series.
+_ADF_SMALL = (2.1659, 1.4412, 0.038269)
+_ADF_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
+_ADF_SPLIT, _ADF_LOW, _ADF_HIGH = -1.61, -18.83, 2.74
+
+
+def adf_pvalue(statistic: float) -> float:
+    """Approximate p-value of the augmented Dickey-Fuller statistic with a constant."""
+    if np.isnan(statistic):
+        return float("nan")
+    if statistic >= _ADF_HIGH:
+        return 1.0
+    if statistic <= _ADF_LOW:
+        return 0.0
+    surface = _ADF_SMALL if statistic <= _ADF_SPLIT else _ADF_LARGE
+    return NormalDist().cdf(sum(c * statistic**k for k, c in enumerate(surface)))
+
+
 def fractional_scan(df: DataFrame, by: list[str], order: str, value: str, orders: list[float], threshold: float = 1e-4, lags: int = 2) -> DataFrame:
-    """For each order of differencing: the test statistic and the correlation with the raw series."""
+    """For each order of differencing: the test statistic and its p-value, whether it looks stationary, the correlation with the raw series, and the first
+    order that looks so."""
     from wfspark.functions.scores import fractional_weights
 
     def kernel(x: np.ndarray) -> dict[str, np.ndarray]:
@@ -737,7 +757,12 @@ def fractional_scan(df: DataFrame, by: list[str], order: str, value: str, orders
             w = np.array(fractional_weights(d, len(x), threshold))
             y = np.convolve(x, w)[len(w) - 1 : len(x)]
             enough = len(y) > lags + 5
-            rows.append((d, adf_statistic(y, lags) if enough else np.nan, np.corrcoef(y, x[len(w) - 1 :])[0, 1] if enough else np.nan, len(w)))
-        return dict(zip(["d", "adf", "correlation", "n_weights"], np.array(rows, float).T))
-
-    return series(df, by, order, value, kernel, ["d", "adf", "correlation", "n_weights"], whole=True)
+            statistic = adf_statistic(y, lags) if enough else np.nan
+            p = adf_pvalue(statistic)
+            rows.append((d, statistic, p, float(p < 0.05), np.corrcoef(y, x[len(w) - 1 :])[0, 1] if enough else np.nan, len(w)))
+        out = dict(zip(names, np.array(rows, float).T))
+        first = np.flatnonzero(out["is_stationary"] == 1)
+        return out | {"is_optimal": (np.arange(len(rows)) == (first[0] if len(first) else -1)).astype(float)}
+
+    names = ["d", "adf", "p_value", "is_stationary", "correlation", "n_weights"]
+    return series(df, by, order, value, kernel, [*names, "is_optimal"], whole=True)

@@ -228,14 +228,21 @@ def rolling_entropy(df: DataFrame, value: str, window: int, partition: Names, ti
 
 
 def hazard_curve(df: DataFrame, tenure: str, event: str) -> DataFrame:
-    """Kaplan-Meier survival and Nelson-Aalen hazard at every whole tenure from 1 to the longest."""
-    at = df.where(col(tenure).isNotNull()).groupBy(col(tenure).alias("t")).agg(F.sum(col(event)).alias("d"), F.count("*").cast("double").alias("n"))
-    later, before = Window.orderBy(F.desc("t")), Window.orderBy("t")
-    steps = at.withColumn("r", F.sum("n").over(later)).withColumn("dead", F.max((F.col("d") >= F.col("r")).cast("int")).over(before))
-    steps = steps.select(
-        "t",
-        F.when(F.col("dead") == 1, 0.0).otherwise(F.exp(F.sum(F.when(F.col("d") < F.col("r"), F.log1p(-F.col("d") / F.col("r"))).otherwise(0.0)).over(before))).alias("survival"),
-        F.sum(F.col("d") / F.col("r")).over(before).alias("hazard"),
+    """Kaplan-Meier survival and Nelson-Aalen hazard at every whole tenure from 1 to the longest. Tenures may be fractions: those that end in one whole
+    tenure are ordered among themselves, and only whole tenures are added up in one task."""
+    at = df.where(col(tenure).isNotNull()).groupBy(col(tenure).alias("t")).agg(F.sum(col(event)).alias("d"), F.count("*").cast("double").alias("n")).withColumn("cell", F.ceil("t"))
+    totals = at.groupBy(F.col("cell").alias("of")).agg(F.sum("n").alias("all"))
+    later = totals.select("of", (F.sum("all").over(Window.orderBy(F.desc("of"))) - F.col("all")).alias("later"))
+    own = F.sum("n").over(Window.partitionBy("cell").orderBy(F.desc("t")))
+    risk = at.withColumn("own", own).join(F.broadcast(later), F.col("cell") == F.col("of")).select("cell", "d", (F.col("own") + F.col("later")).alias("r"))
+    cells = risk.groupBy("cell").agg(
+        F.sum(F.when(F.col("d") < F.col("r"), F.log1p(-F.col("d") / F.col("r"))).otherwise(0.0)).alias("log"), F.sum(F.col("d") / F.col("r")).alias("h"), F.max((F.col("d") >= F.col("r")).cast("int")).alias("dead")
+    )
+    before = Window.orderBy("cell")
+    steps = cells.select(
+        F.col("cell").cast("double").alias("t"),
+        F.when(F.max("dead").over(before) == 1, 0.0).otherwise(F.exp(F.sum("log").over(before))).alias("survival"),
+        F.sum("h").over(before).alias("hazard"),
     )
     grid = df.agg(F.floor(F.max(col(tenure))).cast("int").alias("last")).where("last >= 1").select(F.explode(F.sequence(F.lit(1), F.col("last"))).alias("g")).select(F.col("g").cast("double").alias("tenure"))
     joined = grid.join(steps, F.col("tenure") == F.col("t"), "full").withColumn("at", F.coalesce("tenure", "t"))
