@@ -87,5 +87,6 @@ HOLDS = {
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_holds(spark, duck, name):
-    found = catalogue.QUERIES[name](spark, SF).toPandas()
+    # the smallest tables have no nation with orders in every quarter
+    found = catalogue.QUERIES[name](spark, SF.replace("0.001", "0.01") if name in ("sdid", "synthetic_control") else SF).toPandas()
     assert len(found) and HOLDS[name](found, duck)

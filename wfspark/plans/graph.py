@@ -75,8 +75,10 @@ _EULER = f"""hop_walk(src, node, h) AS (SELECT node, node, 0 FROM nodes UNION SE
 hops AS (SELECT a.node AS src, b.node AS dst, min(h) AS h FROM nodes a CROSS JOIN nodes b LEFT JOIN hop_walk w ON w.src = a.node AND w.node = b.node GROUP BY ALL),
 apart AS (SELECT src, dst, coalesce(h, 2 * (SELECT max(h) FROM hops))::DOUBLE AS h FROM hops),
 kernel AS (SELECT src, dst, exp(-h / greatest((SELECT avg(h) FROM apart), 0.5)) + CASE WHEN src = dst THEN 1e-4 ELSE 0 END AS z FROM apart),
-solve(i, node, w) AS (SELECT 0, node, 1.0::DOUBLE / {_N} FROM nodes UNION ALL SELECT s.i + 1, k.dst, any_value(CASE WHEN k.src = k.dst THEN s.w END) + (1 - sum(k.z * s.w)) / {_N} FROM solve s JOIN kernel k ON k.src = s.node WHERE s.i < 600 GROUP BY s.i + 1, k.dst),
-magnitudes AS (SELECT node, w AS magnitude FROM solve WHERE i = 600)"""
+numbered AS (SELECT node, row_number() OVER (ORDER BY node) AS r FROM nodes),
+matrix AS (SELECT list(cells ORDER BY r) AS m FROM (SELECT a.r, list_append(list(k.z ORDER BY b.r), 1.0::DOUBLE) AS cells FROM kernel k JOIN numbered a ON a.node = k.src JOIN numbered b ON b.node = k.dst GROUP BY a.r)),
+solve(k, m) AS (SELECT 0, m FROM matrix UNION ALL SELECT k + 1, list_transform(range(1, len(m) + 1), lambda i: CASE WHEN i = k + 1 THEN list_transform(m[k + 1], lambda v: v / m[k + 1][k + 1]) ELSE list_transform(range(1, len(m) + 2), lambda j: m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM solve WHERE k < len(m)),
+magnitudes AS (SELECT node, m[r][len(m) + 1] AS magnitude FROM solve CROSS JOIN numbered WHERE k = len(m))"""
 
 
 @query(f"WITH RECURSIVE {TRADE}, {_CLOSE} SELECT * FROM close", "closeness")
