@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from wfspark.operators import anomalies, careers, causal, encoding, equity, graph, linear, pipeline, series
-from wfspark.sources import synthetic
+from wfspark.sources import files, synthetic
 from wfspark.streaming import operators as streams
 
 
@@ -460,3 +460,16 @@ def test_synthetic_tables(spark, name):
     assert key(df) == key(again)
     if any("U" in re.sub(r"[A-Z]{2,}", "", e) or "Z" in re.sub(r"[A-Z]{2,}", "", e) for e in columns.values()):
         assert key(df) != key(other.toPandas())
+
+
+@pytest.mark.parametrize("kind", ["parquet", "orc", "csv", "json"])
+def test_files_come_back(spark, points, tmp_path, kind):
+    df = spark.createDataFrame(points)
+    schema = "id long, a double, b double, g string"
+    files.write(df, str(tmp_path / f"t.{kind}"))
+    back = files.read(spark, str(tmp_path / f"t.{kind}"), schema)
+    assert sorted(map(str, back.select("id", "g").collect())) == sorted(map(str, df.select("id", "g").collect())) and abs(back.agg(F.sum("a")).first()[0] - points.a.sum()) < 1e-9
+    files.write(df, str(tmp_path / f"p.{kind}"), partition=["g"])
+    assert files.read(spark, str(tmp_path / f"p.{kind}"), schema).where("g = 'x'").count() == (points.g == "x").sum()
+    with pytest.raises(ValueError):
+        files.read(spark, str(tmp_path / "t.csv"))

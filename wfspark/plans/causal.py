@@ -144,9 +144,53 @@ def mean_pool(spark: SparkSession, d: str) -> DataFrame:
     return pooled.select("label", F.posexplode("pooled").alias("i", "v")).withColumn("i", F.col("i").cast("bigint"))
 
 
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of files."""
+    return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+
+
+@query("""WITH e AS (SELECT user_id, (epoch_us(ts) - 1704067200000000) / 3.6e9 AS t FROM events WHERE event_type = 'error')
+SELECT a.user_id, a.t AS hour, 0.2 + 0.5 * coalesce((SELECT sum(exp(-(a.t - b.t))) FROM e b WHERE b.user_id = a.user_id AND b.t < a.t), 0) AS intensity FROM e a""", "hour intensity")
+def stream_hawkes(spark: SparkSession, d: str) -> DataFrame:
+    from wfspark.streaming.operators import hawkes_intensity, run_available
+
+    hours = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)) / 3.6e9
+    events = _stream(spark, d).where("event_type = 'error'").select("user_id", hours.alias("hour"))
+    return run_available(hawkes_intensity(events, "user_id", "hour", 0.2, 0.5, 1.0)).withColumnRenamed("at", "hour")
+
+
+@query("""WITH d AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events WHERE event_type = 'error'), g AS (SELECT user_id, day, day - row_number() OVER (PARTITION BY user_id ORDER BY day)::INT AS run FROM d),
+s AS (SELECT user_id, run, count(*) AS days FROM g GROUP BY ALL) SELECT user_id, count(*) AS spells, max(days) AS longest, sum(days)::BIGINT AS days FROM s GROUP BY 1""")
+def stream_spells(spark: SparkSession, d: str) -> DataFrame:
+    from wfspark.streaming.operators import absence_spells, run_available
+
+    days = _stream(spark, d).where("event_type = 'error'").select("user_id", F.to_date("ts").alias("day")).dropDuplicates()
+    spells = run_available(absence_spells(days, "user_id", "day"), "complete")
+    return spells.groupBy("user_id").agg(F.count("*").alias("spells"), F.max("days_absent").alias("longest"), F.sum("days_absent").alias("days"))
+
+
+@query("""WITH w AS (SELECT user_id, value, floor(epoch_us(ts) / 1e6) / 604800 AS week FROM events)
+SELECT user_id, CASE WHEN sum(value) > 0 THEN max(week) - sum(value * week) / sum(value) END AS weeks FROM w GROUP BY 1""", "weeks")
+def stream_weighted_weeks(spark: SparkSession, d: str) -> DataFrame:
+    from wfspark.streaming.operators import run_available, weighted_weeks
+
+    return run_available(weighted_weeks(_stream(spark, d), "user_id", "ts", "value"), "complete")
+
+
+@query("""WITH e AS (SELECT user_id, (epoch_us(ts) - 1704067200000000) / 3.6e9 AS t, value FROM events), l AS (SELECT user_id, max(t) AS last FROM e GROUP BY 1)
+SELECT user_id, sum(value * pow(0.5, (last - t) / 48)) AS total FROM e JOIN l USING (user_id) GROUP BY 1""", "total", 5)
+def stream_decayed_sum(spark: SparkSession, d: str) -> DataFrame:
+    from wfspark.streaming.operators import decayed_sum, run_available
+
+    hours = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)) / 3.6e9
+    events = _stream(spark, d).select("user_id", hours.alias("hour"), "value")
+    updates = run_available(decayed_sum(events, "user_id", "hour", "value", 48.0), "update")
+    return updates.groupBy("user_id").agg(F.max_by("total", "at").alias("total"))
+
+
 @query("SELECT user_id, sum(n) AS n, sum(s) AS s FROM (SELECT user_id, time_bucket(INTERVAL 1 day, ts) AS w, count(*) AS n, sum(value) AS s FROM events GROUP BY ALL) GROUP BY user_id", "s")
 def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     from wfspark.streaming.operators import daily_counts, run_available
 
-    counts = run_available(daily_counts(spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")), "complete")
+    counts = run_available(daily_counts(_stream(spark, d)), "complete")
     return counts.groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wfspark.operators import graph as G
 from wfspark.plans.registry import query, table
+from wfspark.sources.files import kept
 
 
 def trade(spark: SparkSession, d: str) -> DataFrame:
@@ -36,6 +37,23 @@ def weighted_degree(spark: SparkSession, d: str) -> DataFrame:
     return G.degree(trade(spark, d), weighted=True, normalized=False)
 
 
+_SOLD = "sold AS (SELECT s_nationkey AS src, c_nationkey AS dst, sum(l_quantity)::DOUBLE AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL), every AS (SELECT src AS node FROM sold UNION SELECT dst FROM sold)"
+
+
+@query(f"""WITH {_SOLD}, i AS (SELECT dst AS node, count(*) AS c, sum(weight) AS w FROM sold GROUP BY 1), o AS (SELECT src AS node, count(*) AS c, sum(weight) AS w FROM sold GROUP BY 1)
+SELECT node, coalesce(i.c, 0) / ((SELECT count(*) FROM every) - 1) AS in_degree, coalesce(o.c, 0) / ((SELECT count(*) FROM every) - 1) AS out_degree, coalesce(i.w, 0) AS in_strength, coalesce(o.w, 0) AS out_strength
+FROM every LEFT JOIN i USING (node) LEFT JOIN o USING (node)""", "in_degree out_degree in_strength out_strength")
+def degree_directed(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    edges = kept(G.edges_from(lines, "s_nationkey", "c_nationkey", "l_quantity", directed=True))
+    out = G.nodes(edges)
+    for kind in ("in", "out"):
+        out = out.join(G.degree(edges, kind=kind).withColumnRenamed("degree", f"{kind}_degree"), "node")
+        out = out.join(G.degree(edges, weighted=True, normalized=False, kind=kind).withColumnRenamed("degree", f"{kind}_strength"), "node")
+    return out
+
+
 @query(f"WITH {TRADE}, v AS (SELECT src AS node, sum(weight) AS volume FROM sides GROUP BY 1) SELECT node, volume, (volume - avg(volume) OVER ()) / stddev_samp(volume) OVER () AS z, (volume - avg(volume) OVER ()) / stddev_samp(volume) OVER () > 2 AS is_overloaded FROM v", "volume z")
 def overload(spark: SparkSession, d: str) -> DataFrame:
     return G.collaboration_overload(trade(spark, d))

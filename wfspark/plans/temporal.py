@@ -45,6 +45,17 @@ def rolling_quantile_skew(spark: SparkSession, d: str) -> DataFrame:
     return T.rolling_metrics(panel(spark, d), metrics, ["grp"], "month").drop("price", "n")
 
 
+@query(f"""
+WITH {PANEL}
+SELECT grp, month, sum(n) OVER (PARTITION BY grp ORDER BY month ROWS 4 PRECEDING) AS whole, max(price) OVER b - min(price) OVER b AS spread, stddev_samp(price) OVER b AS deviation, count(price) OVER b AS seen
+FROM panel WINDOW b AS (PARTITION BY grp ORDER BY month ROWS 5 PRECEDING)""", "whole spread deviation")
+def rolling_closed_custom(spark: SparkSession, d: str) -> DataFrame:
+    spread = [T.RollingMetric("price", 6, how, f"price_{k}") for k, how in (("max", F.max), ("min", F.min))]  # functions in place of names
+    metrics = [T.RollingMetric("n", 4, "sum", "whole", closed="both"), *spread, T.RollingMetric("price", 6, "std", "deviation"), T.RollingMetric("price", 6, "count", "seen")]
+    rows = T.rolling_metrics(panel(spark, d), metrics, ["grp"], "month")
+    return rows.select("grp", "month", "whole", (F.col("price_max") - F.col("price_min")).alias("spread"), "deviation", "seen")
+
+
 @query(f"""
 WITH {PANEL}
 SELECT grp, month, avg(price) OVER (PARTITION BY grp ORDER BY month ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS mid,

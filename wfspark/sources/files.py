@@ -21,7 +21,7 @@ def read(spark: SparkSession, path: str, schema: str | None = None, **options: s
 
 def write(df: DataFrame, path: str, partition: list[str] | None = None, mode: str = "errorifexists") -> None:
     kind = next((f for f in FORMATS if path.rstrip("/").endswith(f)), "parquet")
-    writer = df.write.mode(mode).format(kind)
+    writer = df.write.mode(mode).format(kind).options(**({"header": "true"} if kind == "csv" else {}))
     (writer.partitionBy(*partition) if partition else writer).save(path)
 
 
