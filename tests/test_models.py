@@ -1,5 +1,6 @@
 """Fitted objects: results against plain formulas, new rows, and what comes back from storage."""
 
+import itertools
 import json
 import math
 import re
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
-from wfspark.operators import anomalies, careers, causal, encoding, equity, graph, linear, pipeline, series
+from wfspark.operators import anomalies, careers, causal, encoding, equity, graph, linear, pipeline, series, trees
 from wfspark.sources import files, synthetic
 from wfspark.streaming import operators as streams
 
@@ -473,3 +474,31 @@ def test_files_come_back(spark, points, tmp_path, kind):
     assert files.read(spark, str(tmp_path / f"p.{kind}"), schema).where("g = 'x'").count() == (points.g == "x").sum()
     with pytest.raises(ValueError):
         files.read(spark, str(tmp_path / "t.csv"))
+
+
+def test_tree_contributions_by_all_orders(spark):
+    """Shapley values as means over all orders in which features become known, and interactions that add up to them."""
+    r = np.random.default_rng(14)
+    x = pd.DataFrame(r.integers(0, 8, (400, 3)).astype(float), columns=["a", "b", "c"])
+    x["y"] = x.a * (x.b > 3) + 0.5 * x.c + r.normal(0, 0.1, 400)
+    df = spark.createDataFrame(x)
+    model = trees.BoostedTrees.fit(df, "y", ["a", "b", "c"], depth=3, rounds=4)
+    v = x[["a", "b", "c"]].to_numpy()[:25]
+    one, two = model.contributions(v)
+    value = lambda s: sum(w * t.expected(v, frozenset(s)) for w, t in zip(model.weights, model.trees))
+    want = np.zeros((25, 3))
+    for order in itertools.permutations(range(3)):
+        for k, i in enumerate(order):
+            want[:, i] += (value(order[: k + 1]) - value(order[:k])) / 6
+    assert np.allclose(one, want) and np.allclose(one.sum(axis=1) + value(()), model.predict(v))
+    for i, j in itertools.combinations(range(3), 2):
+        k = 3 - i - j
+        part = sum((value((i, j, *s)) - value((i, *s)) - value((j, *s)) + value(s)) / 4 for s in ((), (k,)))
+        assert np.allclose(two[:, i, j], part) and np.allclose(two, two.transpose(0, 2, 1))
+    assert all(t.cover[0] == 400 and np.allclose(t.cover[t.feature >= 0], t.cover[t.left[t.feature >= 0]] + t.cover[t.right[t.feature >= 0]]) for t in model.trees)
+    got = model.shap(df.limit(30).union(spark.createDataFrame([(None, 1.0, 2.0, 3.0)], df.schema))).toPandas()
+    assert got.shap_a.isna().sum() == 1 and {c for c in got if c.startswith("shap_")} == {"shap_a", "shap_b", "shap_c"}
+    strongest = trees.BoostedTrees.from_json(model.to_json()).interactions(df).first()
+    assert (strongest["feature_a"], strongest["feature_b"]) == ("a", "b")
+    every = 2 * np.abs(model.contributions(x[["a", "b", "c"]].to_numpy())[1]).mean(axis=0)[0, 1]
+    assert abs(strongest["strength"] - every) < 1e-9

@@ -81,6 +81,8 @@ HOLDS = {
     "mahalanobis_robust": lambda df, duck: one_each(duck, "SELECT s_suppkey FROM supplier", df.s_suppkey) and probability(df.p_value) and ((df.p_value < 0.05) == df.is_outlier).all(),
     "metapath_walks": lambda df, duck: all(len(n) >= 3 and all(x[0] == "sn"[k % 2] for k, x in enumerate(n)) for n in df.nodes),
     "metapath2vec": lambda df, duck: all(abs(np.linalg.norm(v) - 1) < 1e-9 or not any(v) for v in df.vector) and len(df) == duck.execute("SELECT (SELECT count(*) FROM supplier) + (SELECT count(DISTINCT s_nationkey) FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation)) + 30").fetchone()[0],
+    "tree_interactions": lambda df, duck: len(df) == 3 and df.strength.is_monotonic_decreasing and {df.feature_a[0], df.feature_b[0]} == {"l_quantity", "l_discount"},
+    "tree_thresholds": lambda df, duck: df.feature.tolist() == ["l_quantity", "l_discount"] and 15 < df.primary_threshold[0] < 35 and df.high_value_adds[0],
     "similar_nodes": lambda df, duck: len(df) <= 5 and df.cosine.is_monotonic_decreasing and (df.node_type == "s").all() and "s2" not in set(df.node),
 }
 

@@ -9,6 +9,7 @@ from wfspark.operators import careers as K
 from wfspark.operators import causal as C
 from wfspark.operators import mobility as M
 from wfspark.operators import temporal as T
+from wfspark.operators import trees as R
 from wfspark.plans.registry import query, table
 from wfspark.plans.temporal import _RATES
 
@@ -93,6 +94,23 @@ def shap_interactions(spark: SparkSession, d: str) -> DataFrame:
     return C.shap_interactions(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
 
 
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax", (F.col("l_quantity") * (1 - F.col("l_discount")) + F.when(F.col("l_quantity") > 30, 20.0).otherwise(0.0)).alias("y"))
+
+
+@query()
+def tree_interactions(spark: SparkSession, d: str) -> DataFrame:
+    rows = _lines(spark, d)
+    return R.BoostedTrees.fit(rows, "y", ["l_quantity", "l_discount", "l_tax"], rounds=8).interactions(rows)
+
+
+@query()
+def tree_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    rows = _lines(spark, d)
+    model = R.BoostedTrees.fit(rows, "y", ["l_quantity", "l_discount"], rounds=8)
+    return R.threshold_table(model.shap(rows), ["l_quantity", "l_discount"], rounds=8)
+
+
 def _moves(spark: SparkSession, d: str) -> DataFrame:
     return M.transitions(table(spark, d, "events"), "user_id", "event_type", ["ts", "event_id"])
 
