@@ -71,8 +71,9 @@ def license_scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFra
     # each document's word count goes along as one more entry, so the texts are read once
     own = read.select("doc_id", "words", F.size("words").alias("n_words"), grams(F.col("words"), K).alias("grams"))
     rows = own.select("doc_id", "words", F.posexplode(F.concat(F.array(F.col("n_words").cast("bigint")), "grams")).alias("k", "value"))
-    same = (F.col("k") > 0) & (F.col("gram") == F.col("value")) & (F.col("gram_text") == text("words", F.greatest(F.col("k"), F.lit(1))))
-    found = rows.join(F.broadcast(places) if small_enough(places, MOST_PLACES) else places, same, "left").where("k = 0 or template is not null")
+    met = rows.join(F.broadcast(places) if small_enough(places, MOST_PLACES) else places, (F.col("k") > 0) & (F.col("gram") == F.col("value")), "left")
+    # words are compared after the join, for matches only
+    found = met.where((F.col("k") == 0) | (F.col("gram_text") == text("words", F.greatest(F.col("k"), F.lit(1)))))
     votes = found.groupBy("doc_id", "template", (F.col("k") - 1 - F.col("at")).alias("diagonal")).agg(
         F.collect_set("at").alias("places"), F.max(F.when(F.col("k") == 0, F.col("value"))).alias("n_words"), F.min("k").alias("low"), F.max("k").alias("high")
     )
