@@ -53,19 +53,22 @@ def discard(*frames: DataFrame) -> None:
 
 
 class shuffles_end_with_jobs:
-    """While it holds, shuffle files of a finished job are removed at its end, so that the disk holds one step's."""
+    """While it holds, shuffle files of a finished job are removed at its end, so that the disk holds one step's, and shuffled partitions are joined up to
+    the advisory size even if fewer tasks than cores are left, so that small tables are few files."""
 
-    KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
     def __enter__(self) -> None:
-        self.before = self.spark.conf.get(self.KEY, None)
-        self.spark.conf.set(self.KEY, "true")
+        self.before = {key: self.spark.conf.get(key, None) for key in self.SETTINGS}
+        for key, value in self.SETTINGS.items():
+            self.spark.conf.set(key, value)
 
     def __exit__(self, *_: object) -> None:
-        if self.before is None:
-            self.spark.conf.unset(self.KEY)
-        else:
-            self.spark.conf.set(self.KEY, self.before)
+        for key, value in self.before.items():
+            if value is None:
+                self.spark.conf.unset(key)
+            else:
+                self.spark.conf.set(key, value)
