@@ -30,10 +30,10 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating star contraction: every round is one table in the shared folder, until a round changes nothing. Edges never outnumber
     the links by more than the vertices, and a vertex with many neighbours is met by joins, not in one task."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links", light=True)
     state = None
     while True:
-        before, edges = edges, written(_toward_least(_toward_least(edges, True), False), "stars")
+        before, edges = edges, written(_toward_least(_toward_least(edges, True), False), "stars", light=True)
         discard(before)
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:

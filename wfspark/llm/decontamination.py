@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wfspark.llm.native_words import grams, joined, shifted, small_enough, words
-from wfspark.llm.sources import written
+from wfspark.llm.sources import discard, written
 
 N = 5
 BITS, BLOCK_BITS, FLIPS, ASKED = 64, 16, 3, 1
@@ -113,7 +113,8 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST)
     items = items.select("item_id", F.xxhash64("item_id", "words").alias("item_key"), F.least(F.size("words"), F.lit(N)).alias("n"), "words")
     items = items.select("item_id", "item_key", "n", _by_size(F.col("words"), F.col("n"), weighted).alias("item")).withColumn("item_size", F.size("item"))
     known = docs.where("doc_id is not null")
-    windows = written(_windows(known, written(_seeds(known, items), "seeds")), "windows")
+    seeds = written(_seeds(known, items), "seeds", light=True)
+    windows = written(_windows(known, seeds), "windows")
     prints = windows.groupBy("name_a", "name_b").agg(F.first("window").alias("window")).withColumn("print", fingerprint(F.col("window")))
     prints = written(prints, "prints")
     item_prints = items.withColumn("item_print", fingerprint(F.col("item")))
@@ -139,11 +140,11 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST)
     own, other = F.array_distinct("window"), F.array_distinct("item")
     shared = _weight(F.array_intersect("window", "item"))
     alike = both.withColumn("similarity", shared / (_weight(own) + _weight(other) - shared)).where(F.col("similarity") >= least)
-    alike = written(alike.select("name_a", "name_b", "item_id", F.col("n").alias("item_n"), "similarity", "distance"), "alike")
+    alike = written(alike.select("name_a", "name_b", "item_id", F.col("n").alias("item_n"), "similarity", "distance"), "alike", light=True)
     found = joined(windows.select("doc_id", "n", "start", "name_a", "name_b", F.size("window").alias("size")), alike, ["name_a", "name_b"], "inner")
     found = found.where("n = item_n")
     best = F.max_by(F.struct("start", "size", "n", "distance"), F.struct("similarity", -F.col("distance"), -F.col("start")))
-    return (
+    result = (
         found.groupBy("doc_id", "item_id")
         .agg(F.max("similarity").alias("similarity"), best.alias("best"))
         .select(
@@ -153,3 +154,6 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST)
             F.col("best.distance").cast("int").alias("distance"),
         )
     )
+    result = written(result, "leaks", light=True)
+    discard(seeds, windows, prints, alike)
+    return result

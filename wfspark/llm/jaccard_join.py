@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from wfspark.llm.columns import CHUNK, Texts, frugal, mix, runs, span_hashes, spans, texts, window_hashes
 from wfspark.llm.components import components
 from wfspark.llm.dealing import bucket_bits, cuts, dealt_on, first_bits
-from wfspark.llm.sources import discard, shuffles_end_with_jobs, written
+from wfspark.llm.sources import discard, settled_jobs, written
 
 CELLS = 1 << 21
 _SLICES = 64
@@ -90,7 +90,7 @@ def _sketch(docs: DataFrame, like: Similarity) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "cells": pa.array([np.minimum(total, 0xFFFF).astype(np.uint16).tobytes()])})
 
     kind = "part int, cells binary"
-    with shuffles_end_with_jobs(docs.sparkSession):
+    with settled_jobs(docs.sparkSession):
         sums = docs.select("text").where("text is not null").mapInArrow(count, kind).groupBy("part").applyInArrow(add, kind).toArrow()
     out = np.zeros(CELLS, np.uint16)
     for part, cells in zip(sums["part"].to_pylist(), sums["cells"].to_pylist()):
@@ -250,13 +250,13 @@ def _candidates(entries: DataFrame, like: Similarity) -> tuple[DataFrame, DataFr
     where the largest size below and the smallest above are close enough: if two classes are, so are all steps between them."""
     meeting = entries.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1").select(F.col("gram").alias("at"))
     band = F.floor(F.log("n") / F.lit(-np.log1p(min(like.percent - 100, -1) / 1000)))
-    met = written(entries.join(meeting, F.col("gram") == F.col("at")).select("gram", "node", "n", band.alias("band")), "met")
+    met = written(entries.join(meeting, F.col("gram") == F.col("at")).select("gram", "node", "n", band.alias("band")), "met", light=True)
     bands = met.groupBy("gram", "band").agg(F.min("node").alias("least"), F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("size"))
     inside = met.join(bands.where("size > 1").select("gram", "band", "least"), ["gram", "band"]).select(F.col("node").alias("a"), F.col("least").alias("b"))
     below = Window.partitionBy("gram").orderBy("band")
     across = bands.select("gram", "low", F.col("least").alias("a"), F.lag("least").over(below).alias("b"), F.lag("high").over(below).alias("under"))
     across = across.where(100 * F.col("under") >= like.percent * F.col("low")).select("a", "b")
-    pairs = written(inside.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
+    pairs = written(inside.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs", light=True)
     return met, pairs, pairs.select("a", "b").union(across.where("a <> b")).distinct()
 
 
@@ -296,13 +296,17 @@ def _star_links(large: DataFrame, pairs: DataFrame, sets: DataFrame, like: Simil
     return _compared(rays.union(hubs).join(sets, "node"), ["hub", "part"], like.percent)
 
 
-def _block_pairs(large: DataFrame, settled: DataFrame, like: Similarity) -> DataFrame:
-    """component, sizes, low, high, node, is_high: large components cut by size and into blocks, each with the blocks that it is to be compared with.
-    A class goes with the band of its size and with the band below; sizes two bands apart are too far from one another."""
+def _cut_by_size(large: DataFrame, settled: DataFrame, like: Similarity) -> DataFrame:
+    """component, node, group (the settled one, or the class itself) and sizes. A class goes with the band of its size and with the band below; sizes two
+    bands apart are too far from one another."""
     band = F.floor(F.log("n") / F.lit(-np.log(min(like.percent, 99) / 100))).cast("int")
-    group = F.coalesce("settled", "node")
-    cut = large.join(settled.select(F.col("id").alias("node"), F.col("component").alias("settled")), "node", "left").select("component", "node", group.alias("group"), F.explode(F.array(band, band - 1)).alias("sizes"))
-    cut = written(cut, "cut")
+    named = settled.select(F.col("id").alias("node"), F.col("component").alias("settled"))
+    return large.join(named, "node", "left").select("component", "node", F.coalesce("settled", "node").alias("group"), F.explode(F.array(band, band - 1)).alias("sizes"))
+
+
+def _block_pairs(cut: DataFrame) -> DataFrame:
+    """component, sizes, low, high, node, is_high: large components cut by size and into blocks, each with the blocks that it is to be compared with.
+    ``cut``: what ``_cut_by_size`` gives."""
     counts = cut.groupBy("component", "sizes", "group").agg(F.count("*").alias("size"))
     whole = counts.groupBy("component", "sizes").agg(F.count("*").alias("groups"), F.sum(F.when(F.col("size") < BLOCK, F.col("size")).otherwise(0)).alias("rest")).where("groups > 1")
     parts = counts.join(whole, ["component", "sizes"]).withColumn("own", F.when(F.col("size") >= BLOCK, F.col("group")))
@@ -332,31 +336,35 @@ def jaccard_join(docs: DataFrame, like: Similarity | None = None) -> DataFrame:
     classes = full.groupBy("name_a", "name_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("head").alias("head")).withColumn("node", node)
     own_grams = written(_own_grams(docs, like), "own")
     classes = classes.join(own_grams, "name_a", "left").where(F.coalesce("own", F.lit(0)) < F.size("head"))
-    entries = written(classes.select("node", "n", F.explode("head").alias("gram")), "entries")
+    entries = written(classes.select("node", "n", F.explode("head").alias("gram")), "entries", light=True)
     met, pairs, edges = _candidates(entries, like)
     found = components(edges)
-    together = written(found.select("id", "component").union(found.select("component", "component").distinct()), "together")
+    together = written(found.select("id", "component").union(found.select("component", "component").distinct()), "together", light=True)
     discard(met, found)
     members = together.select(F.col("id").alias("node"), "component").join(classes.select("node", "rep", "name_a", "n"), "node")
     sized = members.groupBy("component").agg(F.count("*").alias("members"))
-    members = written(members.join(sized, "component"), "members")
+    members = written(members.join(sized, "component"), "members", light=True)
     wanted = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     taken = _sets(wanted, like)
     sets = written(taken.join(members.select("node", "rep", "name_a"), (F.col("of") == F.col("rep")) & (F.col("name") == F.col("name_a"))).select("node", "grams"), "sets")
     small = members.where(F.col("members") <= BLOCK).select("component", "node", F.lit(False).alias("is_high")).join(sets, "node")
-    links = written(_compared(small, ["component"], like.percent), "links")
+    links = close = written(_compared(small, ["component"], like.percent), "close")
+    used = [close]
     large = members.where(F.col("members") > BLOCK).select("component", "node", "n")
     if large.limit(1).count():
         stars = written(_star_links(large, pairs, sets, like), "stars")
         settled = components(stars)
-        rest = _compared(_block_pairs(large, settled, like).join(sets, "node"), ["component", "sizes", "low", "high"], like.percent)
-        links = links.union(stars).union(written(rest, "rest"))
+        cut = written(_cut_by_size(large, settled, like), "cut", light=True)
+        rest = written(_compared(_block_pairs(cut).join(sets, "node"), ["component", "sizes", "low", "high"], like.percent), "rest")
+        links = close.union(stars).union(rest)
+        used += [stars, settled, cut, rest]
     groups = components(links)
-    discard(own_grams, entries, pairs, together, members, sets)
+    discard(own_grams, entries, pairs, together, members, sets, *used)
     named = narrow.withColumn("node", node).join(groups, F.col("node") == F.col("id"), "left").select("name_a", "name_b", "rep", "copies", F.coalesce("component", "node").alias("component"))
     if shared_ids:
         named = named.join(named.groupBy("component").agg(F.min("rep").alias("least")), "component").select("name_a", "name_b", "copies", F.col("least").alias("component"))
-    named = written(named.select("name_a", "name_b", "copies", "component"), "named")
+    named = written(named.select("name_a", "name_b", "copies", "component"), "named", light=True)
+    discard(groups)
     return _labelled(digests, named)
 
 

@@ -31,13 +31,14 @@ def _file_system(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, light: bool = False) -> DataFrame:
     """The frame as a Parquet table in the shared folder: lineage ends there, lost executors cost no recomputation,
-    and the shuffles behind it may go (see ``shuffles_end_with_jobs``). The table goes with ``discard``, or else when the driver ends."""
+    and the shuffles behind it may go (see ``settled_jobs``). The table goes with ``discard``, or else when the driver ends. ``light``: what follows the
+    last shuffle is little work, so its partitions are joined up to the advisory size even if fewer tasks than cores are left; a small table is then one file."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/wfspark-{name}-{uuid.uuid4().hex}"
     where, files = _file_system(spark, path)
-    with shuffles_end_with_jobs(spark):
+    with settled_jobs(spark, light):
         df.write.parquet(path)
     files.deleteOnExit(where)
     out = spark.read.parquet(path)
@@ -52,18 +53,20 @@ def discard(*frames: DataFrame) -> None:
         files.delete(where, True)
 
 
-class shuffles_end_with_jobs:
-    """While it holds, shuffle files of a finished job are removed at its end, so that the disk holds one step's, and shuffled partitions are joined up to
-    the advisory size even if fewer tasks than cores are left, so that small tables are few files."""
+class settled_jobs:
+    """While it holds, shuffle files of a finished job are removed at its end, so that the disk holds one step's; with ``light``, small partitions are
+    joined up."""
 
-    SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    SPREAD = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, light: bool = False):
         self.spark = spark
+        self.wanted = {self.CLEAN: "true"} | ({self.SPREAD: "false"} if light else {})
 
     def __enter__(self) -> None:
-        self.before = {key: self.spark.conf.get(key, None) for key in self.SETTINGS}
-        for key, value in self.SETTINGS.items():
+        self.before = {key: self.spark.conf.get(key, None) for key in self.wanted}
+        for key, value in self.wanted.items():
             self.spark.conf.set(key, value)
 
     def __exit__(self, *_: object) -> None:
