@@ -106,7 +106,11 @@ def train(docs: DataFrame, buckets: int = BUCKETS, smoothing: float = 0.5, most_
             for i, j, t in runs(texts(batch.column(0))):
                 for at, first in grams(t, buckets):
                     cell = np.repeat(code[i:j], np.diff(first)) * buckets + at
-                    table += np.bincount(cell, minlength=table.size).reshape(table.shape)
+                    if table.size <= 1 << 22:
+                        table += np.bincount(cell, minlength=table.size).reshape(table.shape)
+                    else:  # many languages: a run meets few of the cells
+                        ids, n = np.unique(cell, return_counts=True)
+                        table.ravel()[ids] += n
         for lang, k in names.items():
             at = np.flatnonzero(table[k])
             # the bucket -1 holds the number of rows
