@@ -272,6 +272,38 @@ def test_decontamination_equals_brute_force(spark, docs, texts):
     assert got[2000, 45]["n_words"] == 1 and got[2000, 45]["start_word"] == 1 and (2003, 48) in got and (2001, 46) in got
 
 
+def far_aside():
+    """An item whose ends are light, and a text around whose middle only windows far off the diagonal of what the two share are similar enough."""
+    r = random.Random(19)
+    word = lambda least, most: "".join(r.choices("abcdefghij", k=r.randint(least, most)))
+    heart = [word(7, 9) for _ in range(40)]
+    item = " ".join([word(1, 1) for _ in range(10)] + heart)
+    return item, " ".join([word(20, 20) for _ in range(15)] + heart + [word(1, 1) for _ in range(15)])
+
+
+@pytest.mark.parametrize("segment", [16, 4096])
+def test_decontamination_looks_at_every_window(spark, monkeypatch, segment):
+    monkeypatch.setattr("wfspark.llm.decontamination.SEGMENT", segment)
+    r = random.Random(23)
+    vocabulary = ["".join(r.choices("abcdefghij", k=r.choice([1, 1, 2, 8, 16]))) for _ in range(400)]
+    item, aside = far_aside()
+    items = [(0, item)] + [(k, " ".join(r.choices(vocabulary, k=24 + k))) for k in range(1, 25)]
+    items += [(30, " ".join(["tra la"] * 12)), (31, " ".join(["same"] * 9 + ["end"])), (32, items[3][1] + " " + vocabulary[0])]
+    rows = [(0, aside), (1, None), (2, ""), (3, " ".join(["tra la"] * 200)), (4, " ".join(["same"] * 60)), (5, item), (6, item[30:]), (6, aside)]
+    for k in range(120):
+        w = items[r.randrange(1, 25)][1].split()
+        at = r.randrange(len(w))
+        w[at : at + r.choice([0, 1, 2])] = r.choices(vocabulary, k=r.choice([0, 1, 2, 9]))
+        a, b = r.choice([(0, 0), (4, 0), (0, 5), (3, 3)])
+        rows.append((100 + k, " ".join(r.choices(vocabulary, k=r.randint(0, 40)) + w[a : len(w) - b] + r.choices(vocabulary, k=r.randint(0, 40)))))
+    want = every_window(rows, items)
+    found = decontamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(x["doc_id"], x["item_id"]): x["similarity"] for x in found}
+    assert len(found) == len(got) and got.keys() == want.keys() and (0, 0) in got and (6, 0) in got
+    # the windows of item 32, a word longer than item 3, are compared with item 3 too
+    assert all(abs(v - got[k]) < 1e-9 or (k[1] in (3, 32) and v < got[k]) for k, v in want.items())
+
+
 def naive_bayes(labelled, asked, buckets=1 << 15, smoothing=0.5):
     """Language and posterior of each text by counts in dictionaries; labelled: text and language."""
 

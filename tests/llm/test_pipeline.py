@@ -10,7 +10,7 @@ import tiktoken
 import corpus_pipeline
 import public_tokenizers
 from tests.conftest import SF
-from tests.llm.test_operators import every_window, jaccard_groups, naive_bayes, words
+from tests.llm.test_operators import every_window, far_aside, jaccard_groups, naive_bayes, words
 from wfspark.llm import bpe
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string"
@@ -103,6 +103,14 @@ def test_decontamination_stage(spark, tmp_path, rows):
     assert stage(spark, str(tmp_path), "decontamination", rows) == sorted(want, key=key) and 0 < len(want) < len(rows)
 
 
+def test_decontamination_stage_looks_at_every_window(spark, tmp_path):
+    item, aside = far_aside()
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, aside, "aa", "s", len(aside), None), (2, "a text of its own", "aa", "s", 17, None)]
+    assert every_window([r[:2] for r in rows], [(1, item)]).keys() == {(1, 1)}
+    assert stage(spark, str(tmp_path), "decontamination", rows) == [rows[1][:5]]
+
+
 def test_encoding_stage(spark, folder, rows):
     codec = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
     want = []

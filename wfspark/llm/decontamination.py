@@ -1,18 +1,18 @@
 """Benchmark decontamination by SimHash over item-sized windows, in DataFrame operations only.
 
 Texts become word 5-gram shingles, each weighing as much as its words have letters; an item of m < 5 words is one m-gram, and its windows are
-m-grams. A document's window for an item is as long as the item. Windows are laid wherever document and item share a shingle (a window without
-one has similarity 0): on the diagonals of shared shingles, on every start between two diagonals no further apart than a quarter of the
-item, and on ``ASIDE`` starts beside them. Each distinct window and each item gets a 64-bit weighted SimHash. The
+m-grams. A document's window for an item is as long as the item. Every start is looked at: a running sum over the places of items' shingles gives
+what each window shares with the items of its length, and only windows that can't be similar enough to any of them, by that weight and their own,
+are left out. Each distinct window and each item gets a 64-bit weighted SimHash. The
 fingerprint is cut into 4 blocks of 16 bits; items are listed under every value within ``FLIPS`` bits of each of their blocks, and
 windows ask with every value within ``ASKED`` bits of theirs. By the pigeonhole principle that join finds every pair within Hamming
 distance ``RADIUS``. The pairs that are that close are compared exactly: shared shingle weight by the weight of the union.
 
 A window of similarity 0.8 is 10 bits away on average, with a deviation of 3, so ``RADIUS`` = 19 leaves out about one in a thousand at
-just 0.8, fewer above; a start further aside can be better by what the words outside the passage weigh, at most a hundredth in the tests. Texts of any length are read whole, once for the shared shingles; only texts that have one are read again. Null and empty
+just 0.8, fewer above. Texts of any length are read whole, once for the shared shingles; only texts that have one are read again. Null and empty
 texts match nothing. Rows that share a doc_id (or item_id) are taken each, and the best match stands for the id, so repeated rows
-give one result. Of equally similar windows the one with the least distance, then the first, is given. Extra columns are ignored,
-whatever their names; an empty table on either side gives no rows.
+give one result. A window laid for one item is compared with items of other lengths too. Of equally similar windows the one with the least
+distance, then the first, is given. Extra columns are ignored, whatever their names; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +31,10 @@ BITS, BLOCK_BITS, FLIPS, ASKED = 64, 16, 3, 1
 #: Every pair of fingerprints this close shares a block up to FLIPS + ASKED bits.
 RADIUS = BITS // BLOCK_BITS * (FLIPS + ASKED + 1) - 1
 LEAST = 0.8
-ASIDE = 3
+#: Room for rounding where windows are left out before they are compared.
+SLACK = 1e-9
+#: Starts of one document that a task lays out at a time.
+SEGMENT = 4096
 #: Rows of documents' ids that may go to every task.
 MOST_IDS = 2_000_000
 
@@ -74,35 +77,57 @@ def _weight(window: Column) -> Column:
     return F.aggregate(window, F.lit(0).cast("bigint"), lambda a, x: a + x["w"])
 
 
-def _seeds(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, n, item_size and start: where the windows of items lie on the diagonals of shared shingles, and beside them."""
-    places = items.select("n", "item_size", F.posexplode("item.h").alias("at", "h")).distinct()
+def _seeds(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """doc_id, n, item_size, the first and last start of windows of that size that hold as much weight (``held``) of shingles of items of that size, and the
+    least and greatest weight of those items (low, high). Starts whose windows hold less than ``least`` of the lightest item are no part of it."""
+    sizes = items.groupBy("n", "item_size").agg(F.min("item_weight").alias("low"), F.max("item_weight").alias("high"))
+    places = items.select("n", "item_size", F.explode("item").alias("x")).select("n", "item_size", "x.h", "x.w").join(sizes, ["n", "item_size"])
+    places = places.groupBy("n", "h").agg(F.max("w").alias("w"), F.collect_set(F.struct("item_size", "low", "high")).alias("sizes"))
     lengths = [r["n"] for r in items.select("n").distinct().orderBy("n").collect()]  # at most five
     read = docs.select("doc_id", words(F.col("text")).alias("words"))
     each = [read.select("doc_id", F.lit(n).alias("n"), F.posexplode(grams(F.col("words"), n)).alias("pos", "h")) for n in lengths]
     if not each:
-        return docs.select("doc_id").where("false").selectExpr("doc_id", "0 as n", "0 as item_size", "0 as start")
+        return docs.select("doc_id").where("false").selectExpr("doc_id", "0 as n", "0 as item_size", "0 as start", "0 as stop", "0L as held", "0L as low", "0L as high")
     met = joined(reduce(DataFrame.union, each), places, ["n", "h"], "inner")
-    diagonals = met.select("doc_id", "n", "item_size", (F.col("pos") - F.col("at")).alias("on")).distinct()
-    after = F.lead("on").over(Window.partitionBy("doc_id", "n", "item_size").orderBy("on"))
-    paired = diagonals.withColumn("after", after)
-    near = F.col("after") - F.col("on") <= F.greatest(F.lit(1), F.floor(F.col("item_size") / 4))
-    aside = F.when(F.col("item_size") > 1, ASIDE).otherwise(0)
-    starts = F.sequence(F.col("on") - aside, F.when(near, F.col("after")).otherwise(F.col("on")) + aside)
-    return paired.select("doc_id", "n", "item_size", F.explode(starts).alias("start"))
-
-
-def _windows(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """doc_id, start, n, window (shingles and weights) and a 128-bit name of it."""
-    laid = seeds.groupBy("doc_id", "n").agg(F.collect_set(F.struct("start", "item_size")).alias("laid"))
+    # a window counts a shingle once, at its first place
+    before = F.lag("pos").over(Window.partitionBy("doc_id", "n", "h").orderBy("pos"))
+    met = met.select("doc_id", "n", "pos", "w", "sizes", before.alias("before")).select("doc_id", "n", "pos", "w", "before", F.explode("sizes").alias("of"))
+    since = F.greatest(F.col("before") + 1, F.col("pos") - F.col("of.item_size") + 1, F.lit(0))
+    met = met.select("doc_id", "n", "of.*", "w", since.alias("since"), (F.col("pos") + 1).alias("until")).where("since < until")
+    change = F.explode(F.array(F.struct(F.col("since").alias("start"), F.col("w").cast("bigint").alias("by")), F.struct(F.col("until").alias("start"), (-F.col("w")).cast("bigint").alias("by"))))
+    steps = met.select("doc_id", "n", "item_size", "low", "high", change.alias("step")).select("doc_id", "n", "item_size", "low", "high", "step.*")
+    # changes at one start are added up together, and only the last of them has a start after it
+    along = Window.partitionBy("doc_id", "n", "item_size").orderBy("start")
+    held = steps.select("doc_id", "n", "item_size", "start", (F.lead("start").over(along) - 1).alias("stop"), F.sum("by").over(along).alias("held"), "low", "high")
+    return held.where((F.col("stop") >= F.col("start")) & (F.col("held") > 0) & (F.col("held") >= F.col("low") * (least - SLACK)))
+
+
+def _windows(docs: DataFrame, seeds: DataFrame, least: float) -> DataFrame:
+    """doc_id, start, n, window (shingles and weights) and a 128-bit name of it, of all windows that may be similar enough."""
+    segment = F.floor(F.col("start") / SEGMENT).cast("int").alias("segment")
+    laid = seeds.groupBy("doc_id", "n", segment).agg(F.max("item_size").alias("longest"), F.collect_list(F.struct("start", "stop", "item_size", "held", "low", "high")).alias("laid"))
     ids = seeds.select("doc_id").distinct()
     wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if small_enough(ids, MOST_IDS) else ids, "doc_id", "left_semi")
-    full = wanted.select("doc_id", words(F.col("text")).alias("words")).join(laid, "doc_id")
-    cut = full.select("doc_id", "n", _by_size(F.col("words"), F.col("n"), weighted).alias("all"), F.col("laid")).where(F.size("all") > 0)
-    cut = cut.select("doc_id", "n", "all", F.explode("laid").alias("place"))
-    size = F.least(F.col("place.item_size"), F.size("all"))
-    start = F.greatest(F.lit(0), F.least(F.col("place.start"), F.size("all") - size))
-    windows = cut.select("doc_id", "n", start.alias("start"), F.slice("all", start + 1, size).alias("window"))
+    full = wanted.select("doc_id", words(F.col("text")).alias("words")).join(laid, "doc_id").where(F.size("words") >= F.col("n"))
+    # what one segment's windows cover: held weight changes at least once an item's length, so no range of starts is longer
+    begin = F.col("segment") * SEGMENT
+    full = full.select("doc_id", "n", "laid", begin.alias("begin"), (F.size("words") - F.col("n") + 1).alias("total"), F.slice("words", begin + 1, SEGMENT + 2 * F.col("longest") + F.col("n")).alias("words"))
+    cut = full.select("doc_id", "n", "begin", "total", _by_size(F.col("words"), F.col("n"), weighted).alias("all"), "laid")
+    cut = cut.select("doc_id", "n", "begin", "total", "all", F.explode("laid").alias("place"))
+    # a start beyond the last whole window holds no more than that window does
+    size = F.least(F.col("place.item_size"), F.col("total"))
+    last = F.least(F.col("place.stop"), F.col("total") - size)
+    cut = cut.where(F.col("place.start") <= last)
+    # each range takes its own part of the text along, not all of it
+    part = F.slice("all", F.col("place.start") - F.col("begin") + 1, last - F.col("place.start") + size)
+    cut = cut.select("doc_id", "n", "place.start", "place.held", "place.low", "place.high", size.alias("size"), (last - F.col("place.start")).alias("most"), part.alias("part"))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("most"))).alias("on"))
+    windows = cut.select("doc_id", "n", (F.col("start") + F.col("on")).alias("start"), F.slice("part", F.col("on") + 1, F.col("size")).alias("window"), "held", "low", "high")
+    windows = windows.withColumn("weight", _weight(F.array_distinct("window")))
+    # the item most like a window weighs what the two share, or as near to that as items do
+    item = F.greatest(F.col("low"), F.least("held", "high"))
+    shared = F.least(F.col("held"), item)
+    windows = windows.where(shared >= (item + F.col("weight") - shared) * (least - SLACK))
     named = windows.select("doc_id", "n", "start", F.xxhash64("n", "window.h").alias("name_a"), F.xxhash64("window.h", F.lit(1)).alias("name_b"), "window")
     return named.dropDuplicates(["doc_id", "start", "name_a", "name_b"])
 
@@ -112,9 +137,10 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST)
     items = benchmark.select("item_id", words(F.col("text")).alias("words")).where((F.size("words") > 0) & F.col("item_id").isNotNull()).distinct()
     items = items.select("item_id", F.xxhash64("item_id", "words").alias("item_key"), F.least(F.size("words"), F.lit(N)).alias("n"), "words")
     items = items.select("item_id", "item_key", "n", _by_size(F.col("words"), F.col("n"), weighted).alias("item")).withColumn("item_size", F.size("item"))
+    items = items.withColumn("item_weight", _weight(F.array_distinct("item")))
     known = docs.where("doc_id is not null")
-    seeds = written(_seeds(known, items), "seeds", light=True)
-    windows = written(_windows(known, seeds), "windows")
+    seeds = written(_seeds(known, items, least), "seeds", light=True)
+    windows = written(_windows(known, seeds, least), "windows")
     prints = windows.groupBy("name_a", "name_b").agg(F.first("window").alias("window")).withColumn("print", fingerprint(F.col("window")))
     prints = written(prints, "prints")
     item_prints = items.withColumn("item_print", fingerprint(F.col("item")))
