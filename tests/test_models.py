@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
+from wfspark import catalogue
 from wfspark.operators import anomalies, careers, causal, encoding, equity, graph, linear, pipeline, series, trees
 from wfspark.sources import files, synthetic
 from wfspark.streaming import operators as streams
@@ -416,6 +417,14 @@ def test_embeddings_of_more_nodes_than_a_dense_matrix_takes(spark, monkeypatch):
     assert all(np.array_equal(got[n], v) for n, v in zip(model.names, model.vectors))
 
 
+def test_similar_nodes_of_6000_suppliers(spark, tmp_path):
+    n = 6000
+    pd.DataFrame({"s_suppkey": range(n), "s_nationkey": [k % 400 for k in range(n)]}).to_parquet(tmp_path / "supplier.parquet")
+    pd.DataFrame({"n_nationkey": range(400), "n_regionkey": [k % 5 for k in range(400)]}).to_parquet(tmp_path / "nation.parquet")
+    got = catalogue.QUERIES["similar_nodes"](spark, str(tmp_path)).toPandas()
+    assert len(got) == 5 and "s2" not in set(got.node) and got.cosine.is_monotonic_decreasing
+
+
 def test_sparse_leading_vectors_are_those_of_a_dense_matrix():
     r = np.random.default_rng(6)
     m = np.triu(r.random((400, 400)) * (r.random((400, 400)) < 0.05))
