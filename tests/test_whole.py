@@ -171,3 +171,11 @@ def test_outofsample_cohorts_are_those_of_all_customers(spark, tmp_path):
     every = customers.c_acctbal  # nation 24 has no customers: the mean and spread of all
     want = {1: (3, 1 / np.std(bal[3], ddof=1)), 2: (3, 1 / np.std(bal[22], ddof=1)), 3: (0, (9 - every.mean()) / every.std())}
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-5 for k in want)
+
+
+def test_every_supplier_nation_and_region_is_embedded(spark, tmp_path):
+    """Also those without a nation or region; what has no name is no node."""
+    pd.DataFrame({"s_suppkey": [1, 2, 3], "s_nationkey": [7, 7, None]}).astype("Int64").to_parquet(tmp_path / "supplier.parquet")
+    pd.DataFrame({"n_nationkey": [7, 8], "n_regionkey": [0, None]}).astype("Int64").to_parquet(tmp_path / "nation.parquet")
+    got = {r.node: r.vector for r in catalogue.QUERIES["metapath2vec"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == ["n7", "n8", "r0", "s1", "s2", "s3"] and not any(got["s3"])

@@ -140,8 +140,10 @@ def _typed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     s, n = table(spark, d, "supplier"), table(spark, d, "nation")
     name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
     edges = s.select(name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst")).union(n.select(name("n", "n_nationkey"), name("r", "n_regionkey")))
-    types = G.nodes(edges).withColumn("node_type", F.substring("node", 1, 1))
-    return types, edges.withColumn("weight", F.lit(1.0))
+    every = [(s, "s", "s_suppkey"), (s, "n", "s_nationkey"), (n, "n", "n_nationkey"), (n, "r", "n_regionkey")]
+    kinds = [t.select(name(kind, c).alias("node"), F.lit(kind).alias("node_type")) for t, kind, c in every]
+    types = kinds[0].union(kinds[1]).union(kinds[2]).union(kinds[3]).where("node is not null").distinct()
+    return types, edges.where("src is not null and dst is not null").withColumn("weight", F.lit(1.0))
 
 
 @query()
