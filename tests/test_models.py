@@ -471,6 +471,35 @@ def test_streams_equal_batches(spark, tmp_path):
     assert len(entropy) > 10
 
 
+def test_trees_of_repeated_rows_are_those_of_the_rows(spark):
+    """Splits come from all rows, not from a sample of them, and equal rows are fitted once, as MLlib fits them."""
+    r = np.random.default_rng(15)
+    x = pd.DataFrame({"a": r.integers(0, 60, 500).astype(float), "b": r.integers(0, 6, 500).astype(float)})
+    x["y"] = np.sqrt(x.a) * x.b + r.normal(0, 0.3, 500)
+    df = spark.createDataFrame(x)
+    copies = df.crossJoin(spark.range(40)).drop("id")
+    one, many = (trees.BoostedTrees.fit(rows, "y", ["a", "b"], depth=3, rounds=3) for rows in (df, copies))
+    for s, t in zip(one.trees, many.trees):
+        assert np.array_equal(s.feature, t.feature) and np.allclose(s.threshold, t.threshold) and np.allclose(s.value, t.value) and np.allclose(40 * s.cover, t.cover)
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    plain = VectorAssembler(inputCols=["a", "b"], outputCol="x").transform(df.withColumn("a", F.floor(F.col("a") / 6)))
+    want = GBTRegressor(featuresCol="x", labelCol="y", maxDepth=3, maxIter=3, stepSize=0.1, seed=42).fit(plain).transform(plain).toPandas()
+    got = trees.BoostedTrees.fit(plain, "y", ["a", "b"], depth=3, rounds=3).predict(want[["a", "b"]].to_numpy(float))
+    assert np.allclose(got, want.prediction)
+
+
+def test_thresholds_of_repeated_rows_are_those_of_the_rows(spark):
+    r = np.random.default_rng(16)
+    x = pd.DataFrame({"a": r.integers(0, 50, 400).astype(float)})
+    x["shap_a"] = np.where(x.a > 30, 1.0, -0.5) + 0.01 * x.a
+    x["k"] = r.integers(1, 30, 400)
+    df = spark.createDataFrame(x)
+    whole = df.withColumn("i", F.explode(F.sequence(F.lit(1), "k"))).drop("i", "k")
+    assert trees.threshold_table(df, ["a"], rounds=3, weight="k").first() == trees.threshold_table(whole, ["a"], rounds=3).first()
+
+
 def test_sdid_intervals(spark):
     rows = [(u, t, 0.1 * t + u + (3.0 if u == 0 and t >= 8 else 0.0)) for u in range(8) for t in range(12)]
     got = causal.sdid(spark.createDataFrame(rows, "u int, t int, y double"), "u", "t", "y", [0], 8).first()

@@ -11,8 +11,8 @@ BINS = 8192
 FEW = 50_000
 
 
-def percentiles(rows: DataFrame, wanted: dict[str, list[float]], weight: str | None = None) -> dict[str, list[float | None]]:
-    """Percentiles of finite columns, as ``F.percentile`` defines them (``weight``: times that a row counts). A pass counts the rows in ranges of all columns and
+def percentiles(rows: DataFrame, wanted: dict[str, list[float]], weight: str | None = None, nearest: bool = False) -> dict[str, list[float | None]]:
+    """Percentiles of finite columns, as ``F.percentile`` defines them (``weight``: times that a row counts; ``nearest``: the value at the nearest rank, not between two). A pass counts the rows in ranges of all columns and
     the next one cuts the ranges where the wanted ranks lie, until a range has few rows or one value: no task holds the values of a column, as in an
     exact percentile's map of all values."""
     w = F.col(weight) if weight else F.lit(1)
@@ -21,7 +21,7 @@ def percentiles(rows: DataFrame, wanted: dict[str, list[float]], weight: str | N
     at: dict[tuple[str, int], tuple[float, float, int, int]] = {}  # column and rank: least and largest value of its range, rows below it, rows in it
     for i, c in enumerate(names):
         for p in wanted[c] if ends[f"n{i}"] else []:
-            place = p * (ends[f"n{i}"] - 1)
+            place = round(p * (ends[f"n{i}"] - 1)) if nearest else p * (ends[f"n{i}"] - 1)
             for rank in {math.floor(place), math.ceil(place)}:
                 at[c, rank] = float(ends[f"lo{i}"]), float(ends[f"hi{i}"]), 0, int(ends[f"n{i}"])
     while spans := sorted({(c, *r) for (c, _), r in at.items() if r[0] < r[1]}):
@@ -47,7 +47,7 @@ def percentiles(rows: DataFrame, wanted: dict[str, list[float]], weight: str | N
             if not ends[f"n{i}"]:
                 out[c].append(None)
                 continue
-            place = p * (ends[f"n{i}"] - 1)
+            place = round(p * (ends[f"n{i}"] - 1)) if nearest else p * (ends[f"n{i}"] - 1)
             low, high = math.floor(place), math.ceil(place)
             out[c].append(at[c, low][0] if low == high else (high - place) * at[c, low][0] + (place - low) * at[c, high][0])
     return out

@@ -15,12 +15,14 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wfspark.functions.pay import col
+from wfspark.operators.quantiles import percentiles
 
 _LINE = re.compile(r"(If|Else) \(feature (\d+) (<=|>) (\S+)\)|Predict: (\S+)")
 
@@ -58,12 +60,12 @@ class Tree:
         f, t, left, right, v = zip(*nodes)
         return cls(np.array(f), np.array(t), np.array(left), np.array(right), np.array(v), np.zeros(len(nodes)))
 
-    def counts(self, x: np.ndarray) -> np.ndarray:
-        """Rows that pass each node."""
+    def counts(self, x: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Rows that pass each node; ``times``: how often each row of x is there."""
         out, todo = np.zeros(len(self.feature)), [(0, np.arange(len(x)))]
         while todo:
             n, rows = todo.pop()
-            out[n] = len(rows)
+            out[n] = times[rows].sum()
             if self.feature[n] >= 0:
                 low = x[rows, self.feature[n]] <= self.threshold[n]
                 todo += [(self.left[n], rows[low]), (self.right[n], rows[~low])]
@@ -98,6 +100,10 @@ class Tree:
         return one, two
 
 
+def _times(weight: str | None) -> Column:
+    return (col(weight) if weight else F.lit(1)).cast("long").alias("times")
+
+
 @dataclass
 class BoostedTrees:
     """A weighted sum of trees on named features."""
@@ -107,21 +113,29 @@ class BoostedTrees:
     trees: list[Tree]
 
     @classmethod
-    def fit(cls, df: DataFrame, target: str, features: list[str], depth: int = 3, rounds: int = 20, rate: float = 0.1, seed: int = 42) -> BoostedTrees:
-        rows = df.select(*[col(f).cast("double").alias(f"x{k}") for k, f in enumerate(features)], col(target).cast("double").alias("y")).na.drop()
-        ready = VectorAssembler(inputCols=[f"x{k}" for k in range(len(features))], outputCol="x").transform(rows).select("x", "y")
-        model = GBTRegressor(featuresCol="x", labelCol="y", maxDepth=depth, maxIter=rounds, stepSize=rate, seed=seed).fit(ready)
+    def fit(cls, df: DataFrame, target: str, features: list[str], depth: int = 3, rounds: int = 20, rate: float = 0.1, seed: int = 42, weight: str | None = None) -> BoostedTrees:
+        """Squared errors of rows with equal features differ from those of their mean by a constant, so the trees are fitted on their means, weighted by their
+        numbers: one pass over the rows. ``weight``: times that a row counts."""
+        rows = df.select(*[col(f).cast("double").alias(f"x{k}") for k, f in enumerate(features)], col(target).cast("double").alias("y"), _times(weight)).na.drop()
+        # equal targets have just their own value as mean
+        rows = rows.groupBy(*[f"x{k}" for k in range(len(features))]).agg(F.min("y").alias("low"), F.sum(F.col("y") * F.col("times")).alias("s"), F.max("y").alias("high"), F.sum("times").alias("times"))
+        mean = F.greatest("low", F.least("high", F.col("s") / F.col("times")))
+        rows = rows.select(*[f"x{k}" for k in range(len(features))], mean.alias("y"), "times").persist(StorageLevel.MEMORY_AND_DISK)
+        few = rows.coalesce(max(1, rows.count() // 20_000))
+        ready = VectorAssembler(inputCols=[f"x{k}" for k in range(len(features))], outputCol="x").transform(few).select("x", "y", "times")
+        model = GBTRegressor(featuresCol="x", labelCol="y", weightCol="times", maxDepth=depth, maxIter=rounds, stepSize=rate, seed=seed).fit(ready)
         trees = [Tree.parsed(t.toDebugString.split("\n")[1:]) for t in model.trees]
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = [np.zeros(len(t.feature)) for t in trees]
             for batch in batches:
                 x = batch.to_numpy(float)
-                total = [a + t.counts(x) for a, t in zip(total, trees)]
+                total = [a + t.counts(x[:, :-1], x[:, -1]) for a, t in zip(total, trees)]
             yield pd.DataFrame([(k, n, c) for k, counts in enumerate(total) for n, c in enumerate(counts)], columns=["tree", "node", "n"])
 
-        for r in rows.drop("y").mapInPandas(count, "tree int, node int, n double").groupBy("tree", "node").agg(F.sum("n").alias("n")).collect():
+        for r in few.drop("y").mapInPandas(count, "tree int, node int, n double").groupBy("tree", "node").agg(F.sum("n").alias("n")).collect():
             trees[r["tree"]].cover[r["node"]] = r["n"]
+        rows.unpersist()
         return cls(features, [float(w) for w in model.treeWeights], trees)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -157,11 +171,12 @@ class BoostedTrees:
             total, rows = np.zeros((n, n)), 0
             for batch in batches:
                 x = batch.to_numpy(float)
-                rows += len(x)
-                total += np.abs(shared.value.contributions(x)[1]).sum(axis=0)
+                rows += int(x[:, -1].sum())
+                total += np.einsum("rij,r->ij", np.abs(shared.value.contributions(x[:, :-1])[1]), x[:, -1])
             yield pd.DataFrame([(i, j, 2 * total[i, j], rows) for i, j in pairs], columns=["i", "j", "total", "n"])
 
         rows = df.select(*[col(f).cast("double").alias(f"x{k}") for k, f in enumerate(self.features)]).na.drop()
+        rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("times"))
         sums = rows.mapInPandas(run, "i int, j int, total double, n long").groupBy("i", "j").agg((F.sum("total") / F.sum("n")).alias("strength")).collect()
         out = sorted(((self.features[r["i"]], self.features[r["j"]], r["strength"] or 0.0) for r in sums), key=lambda r: (-r[2], r[0], r[1]))
         return df.sparkSession.createDataFrame(out, "feature_a string, feature_b string, strength double")
@@ -175,18 +190,22 @@ class BoostedTrees:
         return cls(d["features"], d["weights"], [Tree(*map(np.array, t)) for t in d["trees"]])
 
 
-def threshold_table(shap: DataFrame, features: list[str], points: int = 200, depth: int = 3, rounds: int = 20) -> DataFrame:
-    """One row a feature, from rows with the features and their ``shap_`` columns: where a boosted surrogate of the contribution crosses zero, the steepest of
+def threshold_table(shap: DataFrame, features: list[str], points: int = 200, depth: int = 3, rounds: int = 20, weight: str | None = None) -> DataFrame:
+    """One row a feature, from rows with the features and their ``shap_`` columns (``weight``: times that a row counts): where a boosted surrogate of the contribution crosses zero, the steepest of
     the crossings between the 5th and 95th percentile (or of all), mean and median, and whether high values add."""
     out = []
     for f in features:
-        rows = shap.select(col(f).cast("double").alias("x"), F.col(f"shap_{f}").alias("s")).na.drop()
-        q = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.percentile("x", 0.05).alias("p5"), F.percentile("x", 0.95).alias("p95"), F.avg("x").alias("mean"), F.percentile("x", 0.5).alias("median")).first()
+        rows = shap.select(col(f).cast("double").alias("x"), F.col(f"shap_{f}").alias("s"), _times(weight)).na.drop()
+        grouped = rows.groupBy("x", "s").agg(F.sum("times").alias("times")).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = grouped.coalesce(max(1, grouped.count() // 20_000))
+        q = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), (F.sum(F.col("x") * F.col("times")) / F.sum("times")).alias("mean")).first()
         if q["lo"] is None:
             out.append((f, None, [], None, None, None))
             continue
+        p5, p95, median = percentiles(rows, {"x": [0.05, 0.95, 0.5]}, "times")["x"]
         grid = np.linspace(q["lo"], q["hi"], points)
-        y = BoostedTrees.fit(rows, "s", ["x"], depth, rounds).predict(grid[:, None])
+        y = BoostedTrees.fit(rows, "s", ["x"], depth, rounds, weight="times").predict(grid[:, None])
+        grouped.unpersist()
         at = np.flatnonzero(y[:-1] * y[1:] < 0)
         zeros = [float(grid[k] - y[k] * (grid[k + 1] - grid[k]) / (y[k + 1] - y[k])) for k in at]
 
@@ -195,6 +214,6 @@ def threshold_table(shap: DataFrame, features: list[str], points: int = 200, dep
             a, b = max(0, c - 2), min(points - 1, c + 2)
             return abs((y[b] - y[a]) / (grid[b] - grid[a])) if grid[b] > grid[a] else 0.0  # noqa: B023
 
-        inner = [z for z in zeros if q["p5"] <= z <= q["p95"]] or zeros
-        out.append((f, round(max(inner, key=slope), 2) if inner else None, [round(z, 2) for z in zeros], round(q["mean"], 2), round(q["median"], 2), bool(y[-1] > 0)))
+        inner = [z for z in zeros if p5 <= z <= p95] or zeros
+        out.append((f, round(max(inner, key=slope), 2) if inner else None, [round(z, 2) for z in zeros], round(q["mean"], 2), round(median, 2), bool(y[-1] > 0)))
     return shap.sparkSession.createDataFrame(out, "feature string, primary_threshold double, thresholds array<double>, mean double, median double, high_value_adds boolean")

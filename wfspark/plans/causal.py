@@ -108,7 +108,8 @@ def tree_interactions(spark: SparkSession, d: str) -> DataFrame:
 def tree_thresholds(spark: SparkSession, d: str) -> DataFrame:
     rows = _lines(spark, d)
     model = R.BoostedTrees.fit(rows, "y", ["l_quantity", "l_discount"], rounds=8)
-    return R.threshold_table(model.shap(rows), ["l_quantity", "l_discount"], rounds=8)
+    lines = rows.groupBy("l_quantity", "l_discount").agg(F.count("*").alias("times"))  # equal lines have equal values
+    return R.threshold_table(model.shap(lines), ["l_quantity", "l_discount"], rounds=8, weight="times")
 
 
 def _moves(spark: SparkSession, d: str) -> DataFrame:
