@@ -500,6 +500,18 @@ def test_thresholds_of_repeated_rows_are_those_of_the_rows(spark):
     assert trees.threshold_table(df, ["a"], rounds=3, weight="k").first() == trees.threshold_table(whole, ["a"], rounds=3).first()
 
 
+def test_interactions_of_repeated_rows_are_looked_at_once(spark, monkeypatch):
+    r = np.random.default_rng(17)
+    x = pd.DataFrame(r.integers(0, 4, (300, 2)).astype(float), columns=["a", "b"])
+    x["y"] = x.a * x.b
+    df = spark.createDataFrame(x)
+    model, rows = trees.BoostedTrees.fit(df, "y", ["a", "b"], depth=2, rounds=3), []
+    seen = type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, *a, **k: rows.append(self.count()) or seen(self, *a, **k))
+    strength = model.interactions(df.crossJoin(spark.range(20)).drop("id")).first()["strength"]
+    assert rows == [16] and abs(strength - 2 * np.abs(model.contributions(x[["a", "b"]].to_numpy())[1]).mean(axis=0)[0, 1]) < 1e-9
+
+
 def test_sdid_intervals(spark):
     rows = [(u, t, 0.1 * t + u + (3.0 if u == 0 and t >= 8 else 0.0)) for u in range(8) for t in range(12)]
     got = causal.sdid(spark.createDataFrame(rows, "u int, t int, y double"), "u", "t", "y", [0], 8).first()
