@@ -512,6 +512,28 @@ def test_interactions_of_repeated_rows_are_looked_at_once(spark, monkeypatch):
     assert rows == [16] and abs(strength - 2 * np.abs(model.contributions(x[["a", "b"]].to_numpy())[1]).mean(axis=0)[0, 1]) < 1e-9
 
 
+@pytest.mark.parametrize("method", ["bicor"])
+def test_robust_correlations_without_a_map_of_all_values(spark, monkeypatch, method):
+    r = np.random.default_rng(18)
+    x = pd.DataFrame({"y": r.normal(size=701), "a": r.integers(0, 9, 701).astype(float)})
+    x["y"] += 0.2 * x.a + np.where(r.random(701) < 0.05, 50, 0)
+    d = x - x.median()
+    if method == "bicor":
+        u = d / (9 * d.abs().median())
+        t = np.where(u.abs() < 1, d * (1 - u * u) ** 2, 0)
+    else:
+        omega = d.abs().apply(lambda v: np.sort(v)[int(np.floor(0.8 * 701 + 0.5)) - 1])
+        high, low = (d > omega).sum(), (d < -omega).sum()
+        t = ((x - (omega * (high - low) + x.where(d.abs() <= omega).sum()) / (701 - high - low)) / omega).clip(-1, 1).to_numpy()
+
+    def none(*a, **k):
+        raise AssertionError("holds all values of a column in one task")
+
+    monkeypatch.setattr(linear.F, "percentile", none)
+    got = linear.correlation_table(spark.createDataFrame(x), "y", ["a"], method).first()["r"]
+    assert abs(got - (t[:, 0] * t[:, 1]).sum() / np.sqrt((t**2).sum(axis=0).prod())) < 1e-9
+
+
 def test_sdid_intervals(spark):
     rows = [(u, t, 0.1 * t + u + (3.0 if u == 0 and t >= 8 else 0.0)) for u in range(8) for t in range(12)]
     got = causal.sdid(spark.createDataFrame(rows, "u int, t int, y double"), "u", "t", "y", [0], 8).first()

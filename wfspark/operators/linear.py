@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wfspark.functions.pay import col
+from wfspark.operators.quantiles import percentiles
 
 
 @dataclass(frozen=True)
@@ -217,10 +218,14 @@ def average_ranks(rows: DataFrame, columns: list[str], ranges: int = 64) -> Data
     return rows
 
 
+def _deviations(rows: DataFrame, centres: dict[str, float]) -> DataFrame:
+    return rows.select(*[F.abs(F.col(c) - F.lit(m)).alias(c) for c, m in centres.items()])
+
+
 def _biweight(rows: DataFrame, names: list[str]) -> DataFrame:
     """Deviations from the median with biweights: rows further than 9 median deviations count for nothing."""
-    medians = rows.agg(*[F.percentile(c, 0.5).alias(c) for c in names]).first()
-    spread = rows.agg(*[F.percentile(F.abs(F.col(c) - F.lit(medians[c])), 0.5).alias(c) for c in names]).first()
+    medians = {c: v[0] for c, v in percentiles(rows, dict.fromkeys(names, [0.5])).items()}
+    spread = {c: v[0] for c, v in percentiles(_deviations(rows, medians), dict.fromkeys(names, [0.5])).items()}
 
     def weighed(c: str) -> Column:
         u = (F.col(c) - F.lit(medians[c])) / F.lit(9 * spread[c]) if spread[c] else F.lit(0.0)
@@ -233,9 +238,8 @@ def _bent(rows: DataFrame, names: list[str], beta: float = 0.2) -> DataFrame:
     """Deviations from the percentage-bend centre in units of the (1 - beta) order statistic of absolute deviations, cut at 1."""
     n = rows.count()
     k = math.floor((1 - beta) * n + 0.5)
-    medians = rows.agg(*[F.percentile(c, 0.5).alias(c) for c in names]).first()
-    place = (k - 1) / (n - 1) if n > 1 else 0.0  # the k-th smallest, without interpolation
-    omega = rows.agg(*[F.percentile(F.abs(F.col(c) - F.lit(medians[c])), place).alias(c) for c in names]).first()
+    medians = {c: v[0] for c, v in percentiles(rows, dict.fromkeys(names, [0.5])).items()}
+    omega = {c: v[0] for c, v in percentiles(_deviations(rows, medians), dict.fromkeys(names, [(k - 1) / (n - 1) if n > 1 else 0.0]), nearest=True).items()}  # the k-th smallest
     u = {c: (F.col(c) - F.lit(medians[c])) / F.lit(omega[c] or 1.0) for c in names}
     parts = [x for c in names for x in (F.sum((u[c] < -1).cast("int")).alias(f"lo_{c}"), F.sum((u[c] > 1).cast("int")).alias(f"hi_{c}"), F.sum(F.when(F.abs(u[c]) <= 1, F.col(c)).otherwise(0.0)).alias(f"in_{c}"))]
     r = rows.agg(*parts).first()
@@ -243,10 +247,11 @@ def _bent(rows: DataFrame, names: list[str], beta: float = 0.2) -> DataFrame:
     return rows.select(*[F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col(c) - F.lit(centre[c])) / F.lit(omega[c] or 1.0))).alias(c) for c in names])
 
 
-def _raw_correlation(rows: DataFrame, x: str, y: str) -> float:
-    """Sum of products by the root of the sums of squares, without centring."""
-    r = rows.agg(F.sum(F.col(x) * F.col(y)).alias("xy"), F.sum(F.col(x) * F.col(x)).alias("xx"), F.sum(F.col(y) * F.col(y)).alias("yy")).first()
-    return r["xy"] / math.sqrt(r["xx"] * r["yy"]) if r["xx"] and r["yy"] else float("nan")
+def _raw_correlations(rows: DataFrame, x: str, others: list[str]) -> np.ndarray:
+    """Sums of products by the roots of the sums of squares, without centring."""
+    product = lambda a, b, name: F.sum(F.col(a) * F.col(b)).alias(name)
+    r = rows.agg(product(x, x, "xx"), *[p for i, y in enumerate(others) for p in (product(x, y, f"xy{i}"), product(y, y, f"yy{i}"))]).first()
+    return np.array([r[f"xy{i}"] / math.sqrt(r["xx"] * r[f"yy{i}"]) if r["xx"] and r[f"yy{i}"] else float("nan") for i in range(len(others))])
 
 
 def _inversions(a: np.ndarray, weight: np.ndarray) -> float:
@@ -348,7 +353,7 @@ def correlation_table(
         r, n = m.cross[0, 1:] / np.sqrt(m.cross[0, 0] * np.diag(m.cross)[1:]), np.full(len(features), m.n)
     elif method in ("bicor", "percbend"):
         turned = _biweight(rows, names) if method == "bicor" else _bent(rows, names)
-        r, n = np.array([_raw_correlation(turned, target, f) for f in features]), np.full(len(features), rows.count())
+        r, n = _raw_correlations(turned, target, features), np.full(len(features), rows.count())
     elif method == "kendall":
         found = [kendall(rows, target, f) for f in features]
         r, p, n = np.array([x[0] for x in found]), np.array([x[1] for x in found]), np.full(len(features), rows.count())

@@ -31,7 +31,7 @@ def percentiles(rows: DataFrame, wanted: dict[str, list[float]], weight: str | N
             # a range of few rows is cut at every value
             bin_ = F.floor((x - F.lit(low)) / F.lit(high - low) * BINS).cast("int") if n > FEW else F.lit(0)
             cells.append(F.when(x.between(low, high), F.struct(F.lit(i).alias("i"), bin_.alias("b"), (F.lit(None) if n > FEW else x).cast("double").alias("v"), x.alias("x"), w.alias("w"))))
-        found = rows.select(F.explode(F.filter(F.array(*cells), lambda s: s.isNotNull())).alias("s")).groupBy("s.i", "s.b", "s.v").agg(F.min("s.x").alias("lo"), F.max("s.x").alias("hi"), F.sum("s.w").alias("n"))
+        found = rows.select(F.explode(F.array(*cells)).alias("s")).where("s is not null").groupBy("s.i", "s.b", "s.v").agg(F.min("s.x").alias("lo"), F.max("s.x").alias("hi"), F.sum("s.w").alias("n"))
         cut: dict[int, list] = {i: [] for i in range(len(spans))}
         for r in sorted(found.collect(), key=lambda r: (r["i"], r["lo"])):
             below = cut[r["i"]][-1][2] + cut[r["i"]][-1][3] if cut[r["i"]] else spans[r["i"]][3]
