@@ -512,7 +512,7 @@ def test_interactions_of_repeated_rows_are_looked_at_once(spark, monkeypatch):
     assert rows == [16] and abs(strength - 2 * np.abs(model.contributions(x[["a", "b"]].to_numpy())[1]).mean(axis=0)[0, 1]) < 1e-9
 
 
-@pytest.mark.parametrize("method", ["bicor"])
+@pytest.mark.parametrize("method", ["bicor", "percbend"])
 def test_robust_correlations_without_a_map_of_all_values(spark, monkeypatch, method):
     r = np.random.default_rng(18)
     x = pd.DataFrame({"y": r.normal(size=701), "a": r.integers(0, 9, 701).astype(float)})
