@@ -534,6 +534,17 @@ def test_robust_correlations_without_a_map_of_all_values(spark, monkeypatch, met
     assert abs(got - (t[:, 0] * t[:, 1]).sum() / np.sqrt((t**2).sum(axis=0).prod())) < 1e-9
 
 
+@pytest.mark.parametrize("few", [1000, 10, 0])
+def test_rank_correlations_equal_those_of_ranked_columns(spark, monkeypatch, few):
+    r = np.random.default_rng(19)
+    x = pd.DataFrame({"y": r.integers(0, 300, 900) / 7, "a": r.integers(-3, 3, 900).astype(float), "b": r.normal(size=900).round(1)})
+    x["y"] += x.a
+    if few == 1000:  # no row is joined with the ranks of all values
+        monkeypatch.setattr(linear, "average_ranks", None)
+    n, got = linear.rank_correlations(spark.createDataFrame(x).repartition(3), "y", ["a", "b"], few)
+    assert n == 900 and np.allclose(got, x.corr("spearman").loc["y", ["a", "b"]])
+
+
 def test_sdid_intervals(spark):
     rows = [(u, t, 0.1 * t + u + (3.0 if u == 0 and t >= 8 else 0.0)) for u in range(8) for t in range(12)]
     got = causal.sdid(spark.createDataFrame(rows, "u int, t int, y double"), "u", "t", "y", [0], 8).first()

@@ -9,6 +9,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,6 +219,39 @@ def average_ranks(rows: DataFrame, columns: list[str], ranges: int = 64) -> Data
     return rows
 
 
+def rank_correlations(rows: DataFrame, target: str, features: list[str], few: int = 100_000) -> tuple[int, np.ndarray]:
+    """Number of rows and Spearman's correlation of each feature with the target. Ranks of features of few values are sent to the rows; rows are then added up by the
+    value of the target, so only its values are ranked, in ranges, and the rows are never joined with them."""
+    first = rows.agg(F.count("*").alias("n"), *[F.approx_count_distinct(f).alias(f"d{i}") for i, f in enumerate(features)]).first()
+    n = first["n"]
+    if not n:
+        return 0, np.full(len(features), np.nan)
+    named = rows.select(F.col(target).alias("y"), *[F.col(f).alias(f"x{i}") for i, f in enumerate(features)])
+    small = [f"x{i}" for i in range(len(features)) if first[f"d{i}"] <= few]
+    ranked = average_ranks(named, large) if (large := [f"x{i}" for i in range(len(features)) if f"x{i}" not in small]) else named
+    for x in small:
+        counts = named.groupBy(x).agg(F.count("*").alias("k")).toPandas().sort_values(x)
+        table = pd.DataFrame({"__v": counts[x], "__r": counts["k"].cumsum() - (counts["k"] - 1) / 2})
+        ranks = rows.sparkSession.createDataFrame(table, "__v double, __r double")
+        ranked = ranked.join(F.broadcast(ranks), F.col(x) == F.col("__v")).withColumn(x, F.col("__r")).drop("__v", "__r")
+    middle = (n + 1) / 2
+    sums = [g for i in range(len(features)) for d in [F.col(f"x{i}") - middle] for g in (F.sum(d).alias(f"s{i}"), F.sum(d * d).alias(f"q{i}"))]
+    values = ranked.groupBy("y").agg(F.count("*").alias("k"), *sums).persist(StorageLevel.MEMORY_AND_DISK)
+    cuts = values.agg(F.percentile_approx("y", [k / 64 for k in range(1, 64)])).first()[0]
+    part = F.size(F.filter(F.array(*[F.lit(float(v)) for v in sorted(set(cuts))]), lambda e: e < F.col("y")))
+    parts = values.withColumn("part", part)
+    below, done = {}, 0
+    for p, k in sorted(parts.groupBy("part").agg(F.sum("k")).collect()):
+        below[p], done = done, done + k
+    inside = F.sum("k").over(Window.partitionBy("part").orderBy("y").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.create_map(*[F.lit(v) for pair in below.items() for v in pair])[F.col("part")]
+    d = F.col("rank") - middle
+    terms = [t for i in range(len(features)) for t in (F.sum(d * F.col(f"s{i}")).alias(f"xy{i}"), F.sum(f"q{i}").alias(f"xx{i}"))]
+    m = parts.withColumn("rank", before + inside - (F.col("k") - 1) / 2).agg(F.sum(d * d * F.col("k")).alias("yy"), *terms).first()
+    values.unpersist()
+    return n, np.array([m[f"xy{i}"] / math.sqrt(m["yy"] * m[f"xx{i}"]) if m["yy"] and m[f"xx{i}"] else float("nan") for i in range(len(features))])
+
+
 def _deviations(rows: DataFrame, centres: dict[str, float]) -> DataFrame:
     return rows.select(*[F.abs(F.col(c) - F.lit(m)).alias(c) for c, m in centres.items()])
 
@@ -294,44 +328,63 @@ def kendall(rows: DataFrame, x: str, y: str, most: int = 2_000_000) -> tuple[flo
     return (concordant - discordant) / spread, math.erfc(abs(z) / math.sqrt(2))
 
 
-def shepherd(rows: DataFrame, x: str, y: str, boots: int = 200, seed: int = 42) -> tuple[float, float, int]:
-    """Spearman's correlation of the rows whose mean bootstrap Mahalanobis distance is under 6, its p-value doubled, and how many rows those are.
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
+_DRAWN = np.searchsorted(_POISSON, np.arange(65537) / 65536, side="right").astype(float)
+_DRAWN = np.where(_DRAWN[:-1] == _DRAWN[1:], _DRAWN[:-1], np.nan)  # unknown where 16 bits don't tell
+
+
+def _poisson(r: np.random.Generator, shape: tuple[int, int]) -> np.ndarray:
+    """Poisson numbers of mean 1: by 16 random bits, and by as many more as a double holds where these fall on a bound between two numbers."""
+    u = np.frombuffer(r.bytes(2 * shape[0] * shape[1]), np.uint16)
+    out = _DRAWN[u]
+    open_ = np.flatnonzero(np.isnan(out))
+    out[open_] = np.searchsorted(_POISSON, (u[open_] + r.random(len(open_))) / 65536, side="right")
+    return out.reshape(shape)
+
 
-    Resampling gives every row a Poisson weight in each of the bootstraps; tasks add up weighted moments of all of them. The mean of quadratic forms is
-    one quadratic form, so rows need no second look at the bootstraps."""
+def shepherd(rows: DataFrame, x: str, features: list[str], boots: int = 200, seed: int = 42) -> list[tuple[float, float, int]]:
+    """For each feature: Spearman's correlation with x of the rows whose mean bootstrap Mahalanobis distance is under 6, its p-value doubled, and how many rows
+    those are.
+
+    Resampling gives every row a Poisson weight in each of the bootstraps, the same for all features; tasks add up weighted moments of all of them. The mean of
+    quadratic forms is one quadratic form, so rows need no second look at the bootstraps."""
+    names, width = [x, *features], 3 + 3 * len(features)
+    shift = rows.agg(*[F.avg(c).alias(f"v{i}") for i, c in enumerate(names)]).first()
+    named = rows.select(*[(F.col(c).cast("double") - F.lit(shift[f"v{i}"])).alias(f"v{i}") for i, c in enumerate(names)])
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((boots, 6))
-        for batch in batches:
-            v = batch[["x", "y"]].to_numpy(float)
-            terms = np.column_stack([np.ones(len(v)), v, v[:, 0] ** 2, v[:, 0] * v[:, 1], v[:, 1] ** 2])
-            r = np.random.default_rng(np.concatenate([[seed], np.frombuffer(np.sort(batch["h"].to_numpy(np.int64))[:4].tobytes(), np.uint32)]))
-            total += r.poisson(1.0, (boots, len(v))) @ terms
-        yield pd.DataFrame({"boot": np.arange(boots), **{f"s{k}": total[:, k] for k in range(6)}})
-
-    named = rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    shift = named.agg(F.avg("x").alias("x"), F.avg("y").alias("y")).first()
-    named = named.select((F.col("x") - F.lit(shift["x"])).alias("x"), (F.col("y") - F.lit(shift["y"])).alias("y"))
-    parts = named.withColumn("h", F.xxhash64("x", "y")).mapInPandas(sums, "boot long, " + ", ".join(f"s{k} double" for k in range(6)))
-    found = parts.groupBy("boot").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(6)]).toPandas().to_numpy()[:, 1:]
+        total, part = np.zeros((boots, width)), TaskContext.get().partitionId()
+        for batch, frame in enumerate(batches):
+            v = frame.to_numpy(float)
+            r = np.random.default_rng([seed, part, batch])
+            terms = np.column_stack([np.ones(len(v)), v[:, 0], v[:, 0] ** 2, *[t for k in range(1, v.shape[1]) for t in (v[:, k], v[:, 0] * v[:, k], v[:, k] ** 2)]])
+            for a in range(0, len(v), 2000):
+                total += _poisson(r, (boots, len(terms[a : a + 2000]))) @ terms[a : a + 2000]
+        yield pd.DataFrame({"boot": np.arange(boots), **{f"s{k}": total[:, k] for k in range(width)}})
+
+    parts = named.mapInPandas(sums, "boot long, " + ", ".join(f"s{k} double" for k in range(width)))
+    found = parts.groupBy("boot").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(width)]).toPandas().to_numpy()[:, 1:]
     n = found[:, 0]
-    mx, my = found[:, 1] / n, found[:, 2] / n
-    vxx, vxy, vyy = found[:, 3] / n - mx**2, found[:, 4] / n - mx * my, found[:, 5] / n - my**2
-    det = vxx * vyy - vxy**2
-    a, b, c = vyy / det, -vxy / det, vxx / det
-    quadratic = a.mean(), 2 * b.mean(), c.mean()
-    line = -2 * (a * mx + b * my).mean(), -2 * (b * mx + c * my).mean()
-    rest = (a * mx**2 + 2 * b * mx * my + c * my**2).mean()
-    lit = lambda v: F.lit(float(v))
-    X, Y = F.col("x"), F.col("y")
-    far = lit(quadratic[0]) * X * X + lit(quadratic[1]) * X * Y + lit(quadratic[2]) * Y * Y + lit(line[0]) * X + lit(line[1]) * Y + lit(rest)
-    inside = named.where(far < 6)
-    m = moments(average_ranks(inside, ["x", "y"]), ["x", "y"]).get(None)
-    if m is None or m.n < 3:
-        return float("nan"), float("nan"), 0
-    r = m.cross[0, 1] / math.sqrt(m.cross[0, 0] * m.cross[1, 1])
-    t = r * r * (m.n - 2) / max(1 - r * r, 1e-300)
-    return r, min(1.0, 2 * betainc((m.n - 2) / 2, 0.5, (m.n - 2) / (m.n - 2 + t))), int(m.n)
+    mx, vxx = found[:, 1] / n, found[:, 2] / n - (found[:, 1] / n) ** 2
+    out = []
+    for i in range(len(features)):
+        sy, sxy, syy = found[:, 3 + 3 * i], found[:, 4 + 3 * i], found[:, 5 + 3 * i]
+        my, vxy, vyy = sy / n, sxy / n - mx * sy / n, syy / n - (sy / n) ** 2
+        det = vxx * vyy - vxy**2
+        a, b, c = vyy / det, -vxy / det, vxx / det
+        quadratic = a.mean(), 2 * b.mean(), c.mean()
+        line = -2 * (a * mx + b * my).mean(), -2 * (b * mx + c * my).mean()
+        rest = (a * mx**2 + 2 * b * mx * my + c * my**2).mean()
+        lit = lambda v: F.lit(float(v))
+        X, Y = F.col("v0"), F.col(f"v{i + 1}")
+        far = lit(quadratic[0]) * X * X + lit(quadratic[1]) * X * Y + lit(quadratic[2]) * Y * Y + lit(line[0]) * X + lit(line[1]) * Y + lit(rest)
+        count, (r, *_) = rank_correlations(named.where(far < 6), "v0", [f"v{i + 1}"])
+        if count < 3:
+            out.append((float("nan"), float("nan"), 0))
+            continue
+        t = r * r * (count - 2) / max(1 - r * r, 1e-300)
+        out.append((r, min(1.0, 2 * betainc((count - 2) / 2, 0.5, (count - 2) / (count - 2 + t))), int(count)))
+    return out
 
 
 METHODS = ("pearson", "spearman", "kendall", "bicor", "percbend", "shepherd")
@@ -348,8 +401,11 @@ def correlation_table(
     names = [target, *features]
     rows = df.select(*[col(c).cast("double").alias(c) for c in names]).na.drop()
     p = None
-    if method in ("pearson", "spearman"):
-        m = moments(average_ranks(rows, names) if method == "spearman" else rows, names)[None]
+    if method == "spearman":
+        count, r = rank_correlations(rows, target, features)
+        n = np.full(len(features), count)
+    elif method == "pearson":
+        m = moments(rows, names)[None]
         r, n = m.cross[0, 1:] / np.sqrt(m.cross[0, 0] * np.diag(m.cross)[1:]), np.full(len(features), m.n)
     elif method in ("bicor", "percbend"):
         turned = _biweight(rows, names) if method == "bicor" else _bent(rows, names)
@@ -358,7 +414,7 @@ def correlation_table(
         found = [kendall(rows, target, f) for f in features]
         r, p, n = np.array([x[0] for x in found]), np.array([x[1] for x in found]), np.full(len(features), rows.count())
     else:
-        found = [shepherd(rows, target, f) for f in features]
+        found = shepherd(rows, target, features)
         r, p, n = (np.array([x[k] for x in found]) for k in range(3))
     spread = 1.959963984540054 / np.sqrt(np.maximum(n - 3, 1))
     z = np.arctanh(np.clip(r, -1 + 1e-15, 1 - 1e-15))
