@@ -545,6 +545,23 @@ def test_rank_correlations_equal_those_of_ranked_columns(spark, monkeypatch, few
     assert n == 900 and np.allclose(got, x.corr("spearman").loc["y", ["a", "b"]])
 
 
+def test_bootstrap_weights_are_poisson_numbers():
+    w = linear._poisson(np.random.default_rng(1), (1000, 1000))
+    share = [np.exp(-1) / math.factorial(k) for k in range(8)]
+    assert np.allclose([(w == k).mean() for k in range(8)], share, atol=2e-3) and abs(w.mean() - 1) < 5e-3 and abs(w.var() - 1) < 1e-2
+
+
+def test_shepherd_of_several_features_leaves_outliers_out(spark):
+    r = np.random.default_rng(20)
+    x = pd.DataFrame(r.normal(size=(800, 3)), columns=["y", "a", "b"])
+    x["a"] += x.y
+    x.loc[:19] = [30.0, -30.0, 30.0]
+    inside = x.loc[20:]
+    got = linear.shepherd(spark.createDataFrame(x), "y", ["a", "b"])
+    assert all(700 < n < 800 for _, _, n in got) and abs(got[0][0] - inside.corr("spearman").loc["y", "a"]) < 0.05 and abs(got[1][0]) < 0.15
+    assert got[0][1] < 1e-6 < got[1][1]
+
+
 def test_sdid_intervals(spark):
     rows = [(u, t, 0.1 * t + u + (3.0 if u == 0 and t >= 8 else 0.0)) for u in range(8) for t in range(12)]
     got = causal.sdid(spark.createDataFrame(rows, "u int, t int, y double"), "u", "t", "y", [0], 8).first()
